@@ -72,6 +72,13 @@ def curve(df: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -> Col
     return index(*[c.cast("double") for c in dimensions.values()])
 
 
+def slim(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with size and text_crc32. Drop the text after this where only the
+    assignment is wanted: the sort then moves no texts."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.withColumn("size", F.octet_length(text).cast("long") + 8).withColumn("text_crc32", F.crc32(F.encode(text, "UTF-8")))
+
+
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, dimensions: dict[str, Column] | None = None, partitions: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with size, text_crc32, law ("rows"),
     curve_index, shard (0 to shards - 1), slot (gapless from 0 in each shard,
@@ -79,13 +86,14 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
     Size is the text's UTF-8 bytes plus 8. Defined cases: a null text has no
     bytes and checksum 0; null ids sort first; repeated ids and rows keep one
-    slot each; missing dimension columns are not used; an empty table gives an
+    slot each; missing dimension columns are not used; without the text
+    column, size and text_crc32 are taken as given; an empty table gives an
     empty result; columns of the added names are replaced.
     """
     added = ["size", "text_crc32", "law", "curve_index", "shard", "slot", "grown_shard"]
+    rows = slim(docs, text_col) if text_col in docs.columns else docs
     docs = docs.drop(*[c for c in added if c in docs.columns])
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumn("size", F.octet_length(text).cast("long") + 8).withColumn("text_crc32", F.crc32(F.encode(text, "UTF-8")))
+    rows = rows.select(*docs.columns, "size", "text_crc32")
     if dimensions is None:
         dimensions = {"size": F.col("size"), "id": F.col(id_col)} | {c: text_prefix(c) for c in ("lang", "source") if c in docs.columns}
     rows = rows.withColumn("curve_index", curve(rows, dimensions))

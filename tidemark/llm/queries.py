@@ -5,12 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.resample import resample
+
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("k1")
+
+
+def op2_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mix
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.hilbert import shard, slim
+
+    return shard(slim(_read(spark, sf_dir, "documents")).drop("text")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve_index")
+
+
+def op7_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.phrase_index import decontaminate, items_digest
+
+    found = decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), size=10, slop=20)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items_digest("items").alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))
+
+
 def op9_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.minmax import near_duplicates
 

@@ -184,8 +184,8 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marked = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     marked = marked.join(F.broadcast(sample), F.col("__id") == F.col("__label"), "left")  # at most ``labelled`` rows
     counts = np.zeros((4, BUCKETS))
-    for row in bucket_counts(marked, "__text").collect():  # at most BUCKETS rows
-        counts[:, row[0]] = row[1:]
+    table = bucket_counts(marked, "__text").toArrow()  # at most BUCKETS rows
+    counts[:, table["bucket"].to_numpy()] = [table[f"n{i}"].to_numpy() for i in range(4)]
     ratios = log_ratios(counts)
     n = [(seen[c] or 0) + 1.0 for c in range(3)]
     priors = np.array(n) / sum(n)
