@@ -46,6 +46,13 @@ def op9_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op10_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.fm_index import remove_repeats
+
+    found = remove_repeats(_read(spark, sf_dir, "documents"), size=20)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
