@@ -25,6 +25,22 @@ def op2_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op3_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.lines import remove_repeated_lines
+
+    kept = remove_repeated_lines(_read(spark, sf_dir, "documents"), size=3)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.secrets import BASE, RULES, listed, scan
+
+    found = scan(_read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("found", lambda s, k=k: s["kind_no"] == k)).cast("long").alias(f"n_{RULES[k][0]}") for k in range(BASE)]
+    base = F.filter("found", lambda s: s["kind_no"] < BASE)
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.hilbert import shard, slim
 
@@ -58,4 +74,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidemark.llm import lines
+
+    return {"op3_line_window_dedup": lines.ORACLE}
