@@ -10,11 +10,13 @@ bands of 4. Two sets with similarity 0.8 share no band with probability
 Plan: (1) one Arrow pass makes a slim table (id, set size, 128-bit key of the
 word sequence, bands); (2) texts with the same word sequence become one
 representative; (3) representatives that share a band are compared with the
-band's smallest id first (a star, never all pairs of a bucket) and links are
-confirmed on the full shingle sets; (4) while a bucket still holds
-representatives of different components, one more of its members, per round,
-is compared with all members outside its own component, until no cross pair of
-any bucket is unchecked. Nothing is collected; buckets are never capped.
+band's smallest id (a star, never all pairs of a bucket) and links are confirmed
+on the full shingle sets; (4) where a bucket still holds different components,
+its members meet once more by prefix filtering: with shingles ordered from rare
+to frequent, two sets of similarity 0.8 share one of their first few shingles,
+far enough ahead to reach the overlap that they need. That join is exact, and
+edited copies of one text, whose rarest shingles are their own, hardly meet in
+it. Nothing is collected; buckets are never capped.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from tidemark.llm.scratch import settle
 
 PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
+#: Counters that order shingles from rare to frequent.
+SLOTS = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(977))
 _MUL = _rng.integers(1, 2**62, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -149,22 +153,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a repeated id has several texts: only those of its representatives' sequences matter, so all are kept
     texts = settle(raw.join(named, "id", "left_semi"), "texts")
     links = settle(confirm(star, texts, size, percent).distinct(), "confirmed")
-    tried = 0
-    while True:
-        comp = components(links)
-        # a member that was the pivot has met the whole bucket; later pivots follow by rank
-        state = slots.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        open_slots = settle(state.join(mixed, "key").where(F.col("rep") > F.col("pivot")), "open")
-        pairs = cross_pairs(open_slots, percent)
-        if tried:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "cross")
-        if not pairs.take(1):
-            break
-        links = settle(links.union(confirm(pairs, texts, size, percent)).distinct(), "confirmed")
-        done = pairs if not tried else settle(done.union(pairs), "done")
-        tried += 1
+    comp = components(links)
+    state = slots.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    unsettled = state.join(mixed, "key").select(F.col("rep").alias("id"), "component").distinct()
+    more = rare_prefix_pairs(settle(texts.join(unsettled, "id"), "unsettled"), size, percent)
+    links = settle(links.union(confirm(settle(more, "cross"), texts, size, percent)).distinct(), "confirmed")
+    comp = components(links)
 
     degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = reps.select("k1", "k2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
@@ -183,9 +178,56 @@ def _sizes_fit(x: str, y: str, percent: int):
     return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
 
 
-def cross_pairs(open_slots: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of one bucket that lie in different components and are not
-    with the bucket's pivot (those have been compared)."""
-    left = open_slots.select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("component").alias("ca"))
-    right = open_slots.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("component").alias("cb"))
-    return left.join(right, "key").where("a < b and ca <> cb").where(_sizes_fit("an", "bn", percent)).select("a", "b").distinct()
+def rare_prefix_pairs(sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b) pairs of different components that may have the similarity: an
+    exact filter. ``sets``: id, text, component.
+
+    Shingles are ordered by the count of their hash slot over ``sets`` (SLOTS
+    numbers, whatever the input) and then by hash. In that order a set of n
+    shingles must meet an at least equally large partner among its first
+    n - ceil(2t/(1+t) n) + 1 shingles and the partner's first n - ceil(t n) + 1.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for block in W.blocks(batch.column(0), W.LOWER):
+                total += np.bincount((block.grams(size)[0] & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    slots = sets.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+    often = np.zeros(SLOTS, np.int64)
+    often[slots["slot"].to_numpy()] = slots["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in W.blocks(batch.column(2), W.LOWER):
+                grams, first = block.grams(size)
+                text = np.repeat(np.arange(block.n), np.diff(first))
+                n_of = shared.value[(grams & np.uint64(SLOTS - 1)).astype(np.int64)]
+                order = np.lexsort((grams, n_of, text))
+                grams, text, n_of = grams[order], text[order], n_of[order]
+                fresh = np.r_[True, (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])] if len(grams) else np.zeros(0, bool)
+                grams, text, n_of = grams[fresh], text[fresh], n_of[fresh]
+                n = np.bincount(text, minlength=block.n)
+                place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+                long = n + (-percent * n) // 100 + 1
+                short = n + (-2 * percent * n) // (100 + percent) + 1
+                # a slot that was counted once holds a shingle of one set: it has no partner
+                use = np.flatnonzero((place < long[text]) & (n_of > 1))
+                at = pa.array(text[use] + block.at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(W.signed(grams[use])), batch.column(0).take(at), batch.column(1).take(at), pa.array(n[text[use]]), pa.array(place[use]), pa.array(place[use] < short[text[use]])],
+                    ["shingle", "id", "component", "n", "place", "short"],
+                )
+
+    rows = settle(sets.select("id", "component", "text").mapInArrow(prefixes, "shingle long, id long, component long, n long, place long, short boolean"), "prefixes")
+    x = rows.where("short").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "place")])
+    y = rows.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("id", "component", "n", "place")])
+    fits = F.expr(
+        f"x_component <> y_component and (x_n < y_n or (x_n = y_n and x_id < y_id)) and 100 * x_n >= {percent} * y_n"
+        f" and {100 + percent} * least(x_n - x_place, y_n - y_place) >= {percent} * (x_n + y_n)"
+    )
+    return x.join(y, "shingle").where(fits).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
