@@ -56,6 +56,12 @@ def op7_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))
 
 
+def op8_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import round_trip
+
+    return round_trip(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "ok")
+
+
 def op9_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.minmax import near_duplicates
 
