@@ -1,9 +1,72 @@
-"""The corpus pipeline: quality classifier, near-duplicates, decontamination,
-mixing to target weights, sharding."""
+"""The corpus pipeline over ``documents``: quality classifier, near-duplicates,
+benchmark decontamination, mixing sources to target weights, sharding.
 
-STAGES: list = []
+Each stage is a function (spark, docs, sf_dir) -> DataFrame. The stages' outputs
+are written as Parquet and read again as the next stage's documents, so a lost
+executor repeats tasks of one stage only. All but the last return the columns of
+``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.hilbert import shard
+from tidemark.llm.minmax import near_duplicates
+from tidemark.llm.mixing import mix
+from tidemark.llm.phrase_index import decontaminate
+from tidemark.llm.resample import keep_selected
+from tidemark.llm.scratch import settle
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling selects; the rest go."""
+    return keep_selected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each class of near-duplicates (five-word shingles,
+    similarity 0.8); rows without an id stay."""
+    classes = near_duplicates(docs, size=5, percent=80)
+    gone = settle(classes.where("not kept").select("doc_id").distinct(), "duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a ten-word window of a benchmark item."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
+    gone = settle(found.where("n_hit > 0").select("doc_id").distinct(), "contaminated")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    out = mix(docs)
+    return out.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix with shard and slot along the Hilbert curve."""
+    return shard(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminated),
+    ("mixing sources to target weights", mixed),
+    ("sharding", sharded),
+]
+
+#: The fitted classifier, the rounding and the curve are no SQL; the stages are tested
+#: against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the rows of the last one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

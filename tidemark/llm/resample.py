@@ -26,6 +26,7 @@ global sort; only the bins' counts reach the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -111,33 +112,48 @@ def gumbel(h: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(u))
 
 
-def score(docs: DataFrame, id_col: str, text_col: str, ratios: np.ndarray, priors: np.ndarray, seed: int, temperature: float) -> DataFrame:
-    """(id, key of the whole text, n_features, log_weight, posterior, sample_key)."""
-    model = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float32))  # 2 * BUCKETS numbers
-    log_prior = np.log(priors)
+class Model(NamedTuple):
+    """What a draw needs: at most 2 * BUCKETS numbers and a threshold."""
+
+    ratios: np.ndarray
+    log_prior: np.ndarray
+    seed: int
+    temperature: float
+    least: float = float("inf")
+
+    def weigh(self, block: W.Block, ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of features, log weight, sample key) of each text."""
+        text, bucket = features(block)
+        parts = [np.full(block.n, self.log_prior[TARGET])]
+        for row, c in enumerate((LOW, TOXIC)):
+            parts.append(self.log_prior[c] + np.bincount(text, self.ratios[row][bucket].astype(float), minlength=block.n))
+        top = np.max(parts, axis=0)
+        # p_target cancels: every component is relative to it
+        weight = -(top + np.log(np.sum(np.exp(np.array(parts) - top), axis=0)))
+        n = np.bincount(text, minlength=block.n)
+        # a document without words is no text to learn from
+        weight = np.where(n > 0, weight, -1e6) + 0.0  # no negative zero: file statistics order it below zero
+        k1, _ = block.sequence_keys()
+        own = W.mix(np.asarray(ids.cast(pa.int64()).fill_null(-1)).view(np.uint64) + np.uint64(self.seed)) ^ k1
+        return n, weight, weight / self.temperature + gumbel(own)
+
+    def chosen(self, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return (n > 0) & (key >= self.least)
+
+
+def score(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
+    """(id, n_features, log_weight, posterior, sample_key) of each row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in W.blocks(batch.column(1), W.LOWER):
-                text, bucket = features(block)
-                parts = [np.full(block.n, log_prior[TARGET])]
-                for row, c in enumerate((LOW, TOXIC)):
-                    parts.append(log_prior[c] + np.bincount(text, model.value[row][bucket].astype(float), minlength=block.n))
-                top = np.max(parts, axis=0)
-                raw = top + np.log(np.sum(np.exp(np.array(parts) - top), axis=0))
-                weight = -raw  # p_target cancels: every component is relative to it
-                k1, _ = block.sequence_keys()
                 ids = batch.column(0).slice(block.at, block.n)
-                own = W.mix(np.asarray(ids.fill_null(-1)).astype(np.int64).view(np.uint64) + np.uint64(seed)) ^ k1
-                n = np.bincount(text, minlength=block.n)
-                # a document without words is no text to learn from
-                weight = np.where(n > 0, weight, -1e6)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(W.signed(k1)), pa.array(n), pa.array(weight), pa.array(np.where(n > 0, np.exp(np.minimum(weight + log_prior[TARGET], 0.0)), 0.0)), pa.array(weight / temperature + gumbel(own))],
-                    ["id", "k1", "n_features", "log_weight", "posterior", "sample_key"],
-                )
-
-    schema = "id long, k1 long, n_features long, log_weight double, posterior double, sample_key double"
+                n, weight, key = shared.value.weigh(block, ids)
+                posterior = np.where(n > 0, np.exp(np.minimum(weight + shared.value.log_prior[TARGET], 0.0)), 0.0)
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (n, weight, posterior, key))], ["id", "n_features", "log_weight", "posterior", "sample_key"])
+
+    schema = "id long, n_features long, log_weight double, posterior double, sample_key double"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -164,32 +180,23 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, labelled: int = LABELLED, temperature: float = TEMPERATURE) -> DataFrame:
-    """One row per row of ``docs``: id_col, n_features, log_weight, posterior
-    (that it is target text), sample_key and selected (the k largest keys).
-
-    ``labels``: id_col, quality, toxic. Defined cases: a null or wordless text is
-    never selected; a null id is scored but matches no label; several labels of
-    one id combine to the worst; labels with both fields null are left out;
-    without labels no bucket has a ratio and every document with words is
-    selected; ties at the threshold are all selected; repeated rows are scored
-    alike; an empty table gives an empty result; other columns are ignored.
-    """
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, labelled: int = LABELLED, temperature: float = TEMPERATURE) -> tuple[Model, DataFrame]:
+    """Count, weigh and set the draw's threshold: (model, scored rows of ``docs``)."""
     worst = labels.where("quality is not null or toxic is not null").groupBy(F.col(id_col).cast("long").alias("__label")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     bad, toxic = F.coalesce(F.col("quality") == 0, F.lit(False)), F.coalesce(F.col("toxic") == 1, F.lit(False))
     marks = F.when(~bad & ~toxic, 1 << TARGET).otherwise(0) + F.when(bad, 1 << LOW).otherwise(0) + F.when(toxic, 1 << TOXIC).otherwise(0)
     sample = worst.where("__label is not null").select("__label", marks.alias("__class"))
     sample = settle(sample.orderBy(F.xxhash64("__label", F.lit(seed)), "__label").limit(labelled), "labelled")
-    seen = sample.agg(*[F.sum(F.col("__class").bitwiseAND(1 << c).cast("boolean").cast("int")) for c in (TARGET, LOW, TOXIC)], F.count("*")).first()
+    seen = sample.agg(*[F.sum(F.col("__class").bitwiseAND(1 << c).cast("boolean").cast("int")) for c in (TARGET, LOW, TOXIC)]).first()
     marked = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     marked = marked.join(F.broadcast(sample), F.col("__id") == F.col("__label"), "left")  # at most ``labelled`` rows
     counts = np.zeros((4, BUCKETS))
     table = bucket_counts(marked, "__text").toArrow()  # at most BUCKETS rows
     counts[:, table["bucket"].to_numpy()] = [table[f"n{i}"].to_numpy() for i in range(4)]
-    ratios = log_ratios(counts)
-    n = [(seen[c] or 0) + 1.0 for c in range(3)]
-    priors = np.array(n) / sum(n)
-    scored = settle(score(docs, id_col, text_col, ratios, priors, seed, temperature), "weights")
+    n = np.array([(seen[c] or 0) + 1.0 for c in range(3)])
+    model = Model(log_ratios(counts).astype(np.float32), np.log(n / n.sum()), seed, temperature)
+    scored = settle(score(docs, id_col, text_col, model), "weights")
+
     own = scored.where("n_features > 0").join(F.broadcast(sample), F.col("id") == F.col("__label"))
     step = F.floor(F.greatest(F.lit(-30.0), F.col("log_weight")) * 8)
     good = F.col("__class") == 1 << TARGET
@@ -201,6 +208,39 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         if ahead > best:
             best, floor = ahead, (r.step / 8 if r.step > -240 else -1e5)
     k = scored.where((F.col("n_features") > 0) & (F.col("log_weight") >= floor)).count()
-    least = kth_largest(scored.where("n_features > 0"), "sample_key", k)
-    chosen = (F.col("n_features") > 0) & (F.col("sample_key") >= F.lit(least))
-    return scored.select(F.col("id").alias(id_col), "k1", "n_features", "log_weight", "posterior", "sample_key", chosen.alias("selected"))
+    return model._replace(least=kth_largest(scored.where("n_features > 0"), "sample_key", k)), scored
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of ``docs``: id_col, n_features, log_weight, posterior
+    (that it is target text), sample_key and selected (the k largest keys).
+    ``options`` are those of fit().
+
+    ``labels``: id_col, quality, toxic. Defined cases: a null or wordless text is
+    never selected; a null id is scored but matches no label; several labels of
+    one id combine to the worst; labels with both fields null are left out;
+    without labels no bucket has a ratio and every document with words is
+    selected; ties at the threshold are all selected; repeated rows are scored
+    alike; an empty table gives an empty result; other columns are ignored.
+    """
+    model, scored = fit(docs, labels, id_col, text_col, **options)
+    chosen = (F.col("n_features") > 0) & (F.col("sample_key") >= F.lit(float(model.least)))
+    return scored.select(F.col("id").alias(id_col), "n_features", "log_weight", "posterior", "sample_key", chosen.alias("selected"))
+
+
+def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The selected rows of ``docs`` with all their columns. Rows are weighed once
+    more where they are, so that no text is shuffled to meet its decision."""
+    model, _ = fit(docs, labels, id_col, text_col, **options)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for block in W.blocks(batch.column(at_text), W.LOWER):
+                n, _, key = shared.value.weigh(block, batch.column(at_id).slice(block.at, block.n))
+                keep[block.at : block.at + block.n] = shared.value.chosen(n, key)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

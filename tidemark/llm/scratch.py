@@ -8,8 +8,11 @@ next plan sees the table's real size.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +27,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the Python workers this package where their path does not have it."""
+    package = Path(__file__).resolve().parent.parent
+    here = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    context = spark.sparkContext
+    if str(package.parent) in here or context.applicationId in _shipped:
+        return
+    target = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in package.rglob("*.py"):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
+    ship_code(spark)
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
