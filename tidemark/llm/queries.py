@@ -15,7 +15,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.resample import resample
 
-    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("k1")
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def op2_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,13 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(slim(_read(spark, sf_dir, "documents")).drop("text")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve_index")
 
 
+def op6_local_descriptor_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no pictures: each vector of ``embeddings`` is rendered as one."""
+    from tidemark.llm.media import copies, vector_pictures
+
+    return copies(_read(spark, sf_dir, "embeddings"), vector_pictures, "vec_id", "embedding")
+
+
 def op7_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.phrase_index import decontaminate, items_digest
 
