@@ -55,6 +55,7 @@ def test_trigram_queries():
     assert [trigram_query(p) is None for _, p, _, _ in RULES] == [False, False, True, False, False, False, False, False]
     keyed = trigram_query(RULES[0][1])
     assert frozenset({"tok", "oke", "ken"}) in keyed and frozenset({"api", "pik", "ike", "key"}) in keyed
+    assert all(len(alt) <= 4 for _, p, _, _ in RULES for alt in trigram_query(p) or [])
 
 
 SAMPLES = [

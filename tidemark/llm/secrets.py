@@ -26,12 +26,15 @@ RULES = [
     ("access", r"AKIA[A-Z0-9]+", 16, 0),
     ("hex", r"[0-9a-f]{32,}", 32, 0),
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
-    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
-    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("github", r"gh[ps]_[A-Za-z0-9]{36,}", 0, 0),
+    ("slack", r"xox[bp]-[A-Za-z0-9-]{10,}", 0, 0),
     ("google", r"AIza[A-Za-z0-9_-]{35}", 0, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
 ]
 BASE = 3
+#: Trigrams an alternative asks for at most; those of the rarest letters are the most selective.
+ASKED = 4
+_COMMON = "etaoinshrdlcumwfgypbvk"
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
@@ -39,7 +42,10 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     have none. Every match's lower-cased text holds all trigrams of some alternative."""
     states = _walk(parser.parse(pattern), {("", frozenset())})
     found = {need for _, need in states}
-    return None if not found or frozenset() in found else sorted(found, key=sorted)
+    if not found or frozenset() in found:
+        return None
+    rarity = lambda t: (sum(len(_COMMON) - _COMMON.find(c) if c in _COMMON else 0 for c in t), t)
+    return sorted({frozenset(sorted(need, key=rarity)[:ASKED]) for need in found}, key=sorted)
 
 
 def _walk(tree, states: set) -> set:
@@ -105,21 +111,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     vocabulary = sorted({t for q in asked if q for alt in q for t in alt})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     raw = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(5), "text"))
-    full = [spans(F.col("text"), i, r) for i, r in enumerate(rules) if asked[i] is None]
-    slim = settle(raw.select("id", "k1", "k2", F.concat(*full, F.array().cast("array<struct<start:int,kind_no:int,end:int,size:int>>")).alias("full")), "keys")
+    empty = F.array().cast("array<struct<start:int,kind_no:int,end:int,size:int>>")
+    full = [F.when(F.col("text").rlike(r[1]), spans(F.col("text"), i, r)).otherwise(empty) for i, r in enumerate(rules) if asked[i] is None]
+    slim = settle(raw.select("id", "k1", "k2", F.concat(*full, empty).alias("full")), "keys")
 
-    low = F.lower("text")
-    has = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(n)) for n, t in enumerate(vocabulary)]))
-    seen = raw.withColumn("trigrams", has).where(F.size("trigrams") > 0)
-    postings = seen.select("k1", "k2", F.explode("trigrams").alias("trigram")).distinct()
+    # lower-cased once a text: a column used many times stays a step of its own
+    has = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(n)) for n, t in enumerate(vocabulary)]))
+    postings = raw.select("k1", "k2", F.lower("text").alias("low")).select("k1", "k2", F.explode(has).alias("trigram")).distinct()
     query = [(i, a, vocabulary.index(t), len(alt)) for i, q in enumerate(asked) if q for a, alt in enumerate(q) for t in alt]
     query = docs.sparkSession.createDataFrame(query, "rule int, alternative int, trigram int, need int")
     met = postings.join(F.broadcast(query), "trigram")  # as many rows as the rules have trigrams
     met = met.groupBy("k1", "k2", "rule", "alternative", "need").agg(F.count("*").alias("n")).where("n = need")
     candidates = met.groupBy("k1", "k2").agg(F.collect_set("rule").alias("rules"))
 
-    texts = seen.select("k1", "k2", "text").join(candidates, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    empty = F.array().cast("array<struct<start:int,kind_no:int,end:int,size:int>>")
+    texts = raw.join(candidates, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     verified = F.concat(*[F.when(F.array_contains("rules", i), spans(F.col("text"), i, r)).otherwise(empty) for i, r in enumerate(rules) if asked[i]])
     verified = texts.select("k1", "k2", verified.alias("verified")).where(F.size("verified") > 0)
     out = slim.join(verified, ["k1", "k2"], "left")
