@@ -1,16 +1,16 @@
 """Removal of repeated passages with an FM-index per shard.
 
 A window is ``size`` consecutive words of one document. Windows are routed by
-their minimizer (the smallest hash of the 8-word grams inside them), so all
+their minimizer (the smallest hash of the 5-word grams inside them), so all
 occurrences of one word sequence meet in one shard and every shard answers for
 its own windows alone: no document has to be streamed against every shard.
 
 1. One pass makes a slim row a document: word count, 128-bit key of the word
    sequence, hash of the whole text, and its different minimizers.
-2. A minimizer counts as shared if documents of different content have it, or if
-   one document has it in two places. Everything else cannot hold a repeated
-   window and is not looked at again. Documents equal word by word are one: the
-   smallest id is searched, the others are repeats as a whole.
+2. Documents equal word by word are one: the smallest id is searched, the others
+   are repeats as a whole. A minimizer counts as shared if two searched documents
+   have it, or one has it in two places. Everything else cannot hold a repeated
+   window and is not looked at again.
 3. The searched documents emit segments: runs of windows with the same shared
    minimizer. Equal segments are combined (before and after the shuffle) to their
    first place. A minimizer that very many documents share (HOT) would make one
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import words as W
 from tidemark.llm.scratch import settle
 
-GRAM = 8
+GRAM = 5
 #: Documents that may share a minimizer before its windows are routed singly.
 HOT = 20_000
 #: Words that one shard's index covers, about.
@@ -47,7 +47,7 @@ SHARD_WORDS = 1 << 20
 LAST = (1 << 63) - 1
 
 SLIM = "id long, n_words long, k1 long, k2 long, sha string, own array<long>, twice array<long>"
-SEGMENT = "route long, p1 long, p2 long, id long, k1 long, start long, n long, payload binary"
+SEGMENT = "p1 long, p2 long, id long, k1 long, start long, n long, route long, payload string"
 FIRST = "p1 long, p2 long, first_id array<long>, first_start array<long>"
 
 
@@ -127,56 +127,56 @@ def slim_rows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
 
 
 def segments(texts: DataFrame, size: int) -> DataFrame:
-    """``texts``: id, k1, text, wanted (shared minimizers), hot (those to be
-    routed by window). Equal payloads of a batch are emitted once."""
+    """``texts``: id, text, wanted (shared minimizers), hot (those to be routed by
+    window). Of a batch's equal segments, the first in document order carries the
+    text and the route."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in W.blocks(batch.column(2), W.PLAIN):
+            ids = np.asarray(batch.column(0))
+            for block in W.blocks(batch.column(1), W.PLAIN, 8 << 20):
                 k1, _ = block.sequence_keys()
                 mins, at = window_minimizers(block, size)
                 wins = np.diff(at)
                 doc = np.repeat(np.arange(block.n), wins)
-                own_keys = np.asarray(batch.column(1).slice(block.at, block.n))
                 wanted, is_hot = np.zeros(len(mins), bool), np.zeros(len(mins), bool)
-                for t in range(block.n):
-                    # a repeated id may bring a text of other content: it is searched under its own key
-                    if wins[t] and own_keys[t] == W.signed(k1[t : t + 1])[0]:
-                        own = mins[at[t] : at[t + 1]]
-                        wanted[at[t] : at[t + 1]] = np.isin(own, batch.column(3)[block.at + t].values.to_numpy().view(np.uint64))
-                        is_hot[at[t] : at[t + 1]] = np.isin(own, batch.column(4)[block.at + t].values.to_numpy().view(np.uint64))
+                for t in np.flatnonzero(wins):
+                    own = mins[at[t] : at[t + 1]]
+                    for mark, column in ((wanted, 2), (is_hot, 3)):
+                        mark[at[t] : at[t + 1]] = np.isin(own, batch.column(column)[block.at + int(t)].values.to_numpy().view(np.uint64))
                 if not wanted.any():
                     continue
-                opens = wanted.copy()
-                opens[1:] &= ~wanted[:-1] | (mins[1:] != mins[:-1]) | is_hot[1:] | (doc[1:] != doc[:-1])
-                closes = wanted.copy()
-                closes[:-1] &= ~wanted[1:] | (mins[1:] != mins[:-1]) | is_hot[1:] | (doc[1:] != doc[:-1])
+                turns = (mins[1:] != mins[:-1]) | is_hot[1:] | (doc[1:] != doc[:-1])
+                opens, closes = wanted.copy(), wanted.copy()
+                opens[1:] &= ~wanted[:-1] | turns
+                closes[:-1] &= ~wanted[1:] | turns
                 begin, end = np.flatnonzero(opens), np.flatnonzero(closes)
                 n, d = end - begin + 1, doc[begin]
-                word = block.first[d] + begin - at[d]
+                start = begin - at[d]
+                word = block.first[d] + start
                 length = n + size - 1
-                flat = np.arange(length.sum()) + np.repeat(word - (np.cumsum(length) - length), length)
                 ends = np.r_[0, np.cumsum(length)]
+                place = np.arange(ends[-1]) - np.repeat(ends[:-1], length)
+                flat = place + np.repeat(word, length)
                 keys = []
-                place = np.arange(length.sum()) - np.repeat(ends[:-1], length)
                 with np.errstate(over="ignore"):
                     for salt in (0, 1):
                         step = W.mix(place.astype(np.uint64) * W.GRAM[salt, 21] + W.GRAM[salt, 22]) | np.uint64(1)
                         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(block.hash[flat] * W.GRAM[salt, 23]) * step)])
                         keys.append(W.mix(sums[ends[1:]] - sums[ends[:-1]] + length.astype(np.uint64)))
                 route = np.where(is_hot[begin], keys[0], mins[begin])
-                _, lead = np.unique(keys[0], return_index=True)
-                lead_mask = np.zeros(len(begin), bool)
-                lead_mask[lead] = True
-                raw = block.hash[flat].tobytes()
-                payload = [raw[8 * ends[i] : 8 * ends[i + 1]] if lead_mask[i] else None for i in range(len(begin))]
-                ids = batch.column(0).slice(block.at, block.n).take(pa.array(d))
+                own_id = ids[block.at + d]
+                order = np.lexsort((start, own_id, keys[0]))
+                lead = np.zeros(len(begin), bool)
+                lead[order[np.r_[True, keys[0][order][1:] != keys[0][order][:-1]]]] = True
+                raw = block.data.tobytes()
+                payload = [raw[block.start[w] : block.end[w + m - 1]].decode() if x else None for w, m, x in zip(word.tolist(), length.tolist(), lead.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(W.signed(route)), pa.array(W.signed(keys[0])), pa.array(W.signed(keys[1])), ids, pa.array(own_keys[d]), pa.array(begin - at[d]), pa.array(n), pa.array(payload, pa.binary())],
-                    ["route", "p1", "p2", "id", "k1", "start", "n", "payload"],
+                    [pa.array(W.signed(keys[0])), pa.array(W.signed(keys[1])), pa.array(own_id), pa.array(W.signed(k1)[d]), pa.array(start), pa.array(n), pa.array(W.signed(route), mask=~lead), pa.array(payload, pa.string())],
+                    ["p1", "p2", "id", "k1", "start", "n", "route", "payload"],
                 )
 
-    return texts.select("id", "k1", "text", "wanted", "hot").mapInArrow(run, SEGMENT)
+    return texts.select("id", "text", "wanted", "hot").mapInArrow(run, SEGMENT)
 
 
 def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
@@ -257,9 +257,10 @@ class FmIndex:
         return lo, hi
 
 
-def first_places(payloads: list, ids: np.ndarray, starts: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def first_places(payloads: pa.Array, ids: np.ndarray, starts: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each segment, the first place (id, word) of each of its windows."""
-    index = FmIndex([np.frombuffer(p, np.uint64) for p in payloads], size)
+    parts = [block.hash[block.first[t] : block.first[t + 1]] for block in W.blocks(payloads, W.PLAIN) for t in range(block.n)]
+    index = FmIndex(parts, size)
     n = index.lengths - size + 1
     ends = np.r_[0, np.cumsum(n)]
     part = np.repeat(np.arange(len(n)), n)
@@ -281,15 +282,17 @@ def first_places(payloads: list, ids: np.ndarray, starts: np.ndarray, size: int)
 
 
 def search_shards(parts: DataFrame, shards: int, size: int) -> DataFrame:
-    """``parts``: route, p1, p2, id, start, payload, all different."""
+    """``parts``: route, p1, p2, id, start, payload. Equal parts of different
+    batches are combined where they arrive."""
 
     def run(table: pa.Table) -> pa.Table:
-        got = first_places(table["payload"].to_pylist(), table["id"].to_numpy(), table["start"].to_numpy(), size)
+        got = first_places(table["payload"], table["id"].to_numpy(), table["start"].to_numpy(), size)
         lists = (pa.array([x[k] for x in got], pa.list_(pa.int64())) for k in (0, 1))
         return pa.table([table["p1"], table["p2"], *lists], names=["p1", "p2", "first_id", "first_start"])
 
-    routed = parts.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
-    return routed.groupBy("shard").applyInArrow(run, FIRST)
+    routed = parts.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int")).repartition(shards, "shard")
+    once = routed.groupBy("shard", "p1", "p2").agg(F.min(F.struct("id", "start")).alias("at"), F.min("payload").alias("payload"))
+    return once.select("shard", "p1", "p2", "at.id", "at.start", "payload").groupBy("shard").applyInArrow(run, FIRST)
 
 
 def covered(members: DataFrame, size: int) -> DataFrame:
@@ -332,18 +335,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     slim = settle(slim_rows(raw, id_col, text_col, size), "documents")
     lead = settle(slim.where(F.col("n_words") >= size).groupBy("k1", "k2").agg(F.min("id").alias("lead")), "leads")
 
-    uses = slim.select("id", "k1", F.explode("own").alias("m"), "twice").select("k1", "m", F.array_contains("twice", F.col("m")).alias("twice"))
-    shared = uses.groupBy("m").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.max("twice").alias("twice"), F.count("*").alias("n")).where("lo < hi or twice")
-    leads = slim.join(lead, ["k1", "k2"]).where("id = lead").select("id", "k1", "own")
-    wanted = leads.select("id", "k1", F.explode("own").alias("m")).join(shared.select("m", (F.col("n") > hot).alias("hot")), "m")
-    wanted = wanted.groupBy("id", "k1").agg(F.collect_set("m").alias("wanted"), F.collect_set(F.when(F.col("hot"), F.col("m"))).alias("hot"))
+    copies = slim.select("id", "k1", "k2").join(lead, ["k1", "k2"]).where("id > lead").select("id", "k1")
+    searched = slim.select("id", "k1", "own", "twice").join(copies, ["id", "k1"], "left_anti")
+    uses = searched.select("id", F.explode("own").alias("m"), "twice")
+    shared = uses.groupBy("m").agg(F.sum(F.when(F.array_contains("twice", F.col("m")), 2).otherwise(1)).alias("n")).where("n > 1")
+    wanted = uses.select("id", "m").join(shared.select("m", (F.col("n") > hot).alias("hot")), "m")
+    wanted = wanted.groupBy("id").agg(F.collect_set("m").alias("wanted"), F.collect_set(F.when(F.col("hot"), F.col("m"))).alias("hot"))
     texts = settle(raw.where("text is not null").join(wanted, "id"), "searched")
 
     found = settle(segments(texts, size), "segments")
-    parts = found.groupBy("p1", "p2").agg(F.min(F.struct("id", "start")).alias("at"), F.max("payload").alias("payload"), F.min("route").alias("route"))
-    parts = settle(parts.select("route", "p1", "p2", "at.id", "at.start", "payload"), "parts")
-    n_words = parts.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-    first = search_shards(parts, -(-(n_words // 8) // shard_words) or 1, size)
+    n_words = found.where("route is not null").agg(F.sum(F.col("n") + (size - 1))).first()[0] or 0
+    parts = found.where("route is not null").select("route", "p1", "p2", "id", "start", "payload")
+    first = search_shards(parts, -(-n_words // shard_words) or 1, size)
     ranges = covered(found.select("p1", "p2", "id", "k1", "start").join(first, ["p1", "p2"]), size)
     ranges = ranges.groupBy("id", "k1").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
 
@@ -369,7 +372,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ["c1", "c_id", "gone", "cut_sha", "spans"],
             )
 
-    done = texts.join(ranges, ["id", "k1"]).select("id", "k1", "text", "ranges").mapInArrow(cut, "c1 long, c_id long, gone long, cut_sha string, spans array<struct<begin:long,end:long>>").dropDuplicates(["c1", "c_id"])
+    done = texts.join(ranges, "id").select("id", "k1", "text", "ranges").mapInArrow(cut, "c1 long, c_id long, gone long, cut_sha string, spans array<struct<begin:long,end:long>>").dropDuplicates(["c1", "c_id"])
     out = slim.drop("own", "twice").join(lead, ["k1", "k2"], "left").join(done, (F.col("k1") == F.col("c1")) & (F.col("id") == F.col("c_id")), "left")
     copy = F.col("id") > F.col("lead")
     return out.select(
