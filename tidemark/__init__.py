@@ -1,0 +1 @@
+"""Cohort analytics and training-data pipelines on Spark DataFrames."""
