@@ -241,9 +241,10 @@ def ag2_latest_name(spark, d):
 
 
 @query("""select doc_id, list_aggregate(list_sort(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(replace(replace(replace(strip_accents(translate(w, 'đĐðÐøØłŁ', 'dDdDoOlL')), 'ß', 'ss'), '’', ''), '`', '')), '[.''´]', '', 'g'), '[^a-z0-9_\\s]', ' ', 'g')), '\\s+'), lambda x: x <> '' and x not in ('jr', 'sr', 'ii', 'iii', 'iv', 'v') and length(x) > 1)), 'string_agg', ' ') as key
-from (select doc_id, array_to_string(list_slice(string_split_regex(regexp_replace(regexp_replace(text, '[^a-zA-ZÀ-ÖØ-öø-ÿ ]', ' ', 'g'), '\\b[a-zA-ZÀ-ÿ]\\b', ' ', 'g'), ' +'), 2, 9), ' ') as w from documents) where key is not null and key <> ''""")
+from (select doc_id, array_to_string(list_slice(list_filter(string_split_regex(regexp_replace(text, '[^a-zA-ZÀ-ÖØ-öø-ÿ ]', ' ', 'g'), ' +'), lambda x: length(x) > 1), 1, 8), ' ') as w from documents) where key is not null and key <> ''""")
 def str1_name_keys(spark, d):
-    words = F.slice(F.split(F.regexp_replace(F.regexp_replace("text", "[^a-zA-ZÀ-ÖØ-öø-ÿ ]", " "), r"\b[a-zA-ZÀ-ÿ]\b", " "), " +"), 2, 8)
+    letters = F.split(F.regexp_replace("text", "[^a-zA-ZÀ-ÖØ-öø-ÿ ]", " "), " +")
+    words = F.slice(F.filter(letters, lambda w: F.length(w) > 1), 1, 8)
     keys = table(spark, d, "documents").select("doc_id", N.normalized(F.array_join(words, " ")).alias("k"))
     return keys.select("doc_id", F.array_join(F.array_sort(F.filter(F.split("k", " "), lambda w: F.length(w) > 1)), " ").alias("key")).where("key <> ''")
 
