@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.functions.exprs import col
 
@@ -15,7 +16,7 @@ FOLD_FROM, FOLD_TO = "đĐðÐøØłŁ", "dDdDoOlL"
 SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "v"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decomposed(values: pd.Series) -> pd.Series:
     # NFKD is not among Spark's functions; Arrow batches, only rows that need it
     return values.map(lambda s: s if s is None or s.isascii() else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))

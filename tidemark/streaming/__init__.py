@@ -1,0 +1 @@
+"""No streaming operator: the capabilities that this library covers are batch ones."""
