@@ -43,6 +43,8 @@ LABELLED = 40_000
 #: z-score from which a bucket's ratio counts.
 PRIOR, Z = 5_000.0, 5.0
 TEMPERATURE = 0.25
+#: Separation (true minus false positive rate) given up for keeping more good documents.
+SLACK = 0.01
 TARGET, LOW, TOXIC = 0, 1, 2
 
 
@@ -77,9 +79,7 @@ def bucket_counts(docs: DataFrame, text_col: str) -> DataFrame:
             for block in W.blocks(batch.column(0), W.LOWER):
                 text, bucket = features(block)
                 total[0] += np.bincount(bucket, minlength=BUCKETS)
-                own = classes[block.at : block.at + block.n].copy()
-                # copies of one labelled text are one example
-                own[np.setdiff1d(np.arange(block.n), np.unique(block.sequence_keys()[0], return_index=True)[1])] = 0
+                own = classes[block.at : block.at + block.n]
                 for c in range(3):
                     if np.any(mark := (own >> c) & 1 == 1):
                         total[c + 1] += np.bincount(bucket[mark[text]], minlength=BUCKETS)
@@ -186,7 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bad, toxic = F.coalesce(F.col("quality") == 0, F.lit(False)), F.coalesce(F.col("toxic") == 1, F.lit(False))
     marks = F.when(~bad & ~toxic, 1 << TARGET).otherwise(0) + F.when(bad, 1 << LOW).otherwise(0) + F.when(toxic, 1 << TOXIC).otherwise(0)
     sample = worst.where("__label is not null").select("__label", marks.alias("__class"))
-    sample = settle(sample.orderBy(F.xxhash64("__label", F.lit(seed)), "__label").limit(labelled), "labelled")
+    sample = settle(sample.orderBy(F.xxhash64("__label", F.lit(seed)), "__label").limit(labelled), "labels")
+    # copies of one text are one example (bounded by the sample)
+    keyed = docs.select(F.col(id_col).cast("long").alias("__label"), F.xxhash64(F.col(text_col).cast("string")).alias("__key")).join(F.broadcast(sample), "__label")
+    sample = settle(keyed.groupBy("__key").agg(F.min(F.struct("__label", "__class")).alias("one")).select("one.*").distinct(), "labelled")
     seen = sample.agg(*[F.sum(F.col("__class").bitwiseAND(1 << c).cast("boolean").cast("int")) for c in (TARGET, LOW, TOXIC)]).first()
     marked = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     marked = marked.join(F.broadcast(sample), F.col("__id") == F.col("__label"), "left")  # at most ``labelled`` rows
@@ -202,11 +205,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     good = F.col("__class") == 1 << TARGET
     bins = own.groupBy(step.alias("step")).agg(F.sum(good.cast("int")).alias("good"), F.sum((~good).cast("int")).alias("bad")).collect()  # at most 300 rows
     n_good, n_bad = (max(1, sum(r[c] for r in bins)) for c in ("good", "bad"))
-    best, floor, ahead = -1.0, -1e5, 0.0
+    steps, ahead = [], 0.0
     for r in sorted(bins, reverse=True):
         ahead += r.good / n_good - r.bad / n_bad
-        if ahead > best:
-            best, floor = ahead, (r.step / 8 if r.step > -240 else -1e5)
+        steps.append((ahead, r.step / 8 if r.step > -240 else -1e5))
+    best = max([a for a, _ in steps], default=0.0)
+    # of floors that separate nearly as well, the lowest loses the fewest good documents
+    floor = min([f for a, f in steps if a >= best - SLACK], default=-1e5)
     k = scored.where((F.col("n_features") > 0) & (F.col("log_weight") >= floor)).count()
     return model._replace(least=kth_largest(scored.where("n_features > 0"), "sample_key", k)), scored
 
