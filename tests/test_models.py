@@ -101,5 +101,5 @@ def test_neighbours_blocks_and_clusters(spark):
     assert len(steady) == 3 and all(r.stability > 0.4 for r in steady)
     said = roles.describe_clusters(labelled, ["x", "y"], "id", "t", top=1, exemplars=2).collect()
     assert all(len(r.traits) == 1 and len(r.exemplars) == 2 for r in said)
-    scores = roles.held_out_log_likelihood(reduced, "t", [1, 3])
+    scores = roles.held_out_log_likelihood(reduced, "t", [2, 3])
     assert scores[1][1] > scores[0][1]
