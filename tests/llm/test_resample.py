@@ -13,7 +13,8 @@ def corpus(spark, n=600):
             own[3::9] = ["venom", "spite", "venom", "bile", "spite"]
         if junk:
             own = [w + "###" for w in own]
-        rows.append((i, " ".join(own)))
+        # every text is one of its kind: copies count as one example
+        rows.append((i, " ".join([*own, f"own{i}"])))
         if i % 2:
             labels.append((i, int(not junk), int(toxic)))
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -30,6 +31,17 @@ def test_held_out_accuracy(spark):
     assert again == got
 
 
+def test_copies_are_one_example(spark):
+    docs, labels = corpus(spark)
+    odd = docs.where("doc_id = 5")
+    many = docs.union(spark.range(1000, 1400).crossJoin(odd.select("text")).select(F.col("id").alias("doc_id"), "text"))
+    marks = labels.union(spark.range(1000, 1400).select(F.col("id").alias("doc_id"), F.lit(1), F.lit(1)))
+    weights = lambda d, lab: {r.doc_id: r.log_weight for r in resample(d, lab).where("doc_id < 600").collect()}
+    one, two = weights(docs, labels), weights(many, marks)
+    clean = [i for i in range(600) if i % 5 and i % 7]
+    assert all(abs(one[i] - two[i]) < 0.5 for i in clean)
+
+
 def test_kth_largest(spark):
     df = spark.createDataFrame([(float(i % 50),) for i in range(500)], "x double")
     values = sorted((i % 50 for i in range(500)), reverse=True)
