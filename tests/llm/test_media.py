@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.llm.media import DISTANCE, copies, describe, render, vector_pictures
+from tidemark.llm.media import CONSENSUS, DISTANCE, TABLES, _KEYS, copies, describe, image_links, render, vector_pictures
 
 
 def raw_pictures():
@@ -67,3 +67,24 @@ def test_defined_cases(spark):
     assert by[6][0] == by[7][0] == 6 and by[None][0] is None
     assert copies(media.where(F.lit(False)), vector_pictures, "vec_id", "embedding").count() == 0
     assert list(vector_pictures(pa.array([None], pa.list_(pa.float32())))) == [None]
+
+
+def test_tables_cover_the_accepted_distance(spark):
+    # pairs of pictures with 8 common points whose descriptors differ in exactly 32 or 40 bits
+    rng = np.random.default_rng(6)
+    rows, n = [], 60
+    for pair in range(n):
+        base = rng.integers(0, 2, (8, 256))
+        for image, flips in ((2 * pair, 0), (2 * pair + 1, DISTANCE if pair % 2 else 32)):
+            bits = base.copy()
+            for p in range(8):
+                at = rng.permutation(256)[:flips]
+                bits[p, at] ^= 1
+            words = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+            bits = np.unpackbits(words.view(np.uint8), axis=1)
+            chunks = (bits[:, _KEYS].astype(np.int64) << np.arange(_KEYS.shape[1])).sum(2) + (np.arange(TABLES) << _KEYS.shape[1])
+            rows += [(image, "k", p, 7.0 * p, float(p * p), 1.0, 0.0, chunks[p].tolist(), *words[p].tolist()) for p in range(8)]
+    schema = "image long, key string, point int, x float, y float, scale float, angle float, chunks array<long>, d0 long, d1 long, d2 long, d3 long"
+    got = {(r.a, r.b) for r in image_links(spark.createDataFrame(rows, schema), CONSENSUS).collect()}
+    assert got <= {(2 * i, 2 * i + 1) for i in range(n)}
+    assert len(got) >= 0.9 * n

@@ -3,17 +3,17 @@
 An image becomes a set of keypoints, multiscale corners (Harris response over a
 Gaussian pyramid), each with a 256-bit descriptor of binary brightness tests
 that are turned by the corner's orientation. Two descriptors match within 40
-bits. Matching is a join on multi-index Hamming tables: each of 10 tables keys a
-descriptor by 32 of its bits, so two that differ in 8 bits meet in some table with
-probability 0.99, and in 12 bits with 0.91. Candidates are verified by their full
-Hamming distance. Matched keypoints of an image pair vote for a similarity
-transform (scale, turn, shift); enough votes for one make a link.
-
-Equal images are one class from the start. A table key that many images share
-first joins each of them with its smallest image only; images that this links are
-in one component and need no further comparison. Only then are members of
-different components compared inside a key, so a large group of copies
-costs rows in proportion to its size.
+bits. Candidates come from multi-index Hamming tables: each of 20 tables keys a
+descriptor by 20 of its bits, and two images are candidates when some pair of their
+descriptors shares a key and matches. All keypoints of candidate images are then
+compared with each other, whether they share a key or not, and the matches vote
+for a similarity transform (scale, turn, shift); enough votes for one make a link.
+A single pair of descriptors meets with probability 0.94 at 24 differing bits and
+0.44 at 40; of six matches, the fewest that make a link, at least one meets with
+probability 0.97 even if all six differ in 40 bits, and 0.9996 at 32 (computed).
+
+Equal images are one class from the start. All links between classes are found, so
+a group of n images that all link costs n * (n - 1) / 2 comparisons.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from tidemark.llm.graph import components
 from tidemark.llm.scratch import settle
 
 POINTS, SCALES, FACTOR, PATCH = 24, 3, 1.5, 12
-TABLES, KEY_BITS, DISTANCE, CONSENSUS = 10, 32, 40, 6
+TABLES, KEY_BITS, DISTANCE, CONSENSUS = 20, 20, 40, 6
 _rng = np.random.Generator(np.random.PCG64(41))
 _SPECTRUM = 16
 _PROJECT = _rng.normal(size=(64, _SPECTRUM, _SPECTRUM))
@@ -147,13 +147,13 @@ def keypoints(media: DataFrame, decode: Callable[[pa.Array], Iterator[np.ndarray
 
 
 def agreed(pairs: DataFrame, points: DataFrame, consensus: int) -> DataFrame:
-    """(a, b) of image pairs whose matched points agree on a similarity transform.
-    ``pairs``: a, a_point, b, b_point, all different.
+    """(a, b) of candidate image pairs whose matched points agree on a similarity
+    transform. ``pairs``: a, b, all different; all their keypoints are compared.
 
     A match proposes a turn, a scale and the shift of the picture; proposals are
     counted in bins, shifts in two overlapping ones each way."""
     side = lambda n: points.select(F.col("image").alias(n), F.col("point").alias(f"{n}_point"), *[F.col(c).alias(f"{n}_{c}") for c in ("x", "y", "scale", "angle", "d0", "d1", "d2", "d3")])
-    both = pairs.join(side("a"), ["a", "a_point"]).join(side("b"), ["b", "b_point"])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(F.expr(" + ".join(f"bit_count(a_d{i} ^ b_d{i})" for i in range(4))) <= DISTANCE)
     turn = F.expr(f"pmod(cast(b_angle - a_angle as double) + {np.pi / 8}, {2 * np.pi})")
     both = both.withColumn("t", F.floor(turn / (np.pi / 4)).cast("int")).withColumn("s", F.round(F.log(F.col("b_scale") / F.col("a_scale")) / float(np.log(FACTOR))).cast("int"))
@@ -168,22 +168,13 @@ def agreed(pairs: DataFrame, points: DataFrame, consensus: int) -> DataFrame:
 
 
 def image_links(points: DataFrame, consensus: int = CONSENSUS) -> DataFrame:
-    """(a, b) of linked images; links inside a component need not all be there."""
+    """(a, b), a < b, of all linked images."""
     points = points.where("point is not null")
-    slots = points.select("image", "point", F.explode("chunks").alias("slot"))
-    shared = slots.groupBy("slot").agg(F.min(F.struct("image", "point")).alias("lead"), F.max("image").alias("last")).where("lead.image < last")
-    slots = settle(slots.join(shared.select("slot", F.col("lead.image").alias("a"), F.col("lead.point").alias("a_point")), "slot"), "slots")
-    star = slots.where("a < image").select("a", "a_point", F.col("image").alias("b"), F.col("point").alias("b_point")).distinct()
-    links = settle(agreed(star, points, consensus), "star-links")
-    comp = components(links)
-    state = slots.select("slot", "image", "point").join(comp.withColumnRenamed("node", "image"), "image", "left").withColumn("component", F.coalesce("component", "image"))
-    mixed = state.groupBy("slot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("slot")
-    state = settle(state.join(mixed, "slot").join(points.select("image", "point", "d0", "d1", "d2", "d3"), ["image", "point"]), "mixed")
-    x = state.select("slot", *[F.col(c).alias(f"x_{c}") for c in state.columns if c != "slot"])
-    y = state.select("slot", *[F.col(c).alias(f"y_{c}") for c in state.columns if c != "slot"])
-    near = F.expr("x_image < y_image and x_component <> y_component and " + " + ".join(f"bit_count(x_d{i} ^ y_d{i})" for i in range(4)) + f" <= {DISTANCE}")
-    cross = x.join(y, "slot").where(near).select(F.col("x_image").alias("a"), F.col("x_point").alias("a_point"), F.col("y_image").alias("b"), F.col("y_point").alias("b_point")).distinct()
-    return links.union(agreed(cross, points, consensus)).distinct()
+    slots = points.select(F.explode("chunks").alias("slot"), "image", "d0", "d1", "d2", "d3")
+    x, y = (slots.select("slot", *[F.col(c).alias(f"{n}_{c}") for c in slots.columns if c != "slot"]) for n in ("x", "y"))
+    near = F.expr("x_image < y_image and " + " + ".join(f"bit_count(x_d{i} ^ y_d{i})" for i in range(4)) + f" <= {DISTANCE}")
+    candidates = x.join(y, "slot").where(near).select(F.col("x_image").alias("a"), F.col("y_image").alias("b")).distinct()
+    return agreed(settle(candidates, "candidates"), points, consensus)
 
 
 def copies(media: DataFrame, decode: Callable, id_col: str, media_col: str | Column, consensus: int = CONSENSUS) -> DataFrame:
