@@ -42,3 +42,8 @@ def test_filters_reach_the_scan(spark, sf):
     plan = catalog.QUERIES["flt_prj_filters"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice), IsNotNull(o_orderpriority)" in plan or "GreaterThanOrEqual(o_totalprice" in plan
     assert "o_custkey" not in plan.split("ReadSchema")[1]
+
+
+def test_name_keys_cover_whole_texts(spark, sf):
+    words = {r.doc_id: len(r.key.split()) for r in catalog.QUERIES["str1_name_keys_whole"](spark, sf).collect()}
+    assert max(words.values()) > 1000

@@ -249,6 +249,15 @@ def str1_name_keys(spark, d):
     return keys.select("doc_id", F.array_join(F.array_sort(F.filter(F.split("k", " "), lambda w: F.length(w) > 1)), " ").alias("key")).where("key <> ''")
 
 
+@query("""select doc_id, list_aggregate(list_sort(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(replace(replace(replace(strip_accents(translate(w, 'đĐðÐøØłŁ', 'dDdDoOlL')), 'ß', 'ss'), '’', ''), '`', '')), '[.''´]', '', 'g'), '[^a-z0-9_\\s]', ' ', 'g')), '\\s+'), lambda x: x <> '' and x not in ('jr', 'sr', 'ii', 'iii', 'iv', 'v') and length(x) > 1)), 'string_agg', ' ') as key
+from (select doc_id, array_to_string(list_filter(string_split_regex(regexp_replace(text, '[^a-zA-ZÀ-ÖØ-öø-ÿ ]', ' ', 'g'), ' +'), lambda x: length(x) > 1), ' ') as w from documents) where key is not null and key <> ''""")
+def str1_name_keys_whole(spark, d):
+    letters = F.split(F.regexp_replace("text", "[^a-zA-ZÀ-ÖØ-öø-ÿ ]", " "), " +")
+    words = F.filter(letters, lambda w: F.length(w) > 1)
+    keys = table(spark, d, "documents").select("doc_id", N.normalized(F.array_join(words, " ")).alias("k"))
+    return keys.select("doc_id", F.array_join(F.array_sort(F.filter(F.split("k", " "), lambda w: F.length(w) > 1)), " ").alias("key")).where("key <> ''")
+
+
 @query("""select s_suppkey, upper(substr(l, 1, 1)) || substr(l, 2) as name, 'S_' || (2000 + s_suppkey % 30) as period_id, (2000 + s_suppkey % 30)::varchar || '-' || lpad(((2001 + s_suppkey % 30) % 100)::varchar, 2, '0') as label, (2000 + s_suppkey % 30)::integer as period
 from (select s_suppkey, lower(replace(s_name, '#', '_')) as l from supplier)""")
 def str6_period_labels(spark, d):
