@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.llm.media import CONSENSUS, DISTANCE, TABLES, _KEYS, copies, describe, image_links, render, vector_pictures
+from tidemark.llm.media import CONSENSUS, DISTANCE, TABLES, _KEYS, copies, describe, image_links, render, resize, smooth, vector_pictures
 
 
 def raw_pictures():
@@ -83,8 +83,52 @@ def test_tables_cover_the_accepted_distance(spark):
             words = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
             bits = np.unpackbits(words.view(np.uint8), axis=1)
             chunks = (bits[:, _KEYS].astype(np.int64) << np.arange(_KEYS.shape[1])).sum(2) + (np.arange(TABLES) << _KEYS.shape[1])
-            rows += [(image, "k", p, 7.0 * p, float(p * p), 1.0, 0.0, chunks[p].tolist(), *words[p].tolist()) for p in range(8)]
-    schema = "image long, key string, point int, x float, y float, scale float, angle float, chunks array<long>, d0 long, d1 long, d2 long, d3 long"
+            rows += [(image, "k", p, 64, 7.0 * p, float(p * p), 1.0, 0.0, chunks[p].tolist(), *words[p].tolist()) for p in range(8)]
+    schema = "image long, key string, point int, side int, x float, y float, scale float, angle float, chunks array<long>, d0 long, d1 long, d2 long, d3 long"
     got = {(r.a, r.b) for r in image_links(spark.createDataFrame(rows, schema), CONSENSUS).collect()}
     assert got <= {(2 * i, 2 * i + 1) for i in range(n)}
     assert len(got) >= 0.9 * n
+
+
+def wide():
+    """As raw_pictures, with height and width as two bytes each."""
+
+    def decode(column):
+        for v in column.to_pylist():
+            h, w = np.frombuffer(v, np.uint16, 2)
+            yield np.frombuffer(v, np.uint8, offset=4).reshape(h, w)
+
+    return decode
+
+
+def textured(rng, side):
+    grain = sum(smooth(rng.normal(size=(side, side)), s) * s for s in (2.0, 4.0, 8.0))
+    return np.clip(grain / grain.std() * 48 + 128, 0, 255)
+
+
+def turned(img, degrees):
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    mid = (np.array(img.shape) - 1) / 2
+    y, x = np.mgrid[: img.shape[0], : img.shape[1]] - mid[:, None, None]
+    sy, sx = c * y - s * x + mid[0], s * y + c * x + mid[1]
+    y0, x0 = (np.clip(np.floor(v).astype(int), 0, n - 2) for v, n in ((sy, img.shape[0]), (sx, img.shape[1])))
+    fy, fx = np.clip(sy - y0, 0, 1), np.clip(sx - x0, 0, 1)
+    return (img[y0, x0] * (1 - fx) + img[y0, x0 + 1] * fx) * (1 - fy) + (img[y0 + 1, x0] * (1 - fx) + img[y0 + 1, x0 + 1] * fx) * fy
+
+
+def test_edits_of_large_pictures(spark):
+    rng = np.random.default_rng(8)
+    base = [textured(rng, 400) for _ in range(3)]
+    edits = [lambda x: resize(x, (480, 480)), lambda x: turned(x, 10), lambda x: x[100:300, 150:350], lambda x: turned(resize(x, (480, 480)), 25)]
+    packed = lambda x: np.array(x.shape, np.uint16).tobytes() + np.rint(x).astype(np.uint8).tobytes()
+    rows = [(i, packed(x)) for i, x in enumerate(base)] + [(10 * (k + 1) + i, packed(edit(x))) for k, edit in enumerate(edits) for i, x in enumerate(base)]
+    got = found(copies(spark.createDataFrame(rows, "id long, img binary"), wide(), "id", "img"), "id")
+    assert all(component == i % 10 for i, (component, _, _) in got.items())
+
+
+def test_links_are_all_counted(spark):
+    rng = np.random.default_rng(9)
+    base = textured(rng, 128)
+    rows = [(i, packed(np.clip(base + rng.normal(0, 2, base.shape), 0, 255).astype(np.uint8))) for i in range(6)]
+    got = found(copies(spark.createDataFrame(rows, "id long, img binary"), raw_pictures(), "id", "img"), "id")
+    assert all(got[i][0] == 0 and got[i][2] == 5 for i in range(6))

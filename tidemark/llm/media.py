@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +30,21 @@ from pyspark.sql import functions as F
 from tidemark.llm.graph import components
 from tidemark.llm.scratch import settle
 
-POINTS, SCALES, FACTOR, PATCH = 24, 3, 1.5, 12
+#: Corners of a picture of SIDE x SIDE pixels; larger ones have more, in proportion to area.
+POINTS, SIDE = 24, 64
+SCALES, FACTOR, PATCH = 3, 1.5, 12
 TABLES, KEY_BITS, DISTANCE, CONSENSUS = 20, 20, 40, 6
+#: An inlier lies within this part of the picture's longer side, and LOCAL pixels of its own
+#: scale, of where the transform puts it; a match's own turn and zoom may be off by so much.
+TOLERANCE, LOCAL, TURN, ZOOM = 0.02, 1.5, np.pi / 6, np.log(1.7)
+CHANCE = 0.01
 _rng = np.random.Generator(np.random.PCG64(41))
 _SPECTRUM = 16
 _PROJECT = _rng.normal(size=(64, _SPECTRUM, _SPECTRUM))
 _KEYS = np.stack([_rng.permutation(256)[:KEY_BITS] for _ in range(TABLES)])
 _TESTS = np.clip(_rng.normal(0, PATCH / 2.2, (256, 2, 2)), -PATCH + 1, PATCH - 1)
 
-KEYPOINTS = "image long, key string, point int, x float, y float, scale float, angle float, chunks array<long>, d0 long, d1 long, d2 long, d3 long"
+KEYPOINTS = "image long, key string, point int, side int, x float, y float, scale float, angle float, chunks array<long>, d0 long, d1 long, d2 long, d3 long"
 
 
 def render(vectors: np.ndarray, side: int = 64) -> np.ndarray:
@@ -72,9 +79,12 @@ def resize(img: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     return top * (1 - fy) + (img[y1][:, x0] * (1 - fx) + img[y1][:, x1] * fx) * fy
 
 
-def describe(img: np.ndarray, points: int = POINTS) -> tuple[np.ndarray, np.ndarray]:
+def describe(img: np.ndarray, points: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(n, 4) x, y, scale, angle and (n, 4) uint64 descriptors of the ``points``
-    strongest corners over all scales. A picture too small or flat has none."""
+    strongest corners over all scales; their number grows with the picture's area
+    where it is not given. A picture too small or flat has none."""
+    if points is None:
+        points = max(POINTS, round(POINTS * img.shape[0] * img.shape[1] / SIDE**2))
     rows, bits = [], []
     base = img.astype(float)
     for level in range(SCALES):
@@ -127,44 +137,97 @@ def keypoints(media: DataFrame, decode: Callable[[pa.Array], Iterator[np.ndarray
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                rows: list[list] = [[] for _ in range(12)]
+                rows: list[list] = [[] for _ in range(13)]
                 for image, picture in zip(part.column(0).to_pylist(), decode(part.column(1)), strict=True):
                     key = None if picture is None else hashlib.sha256(str(picture.shape).encode() + picture.tobytes()).hexdigest()
                     found, bits = describe(picture) if picture is not None else (np.zeros((0, 4)), np.zeros((0, 4), np.uint64))
                     if not len(found):
-                        for column, v in zip(rows, [image, key] + [None] * 10, strict=True):
+                        for column, v in zip(rows, [image, key] + [None] * 11, strict=True):
                             column.append(v)
                     chunks = (np.unpackbits(bits.view(np.uint8), axis=1)[:, _KEYS].astype(np.int64) << np.arange(KEY_BITS)).sum(2) + (np.arange(TABLES) << KEY_BITS)
                     for p in range(len(found)):
-                        for column, v in zip(rows, [image, key, p, *found[p].tolist(), chunks[p], *bits[p].view(np.int64).tolist()], strict=True):
+                        for column, v in zip(rows, [image, key, p, max(picture.shape), *found[p].tolist(), chunks[p], *bits[p].view(np.int64).tolist()], strict=True):
                             column.append(v)
-                kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.float32()] * 4, pa.list_(pa.int64()), *[pa.int64()] * 4]
-                names = ["image", "key", "point", "x", "y", "scale", "angle", "chunks", "d0", "d1", "d2", "d3"]
+                kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.float32()] * 4, pa.list_(pa.int64()), *[pa.int64()] * 4]
+                names = ["image", "key", "point", "side", "x", "y", "scale", "angle", "chunks", "d0", "d1", "d2", "d3"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names)
 
     column = F.col(media_col) if isinstance(media_col, str) else media_col
     return media.select(F.col(id_col).cast("long").alias("image"), column.alias("media")).mapInArrow(run, KEYPOINTS)
 
 
+class Points(NamedTuple):
+    """The keypoints of one image: positions as complex numbers."""
+
+    side: float
+    at: np.ndarray
+    scale: np.ndarray
+    angle: np.ndarray
+    bits: np.ndarray
+
+
+def beyond_chance(matches: int, share: float) -> int:
+    """The fewest inliers that ``matches`` accidental matches, each an inlier with
+    probability ``share``, reach in one of all proposals with probability below CHANCE."""
+    mean = matches * share
+    term, tail, k = np.exp(-mean), 1.0, 0
+    while tail * matches * (matches - 1) / 2 > CHANCE and k < matches:
+        tail, k = tail - term, k + 1
+        term *= mean / k
+    return k + 2
+
+
+def consents(a: Points, b: Points, consensus: int) -> bool:
+    """Whether ``consensus`` different matched points of both agree on a similarity
+    transform. Every two matches propose the one that maps both, if it turns and
+    zooms about as each match does by itself. A match is the nearest of both its
+    points (ties count); many matches must agree beyond what chance gives."""
+    gap = np.concatenate([np.bitwise_count(a.bits[begin : begin + 256, None] ^ b.bits[None]).sum(2, dtype=np.int16) for begin in range(0, len(a.at), 256)])
+    i, j = np.nonzero((gap <= DISTANCE) & (gap == gap.min(1, keepdims=True)) & (gap == gap.min(0)))
+    if min(len(np.unique(i)), len(np.unique(j))) < consensus:
+        return False
+    p, q, turn, zoom = a.at[i], b.at[j], b.angle[j] - a.angle[i], np.log(b.scale[j] / a.scale[i])
+    near = TOLERANCE * b.side + LOCAL * b.scale[j]
+    consensus = max(consensus, beyond_chance(len(i), np.pi * float(np.max(near) / b.side) ** 2 * TURN / np.pi))
+    turned = lambda x, y: np.abs(np.angle(np.exp(1j * (x - y)))) <= TURN
+    for m in range(len(p) - 1):
+        dp, dq = p[m + 1 :] - p[m], q[m + 1 :] - q[m]
+        apart = np.flatnonzero((np.abs(dp) >= 4) & (np.abs(dq) >= 4))
+        move = dq[apart] / dp[apart]
+        by, size = np.angle(move), np.log(np.abs(move))
+        fits = turned(by, turn[m]) & turned(by, turn[m + 1 + apart]) & (np.abs(size - zoom[m]) <= ZOOM) & (np.abs(size - zoom[m + 1 + apart]) <= ZOOM)
+        move, by = move[fits], by[fits]
+        for begin in range(0, len(move), 256):
+            step, angle = move[begin : begin + 256, None], by[begin : begin + 256, None]
+            inlier = (np.abs(step * (p - p[m]) + q[m] - q) <= near) & turned(angle, turn)
+            for one in inlier[inlier.sum(1) >= consensus]:
+                if min(len(np.unique(i[one])), len(np.unique(j[one]))) >= consensus:
+                    return True
+    return False
+
+
 def agreed(pairs: DataFrame, points: DataFrame, consensus: int) -> DataFrame:
     """(a, b) of candidate image pairs whose matched points agree on a similarity
-    transform. ``pairs``: a, b, all different; all their keypoints are compared.
-
-    A match proposes a turn, a scale and the shift of the picture; proposals are
-    counted in bins, shifts in two overlapping ones each way."""
-    side = lambda n: points.select(F.col("image").alias(n), F.col("point").alias(f"{n}_point"), *[F.col(c).alias(f"{n}_{c}") for c in ("x", "y", "scale", "angle", "d0", "d1", "d2", "d3")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where(F.expr(" + ".join(f"bit_count(a_d{i} ^ b_d{i})" for i in range(4))) <= DISTANCE)
-    turn = F.expr(f"pmod(cast(b_angle - a_angle as double) + {np.pi / 8}, {2 * np.pi})")
-    both = both.withColumn("t", F.floor(turn / (np.pi / 4)).cast("int")).withColumn("s", F.round(F.log(F.col("b_scale") / F.col("a_scale")) / float(np.log(FACTOR))).cast("int"))
-    # shift of the second picture after turning and scaling the first one by the bin's values
-    zoom, c, s = F.pow(F.lit(FACTOR), "s"), F.cos(F.col("t") * (np.pi / 4)), F.sin(F.col("t") * (np.pi / 4))
-    both = both.withColumn("sx", F.col("b_x") - zoom * (c * F.col("a_x") - s * F.col("a_y"))).withColumn("sy", F.col("b_y") - zoom * (s * F.col("a_x") + c * F.col("a_y")))
-    for axis in ("sx", "sy"):
-        low = F.floor(F.col(axis) / 16).cast("int")
-        both = both.withColumn(axis, F.explode(F.array(low, low + 1)))
-    votes = both.groupBy("a", "b", "t", "s", "sx", "sy").agg(F.countDistinct("a_point").alias("n_a"), F.countDistinct("b_point").alias("n_b"))
-    return votes.where(F.least("n_a", "n_b") >= consensus).select("a", "b").distinct()
+    transform. ``pairs``: a, b, all different; all their keypoints are compared."""
+    names = ("side", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3")
+    packed = points.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("point", *names))).alias("points"))
+
+    def unpack(column: pa.ListArray) -> list[Points]:
+        ends = np.cumsum(np.r_[0, np.asarray(column.value_lengths())])
+        flat = column.flatten()
+        side, x, y, scale, angle, *words = (flat.field(flat.type.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names)
+        at, bits = x.astype(float) + 1j * y, np.stack(words, 1).view(np.uint64)
+        return [Points(float(side[i]), at[i:j], scale[i:j], angle[i:j], bits[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                good = [consents(a, b, consensus) for a, b in zip(unpack(part.column(2)), unpack(part.column(3)), strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda n: packed.select(F.col("image").alias(n), F.col("points").alias(f"{n}_points"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_points", "b_points").mapInArrow(run, "a long, b long")
 
 
 def image_links(points: DataFrame, consensus: int = CONSENSUS) -> DataFrame:
@@ -178,8 +241,8 @@ def image_links(points: DataFrame, consensus: int = CONSENSUS) -> DataFrame:
 
 
 def copies(media: DataFrame, decode: Callable, id_col: str, media_col: str | Column, consensus: int = CONSENSUS) -> DataFrame:
-    """One row per row of ``media``: id_col, n_points, n_links (links of its class
-    of equal pictures) and component_id (smallest id reachable, itself included).
+    """One row per row of ``media``: id_col, n_points, n_links (all links of
+    its class of equal pictures to other classes) and component_id (smallest id reachable, itself included).
 
     Defined cases: null or undecodable media have no points and no links; equal
     pictures are one class even without points; a null id has component_id null
