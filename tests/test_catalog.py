@@ -1,9 +1,11 @@
+import inspect
 import math
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.operators import linmod, roles
 from tidemark.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -47,3 +49,31 @@ def test_filters_reach_the_scan(spark, sf):
 def test_name_keys_cover_whole_texts(spark, sf):
     words = {r.doc_id: len(r.key.split()) for r in catalog.QUERIES["str1_name_keys_whole"](spark, sf).collect()}
     assert max(words.values()) > 1000
+
+
+def test_registered_models_run_at_the_defaults(spark, sf, monkeypatch):
+    seen = {}
+
+    def watch(module, name, out):
+        f = getattr(module, name)
+
+        def stub(*args, **kwargs):
+            bound = inspect.signature(f).bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen[name] = bound.arguments
+            return out
+
+        monkeypatch.setattr(module, name, stub)
+
+    class Labelled:
+        def transform(self, df):
+            return df
+
+    watch(roles, "mixture", Labelled())
+    watch(roles, "stability", None)
+    watch(linmod, "cluster_bootstrap", None)
+    catalog.QUERIES["ml15_role_stability"](spark, sf)
+    catalog.QUERIES["ml8_bootstrap_interval"](spark, sf)
+    assert (seen["mixture"]["k"], seen["mixture"]["starts"]) == (roles.CLUSTERS, roles.STARTS)
+    assert (seen["stability"]["k"], seen["stability"]["draws"]) == (roles.CLUSTERS, roles.DRAWS)
+    assert seen["cluster_bootstrap"]["draws"] == linmod.DRAWS

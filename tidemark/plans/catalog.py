@@ -390,7 +390,7 @@ def ml7_shuffled_control(spark, d):
 @query()
 def ml8_bootstrap_interval(spark, d):
     errors = linmod.baselines(transitions(spark, d)).withColumn("error", F.col("b_mean") - F.col("target_value"))
-    return linmod.cluster_bootstrap(errors, "entity", "error", draws=500)
+    return linmod.cluster_bootstrap(errors, "entity", "error")
 
 
 @query()
@@ -424,10 +424,10 @@ def ml12_population_z(spark, d):
     return moments.standardize_population(_features(spark, d), ["week"], ["v"]).select("user_id", "week", F.round("v", 5).alias("v"))
 
 
-def _clustered(spark, d, k=3):
+def _clustered(spark, d):
     z = moments.standardize_population(_features(spark, d), ["week"], ["clr_a", "clr_b", "clr_c", "v"])
     reduced, _ = roles.reduce_dimensions(z, ["clr_a", "clr_b", "v"])
-    return reduced, roles.mixture(reduced, k, starts=2).transform(reduced)
+    return reduced, roles.mixture(reduced).transform(reduced)
 
 
 @query()
@@ -439,7 +439,7 @@ def ml13_roles(spark, d):
 @query()
 def ml15_role_stability(spark, d):
     reduced, labelled = _clustered(spark, d)
-    return roles.stability(reduced, labelled, ["user_id", "week"], 3, draws=2)
+    return roles.stability(reduced, labelled, ["user_id", "week"])
 
 
 @query()
