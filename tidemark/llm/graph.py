@@ -29,7 +29,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        after = settle(small.where("u <> v").distinct(), "links")
+        after = settle(small.where("u <> v").distinct(), "links", replaces=edges)
         was, now = now, _digest(after)
         edges = after
         if was == now:

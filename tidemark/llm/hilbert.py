@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import new_path, settle
+from tidemark.llm.scratch import new_path, settle, ship_code
 
 SHARDS, BITS = 24, 8
 
@@ -64,6 +64,8 @@ def curve(df: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -> Col
     probs = [i / (1 << bits) for i in range(1, 1 << bits)]
     cuts = [np.unique(np.array(x)) for x in numbers.approxQuantile(list(dimensions), probs, 0.002)]
 
+    ship_code(df.sparkSession)
+
     @F.pandas_udf("long")
     def index(*columns: pd.Series) -> pd.Series:
         cells = [np.where(c.isna(), 0, np.searchsorted(k, c.fillna(0), side="right")) for c, k in zip(columns, cuts, strict=True)]

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.scratch import settle
+from tidemark.llm.scratch import map_arrow, settle
 
 #: Corners of a picture of SIDE x SIDE pixels; larger ones have more, in proportion to area.
 POINTS, SIDE = 24, 64
@@ -153,7 +153,7 @@ def keypoints(media: DataFrame, decode: Callable[[pa.Array], Iterator[np.ndarray
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names)
 
     column = F.col(media_col) if isinstance(media_col, str) else media_col
-    return media.select(F.col(id_col).cast("long").alias("image"), column.alias("media")).mapInArrow(run, KEYPOINTS)
+    return map_arrow(media.select(F.col(id_col).cast("long").alias("image"), column.alias("media")), run, KEYPOINTS)
 
 
 class Points(NamedTuple):
@@ -227,7 +227,7 @@ def agreed(pairs: DataFrame, points: DataFrame, consensus: int) -> DataFrame:
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     side = lambda n: packed.select(F.col("image").alias(n), F.col("points").alias(f"{n}_points"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_points", "b_points").mapInArrow(run, "a long, b long")
+    return map_arrow(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_points", "b_points"), run, "a long, b long")
 
 
 def image_links(points: DataFrame, consensus: int = CONSENSUS) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.graph import components
-from tidemark.llm.scratch import settle
+from tidemark.llm.scratch import map_arrow, settle
 
 PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ["id", "n_shingles", "k1", "k2", "bands"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SIGNATURE)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, SIGNATURE)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -122,7 +122,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
     t = texts.select("id", "text")
     both = pairs.join(t.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return map_arrow(both.select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
@@ -196,7 +196,7 @@ def rare_prefix_pairs(sets: DataFrame, size: int, percent: int) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
-    slots = sets.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+    slots = map_arrow(sets.select("text"), count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
     often = np.zeros(SLOTS, np.int64)
     often[slots["slot"].to_numpy()] = slots["n"].to_numpy()
     shared = sets.sparkSession.sparkContext.broadcast(often)
@@ -223,7 +223,7 @@ def rare_prefix_pairs(sets: DataFrame, size: int, percent: int) -> DataFrame:
                     ["shingle", "id", "component", "n", "place", "short"],
                 )
 
-    rows = settle(sets.select("id", "component", "text").mapInArrow(prefixes, "shingle long, id long, component long, n long, place long, short boolean"), "prefixes")
+    rows = settle(map_arrow(sets.select("id", "component", "text"), prefixes, "shingle long, id long, component long, n long, place long, short boolean"), "prefixes")
     x = rows.where("short").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "place")])
     y = rows.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("id", "component", "n", "place")])
     fits = F.expr(

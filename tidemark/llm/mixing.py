@@ -80,7 +80,7 @@ def balance(histogram: DataFrame, goals: DataFrame, source_col: str, cap: float
         error = F.when(F.col("all") | (F.col("target") <= 0), 0.0).otherwise(F.abs("gap") / F.col("target"))
         step = step.withColumn("error", error)
         step = step.withColumn("lambda", F.when(F.col("error") <= TOLERANCE, F.col("lambda")).when(inside, newton).otherwise(half))
-        state = settle(step.select(state.columns), "dual")
+        state = settle(step.select(state.columns), "dual", replaces=state)
         if (state.agg(F.max("error")).first()[0] or 0.0) <= TOLERANCE:
             break
     return state.select(source_col, "mean", "lambda", "all")

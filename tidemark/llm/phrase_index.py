@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.scratch import settle
+from tidemark.llm.scratch import map_arrow, settle
 
 #: Text bytes that one index row covers (a longer document has a row of its own).
 INDEX_BYTES = 8 << 20
@@ -59,7 +59,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ["ids", "n_words", "n_terms", "terms", "postings"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, INDEX)
+    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, INDEX)
 
 
 class _Block:
@@ -210,7 +210,7 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
                     ["id", "n_words", "n_hit", "items", "near_items", "spans"],
                 )
 
-    return index.mapInArrow(run, MATCHES)
+    return map_arrow(index, run, MATCHES)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 10, slop: int = 0) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.scratch import settle
+from tidemark.llm.scratch import map_arrow, settle
 
 BUCKETS = 1 << 17
 #: At most so many labelled documents are fitted on (smallest hashes first).
@@ -86,7 +86,7 @@ def bucket_counts(docs: DataFrame, text_col: str) -> DataFrame:
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[i][at]) for i in range(4))], ["bucket", "n0", "n1", "n2", "n3"])
 
-    part = docs.select(F.col(text_col).cast("string"), F.col("__class").cast("int")).mapInArrow(run, "bucket long, n0 long, n1 long, n2 long, n3 long")
+    part = map_arrow(docs.select(F.col(text_col).cast("string"), F.col("__class").cast("int")), run, "bucket long, n0 long, n1 long, n2 long, n3 long")
     return part.groupBy("bucket").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)])
 
 
@@ -154,7 +154,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataFram
                 yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (n, weight, posterior, key))], ["id", "n_features", "log_weight", "posterior", "sample_key"])
 
     schema = "id long, n_features long, log_weight double, posterior double, sample_key double"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, schema)
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
@@ -248,4 +248,4 @@ def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 keep[block.at : block.at + block.n] = shared.value.chosen(n, key)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

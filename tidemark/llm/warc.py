@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import new_path, settle
+from tidemark.llm.scratch import map_arrow, new_path, settle
 
 #: Payloads below this are never replaced by revisits.
 REVISIT_BYTES = 1000
@@ -130,7 +130,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         if lines:
             yield block()
 
-    return records.mapInArrow(run, BLOCKS)
+    return map_arrow(records, run, BLOCKS)
 
 
 def capture_index(pages: DataFrame, folder: str | None = None, partitions: int | None = None) -> tuple[DataFrame, str]:
@@ -180,7 +180,7 @@ def read_archives(blocks: DataFrame, folder: str) -> DataFrame:
                 captures = [x.split("\t") for x in zlib.decompress(data).decode().split("\n")]
                 yield _records(_read_captures(store, path, captures))
 
-    return blocks.select("lines").mapInArrow(run, RECORDS)
+    return map_arrow(blocks.select("lines"), run, RECORDS)
 
 
 def lookup(blocks: DataFrame, folder: str, urls: DataFrame, url_col: str = "url") -> DataFrame:
@@ -204,7 +204,7 @@ def lookup(blocks: DataFrame, folder: str, urls: DataFrame, url_col: str = "url"
                 if got:
                     yield _records(_read_captures(store, path, got))
 
-    return blocks.join(wanted, ["first_key", "last_key"]).select("lines", "keys").mapInArrow(run, RECORDS)
+    return map_arrow(blocks.join(wanted, ["first_key", "last_key"]).select("lines", "keys"), run, RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
