@@ -17,15 +17,31 @@ def test_wavelet_rank_and_intervals():
         at = np.arange(501)
         want = np.r_[0, np.cumsum(symbols == c)]
         assert np.array_equal(tree.rank(np.full(501, c), at), want)
-    parts = [rng.integers(0, 2, n).astype(np.uint64) for n in (30, 12, 50, 5)]
-    index = FmIndex(parts, 5)
-    at = np.concatenate([index.first[i] + np.arange(len(p) - 4) for i, p in enumerate(parts)])
-    lo, hi = index.intervals(at, 5)
-    words = [tuple(index.text[a : a + 5]) for a in at]
-    for k, a in enumerate(at):
-        assert (hi[k] - lo[k] > 1) == (words.count(words[k]) > 1)
-        if hi[k] - lo[k] > 1:
-            assert sorted(index.suffixes[lo[k] : hi[k]]) == sorted(b for b, w in zip(at, words) if w == words[k])
+    symbol, before = tree.access(np.arange(500))
+    assert np.array_equal(symbol, symbols)
+    assert all(before[i] == (symbols[:i] == symbols[i]).sum() for i in range(500))
+
+
+def test_matching_statistics_match_brute_force():
+    rng = np.random.default_rng(4)
+    for most, alphabet in ((5, 2), (8, 3), (20, 2)):
+        parts = [rng.integers(0, alphabet, n).astype(np.uint64) for n in (30, 12, 50, 5, 1, 40)]
+        index = FmIndex(parts)
+        places = {}
+        for i, p in enumerate(parts):
+            for s in range(len(p)):
+                for n in range(1, min(most, len(p) - s) + 1):
+                    places.setdefault(tuple(p[s : s + n]), []).append(int(index.first[i]) + s)
+        ends = np.concatenate([index.first[i] + np.arange(len(p)) for i, p in enumerate(parts)])
+        length, lo, hi = index.matching_statistics(ends, most)
+        k = 0
+        for p in parts:
+            for e in range(len(p)):
+                want = max([n for n in range(1, min(most, e + 1) + 1) if len(places[tuple(p[e + 1 - n : e + 1])]) > 1], default=0)
+                assert length[k] == want
+                if want:
+                    assert sorted(index.locate(np.arange(lo[k], hi[k]))) == places[tuple(p[e + 1 - want : e + 1])]
+                k += 1
 
 
 def test_matches_brute_force(spark, sf):

@@ -15,12 +15,14 @@ its own windows alone: no document has to be streamed against every shard.
    minimizer. Equal segments are combined (before and after the shuffle) to their
    first place. A minimizer that very many documents share (HOT) would make one
    large group; its windows are emitted singly and routed by their own hash.
-4. A shard concatenates its different segments, sorts their suffixes (to a depth
-   beyond ``size``), and keeps the Burrows-Wheeler transform as a wavelet matrix of
-   packed bits with rank samples. Backward search runs over all windows of the
-   shard together; the matching statistic reaches ``size`` where the interval
-   stays non-empty, and the first place among the interval's suffixes is the
-   window's first occurrence. An interval of one suffix ends early.
+4. A shard concatenates its different segments and keeps their Burrows-Wheeler
+   transform as a wavelet matrix of packed bits with rank samples, and every
+   SAMPLE-th place of the suffix array. Its segments are streamed against it: for
+   every word, backward search over the wavelet matrix gives the matching statistic,
+   the length (up to ``size``) of the longest run of words that ends there and also
+   stands elsewhere in the shard. Where it reaches the threshold ``size``, the
+   interval's suffixes are located by walking to the next sampled place, and the
+   first of them is the window's first occurrence.
 5. Occurrences later than the first become covered word ranges, and the searched
    texts are written without them.
 """
@@ -36,17 +38,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.scratch import settle
+from tidemark.llm.scratch import map_arrow, settle, ship_code
 
 GRAM = 5
 #: Documents that may share a minimizer before its windows are routed singly.
 HOT = 20_000
-#: Words that one shard's index covers, about.
-SHARD_WORDS = 1 << 20
+#: Words that one shard's index covers, about; text places between two kept suffixes.
+SHARD_WORDS, SAMPLE = 1 << 20, 8
+#: Segments that a task remembers as written, so that it writes their text once.
+REMEMBERED = 500_000
 #: Where a null id stands in document order: behind all others.
 LAST = (1 << 63) - 1
 
-SLIM = "id long, n_words long, k1 long, k2 long, sha string, own array<long>, twice array<long>"
+SLIM = "id long, n_words long, k1 long, k2 long, sha string, own array<struct<m:long,twice:boolean>>"
 SEGMENT = "p1 long, p2 long, id long, k1 long, start long, n long, route long, payload string"
 FIRST = "p1 long, p2 long, first_id array<long>, first_start array<long>"
 
@@ -113,28 +117,43 @@ def slim_rows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
                 again_text, again = again_soon(block, size)
                 runs = distinct(text[begin], mins[begin], block.n, 2)
                 twice = distinct(np.concatenate([runs[0], text[begin][long], again_text]), np.concatenate([runs[1], mins[begin][long], again]), block.n, 1)
-                lists = []
-                for where, values in (own, twice):
-                    counts = np.bincount(where, minlength=block.n)
-                    lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(W.signed(values))))
+                counts = np.bincount(own[0], minlength=block.n)
+                pairs = np.rec.fromarrays(own, names="t,m")
+                flags = np.isin(pairs, np.rec.fromarrays(twice, names="t,m")) if len(twice[0]) else np.zeros(len(pairs), bool)
+                uses = pa.StructArray.from_arrays([pa.array(W.signed(own[1])), pa.array(flags)], ["m", "twice"])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), uses)
                 shas = [hashlib.sha256(joined(block, t)).hexdigest() for t in range(block.n)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.at, block.n), pa.array(block.count.astype(np.int64)), pa.array(W.signed(k1)), pa.array(W.signed(k2)), pa.array(shas), *lists],
-                    ["id", "n_words", "k1", "k2", "sha", "own", "twice"],
+                    [batch.column(0).slice(block.at, block.n), pa.array(block.count.astype(np.int64)), pa.array(W.signed(k1)), pa.array(W.signed(k2)), pa.array(shas), lists],
+                    ["id", "n_words", "k1", "k2", "sha", "own"],
                 )
 
-    return docs.mapInArrow(run, SLIM)
+    return map_arrow(docs, run, SLIM)
+
+
+def run_keys(block: W.Block, word: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit fingerprints of each run of ``length`` words from ``word``, out of
+    running sums over the block: overlapping runs cost nothing more."""
+    power, unpower = W.power_tables(len(block.hash))
+    out = []
+    with np.errstate(over="ignore"):
+        for salt in (0, 1):
+            sums = np.zeros(len(block.hash) + 1, np.uint64)
+            np.cumsum(W.mix(block.hash * W.GRAM[salt, 23]) * power[: len(block.hash)], out=sums[1:])
+            out.append(W.mix((sums[word + length] - sums[word]) * unpower[word] + length.astype(np.uint64) * W.GRAM[salt, 22]))
+    return out
 
 
 def segments(texts: DataFrame, size: int) -> DataFrame:
     """``texts``: id, text, wanted (shared minimizers), hot (those to be routed by
-    window). Of a batch's equal segments, the first in document order carries the
-    text and the route."""
+    window). Of a block's equal segments, the first in document order carries the
+    route; a task writes a segment's text once as far as it remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written: set[int] = set()
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            for block in W.blocks(batch.column(1), W.PLAIN, 8 << 20):
+            for block in W.blocks(batch.column(1), W.PLAIN):
                 k1, _ = block.sequence_keys()
                 mins, at = window_minimizers(block, size)
                 wins = np.diff(at)
@@ -153,52 +172,49 @@ def segments(texts: DataFrame, size: int) -> DataFrame:
                 begin, end = np.flatnonzero(opens), np.flatnonzero(closes)
                 n, d = end - begin + 1, doc[begin]
                 start = begin - at[d]
-                word = block.first[d] + start
-                length = n + size - 1
-                ends = np.r_[0, np.cumsum(length)]
-                place = np.arange(ends[-1]) - np.repeat(ends[:-1], length)
-                flat = place + np.repeat(word, length)
-                keys = []
-                with np.errstate(over="ignore"):
-                    for salt in (0, 1):
-                        step = W.mix(place.astype(np.uint64) * W.GRAM[salt, 21] + W.GRAM[salt, 22]) | np.uint64(1)
-                        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(block.hash[flat] * W.GRAM[salt, 23]) * step)])
-                        keys.append(W.mix(sums[ends[1:]] - sums[ends[:-1]] + length.astype(np.uint64)))
+                word, length = block.first[d] + start, n + size - 1
+                keys = run_keys(block, word, length)
                 route = np.where(is_hot[begin], keys[0], mins[begin])
                 own_id = ids[block.at + d]
-                order = np.lexsort((start, own_id, keys[0]))
+                order = np.lexsort((start, own_id, keys[1], keys[0]))
                 lead = np.zeros(len(begin), bool)
-                lead[order[np.r_[True, keys[0][order][1:] != keys[0][order][:-1]]]] = True
-                raw = block.data.tobytes()
-                payload = [raw[block.start[w] : block.end[w + m - 1]].decode() if x else None for w, m, x in zip(word.tolist(), length.tolist(), lead.tolist(), strict=True)]
+                lead[order[np.r_[True, (keys[0][order][1:] != keys[0][order][:-1]) | (keys[1][order][1:] != keys[1][order][:-1])]]] = True
+                payload: list[str | None] = [None] * len(begin)
+                for i in np.flatnonzero(lead).tolist():
+                    if (key := int(keys[0][i])) not in written:
+                        written.add(key)
+                        payload[i] = block.data[block.start[word[i]] : block.end[word[i] + length[i] - 1]].tobytes().decode()
+                if len(written) > REMEMBERED:
+                    written.clear()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(W.signed(keys[0])), pa.array(W.signed(keys[1])), pa.array(own_id), pa.array(W.signed(k1)[d]), pa.array(start), pa.array(n), pa.array(W.signed(route), mask=~lead), pa.array(payload, pa.string())],
                     ["p1", "p2", "id", "k1", "start", "n", "route", "payload"],
                 )
 
-    return texts.select("id", "text", "wanted", "hot").mapInArrow(run, SEGMENT)
+    return map_arrow(texts.select("id", "text", "wanted", "hot"), run, SEGMENT)
 
 
-def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix order of ``text`` by the first ``depth`` symbols at least."""
+def sort_suffixes(text: np.ndarray) -> np.ndarray:
+    """Suffix order of ``text`` by prefix doubling."""
     n = len(text)
     rank, have = text.astype(np.int64), 1
     order = np.argsort(rank, kind="stable")
-    while have < depth:
+    while have < n:
         ahead = np.zeros(n, np.int64)
         ahead[: max(0, n - have)] = rank[have:] + 1
         key = rank * (max(n, int(rank.max())) + 2) + ahead
         order = np.argsort(key, kind="stable")
         sorted_keys = key[order]
-        rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[False, sorted_keys[1:] != sorted_keys[:-1]])
         have *= 2
+        if rank[order[-1]] == n - 1:
+            break
     return order
 
 
 class WaveletMatrix:
-    """Rank over a large alphabet: one packed bit plane a level, with a count of
-    ones before every 64-bit word."""
+    """Access and rank over a large alphabet: one packed bit plane a level, with a
+    count of ones before every 64-bit word."""
 
     def __init__(self, symbols: np.ndarray, n_symbols: int):
         self.levels = max(1, int(n_symbols - 1).bit_length())
@@ -211,14 +227,16 @@ class WaveletMatrix:
             self.before.append(np.r_[0, np.cumsum(np.bitwise_count(packed))].astype(np.int32))
             self.zeros.append(int(len(bits) - bits.sum()))
             current = np.concatenate([current[~bits], current[bits]])
-        symbol = np.arange(n_symbols)
-        self.start = self._trace(symbol, np.zeros(n_symbols, np.int64))
+        self.start = self._trace(np.arange(n_symbols), np.zeros(n_symbols, np.int64))
+
+    def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
+        word = at >> 6
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[k][word] + np.bitwise_count(self.planes[k][word] & mask)
 
     def _trace(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, level in enumerate(range(self.levels - 1, -1, -1)):
-            word = at >> 6
-            mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.before[k][word] + np.bitwise_count(self.planes[k][word] & mask)
+            ones = self._ones(k, at)
             at = np.where((symbol >> level) & 1 == 1, self.zeros[k] + ones, at - ones)
         return at
 
@@ -226,58 +244,96 @@ class WaveletMatrix:
         """Occurrences of each ``symbol`` before position ``at``."""
         return self._trace(symbol, at) - self.start[symbol]
 
+    def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each position, and its occurrences before it."""
+        symbol = np.zeros(len(at), np.int64)
+        for k in range(self.levels):
+            ones = self._ones(k, at)
+            bit = (self.planes[k][at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            symbol = symbol * 2 + bit
+            at = np.where(bit, self.zeros[k] + ones, at - ones)
+        return symbol, at - self.start[symbol]
+
 
 class FmIndex:
-    """Backward search over segments of words, each closed by a separator 0."""
+    """Backward search over segments of words (symbols from 2), each closed by a
+    separator 1, the last one by 0, which makes the text's rotations sort as its suffixes. Kept are
+    the wavelet matrix, symbol counts and sampled suffixes; ``stream`` has the
+    segments' symbols, which are the documents streamed against the index."""
 
-    def __init__(self, parts: list[np.ndarray], depth: int):
+    def __init__(self, parts: list[np.ndarray]):
         self.lengths = np.array([len(p) for p in parts], np.int64)
         self.vocabulary, codes = np.unique(np.concatenate(parts), return_inverse=True)
         self.first = np.r_[0, np.cumsum(self.lengths + 1)]
-        self.text = np.zeros(self.first[-1], np.int64)
+        self.stream = np.ones(self.first[-1], np.int32)
         inside = np.ones(self.first[-1], bool)
         inside[self.first[1:] - 1] = False
-        self.text[inside] = codes + 1
-        self.suffixes = sort_suffixes(self.text, depth)
-        n_symbols = len(self.vocabulary) + 1
-        self.before = np.r_[0, np.cumsum(np.bincount(self.text, minlength=n_symbols))]
-        self.tree = WaveletMatrix(self.text[self.suffixes - 1], n_symbols)
-
-    def intervals(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals of the ``size`` words from each text position ``at``.
-        A search stops once one suffix is left: nothing else can match."""
-        symbol = self.text[at + size - 1]
-        lo, hi = self.before[symbol].astype(np.int64), self.before[symbol + 1].astype(np.int64)
-        alive = np.flatnonzero(hi - lo > 1)
-        for j in range(size - 2, -1, -1):
-            symbol = self.text[at[alive] + j]
-            lo[alive] = self.before[symbol] + self.tree.rank(symbol, lo[alive])
-            hi[alive] = self.before[symbol] + self.tree.rank(symbol, hi[alive])
-            alive = alive[hi[alive] - lo[alive] > 1]
-        return lo, hi
+        self.stream[inside] = codes + 2
+        self.stream[-1] = 0
+        suffixes = sort_suffixes(self.stream)
+        n_symbols = len(self.vocabulary) + 2
+        self.before = np.r_[0, np.cumsum(np.bincount(self.stream, minlength=n_symbols))]
+        self.tree = WaveletMatrix(self.stream[suffixes - 1], n_symbols)
+        kept = suffixes % SAMPLE == 0
+        self.marks = np.packbits(np.r_[kept, np.zeros(-len(kept) % 64 + 64, bool)], bitorder="little").view(np.uint64)
+        self.marks_before = np.r_[0, np.cumsum(np.bitwise_count(self.marks))].astype(np.int32)
+        self.samples = suffixes[kept].astype(np.int32)
+
+    def matching_statistics(self, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length, lo, hi) for each stream position in ``ends``: the longest run of
+        words, of ``most`` at most, that ends there and stands elsewhere in the index as
+        well, and its suffix interval. A run never crosses a separator."""
+        length, lo, hi = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.full(len(ends), self.first[-1])
+        alive = np.arange(len(ends))
+        for j in range(most):
+            alive = alive[ends[alive] >= j]
+            symbol = self.stream[ends[alive] - j]
+            alive, symbol = alive[symbol > 1], symbol[symbol > 1]
+            low = self.before[symbol] + (self.tree.rank(symbol, lo[alive]) if j else 0)
+            high = self.before[symbol] + self.tree.rank(symbol, hi[alive]) if j else self.before[symbol + 1]
+            more = high - low > 1
+            alive, low, high = alive[more], low[more], high[more]
+            length[alive], lo[alive], hi[alive] = j + 1, low, high
+        return length, lo, hi
+
+    def locate(self, ranks: np.ndarray) -> np.ndarray:
+        """Stream position of each suffix rank: back to the next sampled place."""
+        out, at, todo = np.empty(len(ranks), np.int64), ranks.copy(), np.arange(len(ranks))
+        for steps in range(SAMPLE):
+            word, bit = at >> 6, (at & 63).astype(np.uint64)
+            kept = (self.marks[word] >> bit) & np.uint64(1) == 1
+            nth = self.marks_before[word] + np.bitwise_count(self.marks[word] & ((np.uint64(1) << bit) - np.uint64(1)))
+            out[todo[kept]] = self.samples[nth[kept]] + steps
+            todo, at = todo[~kept], at[~kept]
+            if not len(todo):
+                break
+            symbol, before = self.tree.access(at)
+            at = self.before[symbol] + before
+        return out
 
 
 def first_places(payloads: pa.Array, ids: np.ndarray, starts: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each segment, the first place (id, word) of each of its windows."""
     parts = [block.hash[block.first[t] : block.first[t + 1]] for block in W.blocks(payloads, W.PLAIN) for t in range(block.n)]
-    index = FmIndex(parts, size)
+    index = FmIndex(parts)
     n = index.lengths - size + 1
     ends = np.r_[0, np.cumsum(n)]
     part = np.repeat(np.arange(len(n)), n)
     offset = np.arange(ends[-1]) - ends[part]
     at = index.first[part] + offset
-    lo, hi = index.intervals(at, size)
+    length, lo, hi = index.matching_statistics(at + size - 1, size)
     own_id, own_start = ids[part], starts[part] + offset
     order = np.lexsort((own_start, own_id))
-    place = np.full(len(index.text), len(at), np.int64)
+    place = np.full(len(index.stream), len(at), np.int32)
     place[at[order]] = np.arange(len(at))
-    best = place[at]
-    many = np.flatnonzero(hi - lo > 1)
+    best = place[at].astype(np.int64)
+    many = np.flatnonzero(length >= size)
     if len(many):
         spans, which, back = np.unique(lo[many], return_index=True, return_inverse=True)
-        cuts = np.stack([spans, hi[many][which]], 1).reshape(-1)
-        by_rank = np.r_[place[index.suffixes], len(at)]
-        best[many] = np.minimum.reduceat(by_rank, cuts)[::2][back]
+        sizes = hi[many][which] - spans
+        begin = np.cumsum(sizes) - sizes
+        ranks = np.arange(int(sizes.sum())) + np.repeat(spans - begin, sizes)
+        best[many] = np.minimum.reduceat(place[index.locate(ranks)], begin)[back]
     return [(own_id[order[best[a:b]]], own_start[order[best[a:b]]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
@@ -290,6 +346,7 @@ def search_shards(parts: DataFrame, shards: int, size: int) -> DataFrame:
         lists = (pa.array([x[k] for x in got], pa.list_(pa.int64())) for k in (0, 1))
         return pa.table([table["p1"], table["p2"], *lists], names=["p1", "p2", "first_id", "first_start"])
 
+    ship_code(parts.sparkSession)
     routed = parts.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int")).repartition(shards, "shard")
     once = routed.groupBy("shard", "p1", "p2").agg(F.min(F.struct("id", "start")).alias("at"), F.min("payload").alias("payload"))
     return once.select("shard", "p1", "p2", "at.id", "at.start", "payload").groupBy("shard").applyInArrow(run, FIRST)
@@ -315,7 +372,7 @@ def covered(members: DataFrame, size: int) -> DataFrame:
             own = row[opens]
             yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(keys[own]), pa.array(word[opens]), pa.array(word[closes] + size)], ["id", "k1", "begin", "end"])
 
-    return members.select("id", "k1", "start", "first_id", "first_start").mapInArrow(run, "id long, k1 long, begin long, end long")
+    return map_arrow(members.select("id", "k1", "start", "first_id", "first_start"), run, "id long, k1 long, begin long, end long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20, shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
@@ -336,15 +393,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lead = settle(slim.where(F.col("n_words") >= size).groupBy("k1", "k2").agg(F.min("id").alias("lead")), "leads")
 
     copies = slim.select("id", "k1", "k2").join(lead, ["k1", "k2"]).where("id > lead").select("id", "k1")
-    searched = slim.select("id", "k1", "own", "twice").join(copies, ["id", "k1"], "left_anti")
-    uses = searched.select("id", F.explode("own").alias("m"), "twice")
-    shared = uses.groupBy("m").agg(F.sum(F.when(F.array_contains("twice", F.col("m")), 2).otherwise(1)).alias("n")).where("n > 1")
+    searched = slim.select("id", "k1", "own").join(copies, ["id", "k1"], "left_anti")
+    uses = searched.select("id", F.inline("own"))
+    shared = uses.groupBy("m").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1")
     wanted = uses.select("id", "m").join(shared.select("m", (F.col("n") > hot).alias("hot")), "m")
     wanted = wanted.groupBy("id").agg(F.collect_set("m").alias("wanted"), F.collect_set(F.when(F.col("hot"), F.col("m"))).alias("hot"))
     texts = settle(raw.where("text is not null").join(wanted, "id"), "searched")
 
     found = settle(segments(texts, size), "segments")
-    n_words = found.where("route is not null").agg(F.sum(F.col("n") + (size - 1))).first()[0] or 0
+    n_words = found.where("payload is not null").agg(F.sum(F.col("n") + (size - 1))).first()[0] or 0
     parts = found.where("route is not null").select("route", "p1", "p2", "id", "start", "payload")
     first = search_shards(parts, -(-n_words // shard_words) or 1, size)
     ranges = covered(found.select("p1", "p2", "id", "k1", "start").join(first, ["p1", "p2"]), size)
@@ -372,8 +429,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ["c1", "c_id", "gone", "cut_sha", "spans"],
             )
 
-    done = texts.join(ranges, "id").select("id", "k1", "text", "ranges").mapInArrow(cut, "c1 long, c_id long, gone long, cut_sha string, spans array<struct<begin:long,end:long>>").dropDuplicates(["c1", "c_id"])
-    out = slim.drop("own", "twice").join(lead, ["k1", "k2"], "left").join(done, (F.col("k1") == F.col("c1")) & (F.col("id") == F.col("c_id")), "left")
+    met = texts.join(ranges, "id").select("id", "k1", "text", "ranges")
+    done = map_arrow(met, cut, "c1 long, c_id long, gone long, cut_sha string, spans array<struct<begin:long,end:long>>").dropDuplicates(["c1", "c_id"])
+    out = slim.drop("own").join(lead, ["k1", "k2"], "left").join(done, (F.col("k1") == F.col("c1")) & (F.col("id") == F.col("c_id")), "left")
     copy = F.col("id") > F.col("lead")
     return out.select(
         F.when(F.col("id") < LAST, F.col("id")).alias(id_col), "n_words",

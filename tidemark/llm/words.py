@@ -37,7 +37,8 @@ ALNUM = (((_all >= 0x30) & (_all <= 0x39)) | ((_all >= 0x41) & (_all <= 0x5A)) |
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, ``n`` at least."""
     if not _powers or len(_powers[0]) <= n:
         size = max(BLOCK_BYTES + 1, n + 1)
         with np.errstate(over="ignore"):
@@ -82,7 +83,7 @@ class Block:
         self.start, self.end = np.flatnonzero(opens), np.flatnonzero(closes)
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
-        power, unpower = _power_tables(len(data))
+        power, unpower = power_tables(len(data))
         with np.errstate(over="ignore"):
             running = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(_CODES[fold[data]] * power[: len(data)], out=running[1:])
