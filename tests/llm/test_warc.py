@@ -2,7 +2,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.warc import capture_index, lookup, parse_record, record_bytes, round_trip, surt
+from tidemark.llm.warc import blocks_of, capture_index, lookup, parse_record, read_archives, record_bytes, round_trip, surt
 
 
 def expected(rows):
@@ -49,8 +49,21 @@ def test_lookup_reads_only_what_is_asked(spark, sf):
     blocks, folder = capture_index(pages, partitions=3)
     some = pages.where("page_id in (3, 17, 40)").select("url")
     assert sorted(r.page_id for r in lookup(blocks, folder, some).collect()) == [3, 17, 40]
-    missing = spark.createDataFrame([("http://nowhere.test/",)], "url string")
+    missing = spark.createDataFrame([("http://nowhere.test/",), (None,)], "url string")
     assert lookup(blocks, folder, missing).count() == 0
+    assert lookup(blocks, folder, some.where(F.lit(False))).count() == 0
+
+
+def test_one_very_common_url_and_the_plan(spark):
+    pages = spark.range(900).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 > 0, "http://hot.example/a").otherwise(F.concat(F.lit("http://x.example/"), "id")).alias("url"), F.concat(F.lit("text "), "id").alias("html"))
+    directory, folder = capture_index(pages, partitions=4)
+    assert directory.count() > 3
+    everything = {r.page_id for r in read_archives(directory, folder).collect()}
+    found = lookup(directory, folder, pages)
+    assert sorted(r.page_id for r in found.collect()) == sorted(everything) == list(range(900))
+    asked = pages.select(surt("url").alias("key")).distinct()
+    plan = blocks_of(directory, asked)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_keys_and_records(spark):

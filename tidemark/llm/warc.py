@@ -1,15 +1,16 @@
 """WARC archives with a two-level capture index.
 
 Captures are range-sorted by their reversed-host URL key. Each range writes its
-own gzip-member archives in that order and, beside them, the first index level:
-blocks of sorted capture lines, compressed. The second level is a sparse directory
-with one row a block (first and last key, where the block is). A lookup meets the
-directory, opens the one block that can hold its key, binary-searches it and reads
-the record's byte range.
-
-Archives are written by the tasks into the shared folder through pyarrow's
-filesystems, under names of their own attempt; only archives named by the block
-table of the finished job count, so a lost or repeated task leaves no trace in it.
+own gzip-member archives in that order and, beside them, an index file: the first
+level, blocks of sorted capture lines, each compressed by itself. The second level is a
+sparse directory with one row a block (first and last key, index file, byte range).
+A lookup finds the index files whose range holds its key (one small row a file on the
+driver, binary-searched), joins the directory by file, reads the one block that can
+hold the key, binary-searches it and reads the record's byte range.
+
+Archives and index files are written by the tasks into the shared folder through
+pyarrow's filesystems, under names of their own attempt; only those named by the
+directory of the finished job count, so a lost or repeated task leaves no trace in it.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import map_arrow, new_path, settle
+from tidemark.llm.scratch import map_arrow, new_path, settle, ship_code
 
 #: Payloads below this are never replaced by revisits.
 REVISIT_BYTES = 1000
@@ -35,7 +37,9 @@ REVISIT_BYTES = 1000
 BLOCK_LINES, ARCHIVE_BYTES = 256, 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 
-BLOCKS = "first_key string, last_key string, n_captures long, lines binary"
+DIRECTORY = "first_key string, last_key string, n_captures long, file string, at long, length long"
+DIRECTORY_KINDS = {"first_key": pa.string(), "last_key": pa.string(), "n_captures": pa.int64(), "file": pa.string(), "at": pa.int64(), "length": pa.int64()}
+RECORD_KINDS = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "digest": pa.string(), "payload_bytes": pa.int64(), "ok": pa.bool_()}
 RECORDS = "page_id long, url string, record_type string, refers_to long, digest string, payload_bytes long, ok boolean"
 
 
@@ -97,20 +101,28 @@ def _page(urn: str | None) -> int | None:
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Write records in key order; the result is the block table (see BLOCKS).
-    Equal keys are ordered by page_id."""
+    """Write records in key order; the result is the sparse directory (see
+    DIRECTORY). Equal keys are ordered by page_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
-        out, name, at, lines, first = None, "", 0, [], None
+        out, name, at, lines = None, "", 0, []
+        index_name, index_at, index = f"{uuid.uuid4().hex}.cdx.z", 0, None
 
         def block():
+            nonlocal index, index_at
+            if index is None:
+                index = store.open_output_stream(f"{path}/{index_name}", compression=None)
             data = zlib.compress("\n".join(lines).encode(), 6)
+            index.write(data)
             keys = [x.split("\t", 1)[0] for x in (lines[0], lines[-1])]
-            return pa.RecordBatch.from_arrays([pa.array([keys[0]]), pa.array([keys[1]]), pa.array([len(lines)]), pa.array([data], pa.binary())], ["first_key", "last_key", "n_captures", "lines"])
+            row = (keys[0], keys[1], len(lines), index_name, index_at, len(data))
+            index_at += len(data)
+            return row
 
         for batch in batches:
+            rows = []
             for r in batch.to_pylist():
                 if out is None:
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
@@ -123,24 +135,25 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                     out.close()
                     out = None
                 if len(lines) == BLOCK_LINES:
-                    yield block()
+                    rows.append(block())
                     lines = []
-        if out is not None:
-            out.close()
-        if lines:
-            yield block()
+            yield _table(rows, DIRECTORY_KINDS)
+        rows = [block()] if lines else []
+        for stream in (out, index):
+            if stream is not None:
+                stream.close()
+        yield _table(rows, DIRECTORY_KINDS)
 
-    return map_arrow(records, run, BLOCKS)
+    return map_arrow(records, run, DIRECTORY)
 
 
 def capture_index(pages: DataFrame, folder: str | None = None, partitions: int | None = None) -> tuple[DataFrame, str]:
-    """Write archives of all ``pages`` and return (block table, folder). The
-    sparse directory is the block table without its lines."""
+    """Write archives of all ``pages`` and return (sparse directory, folder)."""
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = record_types(pages).repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
-    return settle(write_archives(ordered, folder), "captures"), folder
+    return settle(write_archives(ordered, folder), "directory"), folder
 
 
 def _read_captures(store, path: str, captures: list[list[str]]) -> list[tuple]:
@@ -163,61 +176,89 @@ def _read_captures(store, path: str, captures: list[list[str]]) -> list[tuple]:
     return out
 
 
-def _records(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["page_id", "url", "record_type", "refers_to", "digest", "payload_bytes", "ok"])
+def _table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
 
 
-def read_archives(blocks: DataFrame, folder: str) -> DataFrame:
-    """Every record of the archives (see RECORDS), a block of captures at a time;
-    ``ok`` says that a response's payload has the digest and length of its headers.
-    A revisit has no payload of its own: its payload_bytes is null."""
+def _read_block(store, path: str, file: str, at: int, length: int) -> list[str]:
+    with store.open_input_file(f"{path}/{file}") as source:
+        source.seek(at)
+        return zlib.decompress(source.read(length)).decode().split("\n")
+
+
+def read_archives(directory: DataFrame, folder: str) -> DataFrame:
+    """Every record of the archives (see RECORDS), a block of captures at a time: the
+    full scan. ``ok`` says that a response's payload has the digest and length of its
+    headers. A revisit has no payload of its own: its payload_bytes is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                captures = [x.split("\t") for x in zlib.decompress(data).decode().split("\n")]
-                yield _records(_read_captures(store, path, captures))
+            for row in batch.to_pylist():
+                captures = [x.split("\t") for x in _read_block(store, path, row["file"], row["at"], row["length"])]
+                yield _table(_read_captures(store, path, captures), RECORD_KINDS)
+
+    return map_arrow(directory.select("file", "at", "length"), run, RECORDS)
+
+
+def blocks_of(directory: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, file, at, length) of every block whose key range holds a key of ``keys``.
+
+    Index files hold consecutive key ranges, so a key's files are a run of the sorted
+    file list (one row a writing task on the driver); the directory is then joined by
+    file, with the block's range as a residual: no nested loop over the directory."""
+    files = sorted((r.lo, r.hi, r.file) for r in directory.groupBy("file").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")).collect())
+    spark = keys.sparkSession
+    lows, highs = [f[0] for f in files], [f[1] for f in files]
+    ship_code(spark)
+
+    @F.pandas_udf("array<int>")
+    def files_of(key: pd.Series) -> pd.Series:
+        return key.map(lambda k: list(range(bisect.bisect_left(highs, k), bisect.bisect_right(lows, k))))
 
-    return map_arrow(blocks.select("lines"), run, RECORDS)
+    numbered = spark.createDataFrame([(i, f[2]) for i, f in enumerate(files)], "number int, file string")
+    blocks = directory.join(F.broadcast(numbered), "file")  # one row a writing task
+    asked = keys.select("key", F.explode(files_of("key")).alias("number"))
+    return asked.join(blocks, "number").where("key >= first_key and key <= last_key").select("key", "file", "at", "length")
 
 
-def lookup(blocks: DataFrame, folder: str, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """All captures whose key is that of one of ``urls``, by range reads.
+def lookup(directory: DataFrame, folder: str, urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """All captures (see RECORDS) whose key is that of one of ``urls``, by range reads.
 
-    The directory has a row a block, so it is joined by range with the keys asked
-    for (a stated query set); each asked block is opened once and binary-searched."""
-    keys = urls.select(surt(url_col).alias("key")).distinct()
-    directory = blocks.select("first_key", "last_key").distinct()
-    wanted = directory.join(keys, (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key"))).groupBy("first_key", "last_key").agg(F.collect_list("key").alias("keys"))
+    Repeated urls are one key; a url without captures gives no row; a null url has the
+    empty key; other columns are ignored. A key with very many captures lies in many
+    blocks, each of which is a row of its own: no task gets all of them."""
+    met = blocks_of(directory, urls.select(surt(url_col).alias("key")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
+        held, lines, own = None, [], []
         for batch in batches:
+            got = []
             for row in batch.to_pylist():
-                lines = zlib.decompress(row["lines"]).decode().split("\n")
-                own = [x.split("\t", 1)[0] for x in lines]
-                got = []
-                for key in row["keys"]:
-                    got += [x.split("\t") for x in lines[bisect.bisect_left(own, key) : bisect.bisect_right(own, key)]]
-                if got:
-                    yield _records(_read_captures(store, path, got))
+                if held != (place := (row["file"], row["at"])):
+                    held, lines = place, _read_block(store, path, row["file"], row["at"], row["length"])
+                    own = [x.split("\t", 1)[0] for x in lines]
+                got += [x.split("\t") for x in lines[bisect.bisect_left(own, row["key"]) : bisect.bisect_right(own, row["key"])]]
+                if len(got) >= BLOCK_LINES:
+                    yield _table(_read_captures(store, path, got), RECORD_KINDS)
+                    got = []
+            yield _table(_read_captures(store, path, got), RECORD_KINDS)
 
-    return map_arrow(blocks.join(wanted, ["first_key", "last_key"]).select("lines", "keys"), run, RECORDS)
+    return map_arrow(met.repartition("file", "at").sortWithinPartitions("file", "at", "key"), run, RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` (page_id, url, html), read every record back through the
-    index, and return page_id, payload_bytes, payload_digest, record_type,
+    """Write ``pages`` (page_id, url, html), look every page's url up in the capture
+    index, read its records back, and return page_id, payload_bytes, payload_digest, record_type,
     refers_to, url, ok. A revisit's payload is that of the response it names.
 
     Defined cases: null html is an empty payload; a null url has the empty key; a
     null page_id is a response that nothing refers to; of repeated page_ids with
     equal payloads of REVISIT_BYTES or more each is a response; an empty table
     gives an empty result; other columns are ignored."""
-    blocks, folder = capture_index(pages)
-    records = settle(read_archives(blocks, folder), "records")
+    directory, folder = capture_index(pages)
+    records = settle(lookup(directory, folder, pages), "records")
     whole = records.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("target"), F.col("digest").alias("target_digest")).agg(F.max("payload_bytes").alias("target_bytes"), F.min("ok").alias("target_ok"))
     revisits = records.where("record_type = 'revisit'").join(whole, (F.col("refers_to") == F.col("target")) & (F.col("digest") == F.col("target_digest")), "left")
     revisits = revisits.withColumn("payload_bytes", F.col("target_bytes")).withColumn("ok", F.coalesce("target_ok", F.lit(False))).select(records.columns)
