@@ -12,7 +12,9 @@ in chunks of a fixed byte bound.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,14 @@ from tidemark.llm.scratch import map_arrow, settle
 
 #: Text bytes that one index row covers (a longer document has a row of its own).
 INDEX_BYTES = 8 << 20
-#: Benchmark text bytes in one broadcast chunk; a larger benchmark has more chunks.
-CHUNK_BYTES = 32 << 20
+#: Benchmark text bytes that are on the driver and in a task at a time; a larger benchmark is
+#: searched chunk after chunk.
+CHUNK_BYTES = 4 << 20
 #: Candidate positions that are intersected at once.
 _STEP = 1 << 21
 
-INDEX = "ids array<long>, n_words array<int>, n_terms long, terms binary, postings binary"
-MATCHES = "id long, n_words long, n_hit long, items array<string>, near_items array<string>, spans array<struct<start:long,end:long>>"
+INDEX = "block string, ids array<long>, n_words array<int>, n_terms long, terms binary, postings binary"
+MATCHES = "block string, doc int, id long, n_words long, n_hit long, items array<string>, near_items array<string>, spans array<struct<start:long,end:long>>"
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -48,15 +51,20 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 steps = np.diff(order, prepend=order[:1] * 0)
                 steps[opens] = order[opens]
                 counts = np.diff(np.r_[opens, len(order)]).astype(np.int32)
+                ids, terms = batch.column(0).slice(block.at, block.n), sorted_terms[opens].tobytes() + counts.tobytes()
+                postings = pack(steps.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+                # a name that a repeated task gives again; blocks of one name have the same documents
+                name = hashlib.blake2b(repr(ids.to_pylist()).encode() + block.count.tobytes() + terms + postings, digest_size=16).hexdigest()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.ListArray.from_arrays(pa.array([0, block.n], pa.int32()), batch.column(0).slice(block.at, block.n)),
+                        pa.array([name]),
+                        pa.ListArray.from_arrays(pa.array([0, block.n], pa.int32()), ids),
                         pa.ListArray.from_arrays(pa.array([0, block.n], pa.int32()), pa.array(block.count.astype(np.int32))),
                         pa.array([len(opens)], pa.int64()),
-                        pa.array([sorted_terms[opens].tobytes() + counts.tobytes()], pa.binary()),
-                        pa.array([pack(steps.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary()),
+                        pa.array([terms], pa.binary()),
+                        pa.array([postings], pa.binary()),
                     ],
-                    ["ids", "n_words", "n_terms", "terms", "postings"],
+                    ["block", "ids", "n_words", "n_terms", "terms", "postings"],
                 )
 
     return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, INDEX)
@@ -165,34 +173,56 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
     lie within ``slop`` words of an occurrence of its rarest word, in any order.
     Item ids are compared as strings, nulls as "null".
     """
-    spark = index.sparkSession
     items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n_chunks = -(-total // chunk_bytes) or 1
-    chunks = []
+    chunk = F.pmod(F.xxhash64("item", "text"), F.lit(n_chunks))
+    if n_chunks == 1:
+        return _search_chunk(index, items.collect(), size, slop).drop("block", "doc")  # at most chunk_bytes
+    parts = []
     for c in range(n_chunks):
-        part = items if n_chunks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_chunks)) == c)
-        rows = part.collect()  # at most about chunk_bytes
-        chunks.append(spark.sparkContext.broadcast(([r.item for r in rows], [r.text for r in rows])))
+        rows = items.where(chunk == c).collect()  # about chunk_bytes
+        hit = _search_chunk(index, rows, size, slop).where("n_hit > 0 or size(near_items) > 0").select("block", "doc", "items", "near_items", "spans")
+        parts.append(settle(hit, "chunk-matches"))
+    lists = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items", "spans")]
+    merged = reduce(DataFrame.union, parts).groupBy("block", "doc").agg(*lists).withColumn("spans", _merged("spans"))
+    docs = index.select("block", F.posexplode(F.arrays_zip("ids", "n_words")).alias("doc", "d")).select("block", "doc", F.col("d.ids").alias("id"), F.col("d.n_words").cast("long").alias("n_words"))
+    none = F.array().cast("array<string>")
+    out = docs.join(merged, ["block", "doc"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"), "spans")
+
+
+def _merged(spans: str) -> Column:
+    """Sorted spans with those that meet or overlap made one."""
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        return F.when((F.size(out) > 0) & (s["start"] <= last["end"]), longer).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<start:long,end:long>>"), step)
+
+
+def _search_chunk(index: DataFrame, rows: list, size: int, slop: int) -> DataFrame:
+    """(see MATCHES) of one chunk of the benchmark: a task builds its queries once."""
+    shared = index.sparkSession.sparkContext.broadcast(([r.item for r in rows], [r.text for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held = _Queries(*shared.value, size)
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, n_words = batch.column(0)[row].values, batch.column(1)[row].values.to_numpy()
-                block = _Block(n_words, batch.column(2)[row].as_py(), batch.column(3)[row].as_py(), batch.column(4)[row].as_py())
+                ids, n_words = batch.column(1)[row].values, batch.column(2)[row].values.to_numpy()
+                block = _Block(n_words, batch.column(3)[row].as_py(), batch.column(4)[row].as_py(), batch.column(5)[row].as_py())
                 cover = np.zeros(block.n + 1, np.int64)
                 found: dict[bool, list[set]] = {True: [set() for _ in n_words], False: [set() for _ in n_words]}
-                for chunk in chunks:
-                    if held is None or len(chunks) > 1:
-                        held = _Queries(*chunk.value, size)
-                    for win, at, exact in _answers(block, held, slop):
-                        if exact:
-                            np.add.at(cover, at, 1)
-                            np.add.at(cover, at + held.length[win], -1)
-                        doc = np.searchsorted(block.first, at, side="right") - 1
-                        for d, w in np.unique(np.c_[doc, win], axis=0).tolist():
-                            found[exact][d].update(held.items[i] for i in held.owner[held.owner_at[w] : held.owner_at[w + 1]])
+                for win, at, exact in _answers(block, held, slop):
+                    if exact:
+                        np.add.at(cover, at, 1)
+                        np.add.at(cover, at + held.length[win], -1)
+                    doc = np.searchsorted(block.first, at, side="right") - 1
+                    for d, w in np.unique(np.c_[doc, win], axis=0).tolist():
+                        found[exact][d].update(held.items[i] for i in held.owner[held.owner_at[w] : held.owner_at[w + 1]])
                 hit = np.cumsum(cover)[:-1] > 0
                 sums = np.concatenate([[0], np.cumsum(hit)])
                 spans = [[] for _ in n_words]
@@ -204,10 +234,11 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
                     for s, e in zip(begin.tolist(), limit.tolist(), strict=True):
                         d = int(np.searchsorted(block.first, s, side="right")) - 1
                         spans[d].append({"start": s - int(block.first[d]), "end": s - int(block.first[d]) + int(sums[e] - sums[s])})
+                n = len(n_words)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n_words.astype(np.int64)), pa.array(sums[block.first[1:]] - sums[block.first[:-1]]), *(pa.array([sorted(x) for x in found[k]], pa.list_(pa.string())) for k in (True, False)),
-                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                    ["id", "n_words", "n_hit", "items", "near_items", "spans"],
+                    [pa.array([batch.column(0)[row].as_py()] * n), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(n_words.astype(np.int64)), pa.array(sums[block.first[1:]] - sums[block.first[:-1]]),
+                     *(pa.array([sorted(x) for x in found[k]], pa.list_(pa.string())) for k in (True, False)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                    ["block", "doc", "id", "n_words", "n_hit", "items", "near_items", "spans"],
                 )
 
     return map_arrow(index, run, MATCHES)
