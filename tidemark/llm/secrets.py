@@ -122,11 +122,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     query = docs.sparkSession.createDataFrame(query, "rule int, alternative int, trigram int, need int")
     met = postings.join(F.broadcast(query), "trigram")  # as many rows as the rules have trigrams
     met = met.groupBy("k1", "k2", "rule", "alternative", "need").agg(F.count("*").alias("n")).where("n = need")
-    candidates = met.groupBy("k1", "k2").agg(F.collect_set("rule").alias("rules"))
+    # written, so that their real size decides how they meet the texts: while they are few, no text moves for it
+    candidates = settle(met.groupBy("k1", "k2").agg(F.collect_set("rule").alias("rules")), "candidates")
 
-    texts = raw.join(candidates, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    # one text a key, chosen before the shuffle: copies of a hot text stay where they are
+    texts = raw.join(candidates, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("rules").alias("rules"))
     verified = F.concat(*[F.when(F.array_contains("rules", i), spans(F.col("text"), i, r)).otherwise(empty) for i, r in enumerate(rules) if asked[i]])
-    verified = texts.select("k1", "k2", verified.alias("verified")).where(F.size("verified") > 0)
+    verified = settle(texts.select("k1", "k2", verified.alias("verified")).where(F.size("verified") > 0), "verified")
     out = slim.join(verified, ["k1", "k2"], "left")
     return out.select(F.col("id").alias(id_col), F.array_sort(F.concat("full", F.coalesce("verified", empty))).alias("found"))
 
