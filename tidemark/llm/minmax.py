@@ -36,6 +36,8 @@ PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Counters that order shingles from rare to frequent.
 SLOTS = 1 << 18
+#: Pairs of one text that meet one copy of it; a text with more has more copies.
+HUB = 512
 _rng = np.random.Generator(np.random.PCG64(977))
 _MUL = _rng.integers(1, 2**62, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -120,8 +122,13 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                         keep[i + j] = inter > 0 and 100 * inter >= percent * (len(x) + len(y) - inter)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
+    # the pivot of a large group is in very many pairs: they are dealt over several copies of its text
+    hubs = settle(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1"), "hubs")
+    dealt = pairs.join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     t = texts.select("id", "text")
-    both = pairs.join(t.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    left = t.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(hubs, "a", "left")
+    left = left.select("a", "ta", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    both = dealt.join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(left, ["a", "part"])
     return map_arrow(both.select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
