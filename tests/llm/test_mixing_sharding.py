@@ -41,6 +41,29 @@ def test_targets_and_taken(spark, sf):
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in mix(docs.repartition(3)).collect())
 
 
+def test_rates_and_copies_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(["w"] * int(n)), f"s{i % 5}") for i, n in enumerate(rng.integers(1, 60, 900))]
+    rows += [(1000 + i, "hot " * 7, "s1") for i in range(600)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in {r.source for r in got}:
+        own = sorted((r for r in got if r.source == s), key=lambda r: r.size)
+        size = np.array([r.size for r in own], float)
+        goal = own[0].target
+        if goal >= 3 * size.sum() * (1 - 1e-9):
+            assert all(r.rate == 3 and r.copies == 3 for r in own)
+            continue
+        lo, hi = -100.0, 100.0
+        for _ in range(200):  # the dual by halving: rates rise with it
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (np.minimum(3, np.exp(mid * size / size.mean())) * size).sum() < goal else (lo, mid)
+        assert np.allclose([r.rate for r in own], np.minimum(3, np.exp(lo * size / size.mean())), rtol=1e-5)
+        assert all(np.floor(r.rate) <= r.copies <= np.ceil(r.rate) for r in own)
+        # systematic rounding: the copies of every size class and all smaller ones are within one of the rates' sum
+        for n in np.unique(size):
+            assert abs(sum(r.copies - r.rate for r in own if r.size <= n)) <= 1
+
+
 def test_mix_defined_cases(spark):
     rows = [(1, None, None), (2, "", "a"), (3, "one", None), (4, "x " * 500, "b"), (4, "x " * 500, "b"), (None, "p q r", "c"), (6, "p q", "é"), (7, " ", "z")]
     docs = spark.createDataFrame([(*r, 9.0) for r in rows], "doc_id long, text string, source string, rate double")
@@ -67,6 +90,31 @@ def test_shards(spark, sf):
     assert max(map(len, sizes.values())) - min(map(len, sizes.values())) <= 1
     path = write_shards(shard(docs))
     assert spark.read.parquet(path).count() == len(got)
+    # the assignment: rows in curve order, cut as evenly as whole rows go
+    ranked = sorted(got, key=lambda r: (r.shard, r.slot))
+    order = [(r.curve_index, r.text_crc32, r.doc_id) for r in ranked]
+    assert order == sorted(order)
+    assert [r.shard for r in ranked] == [i * 24 // len(got) for i in range(len(got))]
+
+
+def test_files_can_be_skipped_by_every_dimension(spark):
+    rng = np.random.default_rng(2)
+    n = 4000
+    rows = [(int(i), "x" * int(rng.integers(0, 3000)), f"https://crawl.example/cc-{rng.integers(2000, 2030)}") for i in rng.permutation(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    path = write_shards(shard(docs, shards=32), partitions=16)
+    files = spark.read.parquet(path).withColumn("file", F.input_file_name()).groupBy("file").agg(*[f(c).alias(f"{c}_{k}") for c in ("size", "doc_id", "source") for k, f in (("lo", F.min), ("hi", F.max))]).collect()
+    assert len(files) >= 32
+    for column, low, high in (("size", 100, 200), ("doc_id", 500, 600), ("source", "https://crawl.example/cc-2003", "https://crawl.example/cc-2004")):
+        read = [f for f in files if f[f"{column}_lo"] <= high and f[f"{column}_hi"] >= low]
+        assert len(read) <= len(files) * 0.6, column
+
+
+def test_a_shard_is_written_by_several_tasks(spark):
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    path = write_shards(shard(docs, shards=2), partitions=8)
+    files = spark.read.parquet(path).select("shard", F.input_file_name().alias("file")).groupBy("shard").agg(F.countDistinct("file").alias("n")).collect()
+    assert all(r.n > 1 for r in files)
 
 
 def test_shard_defined_cases(spark):

@@ -13,10 +13,13 @@ come from partition sizes: one count a partition goes to the driver.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.llm.scratch import new_path, settle, ship_code
 
@@ -52,26 +55,41 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def text_prefix(column: str) -> Column:
-    """An order-preserving number of a string: its first six bytes."""
-    return F.conv(F.rpad(F.hex(F.encode(F.substring(F.col(column), 1, 6), "UTF-8")), 48, "0").substr(1, 12), 16, 10).cast("long")
+def cuts_of(df: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -> list[list]:
+    """Ascending cell borders of each dimension, at most 2^bits: approximate
+    quantiles of numbers; of strings, the first of each range of their different values
+    (whole strings decide, whatever their common beginning)."""
+    named = df.select(*[c.alias(n) for n, c in dimensions.items()])
+    texts = {f.name for f in named.schema.fields if isinstance(f.dataType, StringType)}
+    numbers = [n for n in dimensions if n not in texts]
+    probs = [i / (1 << bits) for i in range(1, 1 << bits)]
+    quantiles = dict(zip(numbers, named.select(*[F.col(n).cast("double") for n in numbers]).approxQuantile(numbers, probs, 0.002), strict=True)) if numbers else {}
 
+    def firsts(n: str) -> list[str]:
+        ranges = named.select(n).where(F.col(n).isNotNull()).distinct().repartitionByRange(1 << bits, n)
+        return sorted(r[0] for r in ranges.groupBy(F.spark_partition_id()).agg(F.min(n).alias("first")).select("first").collect())  # one a range
+
+    return [firsts(n) if n in texts else np.unique(np.array(quantiles[n])).tolist() for n in dimensions]
 
-def curve(df: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -> Column:
-    """The curve index as a column of ``df``. Cells are cut at approximate
-    quantiles (2^bits - 1 numbers a dimension on the driver); null is cell 0."""
-    numbers = df.select(*[c.cast("double").alias(n) for n, c in dimensions.items()])
-    probs = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = [np.unique(np.array(x)) for x in numbers.approxQuantile(list(dimensions), probs, 0.002)]
 
+def curve(df: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -> Column:
+    """The curve index as a column of ``df``. The cells' borders are on the driver
+    (see cuts_of); null is cell 0."""
+    cuts = cuts_of(df, dimensions, bits)
+    types = df.select(*[c.alias(n) for n, c in dimensions.items()]).schema
+    columns = [c if isinstance(f.dataType, StringType) else c.cast("double") for c, f in zip(dimensions.values(), types.fields, strict=True)]
     ship_code(df.sparkSession)
 
     @F.pandas_udf("long")
     def index(*columns: pd.Series) -> pd.Series:
-        cells = [np.where(c.isna(), 0, np.searchsorted(k, c.fillna(0), side="right")) for c, k in zip(columns, cuts, strict=True)]
+        cells = []
+        for c, k in zip(columns, cuts, strict=True):
+            codes, values = pd.factorize(c)
+            cell = np.array([min(bisect.bisect_right(k, v), (1 << bits) - 1) for v in values] + [0], np.int64)
+            cells.append(cell[codes])
         return pd.Series(hilbert_index(np.stack(cells, 1), bits))
 
-    return index(*[c.cast("double") for c in dimensions.values()])
+    return index(*columns)
 
 
 def slim(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -97,7 +115,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     docs = docs.drop(*[c for c in added if c in docs.columns])
     rows = rows.select(*docs.columns, "size", "text_crc32")
     if dimensions is None:
-        dimensions = {"size": F.col("size"), "id": F.col(id_col)} | {c: text_prefix(c) for c in ("lang", "source") if c in docs.columns}
+        dimensions = {"size": F.col("size"), "id": F.col(id_col)} | {c: F.col(c).cast("string") for c in ("lang", "source") if c in docs.columns}
     rows = rows.withColumn("curve_index", curve(rows, dimensions))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = [F.col("curve_index"), F.col("text_crc32"), F.col(id_col)]
@@ -118,8 +136,13 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     return out.select(*docs.columns, *added)
 
 
-def write_shards(sharded: DataFrame, path: str | None = None) -> str:
-    """Write one folder per shard, rows in slot order, and return the path."""
-    path = path or new_path(sharded.sparkSession, "shards")
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(sharded: DataFrame, path: str | None = None, partitions: int | None = None) -> str:
+    """Write a folder per shard, its rows in slot order over as many files as there
+    are ranges of (shard, slot) in it, and return the path. No task writes a shard by
+    itself unless it is small; each file covers a run of the curve, so a filter on any
+    dimension skips files by their statistics. An empty table writes an empty folder."""
+    spark = sharded.sparkSession
+    path = path or new_path(spark, "shards")
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sharded.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return path

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import settle
 
-SALTS, MAX_STEPS, TOLERANCE = 256, 60, 1e-9
+#: A dual solution within TOLERANCE of its target is done; after MAX_STEPS one beyond LOOSE is an error.
+SALTS, MAX_STEPS, TOLERANCE, LOOSE = 256, 60, 1e-9, 1e-6
 
 
 def word_count(text: str) -> Column:
@@ -81,8 +82,12 @@ def balance(histogram: DataFrame, goals: DataFrame, source_col: str, cap: float
         step = step.withColumn("error", error)
         step = step.withColumn("lambda", F.when(F.col("error") <= TOLERANCE, F.col("lambda")).when(inside, newton).otherwise(half))
         state = settle(step.select(state.columns), "dual", replaces=state)
-        if (state.agg(F.max("error")).first()[0] or 0.0) <= TOLERANCE:
+        worst = state.agg(F.max("error")).first()[0] or 0.0
+        if worst <= TOLERANCE:
             break
+    else:
+        if worst > LOOSE:
+            raise RuntimeError(f"the dual is off by {worst:.1e} of a target after {MAX_STEPS} steps")
     return state.select(source_col, "mean", "lambda", "all")
 
 
