@@ -85,7 +85,8 @@ def curve(df: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -> Col
         cells = []
         for c, k in zip(columns, cuts, strict=True):
             codes, values = pd.factorize(c)
-            cell = np.array([min(bisect.bisect_right(k, v), (1 << bits) - 1) for v in values] + [0], np.int64)
+            # few borders are spread over the whole side: the curve tells its upper half from its lower first
+            cell = np.array([(bisect.bisect_right(k, v) << bits) // (len(k) + 1) for v in values] + [0], np.int64)
             cells.append(cell[codes])
         return pd.Series(hilbert_index(np.stack(cells, 1), bits))
 
