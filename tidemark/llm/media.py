@@ -3,28 +3,36 @@
 An image becomes a set of keypoints, multiscale corners (Harris response over a
 Gaussian pyramid), each with a 256-bit descriptor of binary brightness tests
 that are turned by the corner's orientation. Two descriptors match within 40
-bits. Candidates come from multi-index Hamming tables: each of 20 tables keys a
-descriptor by 20 of its bits, and two images are candidates when some pair of their
-descriptors shares a key and matches. All keypoints of candidate images are then
-compared with each other, whether they share a key or not, and the matches vote
-for a similarity transform (scale, turn, shift); enough votes for one make a link.
-A single pair of descriptors meets with probability 0.94 at 24 differing bits and
-0.44 at 40; of six matches, the fewest that make a link, at least one meets with
-probability 0.97 even if all six differ in 40 bits, and 0.9996 at 32 (computed).
-
-Equal images are one class from the start. All links between classes are found, so
-a group of n images that all link costs n * (n - 1) / 2 comparisons.
+bits. Candidates come from multi-index Hamming tables: each table keys a descriptor by
+some of its bits. Keys have as many bits as keep a slot small (they grow with the number
+of keypoints), and there are as many tables as make two images with six matches, all of
+exactly 40 differing bits, meet with probability 0.9 (see tables_for).
+
+A slot entry is (key, image, 64 bits of the descriptor): the Hamming distance of those bits
+decides before anything wider moves. Links join images into classes, in two steps:
+
+1. Every entry is compared with the first of its slot. Each image is then compared in
+   full with the one first image that it meets most often. This joins large groups
+   of copies at the cost of one comparison an image.
+2. Of every class, one entry a slot is left; entries of different classes in a slot are
+   compared with each other (very common slots are dealt over several tasks), and all
+   image pairs that come near are compared in full.
+
+A full comparison takes all keypoints of both images, whether they share a key or not; the
+matches vote for a similarity transform (scale, turn, shift), and enough votes for one
+make a link.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
@@ -32,8 +40,16 @@ from tidemark.llm.scratch import map_arrow, settle
 
 #: Corners of a picture of SIDE x SIDE pixels; larger ones have more, in proportion to area.
 POINTS, SIDE = 24, 64
-SCALES, FACTOR, PATCH = 3, 1.5, 12
-TABLES, KEY_BITS, DISTANCE, CONSENSUS = 20, 20, 40, 6
+SCALES, FACTOR, PATCH, TURNS = 3, 1.5, 12, 64
+#: Matches lie within DISTANCE bits; CONSENSUS of them make a link. Keys have KEY_BITS at least.
+DISTANCE, CONSENSUS, KEY_BITS, RECALL = 40, 6, 20, 0.9
+#: Bits of 64 that the first comparison allows: a pair at DISTANCE exceeds it with probability 0.007.
+NEAR = 16
+#: A slot with more than this share of all entries is dealt over PARTS tasks; first entries are
+#: taken in each of PARTS parts of a slot.
+COMMON, PARTS = 1e-4, 16
+#: Pixels that are worked on at once.
+PIXELS = 1 << 20
 #: An inlier lies within this part of the picture's longer side, and LOCAL pixels of its own
 #: scale, of where the transform puts it; a match's own turn and zoom may be off by so much.
 TOLERANCE, LOCAL, TURN, ZOOM = 0.02, 1.5, np.pi / 6, np.log(1.7)
@@ -41,12 +57,32 @@ CHANCE = 0.01
 _rng = np.random.Generator(np.random.PCG64(41))
 _SPECTRUM = 16
 _PROJECT = _rng.normal(size=(64, _SPECTRUM, _SPECTRUM))
-_KEYS = np.stack([_rng.permutation(256)[:KEY_BITS] for _ in range(TABLES)])
 _TESTS = np.clip(_rng.normal(0, PATCH / 2.2, (256, 2, 2)), -PATCH + 1, PATCH - 1)
 
 KEYPOINTS = "image long, key string, point int, side int, x float, y float, scale float, angle float, chunks array<long>, d0 long, d1 long, d2 long, d3 long"
 
 
+def tables_for(points: int) -> np.ndarray:
+    """(tables, bits) of the descriptor bits that each table's key takes, for a number of
+    keypoints: about one entry a slot by chance, and enough tables for RECALL."""
+    bits = max(KEY_BITS, int(np.ceil(np.log2(max(points, 1)))))
+    meet = np.prod([(256 - DISTANCE - i) / (256 - i) for i in range(bits)])
+    each = 1 - (1 - RECALL) ** (1 / CONSENSUS)
+    tables = int(np.ceil(np.log(1 - each) / np.log(1 - meet)))
+    rng = np.random.Generator(np.random.PCG64(bits))
+    return np.stack([rng.permutation(256)[:bits] for _ in range(tables)])
+
+
+def slot_keys(bits: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """(points, tables) slot numbers of (points, 4) descriptors."""
+    one = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(len(bits), -1), axis=1)
+    keys = np.empty((len(bits), len(tables)), np.int64)
+    weights = 1 << np.arange(tables.shape[1], dtype=np.int64)
+    for t, columns in enumerate(tables):
+        keys[:, t] = one[:, columns] @ weights + (t << tables.shape[1])
+    return keys
+
+
 def render(vectors: np.ndarray, side: int = 64) -> np.ndarray:
     """Textured pictures of 64-dimensional vectors, uint8, side x side: a fixed
     projection of the vector is the picture's cosine spectrum, so near vectors make
@@ -59,98 +95,156 @@ def render(vectors: np.ndarray, side: int = 64) -> np.ndarray:
     return np.clip(np.rint(field / spread * 48 + 128), 0, 255).astype(np.uint8)
 
 
-def smooth(img: np.ndarray, sigma: float) -> np.ndarray:
+def blur(n: int, sigma: float) -> np.ndarray:
+    """(n, n): Gaussian smoothing of a line of n pixels, its ends repeated."""
     r = max(1, int(3 * sigma))
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    k /= k.sum()
-    p = np.pad(img, ((0, 0), (r, r)), mode="edge")
-    rows = sum(k[i] * p[:, i : i + img.shape[1]] for i in range(2 * r + 1))
-    p = np.pad(rows, ((r, r), (0, 0)), mode="edge")
-    return sum(k[i] * p[i : i + img.shape[0]] for i in range(2 * r + 1))
+    out = np.zeros((n, n))
+    for step, weight in zip(range(-r, r + 1), k / k.sum(), strict=True):
+        np.add.at(out, (np.arange(n), np.clip(np.arange(n) + step, 0, n - 1)), weight)
+    return out
 
 
-def resize(img: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    ys = np.clip((np.arange(shape[0]) + 0.5) * img.shape[0] / shape[0] - 0.5, 0, img.shape[0] - 1)
-    xs = np.clip((np.arange(shape[1]) + 0.5) * img.shape[1] / shape[1] - 0.5, 0, img.shape[1] - 1)
-    y0, x0 = np.floor(ys).astype(int), np.floor(xs).astype(int)
-    y1, x1 = np.minimum(y0 + 1, img.shape[0] - 1), np.minimum(x0 + 1, img.shape[1] - 1)
-    fy, fx = (ys - y0)[:, None], (xs - x0)[None, :]
-    top = img[y0][:, x0] * (1 - fx) + img[y0][:, x1] * fx
-    return top * (1 - fy) + (img[y1][:, x0] * (1 - fx) + img[y1][:, x1] * fx) * fy
+def stretch(n: int, m: int) -> np.ndarray:
+    """(m, n): linear resampling of a line of n pixels to m."""
+    at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+    low = np.floor(at).astype(int)
+    out = np.zeros((m, n))
+    np.add.at(out, (np.arange(m), low), 1 - (at - low))
+    np.add.at(out, (np.arange(m), np.minimum(low + 1, n - 1)), at - low)
+    return out
 
 
-def describe(img: np.ndarray, points: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 4) x, y, scale, angle and (n, 4) uint64 descriptors of the ``points``
-    strongest corners over all scales; their number grows with the picture's area
-    where it is not given. A picture too small or flat has none."""
+def smooth(img: np.ndarray, sigma: float) -> np.ndarray:
+    return blur(img.shape[0], sigma) @ img @ blur(img.shape[1], sigma).T
+
+
+def resize(img: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    return stretch(img.shape[0], shape[0]) @ img @ stretch(img.shape[1], shape[1]).T
+
+
+@lru_cache(64)
+def _line(n: int, level: int) -> tuple[np.ndarray, ...]:
+    """Matrices of one side of a pyramid level: to the level, its slope, and the
+    smoothing of the corner response. All linear filters of a level are such products."""
+    factor = FACTOR**level
+    m = round(n / factor)
+    to = blur(m, 1.2) @ (stretch(n, m) @ blur(n, 0.5 * factor) if level else np.eye(n))
+    slope = np.gradient(to, axis=0) if m > 1 else to * 0
+    return tuple(x.astype(np.float32) for x in (to, slope, blur(m, 1.6)))
+
+
+@lru_cache(8)
+def _test_offsets(width: int) -> np.ndarray:
+    """(TURNS, 2, 256) offsets in a flat picture of the tests' two pixels at every turn."""
+    angle = np.arange(TURNS) * 2 * np.pi / TURNS
+    c, s = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+    x, y = _TESTS[:, :, 0].T[None], _TESTS[:, :, 1].T[None]
+    return np.rint(s * x + c * y).astype(np.int64) * width + np.rint(c * x - s * y).astype(np.int64)
+
+
+def describe_all(pictures: np.ndarray, points: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pictures (n, height, width) of one shape: picture number, (k, 4) x, y, scale,
+    angle and (k, 4) uint64 descriptors of each one's ``points`` strongest corners over all
+    scales; their number grows with the area where it is not given. Pictures too small
+    or flat have none."""
+    n, height, width = pictures.shape
     if points is None:
-        points = max(POINTS, round(POINTS * img.shape[0] * img.shape[1] / SIDE**2))
-    rows, bits = [], []
-    base = img.astype(float)
+        points = max(POINTS, round(POINTS * height * width / SIDE**2))
+    base, levels, found = pictures.astype(np.float32), [], []
     for level in range(SCALES):
         factor = FACTOR**level
-        shape = (round(base.shape[0] / factor), round(base.shape[1] / factor))
-        if min(shape) < 2 * PATCH + 4:
+        if min(round(height / factor), round(width / factor)) < 2 * PATCH + 4:
             break
-        at = smooth(resize(smooth(base, 0.5 * factor) if level else base, shape), 1.2)
-        gy, gx = np.gradient(at)
-        xx, yy, xy = (smooth(g, 1.6) for g in (gx * gx, gy * gy, gx * gy))
+        (ty, sy, by), (tx, sx, bx) = _line(height, level), _line(width, level)
+        half = ty @ base
+        at, gx, gy = half @ tx.T, half @ sx.T, (sy @ base) @ tx.T
+        xx, yy, xy = (by @ g @ bx.T for g in (gx * gx, gy * gy, gx * gy))
         corner = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        peak = corner[1:-1, 1:-1]
-        around = [corner[1 + i : corner.shape[0] - 1 + i, 1 + j : corner.shape[1] - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
-        peak = (peak > np.max(around, axis=0)) & (peak > 1.0)
-        y, x = np.nonzero(peak)
-        y, x = y + 1, x + 1
-        inside = (y >= PATCH // 2) & (x >= PATCH // 2) & (y < shape[0] - PATCH // 2) & (x < shape[1] - PATCH // 2)
-        y, x = y[inside], x[inside]
-        if not len(y):
-            continue
-        # orientation: direction of the brightness centre of the patch
-        r = PATCH // 2
-        dy, dx = np.mgrid[-r : r + 1, -r : r + 1]
-        disc = dy * dy + dx * dx <= r * r
-        dy, dx = dy[disc], dx[disc]
-        patch = at[np.clip(y[:, None] + dy, 0, shape[0] - 1), np.clip(x[:, None] + dx, 0, shape[1] - 1)]
-        angle = np.arctan2((patch * dy).sum(1), (patch * dx).sum(1))
-        c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
-        values = []
-        for side in (0, 1):
-            tx, ty = _TESTS[:, side, 0][None], _TESTS[:, side, 1][None]
-            px = np.clip(np.rint(x[:, None] + c * tx - s * ty).astype(int), 0, shape[1] - 1)
-            py = np.clip(np.rint(y[:, None] + s * tx + c * ty).astype(int), 0, shape[0] - 1)
-            values.append(at[py, px])
-        bits.append(np.packbits(values[0] < values[1], axis=1).view(np.uint64))
-        rows.append(np.c_[(x + 0.5) * factor, (y + 0.5) * factor, np.full(len(x), factor), angle, corner[y, x]])
-    if not rows:
-        return np.zeros((0, 4)), np.zeros((0, 4), np.uint64)
-    rows, bits = np.concatenate(rows), np.concatenate(bits)
-    best = np.lexsort((rows[:, 1], rows[:, 0], -rows[:, 4]))[:points]
-    return rows[best, :4], bits[best]
-
-
-def keypoints(media: DataFrame, decode: Callable[[pa.Array], Iterator[np.ndarray | None]], id_col: str, media_col: str | Column) -> DataFrame:
+        column = np.maximum(np.maximum(corner[:, :-2], corner[:, 2:]), corner[:, 1:-1])
+        around = np.maximum(column[:, :, :-2], column[:, :, 2:])
+        np.maximum(around, np.maximum(corner[:, :-2, 1:-1], corner[:, 2:, 1:-1]), out=around)
+        edge = PATCH // 2
+        inner = corner[:, edge:-edge, edge:-edge]
+        i, y, x = np.nonzero((inner > around[:, edge - 1 : 1 - edge, edge - 1 : 1 - edge]) & (inner > 1.0))
+        levels.append(at)
+        found.append(np.stack([i, np.full(len(i), level), y + edge, x + edge], 1))
+        levels[-1] = (at, inner[i, y, x])
+    if not found:
+        return np.zeros(0, np.int64), np.zeros((0, 4)), np.zeros((0, 4), np.uint64)
+    rows, strength = np.concatenate(found), np.concatenate([s for _, s in levels])
+    factor = FACTOR ** rows[:, 1]
+    place = (rows[:, :1:-1] + 0.5) * factor[:, None]
+    order = np.lexsort((place[:, 1], place[:, 0], -strength, rows[:, 0]))
+    rows, place, factor = rows[order], place[order], factor[order]
+    nth = np.arange(len(rows)) - np.searchsorted(rows[:, 0], rows[:, 0])
+    rows, place, factor = rows[nth < points], place[nth < points], factor[nth < points]
+    angle, bits = np.zeros(len(rows)), np.zeros((len(rows), 4), np.uint64)
+    pad = int(PATCH * 1.5)
+    dy, dx = np.mgrid[-(PATCH // 2) : PATCH // 2 + 1, -(PATCH // 2) : PATCH // 2 + 1]
+    disc = dy * dy + dx * dx <= (PATCH // 2) ** 2
+    dy, dx = dy[disc], dx[disc]
+    for level, (at, _) in enumerate(levels):
+        own = np.flatnonzero(rows[:, 1] == level)
+        wide = np.pad(at, ((0, 0), (pad, pad), (pad, pad)), mode="edge")
+        flat = wide.reshape(-1)
+        for begin in range(0, len(own), 4096):
+            part = own[begin : begin + 4096]
+            i, _, y, x = rows[part].T
+            middle = (i * wide.shape[1] + y + pad) * wide.shape[2] + x + pad
+            # orientation: direction of the brightness centre of the patch
+            patch = flat[middle[:, None] + (dy * wide.shape[2] + dx)[None]]
+            angle[part] = np.arctan2(patch @ dy.astype(np.float32), patch @ dx.astype(np.float32))
+            turn = np.rint(angle[part] * TURNS / (2 * np.pi)).astype(np.int64) % TURNS
+            offsets = _test_offsets(wide.shape[2])[turn]
+            less = flat[middle[:, None] + offsets[:, 0]] < flat[middle[:, None] + offsets[:, 1]]
+            bits[part] = np.packbits(less, axis=1).view(np.uint64)
+    return rows[:, 0], np.column_stack([place, factor, angle]), bits
+
+
+def describe(img: np.ndarray, points: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(n, 4) x, y, scale, angle and (n, 4) uint64 descriptors of one picture."""
+    return describe_all(img[None], points)[1:]
+
+
+def keypoints(media: DataFrame, decode: Callable[[pa.Array], Iterator[np.ndarray | None]], id_col: str, media_col: str | Column, tables: np.ndarray) -> DataFrame:
     """All keypoints (see KEYPOINTS) of a media column. ``decode`` turns an Arrow
     column into grey pictures, None for what is no picture. An image without
-    keypoints has one row with a null point; ``key`` is the hash of its pixels."""
+    keypoints has one row with a null point; ``key`` is the hash of its pixels, ``chunks``
+    are its slots in ``tables``."""
+    names = ["image", "key", "point", "side", "x", "y", "scale", "angle", "chunks", "d0", "d1", "d2", "d3"]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.float32()] * 4, pa.list_(pa.int64()), *[pa.int64()] * 4]
+
+    def rows_of(ids: list, pictures: list[np.ndarray]) -> pa.RecordBatch:
+        side = max(pictures[0].shape)
+        i, at, bits = describe_all(np.stack(pictures))
+        keys = pa.array([hashlib.sha256(str(x.shape).encode() + x.tobytes()).hexdigest() for x in pictures])
+        bare = np.setdiff1d(np.arange(len(ids)), i)
+        owner = np.concatenate([i, bare])
+        gap = lambda values, kind: pa.concat_arrays([pa.array(values, kind), pa.nulls(len(bare), kind)])
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        slots = slot_keys(bits, tables)
+        chunks = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1) * len(tables), pa.int32()), pa.array(slots.reshape(-1)))
+        columns = [pa.array(ids, pa.int64()).take(pa.array(owner)), keys.take(pa.array(owner)), gap(nth.astype(np.int32), pa.int32()), gap(np.full(len(i), side, np.int32), pa.int32())]
+        columns += [gap(at[:, c].astype(np.float32), pa.float32()) for c in range(4)] + [pa.concat_arrays([chunks, pa.nulls(len(bare), chunks.type)])]
+        return pa.RecordBatch.from_arrays(columns + [gap(bits[:, c].view(np.int64), pa.int64()) for c in range(4)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                rows: list[list] = [[] for _ in range(13)]
-                for image, picture in zip(part.column(0).to_pylist(), decode(part.column(1)), strict=True):
-                    key = None if picture is None else hashlib.sha256(str(picture.shape).encode() + picture.tobytes()).hexdigest()
-                    found, bits = describe(picture) if picture is not None else (np.zeros((0, 4)), np.zeros((0, 4), np.uint64))
-                    if not len(found):
-                        for column, v in zip(rows, [image, key] + [None] * 11, strict=True):
-                            column.append(v)
-                    chunks = (np.unpackbits(bits.view(np.uint8), axis=1)[:, _KEYS].astype(np.int64) << np.arange(KEY_BITS)).sum(2) + (np.arange(TABLES) << KEY_BITS)
-                    for p in range(len(found)):
-                        for column, v in zip(rows, [image, key, p, max(picture.shape), *found[p].tolist(), chunks[p], *bits[p].view(np.int64).tolist()], strict=True):
-                            column.append(v)
-                kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.float32()] * 4, pa.list_(pa.int64()), *[pa.int64()] * 4]
-                names = ["image", "key", "point", "side", "x", "y", "scale", "angle", "chunks", "d0", "d1", "d2", "d3"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names)
+            held: dict[tuple, tuple[list, list]] = {}
+            for image, picture in zip(batch.column(0).to_pylist(), decode(batch.column(1)), strict=True):
+                if picture is None or picture.size == 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([image if n == "image" else None], t) for n, t in zip(names, kinds, strict=True)], names)
+                    continue
+                ids, pictures = held.setdefault(picture.shape, ([], []))
+                ids.append(image)
+                pictures.append(picture)
+                if len(ids) * picture.size >= PIXELS:
+                    yield rows_of(*held.pop(picture.shape))
+                elif sum(len(g[0]) * g[1][0].size for g in held.values()) >= 4 * PIXELS:
+                    yield rows_of(*held.pop(max(held, key=lambda k: len(held[k][0]) * k[0] * k[1])))
+            for group in held.values():
+                yield rows_of(*group)
 
     column = F.col(media_col) if isinstance(media_col, str) else media_col
     return map_arrow(media.select(F.col(id_col).cast("long").alias("image"), column.alias("media")), run, KEYPOINTS)
@@ -210,7 +304,9 @@ def agreed(pairs: DataFrame, points: DataFrame, consensus: int) -> DataFrame:
     """(a, b) of candidate image pairs whose matched points agree on a similarity
     transform. ``pairs``: a, b, all different; all their keypoints are compared."""
     names = ("side", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3")
-    packed = points.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("point", *names))).alias("points"))
+    named = pairs.select(F.col("a").alias("image")).union(pairs.select("b")).distinct()
+    packed = points.select("image", "point", *names).join(named, "image", "left_semi")
+    packed = packed.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("point", *names))).alias("points"))
 
     def unpack(column: pa.ListArray) -> list[Points]:
         ends = np.cumsum(np.r_[0, np.asarray(column.value_lengths())])
@@ -230,38 +326,66 @@ def agreed(pairs: DataFrame, points: DataFrame, consensus: int) -> DataFrame:
     return map_arrow(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_points", "b_points"), run, "a long, b long")
 
 
+def slot_entries(points: DataFrame) -> DataFrame:
+    return points.select(F.explode("chunks").alias("slot"), "image", F.col("d0").alias("sketch"))
+
+
+def first_links(entries: DataFrame, points: DataFrame, consensus: int) -> DataFrame:
+    """(a, b): each image with the first image of a slot's part that it comes near
+    most often, if they agree. A running first value needs no group in memory."""
+    part = Window.partitionBy("slot", F.pmod(F.xxhash64("image"), F.lit(PARTS))).orderBy("image").rowsBetween(Window.unboundedPreceding, 0)
+    first = entries.withColumn("lead", F.first(F.struct("image", "sketch")).over(part))
+    met = first.where((F.col("lead.image") < F.col("image")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("lead.sketch"))) <= NEAR))
+    votes = met.groupBy("image", F.col("lead.image").alias("a")).agg(F.count("*").alias("n"))
+    best = votes.groupBy("image").agg(F.max(F.struct("n", (-F.col("a")).alias("a")))["a"].alias("a")).select((-F.col("a")).alias("a"), F.col("image").alias("b"))
+    return settle(agreed(settle(best, "first-pairs"), points, consensus), "first-links")
+
+
+def class_links(entries: DataFrame, classes: DataFrame, points: DataFrame, consensus: int) -> DataFrame:
+    """(a, b) of images of different classes that come near in a slot and agree.
+    ``classes``: node, component of images that have a link."""
+    known = classes.select(F.col("node").alias("image"), "component")
+    alone = entries.join(known, "image", "left_anti").select("slot", F.col("image").alias("component"), "image", "sketch")
+    one = entries.join(known, "image").groupBy("slot", "component").agg(F.min(F.struct("image", "sketch")).alias("e"))
+    rows = alone.union(one.select("slot", "component", "e.image", "e.sketch"))
+    # at most 1 / COMMON slots, whatever the input
+    common = entries.freqItems(["slot"], COMMON).select(F.explode("slot_freqItems").alias("slot"), F.lit(PARTS).alias("parts"))
+    rows = rows.join(F.broadcast(common), "slot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    x = rows.select("slot", F.pmod(F.xxhash64("image"), "parts").cast("int").alias("part"), *[F.col(c).alias(f"x_{c}") for c in ("component", "image", "sketch")])
+    y = rows.select("slot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"y_{c}") for c in ("component", "image", "sketch")])
+    near = F.expr(f"x_component < y_component and bit_count(x_sketch ^ y_sketch) <= {NEAR}")
+    met = x.join(y, ["slot", "part"]).where(near).select(F.least("x_image", "y_image").alias("a"), F.greatest("x_image", "y_image").alias("b")).distinct()
+    return settle(agreed(settle(met, "class-pairs"), points, consensus), "class-links")
+
+
 def image_links(points: DataFrame, consensus: int = CONSENSUS) -> DataFrame:
-    """(a, b), a < b, of all linked images."""
+    """(a, b) links that connect every class of linked images; not all links."""
     points = points.where("point is not null")
-    slots = points.select(F.explode("chunks").alias("slot"), "image", "d0", "d1", "d2", "d3")
-    x, y = (slots.select("slot", *[F.col(c).alias(f"{n}_{c}") for c in slots.columns if c != "slot"]) for n in ("x", "y"))
-    near = F.expr("x_image < y_image and " + " + ".join(f"bit_count(x_d{i} ^ y_d{i})" for i in range(4)) + f" <= {DISTANCE}")
-    candidates = x.join(y, "slot").where(near).select(F.col("x_image").alias("a"), F.col("y_image").alias("b")).distinct()
-    return agreed(settle(candidates, "candidates"), points, consensus)
+    entries = slot_entries(points)
+    first = first_links(entries, points, consensus)
+    return first.union(class_links(entries, components(first), points, consensus))
 
 
 def copies(media: DataFrame, decode: Callable, id_col: str, media_col: str | Column, consensus: int = CONSENSUS) -> DataFrame:
-    """One row per row of ``media``: id_col, n_points, n_links (all links of
-    its class of equal pictures to other classes) and component_id (smallest id reachable, itself included).
+    """One row per row of ``media``: id_col, n_points and component_id (smallest id
+    reachable over links, itself included).
 
     Defined cases: null or undecodable media have no points and no links; equal
     pictures are one class even without points; a null id has component_id null
     and links with nothing; repeated ids count as one node; an empty table gives an
     empty result; other columns are ignored."""
-    points = settle(keypoints(media, decode, id_col, media_col), "keypoints")
+    tables = tables_for(POINTS * media.count())
+    points = settle(keypoints(media, decode, id_col, media_col, tables), "keypoints")
     images = settle(points.groupBy("image", "key").agg(F.count("point").alias("n_points")), "images")
     lead = settle(images.where("image is not null and key is not null").groupBy("key").agg(F.min("image").alias("lead")), "pictures")
-    own = points.join(lead, "key").where("image = lead").select(*[c for c in points.columns if c != "key"]).distinct()
-    links = settle(image_links(own, consensus).select("a", "b"), "image-links")
+    own = settle(points.join(lead, "key").where("image = lead and point is not null").select(*[c for c in points.columns if c != "key"]).distinct(), "own-keypoints")
+    links = image_links(own, consensus)
     equal = images.join(lead, "key").where("image > lead").select(F.col("lead").alias("a"), F.col("image").alias("b"))
     reach = components(links.union(equal))
-    degree = links.select(F.col("a").alias("lead")).union(links.select(F.col("b").alias("lead"))).groupBy("lead").agg(F.count("*").alias("n_links"))
-    classes = images.join(lead.join(degree, "lead", "left"), "key", "left").join(reach.withColumnRenamed("node", "image"), "image", "left")
-    classes = classes.groupBy("image").agg(F.max("n_points").alias("n_points"), F.max("n_links").alias("n_links"), F.min("component").alias("component"))
+    classes = images.groupBy("image").agg(F.max("n_points").alias("n_points")).join(reach.withColumnRenamed("node", "image"), "image", "left")
     rows = media.select(F.col(id_col).cast("long").alias(id_col))
     return rows.join(classes, F.col(id_col).eqNullSafe(F.col("image")), "left").select(
-        id_col, F.coalesce("n_points", F.lit(0)).cast("long").alias("n_points"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col(id_col).isNotNull(), F.coalesce("component", id_col)).alias("component_id"))
+        id_col, F.coalesce("n_points", F.lit(0)).cast("long").alias("n_points"), F.when(F.col(id_col).isNotNull(), F.coalesce("component", id_col)).alias("component_id"))
 
 
 def vector_pictures(column: pa.Array) -> Iterator[np.ndarray | None]:
