@@ -245,7 +245,9 @@ def lookup(directory: DataFrame, folder: str, urls: DataFrame, url_col: str = "u
                     got = []
             yield _table(_read_captures(store, path, got), RECORD_KINDS)
 
-    return map_arrow(met.repartition("file", "at").sortWithinPartitions("file", "at", "key"), run, RECORDS)
+    # a given number, so that the few bytes of keys are not put into one task: the work is in the range reads
+    n = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return map_arrow(met.repartition(n, "file", "at").sortWithinPartitions("file", "at", "key"), run, RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
