@@ -2,18 +2,20 @@
 
 An image becomes a set of keypoints, multiscale corners (Harris response over a
 Gaussian pyramid), each with a 256-bit descriptor of binary brightness tests
-that are turned by the corner's orientation. Two descriptors match within 40
+that are turned by the corner's orientation. Two descriptors match within 32
 bits. Candidates come from multi-index Hamming tables: each table keys a descriptor by
-some of its bits. Keys have as many bits as keep a slot small (they grow with the number
-of keypoints), and there are as many tables as make two images with six matches, all of
-exactly 40 differing bits, meet with probability 0.9 (see tables_for).
-
-A slot entry is (key, image, 64 bits of the descriptor): the Hamming distance of those bits
-decides before anything wider moves. Links join images into classes, in two steps:
-
-1. Every entry is compared with the first of its slot. Each image is then compared in
-   full with the one first image that it meets most often. This joins large groups
-   of copies at the cost of one comparison an image.
+some of its bits, chosen to be balanced and little correlated on a bounded sample of
+pictures (SAMPLE). Keys have as many bits as keep a slot small (they grow with the number
+of keypoints), and there are as many tables as make two images with eight matches, all of
+exactly 32 differing bits, meet in two of them with probability 0.9 (see tables_for).
+
+A slot entry is (key, image, point, 128 bits of the descriptor): the Hamming distance of those
+bits decides before anything wider moves, and two different points of both images must come
+near. Links join images into classes, in two steps:
+
+1. Entries of the first few tables are compared with the first of their slot. Each image is
+   then compared in full with the one first image that it meets most often. This joins large
+   groups of copies at the cost of one comparison an image.
 2. Of every class, one entry a slot is left; entries of different classes in a slot are
    compared with each other (very common slots are dealt over several tasks), and all
    image pairs that come near are compared in full.
@@ -41,10 +43,12 @@ from tidemark.llm.scratch import map_arrow, settle
 #: Corners of a picture of SIDE x SIDE pixels; larger ones have more, in proportion to area.
 POINTS, SIDE = 24, 64
 SCALES, FACTOR, PATCH, TURNS = 3, 1.5, 12, 64
-#: Matches lie within DISTANCE bits; CONSENSUS of them make a link. Keys have KEY_BITS at least.
-DISTANCE, CONSENSUS, KEY_BITS, RECALL = 40, 6, 20, 0.9
-#: Bits of 64 that the first comparison allows: a pair at DISTANCE exceeds it with probability 0.007.
-NEAR = 16
+#: Matches lie within DISTANCE bits; CONSENSUS of them make a link. Keys have KEY_BITS at least;
+#: tables are made for images with MATCHES matches to meet with probability RECALL.
+DISTANCE, CONSENSUS, KEY_BITS, MATCHES, RECALL = 32, 6, 20, 8, 0.9
+#: Bits of 128 and of 64 that the first comparisons allow: a pair at DISTANCE exceeds them with
+#: probability 0.01. Tables of step 1. Pictures that keys are fitted on, at most.
+NEAR, NEAR_FIRST, FIRST_TABLES, SAMPLE = 22, 14, 4, 1000
 #: A slot with more than this share of all entries is dealt over PARTS tasks; first entries are
 #: taken in each of PARTS parts of a slot.
 COMMON, PARTS = 1e-4, 16
@@ -59,28 +63,58 @@ _SPECTRUM = 16
 _PROJECT = _rng.normal(size=(64, _SPECTRUM, _SPECTRUM))
 _TESTS = np.clip(_rng.normal(0, PATCH / 2.2, (256, 2, 2)), -PATCH + 1, PATCH - 1)
 
-KEYPOINTS = "image long, key string, point int, side int, x float, y float, scale float, angle float, chunks array<long>, d0 long, d1 long, d2 long, d3 long"
-
-
-def tables_for(points: int) -> np.ndarray:
-    """(tables, bits) of the descriptor bits that each table's key takes, for a number of
-    keypoints: about one entry a slot by chance, and enough tables for RECALL."""
-    bits = max(KEY_BITS, int(np.ceil(np.log2(max(points, 1)))))
-    meet = np.prod([(256 - DISTANCE - i) / (256 - i) for i in range(bits)])
-    each = 1 - (1 - RECALL) ** (1 / CONSENSUS)
-    tables = int(np.ceil(np.log(1 - each) / np.log(1 - meet)))
-    rng = np.random.Generator(np.random.PCG64(bits))
-    return np.stack([rng.permutation(256)[:bits] for _ in range(tables)])
-
-
-def slot_keys(bits: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """(points, tables) slot numbers of (points, 4) descriptors."""
-    one = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(len(bits), -1), axis=1)
-    keys = np.empty((len(bits), len(tables)), np.int64)
-    weights = 1 << np.arange(tables.shape[1], dtype=np.int64)
-    for t, columns in enumerate(tables):
-        keys[:, t] = one[:, columns] @ weights + (t << tables.shape[1])
-    return keys
+KEYPOINTS = "image long, key string, point int, side int, x float, y float, scale float, angle float, chunks array<long>, s0 long, s1 long, d0 long, d1 long, d2 long, d3 long"
+
+
+class Tables(NamedTuple):
+    """The descriptor bits of each table's key (tables, bits), and those of a sketch (128)."""
+
+    keys: np.ndarray
+    sketch: np.ndarray
+
+
+def apart(bits: np.ndarray, n: int, rng: np.random.Generator, like: np.ndarray) -> np.ndarray:
+    """``n`` of the columns of ``bits`` that are balanced and little correlated (``like``),
+    in random order; the bounds give way until enough are found."""
+    chosen, bound = [], 0.1
+    share = bits.mean(0)
+    while len(chosen) < n:
+        for c in rng.permutation(bits.shape[1]).tolist():
+            if len(chosen) < n and c not in chosen and abs(share[c] - 0.5) <= 0.2 + bound and (not chosen or like[c, chosen].max() <= bound):
+                chosen.append(c)
+        bound += 0.05
+    return np.array(chosen)
+
+
+def tables_for(points: int, sample: np.ndarray | None = None) -> Tables:
+    """Tables for a number of keypoints: about one entry a slot by chance, and so many that two
+    of MATCHES matches at DISTANCE share a slot with probability RECALL. ``sample``:
+    descriptors that the bits are fitted on; without it all bits are alike."""
+    n_bits = max(KEY_BITS, int(np.ceil(np.log2(max(points, 1)))))
+    meet = np.prod([(256 - DISTANCE - i) / (256 - i) for i in range(n_bits)])
+    tables, found = 0, 0.0
+    while found < RECALL:
+        tables += 1
+        each = 1 - (1 - meet) ** tables
+        found = 1 - (1 - each) ** MATCHES - MATCHES * each * (1 - each) ** (MATCHES - 1)
+    rng = np.random.Generator(np.random.PCG64(n_bits))
+    bits = np.zeros((0, 256)) if sample is None else np.unpackbits(np.ascontiguousarray(sample).view(np.uint8).reshape(len(sample), 32), axis=1).astype(float)
+    if len(bits) < 256:
+        return Tables(np.stack([rng.permutation(256)[:n_bits] for _ in range(tables)]), rng.permutation(256)[:128])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        like = np.abs(np.nan_to_num(np.corrcoef(bits.T), nan=1.0))
+    return Tables(np.stack([apart(bits, n_bits, rng, like) for _ in range(tables)]), apart(bits, 128, rng, like))
+
+
+def slot_keys(bits: np.ndarray, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """(points, tables) slot numbers and (points, 2) sketches of (points, 4) descriptors."""
+    one = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(len(bits), 32), axis=1)
+    n_tables, n_bits = tables.keys.shape
+    keys = np.empty((len(bits), n_tables), np.int64)
+    weights = 1 << np.arange(n_bits, dtype=np.int64)
+    for t, columns in enumerate(tables.keys):
+        keys[:, t] = one[:, columns] @ weights + (t << n_bits)
+    return keys, np.ascontiguousarray(np.packbits(one[:, tables.sketch], axis=1)).view(np.int64).reshape(len(bits), 2)
 
 
 def render(vectors: np.ndarray, side: int = 64) -> np.ndarray:
@@ -207,13 +241,13 @@ def describe(img: np.ndarray, points: int | None = None) -> tuple[np.ndarray, np
     return describe_all(img[None], points)[1:]
 
 
-def keypoints(media: DataFrame, decode: Callable[[pa.Array], Iterator[np.ndarray | None]], id_col: str, media_col: str | Column, tables: np.ndarray) -> DataFrame:
+def keypoints(media: DataFrame, decode: Callable[[pa.Array], Iterator[np.ndarray | None]], id_col: str, media_col: str | Column, tables: Tables) -> DataFrame:
     """All keypoints (see KEYPOINTS) of a media column. ``decode`` turns an Arrow
     column into grey pictures, None for what is no picture. An image without
     keypoints has one row with a null point; ``key`` is the hash of its pixels, ``chunks``
     are its slots in ``tables``."""
-    names = ["image", "key", "point", "side", "x", "y", "scale", "angle", "chunks", "d0", "d1", "d2", "d3"]
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.float32()] * 4, pa.list_(pa.int64()), *[pa.int64()] * 4]
+    names = ["image", "key", "point", "side", "x", "y", "scale", "angle", "chunks", "s0", "s1", "d0", "d1", "d2", "d3"]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.float32()] * 4, pa.list_(pa.int64()), *[pa.int64()] * 6]
 
     def rows_of(ids: list, pictures: list[np.ndarray]) -> pa.RecordBatch:
         side = max(pictures[0].shape)
@@ -223,11 +257,12 @@ def keypoints(media: DataFrame, decode: Callable[[pa.Array], Iterator[np.ndarray
         owner = np.concatenate([i, bare])
         gap = lambda values, kind: pa.concat_arrays([pa.array(values, kind), pa.nulls(len(bare), kind)])
         nth = np.arange(len(i)) - np.searchsorted(i, i)
-        slots = slot_keys(bits, tables)
-        chunks = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1) * len(tables), pa.int32()), pa.array(slots.reshape(-1)))
+        slots, sketch = slot_keys(bits, tables)
+        chunks = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1) * slots.shape[1], pa.int32()), pa.array(slots.reshape(-1)))
         columns = [pa.array(ids, pa.int64()).take(pa.array(owner)), keys.take(pa.array(owner)), gap(nth.astype(np.int32), pa.int32()), gap(np.full(len(i), side, np.int32), pa.int32())]
         columns += [gap(at[:, c].astype(np.float32), pa.float32()) for c in range(4)] + [pa.concat_arrays([chunks, pa.nulls(len(bare), chunks.type)])]
-        return pa.RecordBatch.from_arrays(columns + [gap(bits[:, c].view(np.int64), pa.int64()) for c in range(4)], names)
+        columns += [gap(sketch[:, c], pa.int64()) for c in range(2)]
+        return pa.RecordBatch.from_arrays(columns + [gap(np.ascontiguousarray(bits[:, c]).view(np.int64), pa.int64()) for c in range(4)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,44 +361,51 @@ def agreed(pairs: DataFrame, points: DataFrame, consensus: int) -> DataFrame:
     return map_arrow(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_points", "b_points"), run, "a long, b long")
 
 
-def slot_entries(points: DataFrame) -> DataFrame:
-    return points.select(F.explode("chunks").alias("slot"), "image", F.col("d0").alias("sketch"))
+def _met(rows: DataFrame) -> DataFrame:
+    """(a, b, n) of image pairs that come near in two different points of both. ``rows``: a,
+    b, a_point, b_point."""
+    ends = [f(f"{side}_point").alias(f"{side}_{name}") for side in "ab" for name, f in (("lo", F.min), ("hi", F.max))]
+    return rows.groupBy("a", "b").agg(F.count("*").alias("n"), *ends).where("a_lo < a_hi and b_lo < b_hi").select("a", "b", "n")
 
 
-def first_links(entries: DataFrame, points: DataFrame, consensus: int) -> DataFrame:
+def first_links(points: DataFrame, consensus: int) -> DataFrame:
     """(a, b): each image with the first image of a slot's part that it comes near
     most often, if they agree. A running first value needs no group in memory."""
-    part = Window.partitionBy("slot", F.pmod(F.xxhash64("image"), F.lit(PARTS))).orderBy("image").rowsBetween(Window.unboundedPreceding, 0)
-    first = entries.withColumn("lead", F.first(F.struct("image", "sketch")).over(part))
-    met = first.where((F.col("lead.image") < F.col("image")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("lead.sketch"))) <= NEAR))
-    votes = met.groupBy("image", F.col("lead.image").alias("a")).agg(F.count("*").alias("n"))
-    best = votes.groupBy("image").agg(F.max(F.struct("n", (-F.col("a")).alias("a")))["a"].alias("a")).select((-F.col("a")).alias("a"), F.col("image").alias("b"))
+    entries = points.select(F.explode(F.slice("chunks", 1, FIRST_TABLES)).alias("slot"), "image", "point", "s0")
+    part = Window.partitionBy("slot", F.pmod(F.xxhash64("image"), F.lit(PARTS))).orderBy("image", "point").rowsBetween(Window.unboundedPreceding, 0)
+    first = entries.withColumn("lead", F.first(F.struct("image", "point", "s0")).over(part))
+    close = first.where((F.col("lead.image") < F.col("image")) & (F.bit_count(F.col("s0").bitwiseXOR(F.col("lead.s0"))) <= NEAR_FIRST))
+    votes = _met(close.select(F.col("lead.image").alias("a"), F.col("image").alias("b"), F.col("lead.point").alias("a_point"), F.col("point").alias("b_point")))
+    best = votes.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a")))["a"].alias("a")).select((-F.col("a")).alias("a"), "b")
     return settle(agreed(settle(best, "first-pairs"), points, consensus), "first-links")
 
 
-def class_links(entries: DataFrame, classes: DataFrame, points: DataFrame, consensus: int) -> DataFrame:
+def class_links(classes: DataFrame, points: DataFrame, consensus: int) -> DataFrame:
     """(a, b) of images of different classes that come near in a slot and agree.
     ``classes``: node, component of images that have a link."""
+    entries = points.select(F.explode("chunks").alias("slot"), "image", "point", "s0", "s1")
     known = classes.select(F.col("node").alias("image"), "component")
-    alone = entries.join(known, "image", "left_anti").select("slot", F.col("image").alias("component"), "image", "sketch")
-    one = entries.join(known, "image").groupBy("slot", "component").agg(F.min(F.struct("image", "sketch")).alias("e"))
-    rows = alone.union(one.select("slot", "component", "e.image", "e.sketch"))
+    columns = ["component", "image", "point", "s0", "s1"]
+    alone = entries.join(known, "image", "left_anti").withColumn("component", F.col("image")).select("slot", *columns)
+    one = entries.join(known, "image").groupBy("slot", "component").agg(F.min(F.struct("image", "point", "s0", "s1")).alias("e"))
+    rows = alone.union(one.select("slot", "component", "e.image", "e.point", "e.s0", "e.s1"))
     # at most 1 / COMMON slots, whatever the input
     common = entries.freqItems(["slot"], COMMON).select(F.explode("slot_freqItems").alias("slot"), F.lit(PARTS).alias("parts"))
     rows = rows.join(F.broadcast(common), "slot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    x = rows.select("slot", F.pmod(F.xxhash64("image"), "parts").cast("int").alias("part"), *[F.col(c).alias(f"x_{c}") for c in ("component", "image", "sketch")])
-    y = rows.select("slot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"y_{c}") for c in ("component", "image", "sketch")])
-    near = F.expr(f"x_component < y_component and bit_count(x_sketch ^ y_sketch) <= {NEAR}")
-    met = x.join(y, ["slot", "part"]).where(near).select(F.least("x_image", "y_image").alias("a"), F.greatest("x_image", "y_image").alias("b")).distinct()
-    return settle(agreed(settle(met, "class-pairs"), points, consensus), "class-links")
+    x = rows.select("slot", F.pmod(F.xxhash64("image"), "parts").cast("int").alias("part"), *[F.col(c).alias(f"x_{c}") for c in columns])
+    y = rows.select("slot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"y_{c}") for c in columns])
+    near = x.join(y, ["slot", "part"]).where(F.expr(f"x_component < y_component and bit_count(x_s0 ^ y_s0) + bit_count(x_s1 ^ y_s1) <= {NEAR}"))
+    ahead = F.col("x_image") < F.col("y_image")
+    side = lambda c, name, other: F.when(ahead, F.col(f"{name}_{c}")).otherwise(F.col(f"{other}_{c}"))
+    met = _met(near.select(side("image", "x", "y").alias("a"), side("image", "y", "x").alias("b"), side("point", "x", "y").alias("a_point"), side("point", "y", "x").alias("b_point")))
+    return settle(agreed(settle(met.select("a", "b"), "class-pairs"), points, consensus), "class-links")
 
 
 def image_links(points: DataFrame, consensus: int = CONSENSUS) -> DataFrame:
     """(a, b) links that connect every class of linked images; not all links."""
     points = points.where("point is not null")
-    entries = slot_entries(points)
-    first = first_links(entries, points, consensus)
-    return first.union(class_links(entries, components(first), points, consensus))
+    first = first_links(points, consensus)
+    return first.union(class_links(components(first), points, consensus))
 
 
 def copies(media: DataFrame, decode: Callable, id_col: str, media_col: str | Column, consensus: int = CONSENSUS) -> DataFrame:
@@ -374,11 +416,13 @@ def copies(media: DataFrame, decode: Callable, id_col: str, media_col: str | Col
     pictures are one class even without points; a null id has component_id null
     and links with nothing; repeated ids count as one node; an empty table gives an
     empty result; other columns are ignored."""
-    tables = tables_for(POINTS * media.count())
+    some = media.orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)).limit(SAMPLE)
+    bits = keypoints(some, decode, id_col, media_col, tables_for(0)).where("point is not null").select("d0", "d1", "d2", "d3").toArrow()  # of SAMPLE pictures
+    tables = tables_for(POINTS * media.count(), np.stack([bits[c].to_numpy() for c in bits.column_names], 1))
     points = settle(keypoints(media, decode, id_col, media_col, tables), "keypoints")
     images = settle(points.groupBy("image", "key").agg(F.count("point").alias("n_points")), "images")
     lead = settle(images.where("image is not null and key is not null").groupBy("key").agg(F.min("image").alias("lead")), "pictures")
-    own = settle(points.join(lead, "key").where("image = lead and point is not null").select(*[c for c in points.columns if c != "key"]).distinct(), "own-keypoints")
+    own = settle(points.join(lead, "key").where("image = lead and point is not null").select(*[c for c in points.columns if c != "key"]).distinct(), "own-keypoints", replaces=points)
     links = image_links(own, consensus)
     equal = images.join(lead, "key").where("image > lead").select(F.col("lead").alias("a"), F.col("image").alias("b"))
     reach = components(links.union(equal))
