@@ -52,8 +52,8 @@ NEAR, NEAR_FIRST, FIRST_TABLES, SAMPLE = 22, 14, 4, 1000
 #: A slot with more than this share of all entries is dealt over PARTS tasks; first entries are
 #: taken in each of PARTS parts of a slot.
 COMMON, PARTS = 1e-4, 16
-#: Pixels that are worked on at once.
-PIXELS = 1 << 20
+#: Pixels, and keypoints, that are worked on at once.
+PIXELS, AT_ONCE = 1 << 18, 1024
 #: An inlier lies within this part of the picture's longer side, and LOCAL pixels of its own
 #: scale, of where the transform puts it; a match's own turn and zoom may be off by so much.
 TOLERANCE, LOCAL, TURN, ZOOM = 0.02, 1.5, np.pi / 6, np.log(1.7)
@@ -222,8 +222,8 @@ def describe_all(pictures: np.ndarray, points: int | None = None) -> tuple[np.nd
         own = np.flatnonzero(rows[:, 1] == level)
         wide = np.pad(at, ((0, 0), (pad, pad), (pad, pad)), mode="edge")
         flat = wide.reshape(-1)
-        for begin in range(0, len(own), 4096):
-            part = own[begin : begin + 4096]
+        for begin in range(0, len(own), AT_ONCE):
+            part = own[begin : begin + AT_ONCE]
             i, _, y, x = rows[part].T
             middle = (i * wide.shape[1] + y + pad) * wide.shape[2] + x + pad
             # orientation: direction of the brightness centre of the patch
@@ -420,9 +420,14 @@ def copies(media: DataFrame, decode: Callable, id_col: str, media_col: str | Col
     bits = keypoints(some, decode, id_col, media_col, tables_for(0)).where("point is not null").select("d0", "d1", "d2", "d3").toArrow()  # of SAMPLE pictures
     tables = tables_for(POINTS * media.count(), np.stack([bits[c].to_numpy() for c in bits.column_names], 1))
     points = settle(keypoints(media, decode, id_col, media_col, tables), "keypoints")
-    images = settle(points.groupBy("image", "key").agg(F.count("point").alias("n_points")), "images")
+    images = points.groupBy("image", "key").agg(F.coalesce(F.max("point") + 1, F.lit(0)).alias("n_points"), F.count_if(F.coalesce("point", F.lit(0)) == 0).alias("times"))
+    images = settle(images, "images")
     lead = settle(images.where("image is not null and key is not null").groupBy("key").agg(F.min("image").alias("lead")), "pictures")
-    own = settle(points.join(lead, "key").where("image = lead and point is not null").select(*[c for c in points.columns if c != "key"]).distinct(), "own-keypoints", replaces=points)
+    # one image a picture; only rows that come repeatedly have keypoints to drop
+    leads = settle(images.join(lead, "key").where("image = lead").select("image", "key", "times"), "leading-images")
+    own = points.where("point is not null").join(leads, ["image", "key"])
+    own = own.where("times = 1").union(own.where("times > 1").dropDuplicates(["image", "key", "point"])).drop("key", "times")
+    own = settle(own, "own-keypoints", replaces=points)
     links = image_links(own, consensus)
     equal = images.join(lead, "key").where("image > lead").select(F.col("lead").alias("a"), F.col("image").alias("b"))
     reach = components(links.union(equal))
