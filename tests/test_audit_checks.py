@@ -52,6 +52,8 @@ def test_checks(spark):
     assert n(C.out_of_range("r", df.where("x < 9"), {"x": (0, 5)})) == 1 and n(C.too_many("t", df, F.col("k") == 1, 1)) == 2 and n(C.too_many("t", df, F.col("k") == 1, 2)) == 0
     assert n(C.orphans("o", df, spark.createDataFrame([(1,)], "k int"), ["k"])) == 2
     assert C.content_hash(df).first() == C.content_hash(df.repartition(3)).first() != C.content_hash(df.where("k = 1")).first()
+    texts = lambda *rows: C.content_hash(spark.createDataFrame(rows, "a string, b string")).first().content_hash
+    assert len({texts(("a|b", "c")), texts(("a", "b|c")), texts(("~", "c")), texts((None, "c")), texts(("1:a", "c"))}) == 5
     prof = C.profile(df.withColumn("s", F.lit(None).cast("string")))
     assert {r["column"]: r.null_rate for r in prof.collect()} == {"k": 0.0, "x": 0.0, "s": 1.0}
     assert C.compare_contracts(prof, prof, bounds=True).count() == 0
@@ -59,4 +61,4 @@ def test_checks(spark):
     assert C.not_reproduced({"m": 1.0, "n": 2.0}, {"m": 1.0 + 1e-9, "n": 3.0}) == {"n": (3.0, 2.0)}
     pairs = spark.createDataFrame([("e", "A", "B", 1, 2, 1), ("e", "A", "B", 1, 3, 2)], "entity string, source_group string, target_group string, source_period int, target_period int, gap int")
     panel = spark.createDataFrame([("e", "A", 1)], "entity string, grp string, period int")
-    assert {r.name: r.violations for r in C.pair_checks(pairs, panel).collect()} == {"pair_changes_group": 0, "pair_gap": 0, "pair_landing": 0, "pair_departure": 1, "pair_source_exists": 0}
+    assert {r.name: r.violations for r in C.pair_checks(pairs, panel).collect()} == {"pair_changes_group": 0, "pair_gap": 0, "pair_landing": 0, "pair_departure": 1, "pair_source_exists": 0, "pair_target_exists": 2}

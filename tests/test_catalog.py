@@ -23,7 +23,7 @@ def plain(x):
     return "nan" if isinstance(x, float) and math.isnan(x) else x + 0.0 if isinstance(x, float) else x
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, con, sf, name):
     df = catalog.QUERIES[name](spark, sf)
     cols = sorted(df.columns)
@@ -46,6 +46,24 @@ def test_filters_reach_the_scan(spark, sf):
     assert "o_custkey" not in plan.split("ReadSchema")[1]
 
 
+def test_groups_are_combined_before_they_meet_their_rows(spark, sf):
+    for name in ("ent6_standardized_panel", "ent5_common_denominators", "ml10_beta_shrink", "ml12_supplier_z"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "partial_sum" in plan and "BroadcastHashJoin" in plan, name
+
+
+def test_many_groups_are_joined_by_their_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import grouped
+
+    rows = spark.range(100).select((F.col("id") % 7).alias("k"), F.col("id").alias("x")).union(spark.createDataFrame([(None, 1), (None, 2)], "k long, x long"))
+    for most in (50_000, 3):
+        monkeypatch.setattr(grouped, "MAX_GROUPS", most)
+        got = {(r.k, r.n) for r in grouped.with_groups(rows, ["k"], n=F.sum("x")).select("k", "n").collect()}
+        assert got == {(k, sum(range(k, 100, 7))) for k in range(7)} | {(None, 3)}
+
+
 def test_name_keys_cover_whole_texts(spark, sf):
     words = {r.doc_id: len(r.key.split()) for r in catalog.QUERIES["str1_name_keys_whole"](spark, sf).collect()}
     assert max(words.values()) > 1000

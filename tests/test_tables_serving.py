@@ -36,7 +36,18 @@ def test_cache_and_contract(spark, tmp_path):
     T.replace_all({"x": spark.range(2)}, str(tmp_path / "gold"))
     T.replace_all({"y": spark.range(4)}, str(tmp_path / "gold"))
     assert T.table(spark, str(tmp_path / "gold"), "y").count() == 4 and not T.exists(spark, str(tmp_path / "gold/x.parquet"))
-    assert json.load(open(T.run_log(str(tmp_path), "r1", {"b": 1, "a": 2}))) == {"a": 2, "b": 1}
+    assert T.read_run_log(spark, T.run_log(spark, str(tmp_path), "r1", {"b": 1, "a": 2})) == {"a": 2, "b": 1}
+
+
+def test_a_failed_replacement_leaves_the_live_tables(spark, tmp_path):
+    gold = str(tmp_path / "gold")
+    T.replace_all({"x": spark.range(2)}, gold)
+    broken = spark.range(3).select(F.raise_error(F.lit("broken")).cast("string").alias("v"))
+    with pytest.raises(Exception, match="broken"):
+        T.replace_all({"a": spark.range(9), "b": broken}, gold)
+    assert T.table(spark, gold, "x").count() == 2 and not T.exists(spark, f"{gold}/a.parquet")
+    T.replace_all({"y": spark.range(4)}, gold)
+    assert not T.exists(spark, f"{gold}/a.parquet") and not T.exists(spark, f"{gold}/x.parquet")
 
 
 def test_insert_statements(spark):
@@ -64,6 +75,7 @@ def test_slice(spark):
 def test_serving(spark):
     persons = spark.createDataFrame([(1, "Ana", "ana", "A"), (2, "Anab", "anab", "A+B"), (3, "Bo", "bo", "A")], "person_id int, display_name string, normalized_name string, systems string")
     assert [r.person_id for r in S.search(persons, " ANA ").collect()] == [2, 1]
+    assert [r.person_id for r in S.search(persons, "Äna").collect()] == [2, 1]
     rows = spark.createDataFrame([(i % 3 + 1, "A->B", float(i % 4), i % 2 == 0) for i in range(40)], "person_id int, direction string, predicted double, in_support boolean").withColumn("k", F.monotonically_increasing_id())
     seen = [r.k for o in range(0, 40, 10) for r in S.projection_page(rows, persons, limit=10, offset=o, ties=["k"]).rows.collect()]
     assert len(seen) == len(set(seen)) == 40
@@ -78,7 +90,8 @@ def test_serving(spark):
     assert [r.period for r in found["career"].collect()] == [2, 3] and found["warnings"].count() == 1
     models = spark.createDataFrame([("m1", "2024-01-01"), ("m2", "2024-02-01")], "model_version string, trained_at string")
     assert S.newest_first(models).first().model_version == "m2" and S.evaluation("m1", models, models, models)["model"].count() == 1
-    defs = spark.createDataFrame([("m1", 0, 0.4), ("m1", 1, 0.6)], "model_version string, cluster int, stability double")
+    defs = spark.createDataFrame([("m1", 0, 0.4, False), ("m1", 2, None, None), ("m1", 1, 0.6, True)], "model_version string, cluster int, stability double, reportable boolean")
+    assert [(r.cluster, r.warning is None) for r in S.archetypes(defs).collect()] == [(1, True), (0, False), (2, False)]
     labels = spark.createDataFrame([(1, "m1", 1, 2020)], "person_id int, model_version string, cluster int, period int")
     assert S.archetypes(defs).first().cluster == 1 and S.archetype_of(1, labels, defs).first().stability == 0.6
     shots = spark.createDataFrame([(1, 2020, 0.3), (1, 2019, 0.8)], "person_id int, period int, data_weight double")

@@ -16,10 +16,18 @@ FOLD_FROM, FOLD_TO = "đĐðÐøØłŁ", "dDdDoOlL"
 SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "v"]
 
 
-@F.pandas_udf(StringType())
-def _decomposed(values: pd.Series) -> pd.Series:
-    # NFKD is not among Spark's functions; Arrow batches, only rows that need it
-    return values.map(lambda s: s if s is None or s.isascii() else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))
+def _decomposition():
+    """Made in a function: workers get its code, and need not find this package."""
+
+    @F.pandas_udf(StringType())
+    def decomposed(values: pd.Series) -> pd.Series:
+        # NFKD is not among Spark's functions; Arrow batches, only rows that need it
+        return values.map(lambda s: s if s is None or s.isascii() else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))
+
+    return decomposed
+
+
+_decomposed = _decomposition()
 
 
 def strip_marks(x: str | Column) -> Column:
@@ -53,7 +61,8 @@ def titled(x: str | Column) -> Column:
 
 def first_last(x: str | Column) -> Column:
     """"LAST, FIRST" as "First Last"; names without a comma keep their order."""
-    last, first = F.trim(F.split_part(col(x), F.lit(","), F.lit(1))), F.trim(F.split_part(col(x), F.lit(","), F.lit(2)))
+    # at the first comma: what follows may have more
+    last, first = (F.trim(F.regexp_extract(col(x), r"(?s)^([^,]*),(.*)$", i)) for i in (1, 2))
     return titled(F.when(F.contains(col(x), F.lit(",")), F.concat_ws(" ", first, last)).otherwise(F.trim(col(x))))
 
 

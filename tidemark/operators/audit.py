@@ -56,6 +56,20 @@ def candidates(facts: DataFrame, rendered: DataFrame | None = None) -> DataFrame
     return base.where("candidate is not null").distinct()
 
 
+def derived(facts: DataFrame) -> DataFrame:
+    """(doc, candidate): what a correct text may compute from its facts, per metric: the
+    width of an interval, the change from source to projection, and the projection's
+    distance from the target mean in standard deviations; from the stored values and from
+    the values as they are written. ``facts`` also have ``metric`` and ``role`` (low80,
+    high80, low95, high95, mean, sd, source, projected)."""
+    shown = F.when(F.col("unit") == "fraction", F.round(F.col("value") * 100, 1) / 100).when(F.col("unit") == "count", F.round("value", 0)).otherwise(F.round("value", 2))
+    both = facts.where("value is not null and metric is not null").select("doc", "metric", "role", F.explode(F.array(F.struct(F.lit(0).alias("shown"), F.col("value").alias("v")), F.struct(F.lit(1).alias("shown"), shown.alias("v")))).alias("r"))
+    at = lambda role: F.max(F.when(F.col("role") == role, F.col("r.v"))).alias(role)
+    one = both.groupBy("doc", "metric", "r.shown").agg(*[at(x) for x in ("low80", "high80", "low95", "high95", "mean", "sd", "source", "projected")])
+    forms = [F.col("high80") - F.col("low80"), F.col("high95") - F.col("low95"), F.abs(F.col("projected") - F.col("source")), F.abs(F.when(F.col("sd") > 0, (F.col("projected") - F.col("mean")) / F.col("sd")))]
+    return one.select("doc", F.explode(F.array_compact(F.array(*forms))).alias("form")).select("doc", F.explode(F.array(F.col("form"), F.col("form") * 100)).alias("candidate")).distinct()
+
+
 def trace(found: DataFrame, cand: DataFrame) -> DataFrame:
     """Add traced: some candidate of the document lies within the window of the value
     or of its reading as a share. A range semi-join on the document's key."""
@@ -108,12 +122,30 @@ def rule_errors(docs: DataFrame, outcome: DataFrame) -> DataFrame:
     return t.select("doc", F.explode(F.array_distinct(rules)).alias("rule"))
 
 
-def distractors(docs: DataFrame) -> DataFrame:
-    """(doc, other): each document with the next one, the last with the first."""
-    w = Window.orderBy("doc")
-    ids = docs.select("doc").distinct()  # one small id a report
-    first = ids.agg(F.min("doc").alias("first"))
-    return ids.withColumn("next", F.lead("doc").over(w)).crossJoin(F.broadcast(first)).select("doc", F.coalesce("next", "first").alias("other"))
+def distractors(docs: DataFrame, ranges: int = 200) -> DataFrame:
+    """(doc, other): each document with the next one, the last with the first.
+
+    Ids are cut into sorted ranges; inside a range the next id is the following row, and
+    the last row of a range takes the first id of the next range (one row a range on
+    the driver)."""
+    ids = docs.select("doc").where("doc is not null").distinct().repartitionByRange(ranges, "doc").withColumn("__r", F.spark_partition_id())
+    firsts = sorted((r[1], r[0]) for r in ids.groupBy("__r").agg(F.min("doc").alias("first")).select("__r", "first").collect())
+    after = [(r, firsts[(i + 1) % len(firsts)][0]) for i, (_, r) in enumerate(firsts)]
+    kind = dict(docs.dtypes)["doc"]
+    turns = docs.sparkSession.createDataFrame(after, f"__r int, __after {kind}")
+    inside = F.lead("doc").over(Window.partitionBy("__r").orderBy("doc"))
+    return ids.withColumn("__next", inside).join(F.broadcast(turns), "__r").select("doc", F.coalesce("__next", "__after").alias("other"))
+
+
+def distractor_scores(docs: DataFrame, facts: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
+    """(doc, n_numbers, own, other): how many numbers of each document trace to its own
+    facts, and to those of the next document. A check that accepts the latter is blind."""
+    found, cand = numbers(docs), candidates(facts, rendered)
+    pairs = distractors(docs)
+    swapped = pairs.join(cand.withColumnRenamed("doc", "other"), "other").select("doc", "candidate")
+    hits = lambda c, name: trace(found, c).groupBy("doc").agg(F.count("*").alias("n_numbers"), F.count_if("traced").alias(name))
+    other = hits(swapped.distinct(), "other").drop("n_numbers")
+    return hits(cand, "own").join(other, "doc", "left").select("doc", "n_numbers", "own", F.coalesce("other", F.lit(0)).alias("other"))
 
 
 def stale(cached: DataFrame, current: DataFrame) -> DataFrame:

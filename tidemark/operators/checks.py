@@ -52,11 +52,11 @@ def too_many(name: str, df: DataFrame, bad: Column, ceiling: int) -> DataFrame:
 
 def pair_checks(pairs: DataFrame, panel: DataFrame, max_gap: int = 2) -> DataFrame:
     """A pair changes group, keeps the gap, lands once, leaves once, and its periods exist."""
-    keys = panel.select("entity", F.col("grp").alias("source_group"), F.col("period").alias("source_period"))
+    places = lambda side: panel.select("entity", F.col("grp").alias(f"{side}_group"), F.col("period").alias(f"{side}_period"))
     parts = [
         count_where("pair_changes_group", pairs, F.col("source_group") == F.col("target_group")), count_where("pair_gap", pairs, ~F.col("gap").between(1, max_gap)),
         not_unique("pair_landing", pairs, ["entity", "source_group", "target_group", "target_period"]), not_unique("pair_departure", pairs, ["entity", "source_group", "target_group", "source_period"]),
-        orphans("pair_source_exists", pairs, keys, ["entity", "source_group", "source_period"]),
+        *[orphans(f"pair_{side}_exists", pairs, places(side), ["entity", f"{side}_group", f"{side}_period"]) for side in ("source", "target")],
     ]
     return reduce(DataFrame.union, parts)
 
@@ -73,9 +73,11 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def content_hash(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(n_rows, content_hash), whatever the row order: row digests are added up."""
+    """(n_rows, content_hash), whatever the row order: row digests are added up. Each
+    value has its length in front (null has none), so no two rows have one text."""
     columns = columns or sorted(df.columns)
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    value = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("~"))
+    text = F.concat_ws("|", *[value(c) for c in columns])
     part = lambda i: F.sum(F.conv(F.substring(F.md5(text), i, 8), 16, 10).cast("decimal(38,0)"))
     return df.agg(F.count("*").alias("n_rows"), F.sha2(F.concat_ws("-", F.count("*"), part(1), part(9), part(17), part(25)), 256).substr(1, 32).alias("content_hash"))
 

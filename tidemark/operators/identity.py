@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +29,22 @@ def crosswalk(anchor: DataFrame, shared: DataFrame, other: DataFrame, overrides:
     and shared ids are one namespace. Each other id takes the first rule that holds: an
     override (other_id, anchor_id); exactly one candidate of its key whose birth agrees;
     exactly one candidate and none that agrees; several candidates (a person of its own);
-    none (likewise). Candidates are distinct anchor and shared ids; null keys match none."""
-    known = anchor.select("id", "match_key", "birth").union(shared.select("id", "match_key", "birth")).groupBy("id", "match_key").agg(F.max("birth").alias("birth"))
-    cand = known.select(F.col("id").alias("c_id"), "match_key", F.col("birth").alias("c_birth"))
-    agree = F.abs(F.col("birth") - F.col("c_birth")) <= tolerance
-    met = other.join(cand, "match_key", "left").groupBy("system", "id").agg(
-        F.countDistinct("c_id").alias("n"), F.countDistinct(F.when(agree, F.col("c_id"))).alias("n_agree"), F.max(F.when(agree, F.col("c_id"))).alias("agreed"), F.max("c_id").alias("only"))
+    none (likewise). Candidates are distinct anchor and shared ids; null keys match none.
+    (system, id) of ``other`` is unique.
+
+    Candidates are counted by (key, birth) and by key before anything is joined: a key that
+    half of all ids share costs its different births, not its ids. Births within the
+    tolerance lie in the same band or a neighbouring one, which makes the join an equi-join."""
+    known = anchor.select("id", "match_key", "birth").union(shared.select("id", "match_key", "birth")).groupBy("id", "match_key").agg(F.max("birth").alias("birth")).where("match_key is not null")
+    by_birth = known.groupBy("match_key", F.col("birth").alias("c_birth")).agg(F.count("*").alias("n"), F.max("id").alias("c_id"))
+    by_key = by_birth.groupBy("match_key").agg(F.sum("n").alias("n"), F.max("c_id").alias("only"))
+    band = lambda c: F.floor(F.col(c) / max(float(tolerance), 1e-9))
+    asked = other.select("match_key", "birth").where("match_key is not null and birth is not null").distinct().withColumn("band", band("birth"))
+    near = by_birth.where("c_birth is not null").withColumn("band", F.explode(F.array(*[band("c_birth") + i for i in (-1, 0, 1)])))
+    agree = asked.join(near, ["match_key", "band"]).where(F.abs(F.col("birth") - F.col("c_birth")) <= tolerance)
+    agree = agree.groupBy("match_key", "birth").agg(F.sum("n").alias("n_agree"), F.max("c_id").alias("agreed"))
+    met = other.select("system", "id", "match_key", "birth").join(by_key, "match_key", "left").join(agree, ["match_key", "birth"], "left")
+    met = met.withColumns({"n": F.coalesce("n", F.lit(0)), "n_agree": F.coalesce("n_agree", F.lit(0))})
     if overrides is None:
         met = met.withColumn("anchor_id", F.lit(None).cast("string"))
     else:
@@ -67,6 +79,11 @@ def golden_persons(identities: DataFrame, people: DataFrame, priority: list[str]
     return rows.groupBy("person_id").agg(name.alias("display_name"), birth.alias("birth"), F.array_join(F.array_sort(F.collect_set("system")), "+").alias("systems"))
 
 
+def union_of(frames: list[DataFrame]) -> DataFrame:
+    """The rows of frames whose columns differ: by name, missing ones null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def fill_covariate(rows: DataFrame, entity: str, period: str, age: str) -> DataFrame:
     """Missing ages from the entity's median birth; known ages stay, a null entity
     recovers nothing."""

@@ -121,6 +121,11 @@ def baselines(frame: DataFrame, persisted_z: Column | None = None) -> DataFrame:
     return out if persisted_z is None else out.withColumn("b_persist", from_z(persisted_z, "target_mean", "target_sd"))
 
 
+def best_baseline(errors: DataFrame) -> DataFrame:
+    """(baseline, mae, n) of the smallest error; ties go to the first name."""
+    return errors.orderBy("mae", "baseline").limit(1)
+
+
 def baseline_errors(frame: DataFrame, names: list[str], actual: str = "target_value") -> DataFrame:
     """(baseline, mae, n), best first."""
     per = frame.agg(F.count("*").alias("n"), *[F.avg(F.abs(F.col(b) - F.col(actual))).alias(b) for b in names])
@@ -133,10 +138,11 @@ def skill(mae: float, reference: float) -> float | None:
 
 def walk_forward(frame: DataFrame, stage1: Fit, first_period: int, age: str = "source_age", min_test: int = MIN_TEST, min_train: int = MIN_TRAIN) -> DataFrame:
     """Errors of every target period from ``first_period`` on, each predicted by a model
-    of strictly earlier targets without the period's entities; periods with too few
-    rows either way are left out. One fold is one aggregation; there are as many folds
-    as periods."""
-    frame = frame.persist()  # every fold reads it
+    of strictly earlier targets without the period's entities (both are asserted), beside
+    the simple predictions b_mean, b_folk, b_same_z and b_persist; periods with too few rows
+    either way are left out. One fold is one aggregation; there are as many folds as periods."""
+    frame = baselines(frame, persisted(stage1, age))
+    frame = frame.persist()  # every fold reads it; predictions hold its numbers, not it
     periods = [r.target_period for r in frame.where(F.col("target_period") >= first_period).groupBy("target_period").count().where(F.col("count") >= min_test).orderBy("target_period").collect()]
     out = None
     for t in periods:
@@ -145,8 +151,10 @@ def walk_forward(frame: DataFrame, stage1: Fit, first_period: int, age: str = "s
         if train.count() < min_train:
             continue
         assert_earlier(train, test, "target_period")
+        assert_no_overlap(train, test, "entity")
         part = predict(test, fit_translation(train, stage1, age), age=age)
         out = part if out is None else out.union(part)
+    frame.unpersist()
     empty = frame.where(F.lit(False)).withColumns({c: F.lit(None).cast("double") for c in ("z_hat", "value_hat", "low", "high")})
     return (empty if out is None else out).withColumn("error", F.col("value_hat") - F.col("target_value"))
 
@@ -176,6 +184,14 @@ def shuffled_targets(frame: DataFrame, key: list[str], seed: int = SEED) -> Data
     return rows.join(donors, ["__b", "__n"]).withColumn("z_target", F.col("__z")).withColumn("target_value", F.col("__v")).select(frame.columns)
 
 
+def shuffled_control(frame: DataFrame, stage1: Fit, first_period: int, key: list[str], age: str = "source_age", seed: int = SEED, **folds) -> DataFrame:
+    """(n, baseline, mae) of the walk-forward refitted on shuffled targets: the model's
+    error (``model``) and the baselines' on the same rows. A model that still beats
+    them has seen what it should not."""
+    errors = walk_forward(shuffled_targets(frame, key, seed), stage1, first_period, age, **folds)
+    return baseline_errors(errors.withColumnRenamed("value_hat", "model"), ["model", "b_mean", "b_folk", "b_same_z", "b_persist"])
+
+
 def cluster_bootstrap(errors: DataFrame, entity: str, error: str, draws: int = DRAWS, level: float = 0.95, seed: int = SEED) -> DataFrame:
     """Interval of the mean absolute error, entities resampled with replacement.
 

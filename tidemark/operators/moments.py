@@ -5,10 +5,11 @@ one, both over qualified rows only; z-scores are then given to all rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import z_score
+from tidemark.operators.grouped import with_groups
 
 
 def weighted_mean(x: str, w: str, where: Column | None = None) -> Column:
@@ -24,27 +25,25 @@ def moments(df: DataFrame, keys: list[str], metric: str, weight: str, qualified:
 
 
 def standardize(df: DataFrame, keys: list[str], metrics: list[str], weight: str, qualified: str) -> DataFrame:
-    """Add z_<metric>. One window over the keys; the moments of qualified rows are
-    conditional aggregates in it, so nothing is joined back."""
-    w = Window.partitionBy(*keys)
-    ok = F.col(qualified)
-    out = {}
+    """Add z_<metric>: the moments of qualified rows of each group (one aggregation for
+    all metrics) meet all rows of the group."""
+    ok, aggregates = F.col(qualified), {}
     for m in metrics:
-        use = ok & F.col(m).isNotNull()
-        mean = F.sum(F.when(use, F.col(m) * F.col(weight))).over(w) / F.nullif(F.sum(F.when(use, F.col(weight))).over(w), F.lit(0))
-        sd = F.stddev_samp(F.when(ok, F.col(m))).over(w)
-        out[f"z_{m}"] = z_score(m, mean, sd)
-    return df.withColumns(out)
+        aggregates |= {f"__mean_{m}": weighted_mean(m, weight, ok), f"__sd_{m}": F.stddev_samp(F.when(ok, F.col(m)))}
+    out = with_groups(df, keys, **aggregates)
+    return out.withColumns({f"z_{m}": z_score(m, f"__mean_{m}", f"__sd_{m}") for m in metrics}).drop(*aggregates)
 
 
 def standardize_population(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Population z-scores (a constant is 0), columns replaced."""
-    w = Window.partitionBy(*keys)
-    z = {c: F.when(F.stddev_pop(c).over(w) > 0, (F.col(c) - F.avg(c).over(w)) / F.stddev_pop(c).over(w)).otherwise(F.when(F.col(c).isNotNull(), 0.0)) for c in columns}
-    return df.withColumns(z)
+    aggregates = {}
+    for c in columns:
+        aggregates |= {f"__mean_{c}": F.avg(c), f"__sd_{c}": F.stddev_pop(c)}
+    out = with_groups(df, keys, **aggregates)
+    z = {c: F.when(F.col(f"__sd_{c}") > 0, (F.col(c) - F.col(f"__mean_{c}")) / F.col(f"__sd_{c}")).otherwise(F.when(F.col(c).isNotNull(), 0.0)) for c in columns}
+    return out.withColumns(z).drop(*aggregates)
 
 
 def group_totals(df: DataFrame, keys: list[str], stats: list[str], prefix: str = "all_") -> DataFrame:
-    """Add the group's totals of each stat to its rows (a window, not a join)."""
-    w = Window.partitionBy(*keys)
-    return df.withColumns({f"{prefix}{s}": F.coalesce(F.sum(s).over(w), F.lit(0)) for s in stats})
+    """Add the group's totals of each stat to its rows."""
+    return with_groups(df, keys, **{f"{prefix}{s}": F.coalesce(F.sum(s), F.lit(0)) for s in stats})

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import log_shares
@@ -93,21 +94,48 @@ def describe_clusters(labelled: DataFrame, columns: list[str], id_col: str, weig
     return means.select("cluster", "n", F.transform(traits, lambda t: F.struct(t["name"].alias("name"), t["value"].alias("value"))).alias("traits")).join(members, "cluster")
 
 
-def neighbours(df: DataFrame, id_col: str, vector: str, period: str, k: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
+def _nearest(k: int):
+    """Of two blocks of one period: the ``k`` nearest rows of the second for each of the first."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = [("__g", left.schema.field("__g").type), ("__id", left.schema.field("__id").type), ("neighbour", left.schema.field("__id").type), ("distance", pa.float64())]
+        if not left.num_rows or not right.num_rows:
+            return pa.schema(kinds).empty_table()
+        vectors = [np.asarray(t[c].combine_chunks().flatten()).reshape(t.num_rows, -1) for t, c in ((left, "__v"), (right, "__w"))]
+        x, y = (v.astype(float) for v in vectors)
+        ids, others = left["__id"].to_numpy(), right["__other"].to_numpy()
+        sizes = (x * x).sum(1)[:, None] + (y * y).sum(1)
+        rough = sizes - 2 * x @ y.T
+        rough[ids[:, None] == others] = np.inf
+        # products round: everything that could be among the nearest is measured again
+        edge = np.partition(rough, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+        i, j = np.nonzero((rough <= (edge + 1e-5 * sizes.max(1))[:, None]) & np.isfinite(rough))
+        gap = np.concatenate([np.sqrt(((vectors[0][i[a : a + 65536]] - vectors[1][j[a : a + 65536]]).astype(float) ** 2).sum(1)) for a in range(0, max(len(i), 1), 65536)])
+        order = np.lexsort((others[j], gap, i))
+        i, j, gap = i[order], j[order], gap[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j, gap = i[nth < k], j[nth < k], gap[nth < k]
+        return pa.table([left["__g"].take(pa.array(i)), pa.array(ids[i]), pa.array(others[j]), pa.array(gap)], schema=pa.schema(kinds))
+
+    return run
+
+
+def neighbours(df: DataFrame, id_col: str, vector: str, period: str, k: int = NEIGHBOURS, block: int = BLOCK, of: Column | None = None) -> DataFrame:
     """The ``k`` nearest (Euclid) other rows of the same period: id_col, neighbour,
-    distance, rank. Exact; ties go to the smaller id.
+    distance, rank. Exact; ties go to the smaller id. ``of``: the rows that are asked for
+    (all where it is not given). Rows without a vector have no neighbours.
 
-    A period is cut into blocks of rows by hash. Each row meets its period's blocks one
-    block at a time and keeps k of each; the kept ones meet once more. No task holds a
-    whole period; periods of fewer than MIN_PERIOD rows have no neighbours."""
+    A period is cut into blocks of rows by hash. Each two blocks of a period meet in one
+    task, whose matrix product leaves k rows for each row of the first block; only these
+    become rows, and meet once more. All distances of a period are computed, n squared
+    of them; no task holds more than two blocks."""
     sizes = df.groupBy(period).agg(F.count("*").alias("__size")).where(F.col("__size") >= MIN_PERIOD)
-    rows = df.select(F.col(period).alias("__g"), F.col(id_col).alias("__id"), F.col(vector).alias("__v")).join(sizes.withColumnRenamed(period, "__g"), "__g")
-    blocks = F.ceil(F.col("__size") / block).cast("int")
-    held = rows.withColumn("__b", F.pmod(F.xxhash64("__id"), blocks)).select("__g", "__b", F.col("__id").alias("neighbour"), F.col("__v").alias("__w"))
-    asked = rows.select("__g", "__id", "__v", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("__b"))
-    gap = F.sqrt(F.aggregate(F.zip_with("__v", "__w", lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda acc, x: acc + x))
-    pairs = asked.join(held, ["__g", "__b"]).where("__id <> neighbour").select("__g", "__b", "__id", "neighbour", gap.alias("distance"))
-    order = [F.col("distance"), F.col("neighbour")]
-    near = pairs.withColumn("__n", F.row_number().over(Window.partitionBy("__g", "__id", "__b").orderBy(*order))).where(F.col("__n") <= k)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("__g", "__id").orderBy(*order))).where(F.col("rank") <= k)
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(period).alias("__g"), F.col(id_col).alias("__id"), F.col(vector).alias("__v"), (F.lit(True) if of is None else of).alias("__of"))
+    rows = rows.join(sizes.withColumnRenamed(period, "__g"), "__g").withColumn("__n", F.ceil(F.col("__size") / block).cast("int"))
+    own, every = F.pmod(F.xxhash64("__id"), F.col("__n")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    asked = rows.where("__of").select("__g", "__id", "__v", own.alias("__a"), every.alias("__b"))
+    held = rows.select(F.col("__g").alias("__h"), F.col("__id").alias("__other"), F.col("__v").alias("__w"), every.alias("__c"), own.alias("__d"))
+    kinds = dict(rows.dtypes)
+    near = asked.groupBy("__g", "__a", "__b").cogroup(held.groupBy("__h", "__c", "__d")).applyInArrow(_nearest(k), f"__g {kinds['__g']}, __id {kinds['__id']}, neighbour {kinds['__id']}, distance double")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("__g", "__id").orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
     return ranked.select(F.col("__g").alias(period), F.col("__id").alias(id_col), "neighbour", "distance", "rank")

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.names import normalized
+
 
 def checked(value: int, low: int, high: int, name: str) -> int:
     if not isinstance(value, int) or not low <= value <= high:
@@ -23,7 +25,7 @@ def clamped(value: int, low: int, high: int) -> int:
 def search(persons: DataFrame, needle: str, limit: int = 20) -> DataFrame:
     """Names that contain the needle (normalised on both sides); entities of several
     systems first."""
-    rows = persons.where(F.contains("normalized_name", F.lit(needle.strip().lower())))
+    rows = persons.where(F.contains("normalized_name", normalized(F.lit(needle))))
     return rows.orderBy(F.when(F.instr("systems", "+") > 0, 0).otherwise(1), "display_name", "person_id").limit(clamped(limit, 1, 50))
 
 
@@ -76,7 +78,9 @@ def projection_page(rows: DataFrame, persons: DataFrame, direction: str | None =
 
 
 def archetypes(definitions: DataFrame) -> DataFrame:
-    return definitions.orderBy(F.col("stability").desc(), "cluster")
+    """The most stable first (null last), with a warning where one is not reportable."""
+    warning = F.when(~F.coalesce("reportable", F.lit(False)), "not stable enough to report")
+    return definitions.withColumn("warning", warning).orderBy(F.col("stability").desc_nulls_last(), "cluster")
 
 
 def archetype_of(person: str, labels: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -16,22 +16,9 @@ from tidemark.functions import names as N
 from tidemark.operators import audit as A
 from tidemark.operators import checks as C
 from tidemark.operators import cohort, identity, linmod, moments, roles, serving, shrink
+from tidemark.plans.registry import QUERIES, SQL, query
 from tidemark.sources.tables import csv_or_empty, sql_literal, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 # ---- the panel -------------------------------------------------------------
 
 SOURCE, TARGET, QUALIFIED = 200_000, 150_000, 150_000
@@ -147,14 +134,6 @@ def ent14_selection_summary(spark, d):
     return out.select("direction", "n_movers", "n_peers", *r6("mover_mean", "peer_mean", "selection"))
 
 
-@query(PANEL + """, facts as (select entity, direction, source_period, unnest([{'name': 'source_value', 'value': source_value}, {'name': 'target_value', 'value': target_value}, {'name': 'z_source', 'value': z_source}, {'name': 'gap', 'value': cast(gap as double)}]) as f from trans)
-select entity, direction, source_period, 'F' || lpad(cast(row_number() over (partition by entity, direction, source_period order by f.name) as varchar), 3, '0') as fact_id, f.name as statement, round(f.value, 6) as value from facts""")
-def ent15_fact_table(spark, d):
-    facts = transitions(spark, d).select("entity", "direction", "source_period", F.inline(F.array(*[F.struct(F.lit(n).alias("statement"), F.col(n).cast("double").alias("value")) for n in ("source_value", "target_value", "z_source", "gap")])))
-    at = F.row_number().over(Window.partitionBy("entity", "direction", "source_period").orderBy("statement"))
-    return facts.select("entity", "direction", "source_period", F.concat(F.lit("F"), F.lpad(at.cast("string"), 3, "0")).alias("fact_id"), "statement", F.round("value", 6).alias("value"))
-
-
 @query("select c_custkey, list_aggregate(list_sort(list_distinct(list_filter(list_concat([c_name], string_split_regex(c_name, '[#\\s]+')), lambda x: length(x) >= 4))), 'string_agg', ',') as terms from customer")
 def ent16_redaction_terms(spark, d):
     spaced = F.regexp_replace("c_name", "#", " ")
@@ -378,13 +357,12 @@ def ml3_predicted_transitions(spark, d):
 
 @query()
 def ml6_walk_forward(spark, d):
-    return linmod.walk_forward(transitions(spark, d), _stage1(spark, d), 1997, age="n").select("entity", "direction", "target_period", "value_hat", "error")
+    return linmod.walk_forward(transitions(spark, d), _stage1(spark, d), 1997, age="n").select("entity", "direction", "target_period", "value_hat", "error", "b_mean", "b_folk", "b_same_z", "b_persist")
 
 
 @query()
 def ml7_shuffled_control(spark, d):
-    mixed = linmod.shuffled_targets(transitions(spark, d), ["entity", "direction", "source_period"])
-    return linmod.baseline_errors(linmod.baselines(mixed), ["b_mean", "b_same_z"])
+    return linmod.shuffled_control(transitions(spark, d), _stage1(spark, d), 1997, ["entity", "direction", "source_period"], age="n")
 
 
 @query()
@@ -467,20 +445,10 @@ def _texts(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
 
 
-@query()
-def tx1_numbers(spark, d):
-    return A.numbers(_texts(spark, d)).select("doc", "token_no", "token", "value", "window", "as_share")
-
-
 def _facts(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit("F001").alias("fact_id"), F.lit("characters").alias("statement"), F.col("n_chars").cast("double").alias("value"), F.lit("count").alias("unit"))
 
 
-@query()
-def tx3_traced_numbers(spark, d):
-    return A.trace(A.numbers(_texts(spark, d)), A.candidates(_facts(spark, d), A.render(_facts(spark, d)))).select("doc", "token_no", "token", "traced")
-
-
 @query("""select doc_id as doc, '[F001] characters: ' || n_chars || '' as body, substr(sha256('[F001] characters: ' || n_chars), 1, 16) as digest from documents""")
 def str8_rendered_facts(spark, d):
     return A.render(_facts(spark, d)).withColumn("digest", A.digest())
@@ -541,7 +509,7 @@ def va10_profile(spark, d):
     return C.profile(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")).drop("dtype")
 
 
-@query("""with h as (select md5(c_custkey || '|' || c_name) as m from customer) select count(*) as n_rows, substr(sha256(count(*) || '-' || sum(('0x' || substr(m, 1, 8))::bigint) || '-' || sum(('0x' || substr(m, 9, 8))::bigint) || '-' || sum(('0x' || substr(m, 17, 8))::bigint) || '-' || sum(('0x' || substr(m, 25, 8))::bigint)), 1, 32) as content_hash from h""")
+@query("""with h as (select md5(len(c_custkey::varchar) || ':' || c_custkey || '|' || len(c_name) || ':' || c_name) as m from customer) select count(*) as n_rows, substr(sha256(count(*) || '-' || sum(('0x' || substr(m, 1, 8))::bigint) || '-' || sum(('0x' || substr(m, 9, 8))::bigint) || '-' || sum(('0x' || substr(m, 17, 8))::bigint) || '-' || sum(('0x' || substr(m, 25, 8))::bigint)), 1, 32) as content_hash from h""")
 def va11_content_hash(spark, d):
     return C.content_hash(table(spark, d, "customer").select("c_custkey", "c_name"))
 
@@ -605,7 +573,7 @@ def q7_projection_totals(spark, d):
 @query("""with p as (select a.label as period, a.vec_id as person_id, b.vec_id as neighbour, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: cast(x[1] - x[2] as double) * cast(x[1] - x[2] as double)))) as distance from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id = 3)
 select neighbour, person_id, rank::integer as rank, c_name as display_name from (select *, row_number() over (order by distance, neighbour) as rank from p) join customer on c_custkey = neighbour where rank <= 10""")
 def q10_comparables(spark, d):
-    comps = roles.neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", "label").withColumnRenamed("vec_id", "person_id").withColumnRenamed("label", "period")
+    comps = roles.neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", "label", of=F.col("vec_id") == 3).withColumnRenamed("vec_id", "person_id").withColumnRenamed("label", "period")
     return serving.comparables(3, comps, _persons(spark, d)).select("neighbour", "person_id", "rank", "display_name")
 
 
@@ -617,8 +585,12 @@ def q12_shooting_leaders(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tidemark.plans import extended  # noqa: F401  (it registers its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tidemark.plans import extended  # noqa: F401
+
     return dict(SQL)

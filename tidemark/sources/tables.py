@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -78,14 +79,24 @@ def write_with_contract(df: DataFrame, path: str) -> None:
 
 
 def replace_all(frames: dict[str, DataFrame], folder: str) -> None:
-    """All tables or none: written to a staging folder, then renamed into place."""
+    """All tables or none. They are written to a staging folder of their own name; the
+    live folder is set aside, and put back if the new one cannot take its place. What a
+    failed run leaves is never published."""
     spark = next(iter(frames.values())).sparkSession
+    run = uuid.uuid4().hex
+    staging, aside = f"{folder}.staging-{run}", f"{folder}.old-{run}"
     for name, df in frames.items():
-        df.write.mode("overwrite").parquet(f"{folder}.staging/{name}.parquet")
+        df.write.parquet(f"{staging}/{name}.parquet")
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path(folder), True)
-    fs.rename(path(f"{folder}.staging"), path(folder))
+    live = fs.exists(path(folder))
+    if live and not fs.rename(path(folder), path(aside)):
+        raise OSError(f"{folder} could not be set aside; it is unchanged")
+    if not fs.rename(path(staging), path(folder)):
+        if live:
+            fs.rename(path(aside), path(folder))
+        raise OSError(f"{staging} could not take the place of {folder}")
+    fs.delete(path(aside), True)
 
 
 def sql_literal(c: Column, kind: str) -> Column:
@@ -132,9 +143,12 @@ def test_slice(tables: dict[str, DataFrame], key: str, anchors: list[str], mover
     return {name: df.join(F.broadcast(chosen), key, "left_semi") if key in df.columns else df for name, df in tables.items()}
 
 
-def run_log(path: str, run_id: str, metrics: dict) -> str:
-    """A sorted-key JSON record of a run, on the driver."""
+def run_log(spark: SparkSession, path: str, run_id: str, metrics: dict) -> str:
+    """A sorted-key JSON record of a run, on any file system that Spark writes."""
     name = f"{path}/{run_id}.json"
-    with open(name, "w") as f:
-        json.dump(metrics, f, sort_keys=True, indent=1)
+    spark.createDataFrame([(json.dumps(metrics, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(name)
     return name
+
+
+def read_run_log(spark: SparkSession, name: str) -> dict:
+    return json.loads(spark.read.text(name).first().value)
