@@ -25,6 +25,23 @@ def test_stages_take_effect(spark, sf):
     assert five.count() == four.count() and set(docs.columns) | {"shard", "slot"} <= set(five.columns)
 
 
+def test_defined_cases_of_every_stage(spark, sf):
+    """Nulls in any column, blank and long texts, repeated rows, columns with clashing names."""
+    long = "one two three four five " * 3000 + "end"
+    rows = [(1, None, None, None), (2, "", "a", "en"), (None, "alpha beta gamma delta epsilon zeta", "a", None), (4, long, None, "en"), (4, long, None, "en"), (5, long + " more", "b", "en"), (6, "alpha beta gamma delta epsilon zeta eta", "a", "en")]
+    docs = spark.createDataFrame([(*r, 7, "x", 0.5, "keep") for r in rows], "doc_id long, text string, source string, lang string, size int, slot string, rate double, item string")
+    count = {"quality classifier": 5, "MinHash near-dedup": 6, "benchmark decontamination": 7}
+    for name, stage in P.STAGES:
+        got = settle(stage(spark, docs, sf)).collect()
+        assert settle(stage(spark, docs.where("doc_id = -1"), sf)).count() == 0
+        if name in count:
+            assert len(got) == count[name], name
+        if name != P.STAGES[-1][0]:
+            assert all(r.asDict().keys() == set(docs.columns) and (r["size"], r.slot, r.rate, r["item"]) == (7, "x", 0.5, "keep") for r in got), name
+        else:
+            assert len(got) == len(rows) and all(r["item"] == "keep" and r.rate == 0.5 for r in got)
+
+
 def test_run(spark, sf):
     rows = P.run(spark, sf).collect()
     assert rows and {r.shard for r in rows} == set(range(24))

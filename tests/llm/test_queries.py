@@ -1,0 +1,91 @@
+"""The registered queries' own columns against plain Python, and code that workers do not have."""
+
+import hashlib
+import os
+import subprocess
+import sys
+import zlib
+
+import brute
+from test_mixing_sharding import plain_targets
+
+from tidemark.llm import queries as Q
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def docs_of(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").collect()
+
+
+def test_op2(spark, sf):
+    rows = docs_of(spark, sf)
+    size = {r.doc_id: len(brute.PLAIN.findall(r.text or "")) for r in rows}
+    sizes = {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + size[r.doc_id]
+    source, want = {r.doc_id: r.source for r in rows}, plain_targets(sizes)
+    got = Q.op2_entropy_balanced_mix(spark, sf).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        s = source[r.doc_id]
+        assert (r.size, r.source_size) == (size[r.doc_id], sizes[s]) and abs(r.target - want[s]) < 1e-6 * want[s] and 0 <= r.taken <= 3 * r.size
+
+
+def test_op4(spark, sf):
+    got = {r.doc_id: r for r in Q.op4_trigram_secrets(spark, sf).collect()}
+    rows = docs_of(spark, sf)
+    assert len(got) == len(rows)
+    for r in rows:
+        spans = brute.secrets(r.text)
+        kinds = [s.split(":")[0] for s in spans]
+        own = got[r.doc_id]
+        assert (own.n_assign, own.n_access, own.n_hex) == tuple(kinds.count(k) for k in ("assign", "access", "hex"))
+        assert own.base_sha256 == sha(",".join(spans)) and set(spans) <= set(own.spans.split(","))
+
+
+def test_op5(spark, sf):
+    rows = {r.doc_id: r.text or "" for r in docs_of(spark, sf)}
+    for r in Q.op5_hilbert_shards(spark, sf).collect():
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(rows[r.doc_id].encode()) + 8, zlib.crc32(rows[r.doc_id].encode()), "rows", None)
+
+
+def test_op7(spark, sf):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = brute.contamination([(r.doc_id, r.text) for r in docs_of(spark, sf)], items)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in Q.op7_positional_decontamination(spark, sf).collect()}
+    assert got == {i: (n, hit, len(own), sha(",".join(own)), hit > 0) for i, (n, hit, own) in want.items()}
+
+
+def test_op9(spark, sf):
+    want = brute.near_duplicates([(r.doc_id, r.text) for r in docs_of(spark, sf)])
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in Q.op9_minmax_near_duplicates(spark, sf).collect()}
+    assert got == {i: (n, c, i == c) for i, (n, c) in want.items()}
+
+
+def test_op10(spark, sf):
+    want = brute.repeated_windows([(r.doc_id, r.text) for r in docs_of(spark, sf)])
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in Q.op10_fm_index_repeats(spark, sf).collect()} == want
+
+
+def test_a_session_that_starts_elsewhere(tmp_path):
+    """The driver alone finds the package; its workers get it from the session."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from tidemark.functions.names import normalized
+from tidemark.llm.fm_index import remove_repeats
+from tidemark.llm.hilbert import shard
+docs = spark.createDataFrame([(i, "é w x y z " * 9) for i in range(3)], "doc_id long, text string")
+assert sum(r.n_removed for r in remove_repeats(docs).collect()) > 0
+assert shard(docs).count() == 3
+assert docs.select(normalized("text").alias("k")).first().k.startswith("e")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
