@@ -52,8 +52,8 @@ NEAR, NEAR_FIRST, FIRST_TABLES, SAMPLE = 22, 14, 4, 1000
 #: A slot with more than this share of all entries is dealt over PARTS tasks; first entries are
 #: taken in each of PARTS parts of a slot.
 COMMON, PARTS = 1e-4, 16
-#: Pixels, and keypoints, that are worked on at once.
-PIXELS, AT_ONCE = 1 << 18, 1024
+#: Pixels, and keypoints, that are worked on at once; rows that are decoded at once.
+PIXELS, AT_ONCE, DECODED = 1 << 18, 1024, 64
 #: An inlier lies within this part of the picture's longer side, and LOCAL pixels of its own
 #: scale, of where the transform puts it; a match's own turn and zoom may be off by so much.
 TOLERANCE, LOCAL, TURN, ZOOM = 0.02, 1.5, np.pi / 6, np.log(1.7)
@@ -267,7 +267,10 @@ def keypoints(media: DataFrame, decode: Callable[[pa.Array], Iterator[np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: dict[tuple, tuple[list, list]] = {}
-            for image, picture in zip(batch.column(0).to_pylist(), decode(batch.column(1)), strict=True):
+            # a decoder gets few rows at a time: pictures are much larger than what they come from
+            slices = (batch.slice(at, DECODED) for at in range(0, batch.num_rows, DECODED))
+            decoded = (pair for part in slices for pair in zip(part.column(0).to_pylist(), decode(part.column(1)), strict=True))
+            for image, picture in decoded:
                 if picture is None or picture.size == 0:
                     yield pa.RecordBatch.from_arrays([pa.array([image if n == "image" else None], t) for n, t in zip(names, kinds, strict=True)], names)
                     continue
