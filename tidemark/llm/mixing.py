@@ -33,19 +33,35 @@ def targets(sizes: DataFrame, source_col: str, weights: tuple = (1, 2, 3), share
     """(source, source_size, target) of each source. Sources in code point
     order, null last, weigh ``weights`` in turn and share ``share`` of all
     tokens; a target stops at ``cap`` times its source's size and the excess is
-    shared by weight again until none is above (one water level, found with
-    running sums over the per-source totals)."""
+    shared by weight again until none is above.
+
+    Any number of sources: places come from sorted ranges and the ranges' counts (one row a
+    range on the driver), and the excess is shared anew by one aggregation a round."""
+    spark = sizes.sparkSession
+    order = F.col(source_col).asc_nulls_last()
     per = sizes.groupBy(source_col).agg(F.sum("size").alias("source_size"))
-    everyone = Window.orderBy(F.col(source_col).asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.row_number().over(everyone) - 1, F.lit(len(weights))) + 1)
-    per = per.withColumn("w", weight).withColumn("most", F.col("source_size") * cap)
-    fill = Window.orderBy(F.col("most") / F.col("w"), F.col(source_col).asc_nulls_last())
-    below = F.coalesce(F.sum("most").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    whole = Window.partitionBy()
-    per = per.withColumn("level", (F.sum("source_size").over(whole) * share - below) / F.sum("w").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-    # sources sorted by cap / weight: levels rise up to the first uncapped one and fall after it
-    level = F.max(F.when(F.col("most") / F.col("w") >= F.col("level"), F.col("level"))).over(whole)
-    return per.withColumn("target", F.least("most", F.col("w") * level)).select(source_col, "source_size", "target")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = per.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
+    ranged = settle(ranged.withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "sources")
+    before, rows = 0, []
+    for part, count in sorted(ranged.groupBy("__part").count().collect()):
+        rows.append((part, before))
+        before += count
+    offsets = F.broadcast(spark.createDataFrame(rows, "__part int, __before long"))
+    turn = F.pmod(F.col("__before") + F.col("__at"), F.lit(len(weights))).cast("int") + 1
+    per = ranged.join(offsets, "__part").withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn))
+    per = settle(per.select(source_col, "source_size", "w", (F.col("source_size") * cap).alias("most")), "source-weights")
+
+    level, closed = 0.0, -1
+    while True:
+        full = F.col("most") <= F.col("w") * level
+        r = per.agg(F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("most"))).alias("held"), F.sum(F.when(~full, F.col("w"))).alias("open"), F.count_if(full).alias("n")).first()
+        if not r.open or r.n == closed:
+            break
+        # the level only rises, and every round but the last closes a source
+        level, closed = ((r["all"] or 0) * share - (r.held or 0.0)) / r.open, r.n
+    target = F.col("most") if not r.open else F.least("most", F.col("w") * level)
+    return per.select(source_col, "source_size", target.alias("target"))
 
 
 def balance(histogram: DataFrame, goals: DataFrame, source_col: str, cap: float = 3.0) -> DataFrame:
