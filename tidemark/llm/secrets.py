@@ -34,6 +34,8 @@ RULES = [
 BASE = 3
 #: Trigrams an alternative asks for at most; those of the rarest letters are the most selective.
 ASKED = 4
+#: Matches of one text that are placed one after the other.
+RUN = 256
 _COMMON = "etaoinshrdlcumwfgypbvk"
 
 
@@ -78,22 +80,36 @@ def _extended(state: tuple, c: str) -> tuple:
 
 def spans(text: Column, kind_no: int, rule: tuple) -> Column:
     """array<struct<start, kind_no, end>> of the rule's matches, in code points.
-    The text between matches comes from splitting by the same regex."""
+    The text between matches comes from splitting by the same regex.
+
+    Matches are placed in runs of RUN, each from the place where the run before it ends,
+    so a text with very many matches never grows one array match by match."""
     _, pattern, least, group = rule
     gaps = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     shape = "struct<start:int,kind_no:int,end:int,size:int>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{shape}>").alias("out"))
 
     def step(acc, m):
-        start = acc["at"] + F.length(m["gap"])
-        end = start + F.length(m["whole"])
-        one = F.struct(start.alias("start"), F.lit(kind_no).alias("kind_no"), end.alias("end"), F.length(m["part"]).alias("size"))
+        start = acc["at"] + m["gap"]
+        end = start + m["whole"]
+        one = F.struct(start.alias("start"), F.lit(kind_no).alias("kind_no"), end.alias("end"), m["part"].alias("size"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), part.alias("part"))
-    found = F.aggregate(zipped, begin, step, lambda acc: acc["out"])
+    def length(x):
+        return F.transform(x, F.length)
+
+    def run(acc, first):
+        """Add a run as one array; ``at`` is where it ends."""
+        own = F.slice(acc["left"], first, RUN)
+        begin = F.struct(acc["at"].alias("at"), F.array().cast(f"array<{shape}>").alias("out"))
+        done = F.aggregate(own, begin, step)
+        return F.struct(done["at"].alias("at"), F.concat(acc["runs"], F.array(done["out"])).alias("runs"), acc["left"].alias("left"))
+
+    zipped = F.arrays_zip(F.slice(length(gaps), 1, F.size(whole)).alias("gap"), length(whole).alias("whole"), length(part).alias("part"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{shape}>>").alias("runs"), zipped.alias("left"))
+    firsts = F.when(F.size(whole) > 0, F.sequence(F.lit(1), F.size(whole), F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+    found = F.flatten(F.aggregate(firsts, begin, run, lambda acc: acc["runs"]))
     return F.filter(found, lambda s: s["size"] >= least)
 
 
