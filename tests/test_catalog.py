@@ -49,7 +49,7 @@ def test_filters_reach_the_scan(spark, sf):
 def test_groups_are_combined_before_they_meet_their_rows(spark, sf):
     for name in ("ent6_standardized_panel", "ent5_common_denominators", "ml10_beta_shrink", "ml12_supplier_z"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
-        assert "Window" not in plan and "partial_sum" in plan and "BroadcastHashJoin" in plan, name
+        assert "Window" not in plan and "partial_" in plan and "BroadcastHashJoin" in plan, name
 
 
 def test_many_groups_are_joined_by_their_keys(spark, monkeypatch):
