@@ -44,7 +44,7 @@ GRAM = 5
 #: Documents that may share a minimizer before its windows are routed singly.
 HOT = 20_000
 #: Words that one shard's index covers, about; text places between two kept suffixes.
-SHARD_WORDS, SAMPLE = 1 << 20, 8
+SHARD_WORDS, SAMPLE = 1 << 18, 8
 #: Segments that a task remembers as written, so that it writes their text once.
 REMEMBERED = 500_000
 #: Where a null id stands in document order: behind all others.
