@@ -134,7 +134,16 @@ def tx6_rule_errors(spark, d):
     return A.rule_errors(docs, docs.select("doc", (F.col("doc") % 3 - 1).alias("change"), (F.col("doc") % 2 == 0).alias("beats_baseline")))
 
 
-@query()
+PLAIN = "lower(replace(strip_accents(translate({}, 'đĐðÐøØłŁ', 'dDdDoOlL')), 'ß', 'ss'))"
+WORD = "\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}"
+
+
+@query("""with sentences as (select doc_id as doc, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) as sentence from documents),
+words as (select doc, unnest((regexp_extract_all(sentence, '[""" + WORD + """''’-]+'))[2:]) as word from sentences),
+names as (select distinct doc, word from words where regexp_matches(word, '^\\p{Lu}\\p{Ll}')),
+parts as (select doc, word, unnest(string_split(regexp_replace(""" + PLAIN.format("word") + """, '[''’]s$', ''), '-')) as part from names),
+known as (select distinct doc_id as doc, unnest(regexp_extract_all(""" + PLAIN.format("substr(text, 1, length(text) // 2)") + """, '[""" + WORD + """]+')) as part from documents)
+select distinct doc, word from parts anti join known using (doc, part)""")
 def tx5_unsupported_names(spark, d):
     docs = K._texts(spark, d)
     return A.unsupported_names(docs, docs.select("doc", F.col("text").substr(F.lit(1), F.length("text") / 2).alias("body")))
