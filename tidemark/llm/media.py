@@ -393,11 +393,16 @@ def class_links(classes: DataFrame, points: DataFrame, consensus: int) -> DataFr
     one = entries.join(known, "image").groupBy("slot", "component").agg(F.min(F.struct("image", "point", "s0", "s1")).alias("e"))
     rows = alone.union(one.select("slot", "component", "e.image", "e.point", "e.s0", "e.s1"))
     # at most 1 / COMMON slots, whatever the input
-    common = entries.freqItems(["slot"], COMMON).select(F.explode("slot_freqItems").alias("slot"), F.lit(PARTS).alias("parts"))
-    rows = rows.join(F.broadcast(common), "slot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    x = rows.select("slot", F.pmod(F.xxhash64("image"), "parts").cast("int").alias("part"), *[F.col(c).alias(f"x_{c}") for c in columns])
-    y = rows.select("slot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"y_{c}") for c in columns])
-    near = x.join(y, ["slot", "part"]).where(F.expr(f"x_component < y_component and bit_count(x_s0 ^ y_s0) + bit_count(x_s1 ^ y_s1) <= {NEAR}"))
+    common = entries.freqItems(["slot"], COMMON).select(F.explode("slot_freqItems").alias("slot"), F.lit(True).alias("common"))
+    rows = rows.join(F.broadcast(common), "slot", "left")
+    named = lambda df, name, *keys: df.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    close = F.expr(f"x_component < y_component and bit_count(x_s0 ^ y_s0) + bit_count(x_s1 ^ y_s1) <= {NEAR}")
+    few, many = rows.where("common is null"), rows.where("common")
+    # both sides of the usual slots are one shuffle; of a common slot, one side is dealt and the other repeated
+    dealt = many.withColumn("part", F.pmod(F.xxhash64("image"), F.lit(PARTS)).cast("int"))
+    repeated = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    near = named(few, "x", "slot").join(named(few, "y", "slot"), "slot").where(close).drop("slot")
+    near = near.union(named(dealt, "x", "slot", "part").join(named(repeated, "y", "slot", "part"), ["slot", "part"]).where(close).drop("slot", "part"))
     ahead = F.col("x_image") < F.col("y_image")
     side = lambda c, name, other: F.when(ahead, F.col(f"{name}_{c}")).otherwise(F.col(f"{other}_{c}"))
     met = _met(near.select(side("image", "x", "y").alias("a"), side("image", "y", "x").alias("b"), side("point", "x", "y").alias("a_point"), side("point", "y", "x").alias("b_point")))
