@@ -405,7 +405,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = found.where("route is not null").select("route", "p1", "p2", "id", "start", "payload")
     first = search_shards(parts, -(-n_words // shard_words) or 1, size)
     ranges = covered(found.select("p1", "p2", "id", "k1", "start").join(first, ["p1", "p2"]), size)
-    ranges = ranges.groupBy("id", "k1").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    # written, so that its real size decides how it meets the texts
+    ranges = settle(ranges.groupBy("id", "k1").agg(F.collect_list(F.struct("begin", "end")).alias("ranges")), "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
