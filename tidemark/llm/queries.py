@@ -82,6 +82,12 @@ def op10_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.divergence import source_divergence
+
+    return source_divergence(_read(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.periodic import described, periodic_runs, with_planted_tails
 
@@ -93,6 +99,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemark.llm import lines
+    from tidemark.llm import divergence, lines
 
-    return {"op3_line_window_dedup": lines.ORACLE}
+    return {"op3_line_window_dedup": lines.ORACLE, "op11_source_divergence": divergence.ORACLE}
