@@ -88,6 +88,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_read(spark, sf_dir, "documents"))
 
 
+def op12_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.hmm import score_documents
+
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    found = score_documents(_read(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.periodic import described, periodic_runs, with_planted_tails
 
