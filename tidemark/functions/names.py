@@ -79,7 +79,7 @@ def parse_period(x: str | Column, groups: list[str]) -> Column:
 
 
 def period_label(period: str | Column) -> Column:
-    """2023 as "2023-24", 1999 as "1999-00"."""
+    """1987 as "1987-88", the last year of a century as its number and "-00"."""
     return F.concat(col(period).cast("string"), F.lit("-"), F.lpad(F.pmod(col(period) + 1, F.lit(100)).cast("string"), 2, "0"))
 
 

@@ -40,19 +40,19 @@ sel as (select m.direction, mover_mean - peer_mean as selection from (select dir
 fr as (select t.*, z_source * target_sd + target_mean as projected, q.*, least(b_mean, b_folk) as best_mae, case when b_folk <= b_mean then 'b_folk' else 'b_mean' end as best, slope, n_direction, selection
   from trans t cross join q left join slopes using (direction) left join dirs using (direction) left join sel using (direction)),
 fl as (select *, unnest([
- {'at': 1, 's': 'The subject was in ' || source_group || ' in ' || source_period || ' and then moved to ' || target_group, 'v': null::double, 'u': 'period', 'src': 'pairs', 'm': null, 'r': null},
- {'at': 2, 's': 'Orders in the source period', 'v': n::double, 'u': 'count', 'src': 'panel.n', 'm': null, 'r': null}, {'at': 3, 's': 'Revenue in the source period', 'v': source_weight, 'u': 'number', 'src': 'panel.source_weight', 'm': null, 'r': null},
- {'at': 4, 's': case when gap > 1 then 'Periods between the last source period and the move' end, 'v': gap::double, 'u': 'count', 'src': 'pairs.gap', 'm': null, 'r': null},
- {'at': 5, 's': 'Source price', 'v': source_value, 'u': 'number', 'src': 'panel.price', 'm': 'price', 'r': 'source'}, {'at': 6, 's': 'Source price standardised within its group and period, so 0 is the average', 'v': z_source, 'u': 'sd', 'src': 'panel.z_price', 'm': 'price', 'r': 'z'},
- {'at': 7, 's': 'Projected price', 'v': projected, 'u': 'number', 'src': 'model', 'm': 'price', 'r': 'projected'},
- {'at': 8, 's': 'Lower bound of the 80% prediction interval for price', 'v': projected - 1.2815515655446004 * target_sd, 'u': 'number', 'src': 'model', 'm': 'price', 'r': 'low80'}, {'at': 9, 's': 'Upper bound of the 80% prediction interval for price', 'v': projected + 1.2815515655446004 * target_sd, 'u': 'number', 'src': 'model', 'm': 'price', 'r': 'high80'},
- {'at': 10, 's': 'Lower bound of the 95% prediction interval for price', 'v': projected - 1.959963984540054 * target_sd, 'u': 'number', 'src': 'model', 'm': 'price', 'r': 'low95'}, {'at': 11, 's': 'Upper bound of the 95% prediction interval for price', 'v': projected + 1.959963984540054 * target_sd, 'u': 'number', 'src': 'model', 'm': 'price', 'r': 'high95'},
- {'at': 12, 's': 'Weighted average price of qualified rows of the target', 'v': target_mean, 'u': 'number', 'src': 'moments.mean', 'm': 'price', 'r': 'mean'}, {'at': 13, 's': 'Standard deviation of price of qualified rows of the target', 'v': target_sd, 'u': 'number', 'src': 'moments.sd', 'm': 'price', 'r': 'sd'},
- {'at': 14, 's': 'What price would be if the subject held its standing exactly', 'v': projected, 'u': 'number', 'src': 'baselines', 'm': 'price', 'r': 'same_z'}, {'at': 15, 's': 'What the folk rule gives for price', 'v': source_value * 0.75, 'u': 'number', 'src': 'baselines', 'm': 'price', 'r': 'folk'},
- {'at': 16, 's': 'Mean absolute error of the price projection over ' || n_evaluated || ' held-out moves', 'v': mae, 'u': 'number', 'src': 'run', 'm': 'price', 'r': 'mae'},
- {'at': 17, 's': 'Error of the best simple prediction of price (' || best || '); ' || case when mae < best_mae then 'the model beats it' else 'the model is WORSE than it and should not be trusted here' end, 'v': best_mae, 'u': 'number', 'src': 'run', 'm': 'price', 'r': 'best_mae'},
- {'at': 18, 's': case when slope is not null then 'Slope fitted for ' || direction || ' on price alone' end, 'v': slope, 'u': 'none', 'src': 'run', 'm': 'price', 'r': 'slope'},
- {'at': 19, 's': 'Number of historical ' || direction || ' moves', 'v': n_direction::double, 'u': 'count', 'src': 'pairs', 'm': null, 'r': null}, {'at': 20, 's': case when selection is not null then 'How far above their peers the movers of this direction already sat' end, 'v': selection, 'u': 'sd', 'src': 'selection', 'm': null, 'r': null}]) as f from fr),
+ {'at': 1, 's': 'Forecast of price after the move', 'v': projected, 'u': 'number', 'src': 'model', 'm': 'price', 'r': 'projected'},
+ {'at': 2, 's': '10th percentile of the forecast of price', 'v': projected - 1.2815515655446004 * target_sd, 'u': 'number', 'src': 'model', 'm': 'price', 'r': 'low80'}, {'at': 3, 's': '90th percentile of the forecast of price', 'v': projected + 1.2815515655446004 * target_sd, 'u': 'number', 'src': 'model', 'm': 'price', 'r': 'high80'},
+ {'at': 4, 's': '2.5th percentile of the forecast of price', 'v': projected - 1.959963984540054 * target_sd, 'u': 'number', 'src': 'model', 'm': 'price', 'r': 'low95'}, {'at': 5, 's': '97.5th percentile of the forecast of price', 'v': projected + 1.959963984540054 * target_sd, 'u': 'number', 'src': 'model', 'm': 'price', 'r': 'high95'},
+ {'at': 6, 's': 'Observed price before the move', 'v': source_value, 'u': 'number', 'src': 'panel.price', 'm': 'price', 'r': 'source'}, {'at': 7, 's': 'Observed price less the mean of its cell, in standard deviations', 'v': z_source, 'u': 'sd', 'src': 'panel.z_price', 'm': 'price', 'r': 'z'},
+ {'at': 8, 's': 'Mean price where the move leads, by weight', 'v': target_mean, 'u': 'number', 'src': 'moments', 'm': 'price', 'r': 'mean'}, {'at': 9, 's': 'Spread of price where the move leads', 'v': target_sd, 'u': 'number', 'src': 'moments', 'm': 'price', 'r': 'sd'},
+ {'at': 10, 's': 'price at an unchanged number of standard deviations', 'v': projected, 'u': 'number', 'src': 'baselines', 'm': 'price', 'r': 'same_z'}, {'at': 11, 's': 'price by the fixed multiplier', 'v': source_value * 0.75, 'u': 'number', 'src': 'baselines', 'm': 'price', 'r': 'folk'},
+ {'at': 12, 's': 'Mean miss of price forecasts (' || n_evaluated || ' moves)', 'v': mae, 'u': 'number', 'src': 'run', 'm': 'price', 'r': 'mae'},
+ {'at': 13, 's': 'Mean miss of price by rule ' || best || ', ' || case when mae < best_mae then 'more than the forecast''s' else 'no more than the forecast''s, so the rule is preferred' end, 'v': best_mae, 'u': 'number', 'src': 'run', 'm': 'price', 'r': 'best_mae'},
+ {'at': 14, 's': case when slope is not null then 'Gain of price standing per unit of earlier standing, ' || direction end, 'v': slope, 'u': 'none', 'src': 'run', 'm': 'price', 'r': 'slope'},
+ {'at': 15, 's': 'Moves along ' || direction, 'v': n_direction::double, 'u': 'count', 'src': 'pairs', 'm': null, 'r': null}, {'at': 16, 's': case when selection is not null then 'Lead of movers along ' || direction || ' over those who stayed, before moving' end, 'v': selection, 'u': 'sd', 'src': 'selection', 'm': null, 'r': null},
+ {'at': 17, 's': 'Orders, last period before the move', 'v': n::double, 'u': 'count', 'src': 'panel.n', 'm': null, 'r': null}, {'at': 18, 's': 'Revenue, last period before the move', 'v': source_weight, 'u': 'number', 'src': 'panel.source_weight', 'm': null, 'r': null},
+ {'at': 19, 's': case when gap > 1 then 'Periods from the last one before the move to the first one after it' end, 'v': gap::double, 'u': 'count', 'src': 'pairs.gap', 'm': null, 'r': null},
+ {'at': 20, 's': source_group || ' left after ' || source_period || ' for ' || target_group, 'v': null::double, 'u': 'period', 'src': 'pairs', 'm': null, 'r': null}]) as f from fr),
 facts as (select entity, direction, source_period, target_period, 'f' || lpad(row_number() over (partition by entity, direction, source_period, target_period order by f.at)::varchar, 2, '0') as fact_id, f.s as statement, f.v as value, f.u as unit, f.src as source, f.m as metric, f.r as role from fl where f.s is not null)
 """
 # values as they are compared: few enough digits that the order of a sum does not show, and no halves
@@ -74,7 +74,8 @@ def _facts(spark, d) -> DataFrame:
     counts = K.pairs(spark, d).groupBy("direction").agg(F.count("*").alias("n_direction"))
     chosen = K.cohort.selection_summary(t, K.z_panel(spark, d), "price", F.col("qualified")).select("direction", "selection")
     frame = t.join(slopes, "direction", "left").join(counts, "direction", "left").join(chosen, "direction", "left")
-    facts = E.context_facts({"n": ("Orders", "count"), "source_weight": ("Revenue", "number")}) + E.metric_facts("price", "price", "number", folk=True) + E.quality_facts("price", "price", "number") + E.cohort_facts()
+    say = E.Facts()
+    facts = [*say.metric("price", "price", "number", folk=True), *say.quality("price", "price", "number"), *say.cohort(), *say.move({"n": ("Orders", "count"), "source_weight": ("Revenue", "number")})]
     return E.fact_table(frame, KEY, facts)
 
 
