@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import linmod, roles
+from tidemark.operators.resampling import copies, resampled_sums
 
 KIND = "entity string, direction string, z_source double, z_target double, source_age double, log_source_weight double, gap int, target_mean double, target_sd double, target_period int, source_value double, target_value double"
 
@@ -34,7 +35,40 @@ def test_parameter_recovery(stage1, frame):
     wide = linmod.predict(frame, fit, level=0.95).collect()
     assert all(w.high - w.low > r.high - r.low > 0 for r, w in zip(rows, wide))
     assert np.mean([r.low <= r.target_value <= r.high for r in rows]) == pytest.approx(0.8, abs=0.1)
-    assert fit["dir:unseen"] == 0.0
+    unseen = frame.limit(1).withColumn("direction", F.lit("C->D"))
+    got = linmod.predict(unseen, fit).withColumn("by_hand", linmod.linear(fit, linmod.transition_features(stage1))).first()
+    assert got.z_hat == pytest.approx(got.by_hand)
+
+
+def dummies(rows, persisted, train, test):
+    """z_hat of ``test`` by least squares with one column a direction, at once."""
+    ways = sorted({r.direction for r in train})
+    line = lambda r: [float(r.direction == d) for d in ways] + [persisted(r), r.log_source_weight, float(r.gap)]
+    coef, *_ = np.linalg.lstsq(np.array([line(r) for r in train]), np.array([r.z_target for r in train]), rcond=None)
+    return [float(np.dot(line(r), coef)) for r in test]
+
+
+def by_hand(stage1):
+    mean = stage1.extra["mean_log_weight"]
+    return lambda r: stage1["one"] + stage1["z"] * r.z_source + stage1["age"] * (r.source_age - 27) + stage1["age2"] * (r.source_age - 27) ** 2 + stage1["log_weight"] * (r.log_source_weight - mean)
+
+
+def test_a_thousand_directions(spark, stage1):
+    """The absorbed levels and the coefficients are those of one column a direction."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(4000):
+        d, z = int(rng.integers(0, 1000)), rng.normal()
+        rows.append((f"p{i}", f"d{d:04d}", float(z), float(d / 500 + 0.6 * z + rng.normal() * 0.2), 25.0 + i % 9, float(rng.uniform(6, 8)), 1 + i % 2, 0.0, 1.0, 2010, 0.0, 0.0))
+    many = spark.createDataFrame(rows, KIND)
+    fit = linmod.fit_translation(many, stage1)
+    assert len(fit.coef) == 3 and fit.absorbed == many.select("direction").distinct().count() == fit.extra["levels"].count() > 950
+    got = linmod.predict(many, fit).select("entity", "z_hat").collect()
+    plain = many.collect()
+    want = dict(zip([r.entity for r in plain], dummies(plain, by_hand(stage1), plain, plain), strict=True))
+    assert max(abs(r.z_hat - want[r.entity]) for r in got) < 1e-8
+    rss = sum((r.z_target - want[r.entity]) ** 2 for r in plain)
+    assert fit.rss == pytest.approx(rss) and fit.residual_sd == pytest.approx((rss / (4000 - 3 - fit.absorbed)) ** 0.5)
 
 
 def test_few_rows_and_collinear_columns(spark):
@@ -53,12 +87,75 @@ def test_walk_forward_and_guards(stage1, frame):
         linmod.assert_earlier(frame, frame, "target_period")
     with pytest.raises(ValueError):
         linmod.assert_no_overlap(frame, frame, "entity")
+    with pytest.raises(ValueError, match="reaches period"):
+        linmod.guard_fold({"fold": 2000, "last": 2000, "n_off": 0, "n_seen": 0})
+    with pytest.raises(ValueError, match="earlier rows"):
+        linmod.guard_fold({"fold": 2000, "last": 1999, "n_off": 3, "n_seen": 4})
     none = frame.where(F.lit(False))
     linmod.assert_earlier(none, frame, "target_period")
     linmod.assert_no_overlap(none, frame, "entity")
     assert linmod.walk_forward(frame, stage1, 3000).count() == 0
 
 
+def test_walk_forward_equals_refitting(spark, stage1, frame):
+    """Every fold against a fit of its own training rows; few directions, one of them new in
+    a fold, and rows without an outcome."""
+    late = frame.limit(6).withColumn("direction", F.lit("C->A")).withColumn("target_period", F.lit(2020))
+    frame = frame.unionByName(late).unionByName(frame.limit(3).withColumn("z_target", F.lit(None).cast("double")))
+    rows = [r for r in frame.collect()]
+    got = {}
+    for r in linmod.walk_forward(frame, stage1, 2017).collect():
+        got.setdefault(r.target_period, []).append((r.entity, r.direction, r.z_source, r.z_hat))
+    assert len(got) >= 4
+    for t in range(2017, 2023):
+        test = [r for r in rows if r.target_period == t]
+        out = {r.entity for r in test}
+        train = [r for r in rows if r.target_period < t and r.entity not in out and r.z_target is not None]
+        ways = {r.direction for r in train}
+        known = [r for r in test if r.direction in ways]
+        want = sorted(zip([(r.entity, r.direction, r.z_source) for r in known], dummies(rows, by_hand(stage1), train, known), strict=True))
+        own = sorted(((e, d, z), hat) for e, d, z, hat in got[t] if d in ways)
+        assert [k for k, _ in own] == [k for k, _ in want] and np.allclose([v for _, v in own], [v for _, v in want], atol=1e-8)
+        assert len(got[t]) == len(test)
+
+
+def test_jobs_do_not_grow_with_the_folds(spark, stage1, frame):
+    def jobs(first):
+        spark.sparkContext.setJobGroup(f"folds{first}", "folds")
+        linmod.walk_forward(frame, stage1, first, min_train=1)
+        ids = spark.sparkContext.statusTracker().getJobIdsForGroup(f"folds{first}")
+        spark.sparkContext._jsc.clearJobGroup()
+        return len(ids)
+
+    few, many = jobs(2022), jobs(2014)
+    assert many <= few + 2
+
+
+def test_copies_of_a_draw(spark):
+    """They add up to n, are the same on other partitions, and spread as a multinomial's do."""
+    rows = spark.range(1500).select(F.col("id").cast("string").alias("k"), (F.col("id") % 7).alias("v"))
+    one, two = ({r.k: r.copies for r in copies(x, ["k"], 40, 9).collect()} for x in (rows.repartition(3), rows.repartition(11, "v")))
+    assert one == two and len(one) == 1500
+    times = np.array([one[k] for k in sorted(one)])
+    assert (times.sum(axis=0) == 1500).all() and times.var() == pytest.approx(1 - 1 / 1500, abs=0.03)
+    assert abs(np.corrcoef(times[:, 0], times[:, 1])[0, 1]) < 0.1
+    sums = {r.draw: r.v for r in resampled_sums(rows, "k", ["v"], 40, 9).collect()}
+    v = np.array([int(k) % 7 for k in sorted(one)])
+    assert [sums[d] for d in range(40)] == [float(x) for x in v @ times]
+    assert copies(rows.limit(0), ["k"], 3, 1).count() == 0 and resampled_sums(rows.limit(0), "k", ["v"], 3, 1).count() == 0
+
+
+def test_interval_against_plain_resampling(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"e{i}", float(x)) for i in range(300) for x in rng.normal(size=int(rng.integers(1, 6))) * (1 + i % 3)]
+    got = linmod.cluster_bootstrap(spark.createDataFrame(rows, "entity string, error double"), "entity", "error").first()
+    names = sorted({e for e, _ in rows})
+    s, n = (np.array([sum(f(x) for e, x in rows if e == name) for name in names]) for f in (abs, lambda x: 1))
+    picks = rng.integers(0, len(names), (4000, len(names)))
+    low, high = np.quantile(s[picks].sum(axis=1) / n[picks].sum(axis=1), [0.025, 0.975])
+    assert got.mae == pytest.approx(s.sum() / n.sum()) and abs(got.low - low) < 0.02 * got.mae and abs(got.high - high) < 0.02 * got.mae
+
+
 def test_control_and_bootstrap(spark, frame):
     mixed = linmod.shuffled_targets(frame, ["entity", "direction", "z_source"])
     a, b = ([sorted(round(r.z_target, 9) for r in x.collect())] for x in (frame, mixed))

@@ -1,8 +1,8 @@
 """Least squares from aggregated moments, walk-forward evaluation, intervals.
 
-A model's rows never leave the executors: one aggregation returns the cross products
-of its few columns, and the small system is solved by pseudo-inverse (minimum norm
-where columns are collinear)."""
+A model's rows never leave the executors: one aggregation returns the moments of its few
+columns, and the small system is solved on the driver. Moments are sums, so folds and
+levels of many groups come from adding and taking off moments, not from refitting."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import REFERENCE_AGE, from_z, normal_quantile
+from tidemark.operators.resampling import interval, resampled_sums
 
 # Least rows of a first stage, of a slope of its own, of a test and a
 # train fold, gap at which slopes disagree, multiplier of the folk rule, draws.
@@ -22,11 +23,14 @@ MIN_STAGE1, MIN_SLOPE, MIN_TEST, MIN_TRAIN, SLOPE_GAP, FOLK, DRAWS, SEED = 100,
 
 @dataclass
 class Fit:
+    """``absorbed``: levels of groups that were fitted beside the named columns."""
+
     names: list[str]
     coef: np.ndarray
     n: int
     rss: float
     tss: float
+    absorbed: int = 0
     extra: dict = field(default_factory=dict)
 
     @property
@@ -35,38 +39,101 @@ class Fit:
 
     @property
     def residual_sd(self) -> float:
-        return float(np.sqrt(self.rss / max(self.n - len(self.names), 1)))
+        return float(np.sqrt(self.rss / max(self.n - len(self.names) - self.absorbed, 1)))
 
     def __getitem__(self, name: str) -> float:
         return float(self.coef[self.names.index(name)]) if name in self.names else 0.0
 
 
-def gram_aggregates(x: list[Column], y: Column) -> list[Column]:
+# Moments of columns x0.. and, last, y: n, sums s<i> and products g<i>_<j>. They add up
+# over groups, and what is taken out of a group is taken off its moments.
+
+
+def fields(k: int) -> list[str]:
+    """Names of the moments of k columns with y."""
+    return ["n", *[f"s{i}" for i in range(k + 1)], *[f"g{i}_{j}" for i in range(k + 1) for j in range(i, k + 1)]]
+
+
+def moment_sums(x: list[Column], y: Column) -> list[Column]:
+    """Aggregates that make the moments; rows with an undefined value are left out."""
     cols = [*x, y]
-    return [F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))] + [F.count("*").alias("n"), F.sum(y).alias("sy")]
+    whole = reduce(lambda a, b: a & b, [c.isNotNull() for c in cols])
+    held = lambda v: F.coalesce(F.sum(F.when(whole, v)), F.lit(0.0))
+    sums = [F.count_if(whole), *[held(c) for c in cols], *[held(cols[i] * cols[j]) for i in range(len(cols)) for j in range(i, len(cols))]]
+    return [c.alias(name) for c, name in zip(sums, fields(len(x)), strict=True)]
+
+
+def added(k: int) -> list[Column]:
+    return [F.sum(f).alias(f) for f in fields(k)]
+
+
+def within_sums(groups: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """Moments about the groups' own means, added up over the rows of ``groups`` (one a group):
+    c<i>_<j>, n, n_groups, and sy and syy of the outcome as it is."""
+    about = lambda i, j: F.col(f"g{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")
+    rows = groups.where("n > 0").groupBy(*by)
+    return rows.agg(
+        F.sum("n").alias("n"), F.count("*").alias("n_groups"), F.sum(f"s{k}").alias("sy"), F.sum(f"g{k}_{k}").alias("syy"),
+        *[F.sum(about(i, j)).alias(f"c{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)])
+
+
+def solve_within(row, names: list[str]) -> Fit:
+    """Fit of the named columns beside one level a group, from one row of ``within_sums``."""
+    k, n = len(names), row["n"] or 0
+    c = np.zeros((k + 1, k + 1))
+    for i in range(k + 1):
+        for j in range(i, k + 1):
+            c[i, j] = c[j, i] = row[f"c{i}_{j}"] or 0.0
+    coef = least_squares(c[:k, :k], c[:k, k])
+    rss = max(0.0, float(c[k, k] - 2 * coef @ c[:k, k] + coef @ c[:k, :k] @ coef))
+    return Fit(names, coef, n, rss, float(row["syy"] - row["sy"] ** 2 / n) if n else 0.0, row["n_groups"] or 0)
+
+
+def least_squares(xx: np.ndarray, xy: np.ndarray) -> np.ndarray:
+    """Coefficients from cross products, columns brought to one length first; the shortest
+    solution where they are collinear."""
+    size = np.sqrt(np.maximum(np.diag(xx), 0))
+    unit = np.divide(1.0, size, out=np.zeros_like(size), where=size > 0)
+    return np.linalg.pinv(xx * np.outer(unit, unit), rcond=1e-12, hermitian=True) @ (xy * unit) * unit
 
 
-def solve(row, names: list[str]) -> Fit:
-    """Fit from one row of gram_aggregates."""
-    k = len(names)
+def level(coef: list[Column]) -> Column:
+    """A group's level from its moments: its mean outcome less what its means explain."""
+    k = len(coef)
+    return (F.col(f"s{k}") - reduce(lambda a, b: a + b, [c * F.col(f"s{i}") for i, c in enumerate(coef)])) / F.col("n")
+
+
+def ols(df: DataFrame, features: dict[str, Column], y: Column) -> Fit:
+    """Fit of ``features`` without a constant of its own; see ``ols_with_constant``."""
+    names, k = list(features), len(features)
+    row = df.agg(*moment_sums(list(features.values()), y)).first()
     g = np.zeros((k + 1, k + 1))
     for i in range(k + 1):
         for j in range(i, k + 1):
-            g[i, j] = g[j, i] = row[f"g{i}_{j}"] or 0.0
-    coef = np.linalg.pinv(g[:k, :k]) @ g[:k, k]
+            g[i, j] = g[j, i] = row[f"g{i}_{j}"]
+    coef, n = least_squares(g[:k, :k], g[:k, k]), row["n"]
     rss = max(0.0, float(g[k, k] - 2 * coef @ g[:k, k] + coef @ g[:k, :k] @ coef))
-    n = row["n"] or 0
-    return Fit(names, coef, n, rss, float(g[k, k] - (row["sy"] or 0.0) ** 2 / n) if n else 0.0)
+    return Fit(names, coef, n, rss, float(g[k, k] - row[f"s{k}"] ** 2 / n) if n else 0.0)
 
 
-def ols(df: DataFrame, features: dict[str, Column], y: Column) -> Fit:
-    return solve(df.agg(*gram_aggregates(list(features.values()), y)).first(), list(features))
+def ols_with_constant(df: DataFrame, features: dict[str, Column], y: Column) -> Fit:
+    """The same beside a constant (``one``), which is taken out before solving: columns that
+    hardly vary, and their squares, are told apart."""
+    k = len(features)
+    sums = df.agg(*moment_sums(list(features.values()), y))
+    one = sums.first()
+    about = {f"c{i}_{j}": one[f"g{i}_{j}"] - one[f"s{i}"] * one[f"s{j}"] / one["n"] if one["n"] else 0.0 for i in range(k + 1) for j in range(i, k + 1)}
+    fit = solve_within(about | {"n": one["n"], "n_groups": 1 if one["n"] else 0, "sy": one[f"s{k}"], "syy": one[f"g{k}_{k}"]}, list(features))
+    constant = (one[f"s{k}"] - fit.coef @ [one[f"s{i}"] for i in range(k)]) / one["n"] if one["n"] else 0.0
+    return Fit(["one", *fit.names], np.r_[constant, fit.coef], fit.n, fit.rss, fit.tss)
 
 
 def fit_persistence(frame: DataFrame, age: str = "age") -> Fit:
     """z_to on z_from, centred age, its square and centred log weight."""
     mean = frame.agg(F.avg("log_weight")).first()[0] or 0.0
-    fit = ols(frame, persistence_features("z_from", age, "log_weight", mean), F.col("z_to"))
+    features = persistence_features("z_from", age, "log_weight", mean)
+    features.pop("one")
+    fit = ols_with_constant(frame, features, F.col("z_to"))
     if fit.n < MIN_STAGE1:
         raise ValueError(f"{fit.n} rows; the first stage needs {MIN_STAGE1}")
     fit.extra["mean_log_weight"] = mean
@@ -86,28 +153,36 @@ def persisted(stage1: Fit, age: str = "source_age") -> Column:
     return linear(stage1, persistence_features("z_source", age, "log_source_weight", stage1.extra["mean_log_weight"]))
 
 
-def directions_of(frame: DataFrame) -> list[str]:
-    return sorted(r[0] for r in frame.select("direction").distinct().collect())  # ordered pairs of groups
-
-
-def transition_features(stage1: Fit, directions: list[str], age: str = "source_age") -> dict[str, Column]:
-    dummies = {f"dir:{d}": (F.col("direction") == d).cast("double") for d in directions}
-    return dummies | {"persisted": persisted(stage1, age), "log_weight": F.col("log_source_weight"), "gap": F.col("gap").cast("double")}
+def transition_features(stage1: Fit, age: str = "source_age") -> dict[str, Column]:
+    return {"persisted": persisted(stage1, age), "log_weight": F.col("log_source_weight"), "gap": F.col("gap").cast("double")}
 
 
 def fit_translation(frame: DataFrame, stage1: Fit, age: str = "source_age") -> Fit:
-    """z_target on one level a direction, the persisted z, log weight and gap."""
-    fit = ols(frame, transition_features(stage1, directions_of(frame), age), F.col("z_target"))
-    fit.extra["stage1"] = stage1
+    """z_target on one level a direction, the persisted z, log weight and gap.
+
+    Levels are absorbed: moments are added up by direction, and the columns' coefficients come
+    from those about the directions' means, so the driver holds three columns however many
+    directions there are. extra["levels"] is the table of (direction, level, n)."""
+    features = transition_features(stage1, age)
+    k = len(features)
+    cells = frame.groupBy("direction").agg(*moment_sums(list(features.values()), F.col("z_target")))
+    fit = solve_within(within_sums(cells, k, []).first(), list(features))
+    levels = cells.where("n > 0").select("direction", level([F.lit(float(c)) for c in fit.coef]).alias("level"), "n")
+    fit.extra |= {"stage1": stage1, "levels": levels}
     return fit
 
 
 def predict(frame: DataFrame, fit: Fit, level: float = 0.8, age: str = "source_age") -> DataFrame:
     """Add z_hat, value_hat and the interval [low, high] of the value. A direction that
     the fit has not seen has level 0."""
-    names = [n[4:] for n in fit.names if n.startswith("dir:")]
-    out = frame.withColumn("z_hat", linear(fit, transition_features(fit.extra["stage1"], names, age)))
-    half = normal_quantile(level) * fit.residual_sd
+    levels = fit.extra["levels"].select("direction", F.col("level").alias("__level"))
+    known = frame.join(levels, "direction", "left").select(*frame.columns, F.coalesce("__level", F.lit(0.0)).alias("__level"))
+    out = known.withColumn("z_hat", F.col("__level") + linear(fit, transition_features(fit.extra["stage1"], age))).drop("__level")
+    return with_interval(out, F.lit(fit.residual_sd), level)
+
+
+def with_interval(out: DataFrame, sd: Column, level: float = 0.8) -> DataFrame:
+    half = normal_quantile(level) * sd
     return out.withColumns({"value_hat": from_z("z_hat", "target_mean", "target_sd"), "low": from_z(F.col("z_hat") - half, "target_mean", "target_sd"), "high": from_z(F.col("z_hat") + half, "target_mean", "target_sd")})
 
 
@@ -138,25 +213,71 @@ def skill(mae: float, reference: float) -> float | None:
 
 def walk_forward(frame: DataFrame, stage1: Fit, first_period: int, age: str = "source_age", min_test: int = MIN_TEST, min_train: int = MIN_TRAIN) -> DataFrame:
     """Errors of every target period from ``first_period`` on, each predicted by a model
-    of strictly earlier targets without the period's entities (both are asserted), beside
-    the simple predictions b_mean, b_folk, b_same_z and b_persist; periods with too few rows
-    either way are left out. One fold is one aggregation; there are as many folds as periods."""
+    of strictly earlier targets without the period's entities, beside the simple predictions
+    b_mean, b_folk, b_same_z and b_persist; periods with too few rows either way are left out.
+
+    No fold is fitted by itself. Moments are added up once by period, entity and direction;
+    running sums over periods are the moments before each fold, and those that its own entities
+    had before are taken off again. What is collected is one row a period (``fold_sums``), in
+    two jobs however many folds there are; both guards are checked on it."""
+    features = transition_features(stage1, age)
+    names = list(features)
     frame = baselines(frame, persisted(stage1, age))
-    frame = frame.persist()  # every fold reads it; predictions hold its numbers, not it
-    periods = [r.target_period for r in frame.where(F.col("target_period") >= first_period).groupBy("target_period").count().where(F.col("count") >= min_test).orderBy("target_period").collect()]
-    out = None
-    for t in periods:
-        test = frame.where(F.col("target_period") == t)
-        train = frame.where(F.col("target_period") < t).join(test.select("entity").distinct(), "entity", "left_anti")
-        if train.count() < min_train:
-            continue
-        assert_earlier(train, test, "target_period")
-        assert_no_overlap(train, test, "entity")
-        part = predict(test, fit_translation(train, stage1, age), age=age)
-        out = part if out is None else out.union(part)
-    frame.unpersist()
-    empty = frame.where(F.lit(False)).withColumns({c: F.lit(None).cast("double") for c in ("z_hat", "value_hat", "low", "high")})
-    return (empty if out is None else out).withColumn("error", F.col("value_hat") - F.col("target_value"))
+    n_test = F.count("*").alias("n_test")
+    periods = sorted(r[0] for r in frame.where(F.col("target_period") >= first_period).groupBy("target_period").agg(n_test).where(F.col("n_test") >= min_test).collect())
+    kinds = "fold long, sd double, " + ", ".join(f"b{i} double" for i in range(len(names)))
+    solved, rest = [], None
+    if periods:
+        rest, sums = fold_sums(frame, list(features.values()), periods)
+        for row in sums.collect():  # one a period
+            guard_fold(row)
+            if row["n"] >= min_train:
+                fit = solve_within(row, names)
+                solved.append((int(row["fold"]), fit.residual_sd, *map(float, fit.coef)))
+    if not solved:
+        none = frame.where(F.lit(False)).withColumns({c: F.lit(None).cast("double") for c in ("z_hat", "value_hat", "low", "high")})
+        return none.withColumn("error", F.col("value_hat") - F.col("target_value"))
+    fits = F.broadcast(frame.sparkSession.createDataFrame(solved, kinds))
+    slopes = [F.col(f"b{i}") for i in range(len(names))]
+    levels = rest.join(fits, "fold").select("fold", "direction", level(slopes).alias("__level"))
+    tests = frame.withColumn("fold", F.col("target_period").cast("long")).join(fits, "fold").join(levels, ["fold", "direction"], "left")
+    z = F.coalesce("__level", F.lit(0.0)) + reduce(lambda a, b: a + b, [b * x for b, x in zip(slopes, features.values(), strict=True)])
+    out = with_interval(tests.withColumn("z_hat", z), F.col("sd"))
+    return out.select(*frame.columns, "z_hat", "value_hat", "low", "high", (F.col("value_hat") - F.col("target_value")).alias("error"))
+
+
+def fold_sums(frame: DataFrame, x: list[Column], periods: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Training moments of each fold by direction (fold, direction, moments), and one row a
+    fold: ``within_sums``, the last training period, how many rows were taken off, and how
+    many earlier rows the fold's entities have by a count of their own."""
+    k, held = len(x), fields(len(x))
+    rows = frame.select(F.col("target_period").cast("long").alias("t"), "entity", "direction", *[c.alias(f"x{i}") for i, c in enumerate(x)], F.col("z_target").alias("y"))
+    cells = rows.groupBy("t", "entity", "direction").agg(*moment_sums([F.col(f"x{i}") for i in range(k)], F.col("y"))).where("n > 0")
+    by_period = cells.groupBy("direction", "t").agg(*added(k))
+    # a mark of no rows for each fold and direction, at which the running sums are read
+    folds = F.explode(F.array(*[F.lit(int(p)).cast("long") for p in periods]))
+    marks = by_period.select("direction").distinct().select("direction", folds.alias("t")).withColumns({f: F.lit(0).cast(dict(by_period.dtypes)[f]) for f in held})
+    both = by_period.withColumn("last", F.col("t")).withColumn("mark", F.lit(False)).unionByName(marks.withColumn("last", F.lit(None).cast("long")).withColumn("mark", F.lit(True)))
+    earlier = Window.partitionBy("direction").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    before = both.select("direction", "mark", F.col("t").alias("fold"), F.max("last").over(earlier).alias("last"), *[F.sum(f).over(earlier).alias(f) for f in held]).where("mark and n > 0")
+    # what the fold's own entities had before it
+    tests = rows.where(F.col("t").isin(periods)).select("entity", F.col("t").alias("fold")).distinct()
+    own = cells.join(tests, "entity").where("t < fold").groupBy("fold", "direction").agg(*added(k))
+    own = own.select("fold", "direction", *[F.col(f).alias(f"own_{f}") for f in held])
+    rest = before.join(own, ["fold", "direction"], "left").select("fold", "direction", "last", F.coalesce("own_n", F.lit(0)).alias("n_off"), *[(F.col(f) - F.coalesce(f"own_{f}", F.lit(0))).alias(f) for f in held])
+    seen = Window.partitionBy("entity").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    counted = cells.groupBy("entity", "t").agg(F.sum("n").alias("m")).withColumn("m", F.coalesce(F.sum("m").over(seen), F.lit(0)))
+    counted = counted.join(tests.select("entity", F.col("fold").alias("t")), ["entity", "t"]).groupBy(F.col("t").alias("fold")).agg(F.sum("m").alias("n_seen"))
+    off = rest.groupBy("fold").agg(F.max("last").alias("last"), F.sum("n_off").alias("n_off"))
+    return rest.where("n > 0").drop("last", "n_off"), within_sums(rest, k, ["fold"]).join(off, "fold").join(counted, "fold", "left")
+
+
+def guard_fold(row) -> None:
+    """The two guards, from a row of ``fold_sums``."""
+    if row["last"] is not None and row["last"] >= row["fold"]:
+        raise ValueError(f"leakage: training reaches period {row['last']}, the test starts at {row['fold']}")
+    if row["n_off"] != (row["n_seen"] or 0):
+        raise ValueError(f"leakage: of {row['n_seen']} earlier rows of the entities of period {row['fold']}, {row['n_off']} were left out")
 
 
 def assert_earlier(train: DataFrame, test: DataFrame, order: str) -> None:
@@ -193,20 +314,14 @@ def shuffled_control(frame: DataFrame, stage1: Fit, first_period: int, key: list
 
 
 def cluster_bootstrap(errors: DataFrame, entity: str, error: str, draws: int = DRAWS, level: float = 0.95, seed: int = SEED) -> DataFrame:
-    """Interval of the mean absolute error, entities resampled with replacement.
-
-    Entities are first summed; a draw's multiplicity of an entity is a Poisson(1) number
-    from its hash (the large-sample form of resampling), so draws need no shuffle of
-    rows but one partial aggregate each."""
-    per = errors.groupBy(entity).agg(F.sum(F.abs(error)).alias("s"), F.count("*").alias("n"))
-    u = lambda d: (F.pmod(F.xxhash64(F.col(entity).cast("string"), d, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    cdf = np.cumsum([np.exp(-1.0) / np.prod(range(1, k + 1)) for k in range(10)])
-    times = lambda d: reduce(lambda a, b: a + b, [F.when(u(d) > float(c), 1).otherwise(0) for c in cdf])
-    drawn = per.select("s", "n", entity, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("k", times(F.col("draw")))
-    maes = drawn.groupBy("draw").agg((F.sum(F.col("s") * F.col("k")) / F.nullif(F.sum(F.col("n") * F.col("k")), F.lit(0))).alias("mae"))
-    half = (1 - level) / 2
-    ends = maes.agg(F.percentile("mae", half).alias("low"), F.percentile("mae", 1 - half).alias("high"))
-    return per.agg((F.sum("s") / F.sum("n")).alias("mae"), F.sum("n").alias("n"), F.count("*").alias("n_entities")).crossJoin(ends)
+    """(mae, n, n_entities, low, high): the mean absolute error with its interval over draws of
+    as many entities, with replacement. Entities are summed first; rows without an entity or
+    an error are left out."""
+    known = errors.where(F.col(entity).isNotNull() & F.col(error).isNotNull())
+    per = known.groupBy(entity).agg(F.sum(F.abs(error)).alias("s"), F.count("*").alias("n"))
+    drawn = resampled_sums(per, entity, ["s", "n"], draws, seed)
+    ends = drawn.agg(*interval(F.col("s") / F.col("n"), level))
+    return per.agg((F.sum("s") / F.sum("n")).alias("mae"), F.sum("n").alias("n"), F.count("*").alias("n_entities")).crossJoin(ends)  # one row each
 
 
 def probit(df: DataFrame, features: dict[str, Column], moved: Column, steps: int = 12) -> Fit:
@@ -224,7 +339,7 @@ def probit(df: DataFrame, features: dict[str, Column], moved: Column, steps: int
         w = phi * phi / F.greatest(F.lit(1e-9), cdf * (1 - cdf))
         z = eta + (moved - cdf) / F.greatest(F.lit(1e-9), phi)
         root = F.sqrt(w)
-        fit = solve(df.agg(*gram_aggregates([root * c for c in features.values()], root * z)).first(), names)
+        fit = ols(df, {n: root * c for n, c in features.items()}, root * z)
         done = np.max(np.abs(fit.coef - beta)) < 1e-8
         beta = fit.coef
         if done:

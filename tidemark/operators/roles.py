@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import log_shares
+from tidemark.operators.resampling import copies
 
 # Variance kept, clusters, starts, stability floor and draws, neighbours, least period.
 VARIANCE, CLUSTERS, STARTS, STABLE, DRAWS, NEIGHBOURS, MIN_PERIOD, BLOCK = 0.90, 5, 5, 0.45, 12, 10, 3, 2048
@@ -35,9 +36,10 @@ def reduce_dimensions(df: DataFrame, columns: list[str], variance: float = VARIA
     return cut.transform(vectors).drop("__v"), k
 
 
-def mixture(df: DataFrame, k: int = CLUSTERS, starts: int = STARTS, seed: int = 1):
-    """The best of several Gaussian mixtures by log-likelihood."""
-    fits = [GaussianMixture(k=k, featuresCol="pcs", predictionCol="cluster", probabilityCol="membership", seed=seed + i, maxIter=60).fit(df) for i in range(starts)]
+def mixture(df: DataFrame, k: int = CLUSTERS, starts: int = STARTS, seed: int = 1, weight: str | None = None):
+    """The best of several Gaussian mixtures by log-likelihood; a row counts ``weight`` times."""
+    how = {"weightCol": weight} if weight else {}
+    fits = [GaussianMixture(k=k, featuresCol="pcs", predictionCol="cluster", probabilityCol="membership", seed=seed + i, maxIter=60, **how).fit(df) for i in range(starts)]
     return max(fits, key=lambda m: m.summary.logLikelihood)
 
 
@@ -71,17 +73,17 @@ def jaccard_best(pairs: DataFrame) -> DataFrame:
 
 
 def stability(df: DataFrame, labelled: DataFrame, key: list[str], k: int = CLUSTERS, draws: int = DRAWS, seed: int = 1) -> DataFrame:
-    """(cluster, stability): mean best Jaccard overlap over refits on resampled rows."""
+    """(cluster, stability): mean best Jaccard overlap over refits on draws of as many rows,
+    with replacement. ``key`` tells rows apart."""
     out = None
+    drawn = df.join(copies(df, key, draws, seed), key).persist()
     for d in range(draws):
-        # a row's copies in a resample are a Poisson(1) number; here its hash decides
-        u = F.pmod(F.xxhash64(*key, F.lit(seed + d)), F.lit(1 << 30)) / float(1 << 30)
-        copies = sum((F.when(u > c, 1).otherwise(0) for c in np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24)]).tolist()), F.lit(0))
-        sample = df.withColumn("__k", F.explode(F.array_repeat(F.lit(1), copies)))
-        refit = mixture(sample, k, starts=1, seed=seed + d)
+        sample = drawn.withColumn("__k", F.get("copies", F.lit(d)).cast("double")).where("__k > 0")
+        refit = mixture(sample, k, starts=1, seed=seed + d, weight="__k")
         both = labelled.select(*key, "cluster").join(refit.transform(df).select(*key, F.col("cluster").alias("other")), key)
         part = jaccard_best(both)
         out = part if out is None else out.union(part)
+    drawn.unpersist()  # only the fits read it
     return out.groupBy("cluster").agg(F.avg("jaccard").alias("stability")).withColumn("reportable", F.col("stability") >= STABLE)
 
 
