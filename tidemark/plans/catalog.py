@@ -16,6 +16,7 @@ from tidemark.functions import names as N
 from tidemark.operators import audit as A
 from tidemark.operators import checks as C
 from tidemark.operators import cohort, identity, linmod, moments, roles, serving, shrink
+from tidemark.plans.closed_form import least_squares
 from tidemark.plans.registry import QUERIES, SQL, query
 from tidemark.sources.tables import csv_or_empty, sql_literal, table
 
@@ -338,31 +339,75 @@ def ml4_direction_slopes(spark, d):
     return linmod.direction_slopes(transitions(spark, d), "z_source", "z_target", least=5).select("direction", "n", *r6("slope"))
 
 
-@query(PANEL + """, e as (select count(*) as n, avg(abs(target_mean - target_value)) as b_mean, avg(abs(source_value * 0.75 - target_value)) as b_folk, avg(abs(z_source * target_sd + target_mean - target_value)) as b_same_z from trans)
-select n, 'b_mean' as baseline, round(b_mean, 4) as mae from e union all select n, 'b_folk', round(b_folk, 4) from e union all select n, 'b_same_z', round(b_same_z, 4) from e""")
-def ml5_baseline_errors(spark, d):
-    return linmod.baseline_errors(linmod.baselines(transitions(spark, d)), ["b_mean", "b_folk", "b_same_z"]).select("n", "baseline", F.round("mae", 4).alias("mae"))
+# the first stage, and every move with its prediction by persistence (z_persist)
+STAGE1 = (
+    PANEL
+    + """, pf as (select a.entity, a.grp, a.period, a.z_price as z_from, b.z_price as z_to, a.n - 27.0 as age, ln(a.weight) as lw from zp a join zp b on a.entity = b.entity and a.grp = b.grp and b.period = a.period + 1
+  where a.weight >= 50000 and b.weight >= 50000 and a.z_price is not null and b.z_price is not null),
+"""
+    + least_squares("s1", "pf", ["z_from", "age", "age * age", "lw"], "z_to", [], [])
+    + """,
+st as (select t.*, level + b1 * z_source + b2 * (t.n - 27) + b3 * (t.n - 27) * (t.n - 27) + b4 * ln(source_weight) as z_persist, ln(source_weight) as lw from trans t cross join s1 cross join s1_level)"""
+)
+STAGE2 = STAGE1 + ",\n" + least_squares("s2", "st", ["z_persist", "lw", "gap"], "z_target", [], ["direction"])
 
 
 def _stage1(spark, d):
     return linmod.fit_persistence(cohort.persistence_frame(z_panel(spark, d).withColumn("age", F.col("n").cast("double")), "z_price", least=50_000, covariates=["age"]))
 
 
-@query()
+@query(STAGE1 + """ select entity, grp, period, round(z_to - (level + b1 * z_from + b2 * age + b3 * age * age + b4 * lw), 6) as residual, (select count(*) from pf) as n from pf cross join s1 cross join s1_level""")
+def ml1_persistence_residuals(spark, d):
+    rows = cohort.persistence_frame(z_panel(spark, d).withColumn("age", F.col("n").cast("double")), "z_price", least=50_000, covariates=["age"])
+    fit = linmod.fit_persistence(rows)
+    z = linmod.linear(fit, linmod.persistence_features("z_from", "age", "log_weight", fit.extra["mean_log_weight"]))
+    return rows.select("entity", "grp", "period", F.round(F.col("z_to") - z, 6).alias("residual"), F.lit(fit.n).cast("long").alias("n"))
+
+
+@query(STAGE2 + """ select direction, n_level as n, round(level, 5) as level, round(b1, 5) as persisted, round(b2, 5) as log_weight, round(b3, 5) as gap, round(sqrt(rss / (s2.n - 3 - (select count(*) from s2_level))), 6) as residual_sd from s2_level cross join s2""")
+def ml2_translation_levels(spark, d):
+    fit = linmod.fit_translation(transitions(spark, d), _stage1(spark, d), age="n")
+    return fit.extra["levels"].select("direction", "n", F.round("level", 5).alias("level"), *[F.round(F.lit(fit[c]), 5).alias(c) for c in fit.names], F.round(F.lit(fit.residual_sd), 6).alias("residual_sd"))
+
+
+@query(STAGE1 + """, e as (select count(*) as n, avg(abs(target_mean - target_value)) as b_mean, avg(abs(source_value * 0.75 - target_value)) as b_folk, avg(abs(z_source * target_sd + target_mean - target_value)) as b_same_z, avg(abs(z_persist * target_sd + target_mean - target_value)) as b_persist from st),
+l as (select n, b_mean, unnest([{'b': 'b_mean', 'm': b_mean}, {'b': 'b_folk', 'm': b_folk}, {'b': 'b_same_z', 'm': b_same_z}, {'b': 'b_persist', 'm': b_persist}]) as x from e)
+select n, x.b as baseline, round(x.m, 4) as mae, round(1 - x.m / b_mean, 6) as skill from l""")
+def ml5_baseline_errors(spark, d):
+    frame = linmod.baselines(transitions(spark, d), linmod.persisted(_stage1(spark, d), "n"))
+    errors = linmod.baseline_errors(frame, ["b_mean", "b_folk", "b_same_z", "b_persist"])
+    reference = errors.where("baseline = 'b_mean'").select(F.col("mae").alias("r"))  # one row
+    return errors.crossJoin(F.broadcast(reference)).select("n", "baseline", F.round("mae", 4).alias("mae"), F.round(1 - F.col("mae") / F.col("r"), 6).alias("skill"))
+
+
+@query(STAGE2 + """, p as (select st.*, level + b1 * z_persist + b2 * lw + b3 * gap as z_hat, sqrt(rss / (s2.n - 3 - (select count(*) from s2_level))) as sd from st join s2_level using (direction) cross join s2)
+select entity, direction, source_period, target_period, round(z_hat, 6) as z_hat, round(z_hat * target_sd + target_mean, 2) as value_hat, round((z_hat - 1.2815515655446004 * sd) * target_sd + target_mean, 2) as low, round((z_hat + 1.2815515655446004 * sd) * target_sd + target_mean, 2) as high from p""")
 def ml3_predicted_transitions(spark, d):
     frame = transitions(spark, d)
     fit = linmod.fit_translation(frame, _stage1(spark, d), age="n")
-    return linmod.predict(frame, fit, age="n").select("entity", "direction", "source_period", "target_period", "z_hat", "value_hat", "low", "high")
+    return linmod.predict(frame, fit, age="n").select("entity", "direction", "source_period", "target_period", *r6("z_hat"), *[F.round(c, 2).alias(c) for c in ("value_hat", "low", "high")])
 
 
-@query()
+FOLDS = (
+    STAGE1
+    + """, folds as (select target_period as fold from st where target_period >= 1996 group by 1 having count(*) >= 5),
+tr as (select fold, st.* from st join folds on target_period < fold where not exists (select 1 from trans x where x.entity = st.entity and x.target_period = fold)),
+"""
+    + least_squares("s2", "tr", ["z_persist", "lw", "gap"], "z_target", ["fold"], ["direction"])
+    + """, p as (select st.*, coalesce(level, 0) + b1 * z_persist + b2 * lw + b3 * gap as z_hat from st join s2 on s2.fold = target_period and s2.n >= 40 left join s2_level l on l.fold = target_period and l.direction = st.direction)
+"""
+)
+
+
+@query(FOLDS + """select entity, direction, source_period, target_period, round(z_hat * target_sd + target_mean, 2) as value_hat, round(z_hat * target_sd + target_mean - target_value, 2) as error, round(target_mean, 2) as b_mean, round(source_value * 0.75 + 1.3e-5, 2) as b_folk, round(z_source * target_sd + target_mean, 2) as b_same_z, round(z_persist * target_sd + target_mean, 2) as b_persist from p""")
 def ml6_walk_forward(spark, d):
-    return linmod.walk_forward(transitions(spark, d), _stage1(spark, d), 1997, age="n").select("entity", "direction", "target_period", "value_hat", "error", "b_mean", "b_folk", "b_same_z", "b_persist")
+    errors = linmod.walk_forward(transitions(spark, d), _stage1(spark, d), 1996, age="n")
+    return errors.select("entity", "direction", "source_period", "target_period", F.round(F.col("b_folk") + 1.3e-5, 2).alias("b_folk"), *[F.round(c, 2).alias(c) for c in ("value_hat", "error", "b_mean", "b_same_z", "b_persist")])
 
 
 @query()
 def ml7_shuffled_control(spark, d):
-    return linmod.shuffled_control(transitions(spark, d), _stage1(spark, d), 1997, ["entity", "direction", "source_period"], age="n")
+    return linmod.shuffled_control(transitions(spark, d), _stage1(spark, d), 1996, ["entity", "direction", "source_period"], age="n")
 
 
 @query()
