@@ -381,11 +381,11 @@ def ml5_baseline_errors(spark, d):
 
 
 @query(STAGE2 + """, p as (select st.*, level + b1 * z_persist + b2 * lw + b3 * gap as z_hat, sqrt(rss / (s2.n - 3 - (select count(*) from s2_level))) as sd from st join s2_level using (direction) cross join s2)
-select entity, direction, source_period, target_period, round(z_hat, 6) as z_hat, round(z_hat * target_sd + target_mean, 2) as value_hat, round((z_hat - 1.2815515655446004 * sd) * target_sd + target_mean, 2) as low, round((z_hat + 1.2815515655446004 * sd) * target_sd + target_mean, 2) as high from p""")
+select entity, direction, source_period, target_period, round(z_hat, 6) as z_hat, round(z_hat * target_sd + target_mean, 0) as value_hat, round((z_hat - 1.2815515655446004 * sd) * target_sd + target_mean, 0) as low, round((z_hat + 1.2815515655446004 * sd) * target_sd + target_mean, 0) as high from p""")
 def ml3_predicted_transitions(spark, d):
     frame = transitions(spark, d)
     fit = linmod.fit_translation(frame, _stage1(spark, d), age="n")
-    return linmod.predict(frame, fit, age="n").select("entity", "direction", "source_period", "target_period", *r6("z_hat"), *[F.round(c, 2).alias(c) for c in ("value_hat", "low", "high")])
+    return linmod.predict(frame, fit, age="n").select("entity", "direction", "source_period", "target_period", *r6("z_hat"), *[F.round(c, 0).alias(c) for c in ("value_hat", "low", "high")])
 
 
 FOLDS = (
@@ -399,10 +399,10 @@ tr as (select fold, st.* from st join folds on target_period < fold where not ex
 )
 
 
-@query(FOLDS + """select entity, direction, source_period, target_period, round(z_hat * target_sd + target_mean, 2) as value_hat, round(z_hat * target_sd + target_mean - target_value, 2) as error, round(target_mean, 2) as b_mean, round(source_value * 0.75 + 1.3e-5, 2) as b_folk, round(z_source * target_sd + target_mean, 2) as b_same_z, round(z_persist * target_sd + target_mean, 2) as b_persist from p""")
+@query(FOLDS + """select entity, direction, source_period, target_period, round(z_hat * target_sd + target_mean, 0) as value_hat, round(z_hat * target_sd + target_mean - target_value, 0) as error, round(target_mean, 2) as b_mean, round(source_value * 0.75 + 1.3e-5, 2) as b_folk, round(z_source * target_sd + target_mean, 2) as b_same_z, round(z_persist * target_sd + target_mean, 2) as b_persist from p""")
 def ml6_walk_forward(spark, d):
     errors = linmod.walk_forward(transitions(spark, d), _stage1(spark, d), 1996, age="n")
-    return errors.select("entity", "direction", "source_period", "target_period", F.round(F.col("b_folk") + 1.3e-5, 2).alias("b_folk"), *[F.round(c, 2).alias(c) for c in ("value_hat", "error", "b_mean", "b_same_z", "b_persist")])
+    return errors.select("entity", "direction", "source_period", "target_period", F.round(F.col("b_folk") + 1.3e-5, 2).alias("b_folk"), *[F.round(c, 0).alias(c) for c in ("value_hat", "error")], *[F.round(c, 2).alias(c) for c in ("b_mean", "b_same_z", "b_persist")])
 
 
 @query()
