@@ -62,8 +62,13 @@ def test_one_very_common_url_and_the_plan(spark):
     found = lookup(directory, folder, pages)
     assert sorted(r.page_id for r in found.collect()) == sorted(everything) == list(range(900))
     asked = pages.select(surt("url").alias("key")).distinct()
-    plan = blocks_of(directory, asked)._jdf.queryExecution().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    met = blocks_of(directory, asked)
+    plan = met._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "FlatMapCoGroups" in plan
+    # exactly the blocks whose range holds the key
+    blocks, keys = directory.collect(), [r.key for r in asked.collect()]
+    want = sorted((k, b.file, b["at"], b.length) for k in keys for b in blocks if b.first_key <= k <= b.last_key)
+    assert sorted(tuple(r) for r in met.collect()) == want
 
 
 def test_keys_and_records(spark):

@@ -205,8 +205,9 @@ def blocks_of(directory: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, file, at, length) of every block whose key range holds a key of ``keys``.
 
     Index files hold consecutive key ranges, so a key's files are a run of the sorted
-    file list (one row a writing task on the driver); the directory is then joined by
-    file, with the block's range as a residual: no nested loop over the directory."""
+    file list (one row a writing task on the driver). The keys asked of a file meet its part
+    of the directory, a row a block, in one group, and each key's blocks are found there by
+    binary search."""
     files = sorted((r.lo, r.hi, r.file) for r in directory.groupBy("file").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")).collect())
     spark = keys.sparkSession
     lows, highs = [f[0] for f in files], [f[1] for f in files]
@@ -216,10 +217,21 @@ def blocks_of(directory: DataFrame, keys: DataFrame) -> DataFrame:
     def files_of(key: pd.Series) -> pd.Series:
         return key.map(lambda k: list(range(bisect.bisect_left(highs, k), bisect.bisect_right(lows, k))))
 
-    numbered = spark.createDataFrame([(i, f[2]) for i, f in enumerate(files)], "number int, file string")
+    def found(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by([("first_key", "ascending"), ("at", "ascending")])
+        first, last = right["first_key"].to_pylist(), right["last_key"].to_pylist()
+        which, block = [], []
+        for i, key in enumerate(left["key"].to_pylist()):
+            own = range(bisect.bisect_left(last, key), bisect.bisect_right(first, key))
+            which += [i] * len(own)
+            block += own
+        held = right.select(["file", "at", "length"]).take(pa.array(block, pa.int64()))
+        return pa.table([left["key"].take(pa.array(which, pa.int64())), *held.columns], names=["key", "file", "at", "length"])
+
+    numbered = spark.createDataFrame([(i, f[2]) for i, f in enumerate(files)], "held int, file string")
     blocks = directory.join(F.broadcast(numbered), "file")  # one row a writing task
     asked = keys.select("key", F.explode(files_of("key")).alias("number"))
-    return asked.join(blocks, "number").where("key >= first_key and key <= last_key").select("key", "file", "at", "length")
+    return asked.groupBy("number").cogroup(blocks.groupBy("held")).applyInArrow(found, "key string, file string, at long, length long")
 
 
 def lookup(directory: DataFrame, folder: str, urls: DataFrame, url_col: str = "url") -> DataFrame:
