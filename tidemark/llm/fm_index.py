@@ -339,7 +339,8 @@ def first_places(payloads: pa.Array, ids: np.ndarray, starts: np.ndarray, size:
 
 def search_shards(parts: DataFrame, shards: int, size: int) -> DataFrame:
     """``parts``: route, p1, p2, id, start, payload. Equal parts of different
-    batches are combined where they arrive."""
+    batches are combined where they arrive. Shards are groups, as many as the words ask for; the
+    tasks that work on them one after the other are no more than the shuffle partitions."""
 
     def run(table: pa.Table) -> pa.Table:
         got = first_places(table["payload"], table["id"].to_numpy(), table["start"].to_numpy(), size)
@@ -347,7 +348,8 @@ def search_shards(parts: DataFrame, shards: int, size: int) -> DataFrame:
         return pa.table([table["p1"], table["p2"], *lists], names=["p1", "p2", "first_id", "first_start"])
 
     ship_code(parts.sparkSession)
-    routed = parts.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int")).repartition(shards, "shard")
+    tasks = min(shards, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    routed = parts.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int")).repartition(tasks, "shard")
     once = routed.groupBy("shard", "p1", "p2").agg(F.min(F.struct("id", "start")).alias("at"), F.min("payload").alias("payload"))
     return once.select("shard", "p1", "p2", "at.id", "at.start", "payload").groupBy("shard").applyInArrow(run, FIRST)
 
