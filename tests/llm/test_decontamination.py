@@ -28,6 +28,17 @@ def test_defined_cases_blocks_and_chunks(spark):
     assert all(r.n_hit == 0 for r in decontaminate(d, i.where(F.lit(False))).collect())
 
 
+def test_an_item_that_is_most_of_the_benchmark(spark):
+    """Its copies are one item, so no chunk holds more than its share; spans of several
+    chunks that meet become one."""
+    docs = [(k, f"a{k} b c d e f g h " * 40) for k in range(4)]
+    items = [(1, "b c d e f")] * 400 + [(k, f"e f g h a{k % 4} b") for k in range(2, 30)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = search(build_index(d), i, size=4, chunk_bytes=300).collect()
+    assert {r.id: (r.n_words, r.n_hit, r["items"]) for r in got} == brute.contamination(docs, items, size=4)
+    assert all(a.end < b.start for r in got for a, b in zip(r.spans, r.spans[1:], strict=False))
+
+
 def test_proximity_and_spans(spark):
     docs = spark.createDataFrame([(1, "gamma alpha noise beta"), (2, "alpha " + "noise " * 30 + "beta gamma"), (3, "z alpha beta gamma")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")

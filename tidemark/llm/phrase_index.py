@@ -171,9 +171,10 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
     a window; ``items`` have a window that occurs; ``spans`` are the merged hit
     word ranges; with ``slop`` > 0, ``near_items`` have a window whose words all
     lie within ``slop`` words of an occurrence of its rarest word, in any order.
-    Item ids are compared as strings, nulls as "null".
+    Item ids are compared as strings, nulls as "null"; items without a word have no window;
+    repeated items are one. Without items, or without documents, nothing is hit.
     """
-    items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n_chunks = -(-total // chunk_bytes) or 1
     chunk = F.pmod(F.xxhash64("item", "text"), F.lit(n_chunks))
@@ -185,7 +186,7 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
         hit = _search_chunk(index, rows, size, slop).where("n_hit > 0 or size(near_items) > 0").select("block", "doc", "items", "near_items", "spans")
         parts.append(settle(hit, "chunk-matches"))
     lists = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items", "spans")]
-    merged = reduce(DataFrame.union, parts).groupBy("block", "doc").agg(*lists).withColumn("spans", _merged("spans"))
+    merged = _merged(reduce(DataFrame.union, parts).groupBy("block", "doc").agg(*lists))
     docs = index.select("block", F.posexplode(F.arrays_zip("ids", "n_words")).alias("doc", "d")).select("block", "doc", F.col("d.ids").alias("id"), F.col("d.n_words").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     out = docs.join(merged, ["block", "doc"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")))
@@ -193,15 +194,29 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
     return out.select("id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"), "spans")
 
 
-def _merged(spans: str) -> Column:
-    """Sorted spans with those that meet or overlap made one."""
+def _merged(found: DataFrame) -> DataFrame:
+    """``found`` (block, doc, items, near_items, spans by start) with spans that meet or
+    overlap made one."""
+    names = found.columns
 
-    def step(out: Column, s: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(out) > 0) & (s["start"] <= last["end"]), longer).otherwise(F.concat(out, F.array(s)))
-
-    return F.aggregate(spans, F.array().cast("array<struct<start:long,end:long>>"), step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(4)
+            ends = np.asarray(lists.offsets).astype(np.int64)
+            own = lists.values.slice(ends[0], ends[-1] - ends[0])
+            start, end = (np.asarray(own.field(k)) for k in (0, 1))
+            row = np.repeat(np.arange(len(lists)), np.diff(ends))
+            # rows lie one behind the other, so a running maximum never reaches into the next
+            gap = int(end.max(initial=0)) + 1
+            reach = np.maximum.accumulate(end + row * gap)
+            opens = np.r_[True, start[1:] + row[1:] * gap > reach[:-1]] | np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+            first = np.flatnonzero(opens)
+            last = np.r_[first[1:], len(row)] - 1 if len(first) else first
+            values = pa.StructArray.from_arrays([pa.array(start[first]), pa.array((reach[last] - row[last] * gap).astype(np.int64))], ["start", "end"])
+            offsets = np.searchsorted(row[first], np.arange(len(lists) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(offsets), values)], names)
+
+    return map_arrow(found, run, found.schema)
 
 
 def _search_chunk(index: DataFrame, rows: list, size: int, slop: int) -> DataFrame:
