@@ -5,14 +5,16 @@ Its importance weight is p_target(x) / p_raw(x):
 
 * p_target is the model of the labelled documents that are good and not toxic.
 * p_raw is a mixture. Its main part is the n-gram model of all documents, copies
-  included, over hash buckets whose number grows with the corpus (about as its
-  different n-grams do). What the labels say of low quality and of toxic text are two
+  included, over BUCKETS hash buckets. What the labels say of low quality and of toxic text are two
   further parts, models of their own over single n-grams.
 
 Every part is compared with the target n-gram by n-gram, where a likelihood-ratio
 test says that the difference is real (RAW_Z, Z); elsewhere the ratio is 1. Counting and
-testing are Spark's; only the n-grams that pass are gathered, a table that grows with
-the corpus, and broadcast.
+testing are Spark's; only the n-grams that pass are gathered and broadcast: at most BUCKETS
+of the raw model (5 MB) and the single n-grams of at most LABELLED texts, whatever the size
+of the corpus. The raw part weighs in p_raw as the target does among the labelled rows, the
+other two as theirs do: for a document that is likelier under a labelled part than under the
+corpus, that part decides, and otherwise the corpus.
 
 Documents are drawn without replacement by Gumbel top-k: the k largest values of
 log weight / temperature + Gumbel noise, the noise being a hash of the document. A low
@@ -40,9 +42,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import words as W
 from tidemark.llm.scratch import map_arrow, settle
 
-#: Bits of an n-gram's hash; buckets of the raw model for a corpus of LEAST_BYTES or less.
-#: Buckets grow with the square root of the bytes beyond.
-GRAM_BITS, BUCKETS, LEAST_BYTES = 42, 1 << 17, 1 << 27
+#: Bits of an n-gram's hash; buckets of the raw model, for a corpus of any size.
+GRAM_BITS, BUCKETS = 42, 1 << 18
 #: At most so many labelled documents are fitted on (smallest hashes first).
 LABELLED = 40_000
 #: Pseudo-counts that tie the target to the raw model, and the labelled models to each other;
@@ -181,8 +182,9 @@ class Model(NamedTuple):
         hit = self.keys[found] == keys[at] if len(self.keys) else np.zeros(0, bool)
         return [np.bincount(text[at[hit]], self.ratios[i][found[hit]], minlength=n) for i in rows]
 
-    def weigh(self, block: W.Block, ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number of features, log weight, sample key) of each text."""
+    def weigh(self, block: W.Block, ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(number of features, log weight, sample key, posterior) of each text; the posterior
+        of the target is that among the three labelled parts alone."""
         text, gram = features(block)
         # p_target cancels: every part of p_raw is relative to it
         raw = self.sums(text, gram & np.uint64(self.buckets - 1), (0,), block.n)
@@ -194,7 +196,10 @@ class Model(NamedTuple):
         weight = np.where(n > 0, weight, -1e6) + 0.0  # no negative zero: file statistics order it below zero
         k1, _ = block.sequence_keys()
         own = W.mix(np.asarray(ids.cast(pa.int64()).fill_null(-1)).view(np.uint64) + np.uint64(self.seed)) ^ k1
-        return n, weight, weight / self.temperature + gumbel(own)
+        labelled = np.stack([np.full(block.n, self.log_prior[TARGET]), parts[LOW], parts[TOXIC]])
+        top = labelled.max(axis=0)
+        posterior = np.where(n > 0, np.exp(labelled[0] - top) / np.exp(labelled - top).sum(axis=0), 0.0)
+        return n, weight, weight / self.temperature + gumbel(own), posterior
 
     def chosen(self, n: np.ndarray, key: np.ndarray) -> np.ndarray:
         return (n > 0) & (key >= self.least)
@@ -208,8 +213,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataFram
         for batch in batches:
             for block in W.blocks(batch.column(1), W.LOWER):
                 ids = batch.column(0).slice(block.at, block.n)
-                n, weight, key = shared.value.weigh(block, ids)
-                posterior = np.where(n > 0, np.exp(np.minimum(weight + shared.value.log_prior[TARGET], 0.0)), 0.0)
+                n, weight, key, posterior = shared.value.weigh(block, ids)
                 yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (n, weight, posterior, key))], ["id", "n_features", "log_weight", "posterior", "sample_key"])
 
     schema = "id long, n_features long, log_weight double, posterior double, sample_key double"
@@ -253,8 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = sample.join(leads.select("__label", F.lit(1 << LEAD).alias("__lead")), "__label", "left").select("__label", F.col("__class").bitwiseOR(F.coalesce("__lead", F.lit(0))).alias("__class"))
     seen = leads.agg(*[F.sum(F.col("__class").bitwiseAND(1 << c).cast("boolean").cast("int")) for c in (TARGET, LOW, TOXIC)]).first()
 
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    buckets = 1 << round(np.log2(BUCKETS) + max(0.0, np.log2(max(1, size) / LEAST_BYTES) / 2))
+    buckets = BUCKETS
     marked = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     marked = marked.join(F.broadcast(sample), F.col("__id") == F.col("__label"), "left")  # at most ``labelled`` rows
     counts = settle(gram_counts(marked, "__text", buckets), "gram-counts")
@@ -287,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of ``docs``: id_col, n_features, log_weight, posterior
-    (that it is target text), sample_key and selected (the k largest keys).
+    (that it is target text, of the three labelled kinds), sample_key and selected (the k largest keys).
     ``options`` are those of fit().
 
     ``labels``: id_col, quality, toxic. Defined cases: a null or wordless text is
@@ -303,8 +306,10 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The selected rows of ``docs`` with all their columns. Rows are weighed once
-    more where they are, so that no text is shuffled to meet its decision."""
+    """The selected rows of ``docs`` with all their columns, whatever their names. Rows are
+    weighed once more where they are, so that no text is shuffled to meet its decision. Cases
+    are those of resample(): null, empty and wordless texts go, null ids are weighed, repeated
+    rows and ties at the threshold are decided alike, an empty table stays empty."""
     model, _ = fit(docs, labels, id_col, text_col, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
@@ -313,7 +318,7 @@ def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for block in W.blocks(batch.column(at_text), W.LOWER):
-                n, _, key = shared.value.weigh(block, batch.column(at_id).slice(block.at, block.n))
+                n, _, key, _ = shared.value.weigh(block, batch.column(at_id).slice(block.at, block.n))
                 keep[block.at : block.at + block.n] = shared.value.chosen(n, key)
             yield batch.filter(pa.array(keep))
 
