@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import grouped_quantiles
+
 # Confidence of each way to match, floor for cohorts, tolerance in periods.
 CONFIDENCE = {"anchor": 1.0, "shared_id": 1.0, "override": 1.0, "name_and_age": 0.95, "name_only_unique": 0.70, "name_ambiguous": 0.30, "unmatched": 1.0}
 CONFIDENCE_FLOOR, BIRTH_TOLERANCE = 0.80, 1
@@ -18,8 +20,8 @@ def distinct_entities(rows: DataFrame, id_col: str, name_col: str, period: str)
 
 
 def implied_birth(rows: DataFrame, id_col: str, period: str, age: str) -> DataFrame:
-    """Median of period - age of each id (exact, interpolated)."""
-    return rows.groupBy(id_col).agg(F.median(F.col(period) - F.col(age)).alias("birth"))
+    """(id, birth): median of period - age of each id, exact and interpolated."""
+    return grouped_quantiles(rows, [id_col], F.col(period) - F.col(age), {"birth": 0.5})
 
 
 def crosswalk(anchor: DataFrame, shared: DataFrame, other: DataFrame, overrides: DataFrame | None = None, tolerance: float = BIRTH_TOLERANCE) -> DataFrame:
@@ -87,5 +89,6 @@ def union_of(frames: list[DataFrame]) -> DataFrame:
 def fill_covariate(rows: DataFrame, entity: str, period: str, age: str) -> DataFrame:
     """Missing ages from the entity's median birth; known ages stay, a null entity
     recovers nothing."""
-    birth = F.median(F.col(period) - F.col(age)).over(Window.partitionBy(entity))
-    return rows.withColumn(age, F.coalesce(F.col(age), F.when(F.col(entity).isNotNull(), F.col(period) - birth)))
+    birth = implied_birth(rows.where(F.col(entity).isNotNull()), entity, period, age).select(F.col(entity).alias("__of"), F.col("birth").alias("__birth"))
+    out = rows.join(birth, F.col(entity) == F.col("__of"), "left").withColumn(age, F.coalesce(F.col(age), F.col(period) - F.col("__birth")))
+    return out.drop("__of", "__birth")

@@ -16,6 +16,7 @@ from tidemark.functions import names as N
 from tidemark.operators import audit as A
 from tidemark.operators import checks as C
 from tidemark.operators import cohort, identity, linmod, moments, roles, serving, shrink
+from tidemark.operators.quantiles import grouped_quantiles
 from tidemark.plans.closed_form import least_squares
 from tidemark.plans.registry import QUERIES, SQL, query
 from tidemark.sources.tables import csv_or_empty, sql_literal, table
@@ -272,10 +273,27 @@ def jn12_orphans(spark, d):
 @query("""select l_returnflag, count(*) as n, count(distinct l_suppkey) as n_supp, round(median(l_quantity), 4) as mid, round(quantile_cont(l_extendedprice, 0.75), 4) as q75, round(stddev_samp(l_quantity), 6) as sd, round(var_pop(l_quantity), 6) as vp,
  count(*) filter (l_discount > 0.05) as n_discount, string_agg(distinct l_linestatus, '+' order by l_linestatus) as states, round(avg((l_tax > 0.03)::integer), 6) as taxed from lineitem group by 1""")
 def ag_aggregates(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(
-        F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("n_supp"), F.round(F.median("l_quantity"), 4).alias("mid"), F.round(F.percentile("l_extendedprice", 0.75), 4).alias("q75"),
+    lines = table(spark, d, "lineitem")
+    plain = lines.groupBy("l_returnflag").agg(
+        F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("n_supp"),
         F.round(F.stddev_samp("l_quantity"), 6).alias("sd"), F.round(F.var_pop("l_quantity"), 6).alias("vp"), F.count_if(F.col("l_discount") > 0.05).alias("n_discount"),
         F.array_join(F.array_sort(F.collect_set("l_linestatus")), "+").alias("states"), F.round(F.avg((F.col("l_tax") > 0.03).cast("double")), 6).alias("taxed"))
+    mid = grouped_quantiles(lines, ["l_returnflag"], "l_quantity", {"mid": 0.5})
+    high = grouped_quantiles(lines, ["l_returnflag"], "l_extendedprice", {"q75": 0.75})
+    return plain.join(mid, "l_returnflag").join(high, "l_returnflag").withColumns({c: F.round(c, 4) for c in ("mid", "q75")})
+
+
+@query("""select o_custkey as id, round(median(cast(year(o_orderdate) as double) - (o_orderkey % 40)), 4) as birth, count(*) as n from orders group by 1""")
+def ag3_implied_births(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("period"), (F.col("o_orderkey") % 40).alias("age"))
+    n = rows.groupBy("id").agg(F.count("*").alias("n"))
+    return identity.implied_birth(rows, "id", "period", "age").join(n, "id").select("id", F.round("birth", 4).alias("birth"), "n")
+
+
+@query("""select lang, source, round(quantile_cont(length(text), 0.1), 4) as low, round(median(length(text)), 4) as mid, round(quantile_cont(length(text), 0.99), 4) as high from documents group by all""")
+def ag16_text_lengths(spark, d):
+    found = grouped_quantiles(table(spark, d, "documents"), ["lang", "source"], F.length("text"), {"low": 0.1, "mid": 0.5, "high": 0.99})
+    return found.select("lang", "source", *[F.round(c, 4).alias(c) for c in ("low", "mid", "high")])
 
 
 @query("""select l_suppkey, round(sum(l_extendedprice * l_quantity) / nullif(sum(l_quantity), 0), 4) as wmean, round(avg(abs(l_tax - l_discount)), 6) as mad from lineitem group by 1""")
