@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.scratch import map_arrow, settle, ship_code
+from tidemark.llm.scratch import map_arrow, settle
 
 STATES, ROUNDS = 8, 3
 SHARE, LEAST, KINDS = 2e-6, 8, 512
@@ -285,11 +285,11 @@ def likelihoods(blocks: DataFrame, counts: DataFrame, model: Model) -> DataFrame
         m: Model = sent.value
         out = []
         place, c = right["at"].to_numpy(), right["c"].to_numpy()
-        for row in rows_of(left.combine_chunks(), ["ids", "learn", "count", "tokens", "words", "kinds"]):
-            n = np.zeros(len(row["words"]), np.int64)
+        for row in rows_of(left.combine_chunks(), ["ids", "learn", "count", "tokens", "local"]):
+            n = np.zeros(len(row["local"]), np.int64)
             n[place] = c
             smooth = (n + 1) / (m.tokens + m.types + 1)
-            local = np.where(n > 0, m.symbols(row["words"].view(np.uint64), row["kinds"]), m.unknown)
+            local = np.where(n > 0, row["local"], m.unknown)
             within = np.log10(smooth / m.mass[local])
             within[local < len(m.own)] = 0
             within[local == m.unknown] = 0
@@ -307,10 +307,19 @@ def likelihoods(blocks: DataFrame, counts: DataFrame, model: Model) -> DataFrame
             out.append(pa.table([row["ids"].values, pa.array(row["learn"]), pa.array(count + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names=names))
         return pa.concat_tables(out) if out else pa.table({"id": left["ids"].combine_chunks().flatten()[:0], "learn": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
 
-    ship_code(spark)
+    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The symbols of a block's words take the words' place before the shuffle."""
+        m: Model = sent.value
+        for batch in batches:
+            own = [m.symbols(row["words"].view(np.uint64), row["kinds"]).astype(np.int32) for row in rows_of(batch, ["words", "kinds"])]
+            ends = np.r_[0, np.cumsum([len(x) for x in own])]
+            local = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in slim], local], [*slim, "local"])
+
+    slim = ["block", "ids", "learn", "count", "tokens"]
     asked = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("at", "word"))
     known = asked.join(counts.select("word", "c"), "word").select("of", "at", "c")
-    read = blocks.select("block", "ids", "learn", "count", "tokens", "words", "kinds")
+    read = map_arrow(blocks.select(*slim, "words", "kinds"), symbols, f"block long, ids array<{id_type}>, learn array<boolean>, count array<int>, tokens binary, local array<int>")
     return read.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(run, f"id {id_type}, learn boolean, n_tokens long, n_known long, base_score double, score double")
 
 
