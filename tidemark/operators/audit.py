@@ -4,6 +4,8 @@ Documents: (doc, text). Facts: (doc, fact_id, statement, value, unit)."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,6 @@ from tidemark.functions.names import strip_marks
 # What is a number in a text, and the readings of a fact's value in other units.
 NUMBER = r"(?<![\w%])[-+]?\d[\d,]*(?:\.\d+)?%?"
 CONVERSIONS = [1.0, 100.0, 0.01, 1000.0, 0.001]
-CERTAIN = r"(?i)\b(certainly|definitely|guaranteed|undoubtedly|without doubt)\b"
 
 
 def display(value: str | Column, unit: str | Column) -> Column:
@@ -70,11 +71,26 @@ def derived(facts: DataFrame) -> DataFrame:
     return one.select("doc", F.explode(F.array_compact(F.array(*forms))).alias("form")).select("doc", F.explode(F.array(F.col("form"), F.col("form") * 100)).alias("candidate")).distinct()
 
 
+#: Decimal places beyond which numbers share the width of their buckets.
+PLACES = 8
+
+
 def trace(found: DataFrame, cand: DataFrame) -> DataFrame:
     """Add traced: some candidate of the document lies within the window of the value
-    or of its reading as a share. A range semi-join on the document's key."""
-    near = F.expr("abs(value - candidate) <= window + 1e-9 or abs(as_share - candidate) <= window / 100 + 1e-9")
-    hits = found.alias("f").join(cand.alias("c"), (F.col("f.doc") == F.col("c.doc")) & near, "left_semi").select("doc", "token_no", F.lit(True).alias("traced"))
+    or of its reading as a share.
+
+    A window is half of the last written decimal, so a number meets the candidates in at most
+    three buckets of that width: candidates are dealt to buckets once for each number of decimals
+    that their document writes, and both sides meet by (document, decimals, bucket)."""
+    at = lambda v, places: F.floor(v * F.pow(F.lit(10.0), places))
+    slack = F.lit(1e-9)
+    places = F.least(F.greatest(F.round(-F.log10(2 * F.col("w"))).cast("int"), F.lit(0)), F.lit(PLACES))
+    reading = F.explode(F.array(F.struct(F.col("value").alias("v"), F.col("window").alias("w")), F.struct(F.col("as_share").alias("v"), (F.col("window") / 100).alias("w"))))
+    read = found.select("doc", "token_no", reading.alias("r")).select("doc", "token_no", "r.v", "r.w").where("v is not null").withColumn("places", places)
+    asked = read.withColumn("bucket", F.explode(F.sequence(at(F.col("v") - F.col("w") - slack, F.col("places")), at(F.col("v") + F.col("w") + slack, F.col("places")))))
+    held = cand.join(read.select("doc", "places").distinct(), "doc").select("doc", "places", "candidate", at(F.col("candidate"), F.col("places")).alias("bucket"))
+    met = asked.join(held, ["doc", "places", "bucket"]).where(F.abs(F.col("v") - F.col("candidate")) <= F.col("w") + slack)
+    hits = met.select("doc", "token_no").distinct().withColumn("traced", F.lit(True))
     return found.join(hits, ["doc", "token_no"], "left").withColumn("traced", F.coalesce("traced", F.lit(False)))
 
 
@@ -111,15 +127,47 @@ def unsupported_names(docs: DataFrame, evidence: DataFrame) -> DataFrame:
     return parts.join(known, ["doc", "part"], "left_anti").select("doc", "word").distinct()
 
 
-def rule_errors(docs: DataFrame, outcome: DataFrame) -> DataFrame:
-    """(doc, rule): texts that say "rise" or "fall" against the projected change
-    (doc, change, beats_baseline), or sound certain of a model that loses to its baseline."""
-    t = docs.join(outcome, "doc")
-    up, down = F.regexp_like("text", F.lit(r"(?i)\b(rise|rises|increase|increases|improve|improves)\b")), F.regexp_like("text", F.lit(r"(?i)\b(fall|falls|decrease|decreases|decline|declines)\b"))
-    rules = F.array_compact(F.array(
-        F.when(up & ~down & (F.col("change") < 0), "direction"), F.when(down & ~up & (F.col("change") > 0), "direction"),
-        F.when(F.regexp_like("text", F.lit(CERTAIN)), "certainty"), F.when(~F.col("beats_baseline") & F.regexp_like("text", F.lit(r"(?i)\bconfiden(t|ce)\b")), "confidence")))
-    return t.select("doc", F.explode(F.array_distinct(rules)).alias("rule"))
+@dataclass(frozen=True)
+class Rules:
+    """Words, lower-case, that the rules look for, and how many words a statement reaches."""
+
+    metric: tuple[str, ...]
+    up: tuple[str, ...] = ("rise", "rises", "rising", "grow", "grows", "growing", "climb", "climbs", "gain", "gains", "improve", "improves")
+    down: tuple[str, ...] = ("fall", "falls", "falling", "drop", "drops", "shrink", "shrinks", "slip", "slips", "decline", "declines")
+    spread: tuple[str, ...] = ("percentile", "percentiles", "uncertainty", "margin", "deviation", "deviations", "between")
+    certain: tuple[str, ...] = ("undoubtedly", "inevitably", "surely", "definitely", "certainly")
+    reach: int = 6
+
+
+def direction_words(docs: DataFrame, rules: Rules) -> DataFrame:
+    """(doc, n_up, n_down, n_certain): statements that the metric rises or falls, and words
+    of certainty. A direction word speaks of the metric if the metric's name stands within
+    ``reach`` words of it in the same sentence, and of its spread, which is no direction, if a
+    word for that stands within the same reach on either side."""
+    sentences = docs.select("doc", F.explode(F.split(F.lower("text"), r"[.!?\n]+")).alias("s"))
+    words = sentences.select("doc", F.filter(F.split("s", r"[^\p{L}]+"), lambda w: w != "").alias("words"))
+    holds = lambda part, of: F.arrays_overlap(part, F.array(*[F.lit(w) for w in of]))
+    w, n = F.col("words"), F.size("words")
+    around = lambda i: F.slice(w, F.greatest(i - rules.reach, F.lit(0)) + 1, F.least(i, F.lit(rules.reach)) + 1 + rules.reach)
+
+    def said(of: tuple[str, ...]) -> Column:
+        about = lambda i: F.get(w, i).isin(*of) & holds(around(i), rules.metric) & ~holds(around(i), rules.spread)
+        hits = F.filter(F.sequence(F.lit(0), n - 1), about)
+        return F.when((n > 0) & holds(w, of) & holds(w, rules.metric), F.size(hits)).otherwise(0)
+
+    certain = F.size(F.filter(w, lambda x: x.isin(*rules.certain)))
+    return words.groupBy("doc").agg(*[F.sum(c).alias(name) for c, name in ((said(rules.up), "n_up"), (said(rules.down), "n_down"), (certain, "n_certain"))])
+
+
+def rule_errors(docs: DataFrame, outcome: DataFrame, rules: Rules) -> DataFrame:
+    """(doc, rule, n): texts that say n times that the metric moves against its projected
+    change, that sound certain n times, or that are confident of a model that loses to its
+    baseline. ``outcome``: doc, change, confident, beats_baseline; what is null breaks no rule."""
+    t = direction_words(docs, rules).join(outcome, "doc")
+    against = F.when(F.col("change") < 0, F.col("n_up")).when(F.col("change") > 0, F.col("n_down"))
+    bold = F.when(F.col("confident") & ~F.col("beats_baseline"), 1)
+    broken = [F.struct(F.lit(name).alias("rule"), n.cast("long").alias("n")) for name, n in (("direction", against), ("certainty", F.col("n_certain")), ("confidence", bold))]
+    return t.select("doc", F.explode(F.array(*broken)).alias("b")).select("doc", "b.*").where("n > 0")
 
 
 def distractors(docs: DataFrame, ranges: int = 200) -> DataFrame:

@@ -6,8 +6,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.names import normalized
 
@@ -22,11 +23,55 @@ def clamped(value: int, low: int, high: int) -> int:
     return max(low, min(high, value))
 
 
+#: Rows up to which a page is the top of a sort that every task cuts short; ranges beyond.
+TOP, RANGES = 20_000, 256
+
+
+def page(rows: DataFrame, order: list[Column], limit: int, offset: int, top: int = TOP, ranges: int = RANGES) -> DataFrame:
+    """``limit`` rows after the first ``offset`` in ascending ``order``, sorted.
+
+    A shallow page is a top-k: each task keeps as many rows. For a deep one the sort keys are
+    cut into ranges and counted; the counts say which ranges hold the page, and these are
+    cut again until few rows are left to be sorted. Only ``ranges`` counts with their ends reach
+    the driver. Rows of one key stay together, so let the order end with what tells rows
+    apart."""
+    keyed = rows.withColumn("__key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
+    skip = offset
+    while skip + limit > top:
+        cut = keyed.select("__key").repartitionByRange(ranges, "__key").groupBy(F.spark_partition_id().alias("range"))
+        counts = cut.agg(F.count("*").alias("n"), F.min("__key").alias("lo"), F.max("__key").alias("hi")).orderBy("lo").collect()
+        total, past, within = sum(r.n for r in counts), 0, []
+        for r in counts:
+            if past + r.n > skip and past < skip + limit:
+                within.append((past, r))
+            past += r.n
+        if not within:
+            return rows.limit(0)
+        kept = sum(r.n for _, r in within)
+        ends = keyed.sparkSession.createDataFrame([(within[0][1].lo, within[-1][1].hi)], T.StructType([T.StructField(c, keyed.schema["__key"].dataType) for c in ("__lo", "__hi")]))
+        keyed = keyed.crossJoin(F.broadcast(ends)).where(F.col("__key").between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")  # one row of ends
+        skip -= within[0][0]
+        if kept <= top or kept == total:
+            break
+    return keyed.orderBy("__key").offset(skip).limit(limit).drop("__key")
+
+
+def descending(name: str) -> list[Column]:
+    """Largest first and nulls last, as ascending keys of ``page``."""
+    return [F.col(name).isNull(), -F.col(name)]
+
+
 def search(persons: DataFrame, needle: str, limit: int = 20) -> DataFrame:
     """Names that contain the needle (normalised on both sides); entities of several
-    systems first."""
+    systems first. ``place`` counts the rows from 1."""
     rows = persons.where(F.contains("normalized_name", normalized(F.lit(needle))))
-    return rows.orderBy(F.when(F.instr("systems", "+") > 0, 0).otherwise(1), "display_name", "person_id").limit(clamped(limit, 1, 50))
+    return placed(rows, [F.when(F.instr("systems", "+") > 0, 0).otherwise(1), F.col("display_name"), F.col("person_id")], clamped(limit, 1, 50))
+
+
+def placed(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first ``limit`` rows with their ``place``, from 1."""
+    few = rows.orderBy(*order).limit(limit)
+    return few.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # of at most ``limit`` rows
 
 
 def profile(person: str, persons: DataFrame, seasons: DataFrame, identities: DataFrame) -> dict[str, DataFrame]:
@@ -61,7 +106,7 @@ class Page:
     totals: DataFrame
 
 
-def projection_page(rows: DataFrame, persons: DataFrame, direction: str | None = None, least: float | None = None, supported: bool | None = None, limit: int = 50, offset: int = 0, ties: list[str] | None = None) -> Page:
+def projection_page(rows: DataFrame, persons: DataFrame, direction: str | None = None, least: float | None = None, supported: bool | None = None, limit: int = 50, offset: int = 0, ties: list[str] | None = None, top: int = TOP) -> Page:
     """A page by predicted value (ties by id, then ``ties``) with the count of all matches and of those
     outside the model's support, one aggregation."""
     checked(limit, 1, 500, "limit")
@@ -74,7 +119,8 @@ def projection_page(rows: DataFrame, persons: DataFrame, direction: str | None =
         rows = rows.where(F.col("in_support") == supported)
     totals = rows.agg(F.count("*").alias("total"), F.count_if(~F.col("in_support")).alias("out_of_support"))
     named = rows.join(persons.select("person_id", "display_name"), "person_id", "left")
-    return Page(named.orderBy(F.col("predicted").desc(), "person_id", *(ties or [])).offset(offset).limit(limit), totals)
+    order = [*descending("predicted"), F.col("person_id"), *[F.col(t) for t in ties or []]]
+    return Page(page(named, order, limit, offset, top), totals)
 
 
 def archetypes(definitions: DataFrame) -> DataFrame:

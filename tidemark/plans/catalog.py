@@ -221,15 +221,6 @@ def ag2_latest_name(spark, d):
     return identity.distinct_entities(o, "id", "name", "period")
 
 
-@query("""select doc_id, list_aggregate(list_sort(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(replace(replace(replace(strip_accents(translate(w, 'đĐðÐøØłŁ', 'dDdDoOlL')), 'ß', 'ss'), '’', ''), '`', '')), '[.''´]', '', 'g'), '[^a-z0-9_\\s]', ' ', 'g')), '\\s+'), lambda x: x <> '' and x not in ('jr', 'sr', 'ii', 'iii', 'iv', 'v') and length(x) > 1)), 'string_agg', ' ') as key
-from (select doc_id, array_to_string(list_slice(list_filter(string_split_regex(regexp_replace(text, '[^a-zA-ZÀ-ÖØ-öø-ÿ ]', ' ', 'g'), ' +'), lambda x: length(x) > 1), 1, 8), ' ') as w from documents) where key is not null and key <> ''""")
-def str1_name_keys(spark, d):
-    letters = F.split(F.regexp_replace("text", "[^a-zA-ZÀ-ÖØ-öø-ÿ ]", " "), " +")
-    words = F.slice(F.filter(letters, lambda w: F.length(w) > 1), 1, 8)
-    keys = table(spark, d, "documents").select("doc_id", N.normalized(F.array_join(words, " ")).alias("k"))
-    return keys.select("doc_id", F.array_join(F.array_sort(F.filter(F.split("k", " "), lambda w: F.length(w) > 1)), " ").alias("key")).where("key <> ''")
-
-
 @query("""select doc_id, list_aggregate(list_sort(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(replace(replace(replace(strip_accents(translate(w, 'đĐðÐøØłŁ', 'dDdDoOlL')), 'ß', 'ss'), '’', ''), '`', '')), '[.''´]', '', 'g'), '[^a-z0-9_\\s]', ' ', 'g')), '\\s+'), lambda x: x <> '' and x not in ('jr', 'sr', 'ii', 'iii', 'iv', 'v') and length(x) > 1)), 'string_agg', ' ') as key
 from (select doc_id, array_to_string(list_filter(string_split_regex(regexp_replace(text, '[^a-zA-ZÀ-ÖØ-öø-ÿ ]', ' ', 'g'), ' +'), lambda x: length(x) > 1), ' ') as w from documents) where key is not null and key <> ''""")
 def str1_name_keys_whole(spark, d):
@@ -591,10 +582,12 @@ def _persons(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("display_name"), F.lower("c_name").alias("normalized_name"), F.when(F.col("c_custkey") % 5 == 0, "A+B").otherwise("A").alias("systems"))
 
 
-@query("""select c_custkey as person_id, c_name as display_name, lower(c_name) as normalized_name, case when c_custkey % 5 = 0 then 'A+B' else 'A' end as systems from customer where contains(lower(c_name), '00001')
-order by case when c_custkey % 5 = 0 then 0 else 1 end, c_name, c_custkey limit 20""")
+@query("""with p as (select c_custkey as person_id, (['Renée', 'Zoë', 'Ðiego', 'Ann'])[c_custkey % 4 + 1] || ' ' || c_name as display_name, (['renee', 'zoe', 'diego', 'ann'])[c_custkey % 4 + 1] || ' ' || lower(replace(c_name, '#', ' ')) as normalized_name, case when c_custkey % 5 = 0 then 'A+B' else 'A' end as systems from customer)
+select *, row_number() over (order by case when systems = 'A+B' then 0 else 1 end, display_name, person_id)::integer as place from p where contains(normalized_name, 'zoe customer') qualify place <= 20""")
 def q1_search(spark, d):
-    return serving.search(_persons(spark, d), " 00001 ")
+    first = F.element_at(F.array(*[F.lit(x) for x in ("Renée", "Zoë", "Ðiego", "Ann")]), (F.col("person_id") % 4 + 1).cast("int"))
+    named = _persons(spark, d).withColumn("display_name", F.concat_ws(" ", first, "display_name"))
+    return serving.search(named.withColumn("normalized_name", N.normalized("display_name")), " ZÖE Customer ")
 
 
 @query(PANEL + "select entity as person_id, grp, period, round(weight, 2) as weight from panel where entity = 7")
@@ -628,6 +621,13 @@ def q7_projection_page(spark, d):
     return page.rows
 
 
+@query(PREDICTED + "select pr.*, c_name as display_name from pr left join customer on c_custkey = person_id order by predicted desc, person_id, direction, target_period limit 60 offset (select count(*) * 3 // 4 from pr)")
+def q7_deep_page(spark, d):
+    rows = _predictions(spark, d)
+    deep = serving.projection_page(rows, _persons(spark, d), limit=60, offset=rows.count() * 3 // 4, ties=["direction", "target_period"], top=500)
+    return deep.rows
+
+
 @query(PREDICTED + "select count(*) as total, count(*) filter (not in_support) as out_of_support from pr where predicted >= 100000")
 def q7_projection_totals(spark, d):
     return serving.projection_page(_predictions(spark, d), _persons(spark, d), least=100_000.0).totals

@@ -116,12 +116,23 @@ def tx7_distractor_scores(spark, d):
     return A.distractor_scores(K._texts(spark, d), K._facts(spark, d), A.render(K._facts(spark, d)))
 
 
-@query("""with t as (select doc_id as doc, text, doc_id % 3 - 1 as change, doc_id % 2 = 0 as beats, regexp_matches(text, '(?i)\\b(rise|rises|increase|increases|improve|improves)\\b') as up, regexp_matches(text, '(?i)\\b(fall|falls|decrease|decreases|decline|declines)\\b') as down from documents)
-select doc, unnest(list_distinct(list_filter([case when up and not down and change < 0 then 'direction' end, case when down and not up and change > 0 then 'direction' end,
- case when regexp_matches(text, '(?i)\\b(certainly|definitely|guaranteed|undoubtedly|without doubt)\\b') then 'certainty' end, case when not beats and regexp_matches(text, '(?i)\\bconfiden(t|ce)\\b') then 'confidence' end], lambda x: x is not null))) as rule from t""")
+# the texts are invented, so the rules look for words that they have
+RULES = A.Rules(metric=("the",), up=("that", "than"), down=("for", "with"), spread=("which", "are"), certain=("was",), reach=3)
+_list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+@query(f"""with s as (select doc_id as doc, unnest(string_split_regex(lower(text), '[.!?\n]+')) as s from documents),
+w as (select doc, list_filter(string_split_regex(s, '[^\\p{{L}}]+'), lambda x: x <> '') as w from s),
+p as (select doc, w, unnest(generate_series(1, len(w))) as i from w),
+a as (select doc, w[i] as x, w[greatest(i - 3, 1):i + 3] as around from p),
+n as (select doc, count(*) filter (list_contains({_list(RULES.up)}, x) and list_has_any(around, {_list(RULES.metric)}) and not list_has_any(around, {_list(RULES.spread)})) as n_up,
+  count(*) filter (list_contains({_list(RULES.down)}, x) and list_has_any(around, {_list(RULES.metric)}) and not list_has_any(around, {_list(RULES.spread)})) as n_down, count(*) filter (list_contains({_list(RULES.certain)}, x)) as n_certain from a group by 1),
+r as (select doc, unnest([{{'rule': 'direction', 'n': case when doc % 3 - 1 < 0 then n_up when doc % 3 - 1 > 0 then n_down end}}, {{'rule': 'certainty', 'n': n_certain}}, {{'rule': 'confidence', 'n': case when doc % 5 = 0 and doc % 2 = 1 then 1 end}}]) as b from n)
+select doc, b.rule as rule, b.n as n from r where b.n > 0""")
 def tx6_rule_errors(spark, d):
     docs = K._texts(spark, d)
-    return A.rule_errors(docs, docs.select("doc", (F.col("doc") % 3 - 1).alias("change"), (F.col("doc") % 2 == 0).alias("beats_baseline")))
+    outcome = docs.select("doc", (F.col("doc") % 3 - 1).alias("change"), (F.col("doc") % 5 == 0).alias("confident"), (F.col("doc") % 2 == 0).alias("beats_baseline"))
+    return A.rule_errors(docs, outcome, RULES)
 
 
 PLAIN = "lower(replace(strip_accents(translate({}, 'đĐðÐøØłŁ', 'dDdDoOlL')), 'ß', 'ss'))"
@@ -222,9 +233,8 @@ def _definitions(spark, d):
 
 @query(f"select row_number() over (order by stability desc nulls last, cluster) as place, cluster, label, stability, case when not reportable then 'not stable enough to report' end as warning from ({DEFINITIONS})")
 def q8_archetypes(spark, d):
-    ordered = serving.archetypes(_definitions(spark, d))
-    place = F.monotonically_increasing_id() + 1  # the sorted rows of a table of clusters, in one partition
-    return ordered.coalesce(1).select(place.alias("place"), "cluster", "label", "stability", "warning")
+    ordered = serving.placed(serving.archetypes(_definitions(spark, d)), [*serving.descending("stability"), F.col("cluster")], 100)
+    return ordered.select("place", "cluster", "label", "stability", "warning")
 
 
 @query("""with defs as (select c_mktsegment as model_version, c_nationkey as cluster, count(*) as members from customer group by 1, 2) select c_custkey as person_id, model_version, cluster, c_custkey % 5 as period, members from customer join defs on model_version = c_mktsegment and cluster = c_nationkey where c_custkey = 7""")
