@@ -33,36 +33,9 @@ def test_cache_and_contract(spark, tmp_path):
     assert T.all_files(spark, f"{folder}/s/*.parquet").count() == 3
     T.write_with_contract(spark.range(5), str(tmp_path / "t.parquet"))
     assert spark.read.json(str(tmp_path / "t.parquet.contract")).first().n_rows == 5
-    T.replace_all({"x": spark.range(2)}, str(tmp_path / "gold"))
-    T.replace_all({"y": spark.range(4)}, str(tmp_path / "gold"))
-    assert T.table(spark, str(tmp_path / "gold"), "y").count() == 4 and not T.exists(spark, str(tmp_path / "gold/x.parquet"))
     assert T.read_run_log(spark, T.run_log(spark, str(tmp_path), "r1", {"b": 1, "a": 2})) == {"a": 2, "b": 1}
 
 
-def test_a_failed_replacement_leaves_the_live_tables(spark, tmp_path):
-    gold = str(tmp_path / "gold")
-    T.replace_all({"x": spark.range(2)}, gold)
-    broken = spark.range(3).select(F.raise_error(F.lit("broken")).cast("string").alias("v"))
-    with pytest.raises(Exception, match="broken"):
-        T.replace_all({"a": spark.range(9), "b": broken}, gold)
-    assert T.table(spark, gold, "x").count() == 2 and not T.exists(spark, f"{gold}/a.parquet")
-    T.replace_all({"y": spark.range(4)}, gold)
-    assert not T.exists(spark, f"{gold}/a.parquet") and not T.exists(spark, f"{gold}/x.parquet")
-
-
-def test_insert_statements(spark):
-    df = spark.createDataFrame([(i, f"it's {i}\x00", 1.5 if i else None, i % 2 == 0) for i in range(50)], "id int, name string, x double, ok boolean")
-    got = [r.statement for r in T.insert_statements(df, 'we"ird', ["id"], rows=7, spread=1).collect()]
-    assert len(got) == 8 and all(s.count("\n(") <= 7 for s in got) and got[0].startswith('INSERT INTO "we""ird" ("id", "name", "x", "ok") VALUES')
-    text = "".join(got)
-    assert "(0, 'it''s 0', NULL, 1)" in text and "(1, 'it''s 1', 1.5, 0)" in text
-    big = spark.createDataFrame([(i, "z" * 400) for i in range(10)], "id int, name string")
-    assert len(T.insert_statements(big, "t", ["id"], size=900, spread=1).collect()) >= 4
-    assert T.insert_statements(big.where(F.lit(False)), "t", ["id"]).count() == 0
-    with pytest.raises(Exception, match="not finite"):
-        spark.createDataFrame([(1, float("nan"))], "id int, x double").select(T.sql_literal(F.col("x"), "double")).collect()
-
-
 def test_slice(spark):
     persons = spark.createDataFrame([(f"p{i}", i) for i in range(10)], "person_id string, n int")
     movers = persons.where("n > 3")

@@ -19,7 +19,8 @@ from tidemark.operators import cohort, identity, linmod, moments, roles, serving
 from tidemark.operators.quantiles import grouped_quantiles
 from tidemark.plans.closed_form import least_squares
 from tidemark.plans.registry import QUERIES, SQL, query
-from tidemark.sources.tables import csv_or_empty, sql_literal, table
+from tidemark.sources.statements import sql_literal
+from tidemark.sources.tables import csv_or_empty, table
 
 # ---- the panel -------------------------------------------------------------
 
@@ -324,9 +325,12 @@ def snk3_sql_literals(spark, d):
     return s.select(F.concat(F.lit("("), F.concat_ws(", ", *parts), F.lit(")")).alias("line"))
 
 
-@query("select cast(null as varchar) as other_id, cast(null as varchar) as anchor_id where false")
+@query("select c_custkey, c_name, c_name as shown from customer")
 def src3_missing_file(spark, d):
-    return csv_or_empty(spark, f"{d}/no-such-overrides.csv", "other_id string, anchor_id string")
+    """Names with corrections from a file that does not exist."""
+    fixed = csv_or_empty(spark, f"{d}/no-such-names.csv", "c_custkey long, better string")
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    return c.join(fixed, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("better", "c_name").alias("shown"))
 
 
 # ---- models ----------------------------------------------------------------------
@@ -568,11 +572,15 @@ def va11_content_hash(spark, d):
     return C.content_hash(table(spark, d, "customer").select("c_custkey", "c_name"))
 
 
-@query("""select 'c_acctbal' as "column", 'removed' as problem union all select 'c_name', 'null_rate' union all select 'extra', 'added'""")
+@query("""with n as (select count(*) as n, count(*) filter (c_custkey <= 5) as few, count(*) filter (c_custkey % 3 = 0) as third from customer),
+x as (select unnest([{'c': 'c_acctbal', 'p': 'removed', 'r': null::double}, {'c': 'c_name', 'p': case when few > 0 then 'null_rate' end, 'r': few / n}, {'c': 'c_mktsegment', 'p': case when third > 0 then 'null_rate' end, 'r': third / n}, {'c': 'extra', 'p': 'added', 'r': 0.0}]) as x from n)
+select x.c as "column", x.p as problem, round(x.r, 6) as null_rate from x where x.p is not null""")
 def va12_contract_differences(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    changed = c.select("c_custkey", F.when(F.col("c_custkey") > 5, F.col("c_name")).alias("c_name"), F.lit(1).alias("extra"))
-    return C.compare_contracts(C.profile(c), C.profile(changed))
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", "c_acctbal")
+    thirds = F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("c_mktsegment")
+    changed = c.select("c_custkey", F.when(F.col("c_custkey") > 5, F.col("c_name")).alias("c_name"), thirds, "c_nationkey", F.lit(1).alias("extra"))
+    now = C.profile(changed)
+    return C.compare_contracts(C.profile(c), now).join(now.select("column", "null_rate"), "column", "left").select("column", "problem", F.round("null_rate", 6).alias("null_rate"))
 
 
 # ---- serving -----------------------------------------------------------------------------
@@ -648,12 +656,12 @@ def q12_shooting_leaders(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tidemark.plans import extended  # noqa: F401  (it registers its own)
+    from tidemark.plans import extended, intake  # noqa: F401  (they register their own)
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemark.plans import extended  # noqa: F401
+    from tidemark.plans import extended, intake  # noqa: F401
 
     return dict(SQL)

@@ -1,21 +1,17 @@
 """Reading and writing tables: scans with declared schemas, content-addressed
-caches, contracts beside the data, SQL text."""
+caches, contracts beside the data."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import uuid
+import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-# Rows and bytes of one INSERT statement.
-CHUNK_ROWS, CHUNK_BYTES = 400, 50_000
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -52,16 +48,21 @@ def cache_key(source: str, endpoint: str, params: dict) -> str:
 
 def cached(spark: SparkSession, folder: str, source: str, endpoint: str, params: dict, fetch: Callable[[], DataFrame] | None = None, refresh: bool = False) -> DataFrame:
     """The cached answer to a request; ``fetch`` makes a missing one and a line is
-    appended to the manifest. Without ``fetch`` a miss is an error."""
+    appended to the manifest: size, content hash and the seconds it took. Without ``fetch`` a miss is an error."""
+    from tidemark.operators.checks import content_hash
+
     key = cache_key(source, endpoint, params)
     path = f"{folder}/{source}/{endpoint}-{key}.parquet"
     if refresh or not exists(spark, path):
         if fetch is None:
             raise FileNotFoundError(f"not cached: {source} {endpoint} {params}")
+        began = time.time()
         got = fetch()
         got.write.mode("overwrite").parquet(path)
-        n = spark.read.parquet(path).count()
-        line = spark.createDataFrame([(key, source, endpoint, json.dumps(params, sort_keys=True), n, len(got.columns))], "key string, source string, endpoint string, params string, n_rows long, n_columns int")
+        held = content_hash(spark.read.parquet(path)).first()
+        line = spark.createDataFrame(
+            [(key, source, endpoint, json.dumps(params, sort_keys=True), held.n_rows, len(got.columns), held.content_hash, time.time() - began)],
+            "key string, source string, endpoint string, params string, n_rows long, n_columns int, digest string, seconds double")
         line.coalesce(1).write.mode("append").json(f"{folder}/manifest")
     return spark.read.parquet(path)
 
@@ -78,57 +79,6 @@ def write_with_contract(df: DataFrame, path: str) -> None:
     profile(df.sparkSession.read.parquet(path)).coalesce(1).write.mode("overwrite").json(f"{path}.contract")
 
 
-def replace_all(frames: dict[str, DataFrame], folder: str) -> None:
-    """All tables or none. They are written to a staging folder of their own name; the
-    live folder is set aside, and put back if the new one cannot take its place. What a
-    failed run leaves is never published."""
-    spark = next(iter(frames.values())).sparkSession
-    run = uuid.uuid4().hex
-    staging, aside = f"{folder}.staging-{run}", f"{folder}.old-{run}"
-    for name, df in frames.items():
-        df.write.parquet(f"{staging}/{name}.parquet")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    live = fs.exists(path(folder))
-    if live and not fs.rename(path(folder), path(aside)):
-        raise OSError(f"{folder} could not be set aside; it is unchanged")
-    if not fs.rename(path(staging), path(folder)):
-        if live:
-            fs.rename(path(aside), path(folder))
-        raise OSError(f"{staging} could not take the place of {folder}")
-    fs.delete(path(aside), True)
-
-
-def sql_literal(c: Column, kind: str) -> Column:
-    """A value as SQL text. NaN and infinity are errors."""
-    if kind == "string":
-        text = F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\x00"), F.lit("")), F.lit("'"), F.lit("''")), F.lit("'"))
-    elif kind == "boolean":
-        text = F.when(c, "1").otherwise("0")
-    elif kind in ("double", "float"):
-        bad = F.isnan(c) | (F.abs(c) == float("inf"))
-        text = F.when(bad, F.raise_error(F.lit("a value is not finite")).cast("string")).otherwise(c.cast("string"))
-    else:
-        text = c.cast("string")
-    return F.when(c.isNull(), "NULL").otherwise(text)
-
-
-def insert_statements(df: DataFrame, name: str, order: list[str], rows: int = CHUNK_ROWS, size: int = CHUNK_BYTES, spread: int = 64) -> DataFrame:
-    """(statement): INSERTs of at most ``rows`` rows and about ``size`` bytes; a longer
-    row stands alone. Rows are chunked inside ``spread`` hash partitions."""
-    kinds = dict(df.dtypes)
-    quoted = lambda n: '"' + n.replace('"', '""') + '"'
-    values = F.concat(F.lit("("), F.concat_ws(", ", *[sql_literal(F.col(c), kinds[c]) for c in df.columns]), F.lit(")"))
-    part = F.pmod(F.xxhash64(*order), F.lit(spread))
-    w = Window.partitionBy("__p").orderBy(*[F.col(f"__o{i}") for i in range(len(order))])
-    lines = df.select(values.alias("__v"), part.alias("__p"), *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)])
-    before = F.coalesce(F.sum(F.octet_length("__v") + 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.withColumn("__c", F.struct(F.floor(before / size).alias("b"), F.floor((F.row_number().over(w) - 1) / rows).alias("r")))
-    grouped = lines.groupBy("__p", "__c").agg(F.array_sort(F.collect_list(F.struct(*[f"__o{i}" for i in range(len(order))], "__v"))).alias("v"))
-    head = f"INSERT INTO {quoted(name)} ({', '.join(quoted(c) for c in df.columns)}) VALUES\n"
-    return grouped.select(F.concat(F.lit(head), F.array_join(F.transform("v", lambda s: s["__v"]), ",\n"), F.lit(";")).alias("statement"))
-
-
 def test_slice(tables: dict[str, DataFrame], key: str, anchors: list[str], movers: DataFrame, n: int) -> dict[str, DataFrame]:
     """Every table cut to ``n`` entities: the anchors in their order (all must exist),
     then movers sorted."""
