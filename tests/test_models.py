@@ -187,6 +187,8 @@ def test_neighbours_blocks_and_clusters(spark):
         near = sorted((float(np.linalg.norm(np.array(v) - np.array(w))), j) for j, q, w in rows if q == p and j != i)[:5]
         assert [got[i, k + 1] for k in range(5)] == [j for _, j in near]
     assert not any(i >= 100 for i, _ in got)
+    one = roles.neighbours(df, "id", "v", "p", k=5, block=7, of=F.col("id") == 13).collect()
+    assert sorted((r["rank"], r.neighbour) for r in one) == [(n, got[13, n]) for n in range(1, 6)]
     centres = [(-4.0, 0.0), (4.0, 0.0), (0.0, 5.0)]
     pts = [(i, i % 10, float(centres[i % 3][0] + rng.normal() * 0.3), float(centres[i % 3][1] + rng.normal() * 0.3)) for i in range(300)]
     frame = spark.createDataFrame(pts, "id int, t int, x double, y double")
@@ -200,3 +202,27 @@ def test_neighbours_blocks_and_clusters(spark):
     assert all(len(r.traits) == 1 and len(r.exemplars) == 2 for r in said)
     scores = roles.held_out_log_likelihood(reduced, "t", [2, 3])
     assert scores[1][1] > scores[0][1]
+
+
+def test_neighbours_prune_blocks(spark):
+    """Clustered rows, ties, equal rows and a period smaller than k: the result is that of
+    all pairs, and few pairs are compared."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(30, 6)) * 8
+    v = centres[rng.integers(0, 30, 1500)] + rng.normal(size=(1500, 6)) * 0.3
+    v[10:25] = v[10]
+    v[100:120] = np.round(v[100:120])
+    rows = [(i, "a", [float(x) for x in y]) for i, y in enumerate(v)] + [(5000 + i, "b", [float(i), 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(4)]
+    df = spark.createDataFrame(rows, "id int, p string, v array<double>")
+    got = {}
+    for r in roles.neighbours(df, "id", "v", "p", k=6, block=50).collect():
+        got.setdefault(r.id, {})[r["rank"]] = (r.neighbour, r.distance)
+    for i in range(1500):
+        gap = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+        gap[i] = np.inf
+        want = np.lexsort((np.arange(1500), gap))[:6]
+        assert [got[i][n][0] for n in range(1, 7)] == want.tolist() and np.allclose([got[i][n][1] for n in range(1, 7)], gap[want])
+    assert [[got[5000 + i][n][0] - 5000 for n in range(1, 4)] for i in range(4)] == [[1, 2, 3], [0, 2, 3], [1, 3, 0], [2, 1, 0]] and len(got[5000]) == 3
+    sized = df.select(F.col("p").alias("__g"), F.col("id").alias("__id"), F.col("v").alias("__v"), F.lit(True).alias("__of"), F.lit(1500).alias("__size"))
+    blocks = roles.Blocks.of(sized, 50)
+    assert blocks.compared(6) < 0.15 and max(x[4] for g in blocks.rings.values() for x in g) <= 120

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
@@ -12,9 +15,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import log_shares
 from tidemark.operators.resampling import copies
+from tidemark.sources.shared import kept
 
 # Variance kept, clusters, starts, stability floor and draws, neighbours, least period.
 VARIANCE, CLUSTERS, STARTS, STABLE, DRAWS, NEIGHBOURS, MIN_PERIOD, BLOCK = 0.90, 5, 5, 0.45, 12, 10, 3, 2048
+#: Pivots of a period, at most.
+PIVOTS = 64
 
 
 def feature_frame(df: DataFrame, parts: list[str], features: list[str], weight: str, least: float) -> DataFrame:
@@ -127,17 +133,123 @@ def neighbours(df: DataFrame, id_col: str, vector: str, period: str, k: int = NE
     distance, rank. Exact; ties go to the smaller id. ``of``: the rows that are asked for
     (all where it is not given). Rows without a vector have no neighbours.
 
-    A period is cut into blocks of rows by hash. Each two blocks of a period meet in one
-    task, whose matrix product leaves k rows for each row of the first block; only these
-    become rows, and meet once more. All distances of a period are computed, n squared
-    of them; no task holds more than two blocks."""
+    Rows lie in blocks (``Blocks``). A row's k nearest in its own block bound the distance to
+    the k-th neighbour; it then meets only those other blocks that the triangle inequality does
+    not put beyond that bound. Two blocks meet in one task, whose matrix product leaves k
+    rows for each row that asks; only these become rows, and meet once more."""
     sizes = df.groupBy(period).agg(F.count("*").alias("__size")).where(F.col("__size") >= MIN_PERIOD)
     rows = df.where(F.col(vector).isNotNull()).select(F.col(period).alias("__g"), F.col(id_col).alias("__id"), F.col(vector).alias("__v"), (F.lit(True) if of is None else of).alias("__of"))
-    rows = rows.join(sizes.withColumnRenamed(period, "__g"), "__g").withColumn("__n", F.ceil(F.col("__size") / block).cast("int"))
-    own, every = F.pmod(F.xxhash64("__id"), F.col("__n")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
-    asked = rows.where("__of").select("__g", "__id", "__v", own.alias("__a"), every.alias("__b"))
-    held = rows.select(F.col("__g").alias("__h"), F.col("__id").alias("__other"), F.col("__v").alias("__w"), every.alias("__c"), own.alias("__d"))
-    kinds = dict(rows.dtypes)
-    near = asked.groupBy("__g", "__a", "__b").cogroup(held.groupBy("__h", "__c", "__d")).applyInArrow(_nearest(k), f"__g {kinds['__g']}, __id {kinds['__id']}, neighbour {kinds['__id']}, distance double")
+    blocks = Blocks.of(rows.join(sizes.withColumnRenamed(period, "__g"), "__g"), block)
+    near = blocks.near(k)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("__g", "__id").orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
     return ranked.select(F.col("__g").alias(period), F.col("__id").alias(id_col), "neighbour", "distance", "rank")
+
+
+@dataclass
+class Blocks:
+    """The rows of each period in blocks of about one size: cells of the nearest pivot, of which
+    a period has PIVOTS at most, and in a cell rings of like distance from the pivot.
+
+    ``rows``: __g, __id, __v, __of, __cell, __ring. ``pivots`` ({period: vectors}) and ``rings``
+    ({period: cell, ring, nearest and farthest row}) are on the driver: PIVOTS rows a period
+    and one a block."""
+
+    rows: DataFrame
+    pivots: dict
+    rings: dict
+
+    @classmethod
+    def of(cls, rows: DataFrame, block: int) -> Blocks:
+        order = Window.partitionBy("__g").orderBy(F.xxhash64("__id"), "__id")
+        wanted = F.least(F.ceil(F.col("__size") / block), F.lit(PIVOTS))
+        picked = rows.select("__g", "__id", "__v", "__size").withColumn("__n", F.row_number().over(order)).where((F.col("__n") <= PIVOTS) & (F.col("__n") <= wanted)).collect()
+        pivots: dict = {}
+        for r in picked:
+            pivots.setdefault(r["__g"], []).append(r["__v"])
+        pivots = {g: np.array(v, float) for g, v in pivots.items()}
+        kinds = dict(rows.dtypes)
+        sent = rows.sparkSession.sparkContext.broadcast(pivots)
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cell, apart = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+                for i, gaps in _to_pivots(batch, sent.value):
+                    cell[i] = gaps.argmin(axis=1)
+                    apart[i] = gaps[np.arange(len(i)), cell[i]]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(apart)], [*batch.schema.names, "__cell", "__apart"])
+
+        fields = ("__g", "__id", "__v", "__of")
+        told = kept(rows.select(*fields).mapInArrow(placed, ", ".join(f"{c} {kinds[c]}" for c in fields) + ", __cell int, __apart double"))
+        # cuts at about equal numbers; any cuts will do, so a sketch of the distances is enough
+        n_cuts = 512
+        cells = told.groupBy("__g", "__cell").agg(F.count("*").alias("__n"), F.percentile_approx("__apart", [(i + 1) / n_cuts for i in range(n_cuts - 1)], 10_000).alias("__cuts"))
+        step = F.greatest(F.lit(1), F.floor(F.lit(n_cuts) * block / F.col("__n")))
+        cells = cells.select("__g", "__cell", F.array_distinct(F.filter("__cuts", lambda x, i: (i + 1) % step == 0)).alias("__cuts"))
+        ring = F.size(F.filter("__cuts", lambda x: x < F.col("__apart")))
+        told = kept(told.join(cells, ["__g", "__cell"]).withColumn("__ring", ring).drop("__cuts"))
+        rings: dict = {}
+        for r in told.groupBy("__g", "__cell", "__ring").agg(F.min("__apart").alias("lo"), F.max("__apart").alias("hi"), F.count("*").alias("n")).collect():
+            rings.setdefault(r["__g"], []).append((r["__cell"], r["__ring"], r.lo, r.hi, r.n))
+        return cls(told, pivots, {g: np.array(sorted(v)) for g, v in rings.items()})
+
+    def _meet(self, asked: DataFrame, k: int) -> DataFrame:
+        """``asked``: __g, __id, __v and the block that each row meets."""
+        held = self.rows.select(F.col("__g").alias("__h"), F.col("__id").alias("__other"), F.col("__v").alias("__w"), F.col("__cell").alias("__c"), F.col("__ring").alias("__r"))
+        kinds = dict(self.rows.dtypes)
+        return asked.groupBy("__g", "__cell", "__ring").cogroup(held.groupBy("__h", "__c", "__r")).applyInArrow(_nearest(k), f"__g {kinds['__g']}, __id {kinds['__id']}, neighbour {kinds['__id']}, distance double")
+
+    def near(self, k: int) -> DataFrame:
+        """__g, __id, neighbour, distance: k or more of each asked row, the nearest among them."""
+        own = kept(self._meet(self.rows.where("__of").select("__g", "__id", "__v", "__cell", "__ring"), k))
+        return own.union(self._meet(self.visits(own, k), k))
+
+    def visits(self, own: DataFrame, k: int) -> DataFrame:
+        """__g, __id, __v and each other block that may hold a neighbour. ``own``: the nearest
+        in the row's own block. A block lies at least as far away as the row's distance from the
+        block's pivot leaves the ring, and as the border between the two pivots' cells."""
+        bound = own.groupBy("__g", "__id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("__most"))
+        asked = self.rows.where("__of").join(bound, ["__g", "__id"], "left").select("__g", "__id", "__v", "__cell", "__ring", F.coalesce("__most", F.lit(float("inf"))).alias("__most"))
+        sent = self.rows.sparkSession.sparkContext.broadcast((self.pivots, self.rings))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pivots, rings = sent.value
+            for batch in batches:
+                cell, ring, most = (batch.column(c).to_numpy() for c in (3, 4, 5))
+                for i, gaps in _to_pivots(batch, pivots):
+                    g = batch.column(0)[int(i[0])].as_py()
+                    to, nth, lo, hi, _ = rings[g].T
+                    to = to.astype(int)
+                    far = np.maximum(gaps[:, to] - hi, lo - gaps[:, to])
+                    between = np.sqrt(np.maximum(((pivots[g][:, None] - pivots[g][None]) ** 2).sum(2), 0))[cell[i][:, None], to[None]]
+                    own = gaps[np.arange(len(i)), cell[i]][:, None]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        border = np.where(between > 0, (gaps[:, to] ** 2 - own**2) / (2 * between), 0.0)
+                    slack = 1e-9 * (1 + gaps[:, to] + own)
+                    other = (to[None] != cell[i][:, None]) | (nth[None] != ring[i][:, None])
+                    row, block = np.nonzero(other & (np.maximum(far, border) <= most[i][:, None] + slack))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(i[row])) for c in range(3)], pa.array(to[block].astype(np.int32)), pa.array(nth[block].astype(np.int32))], ["__g", "__id", "__v", "__cell", "__ring"])
+
+        kinds = dict(self.rows.dtypes)
+        return asked.mapInArrow(run, f"__g {kinds['__g']}, __id {kinds['__id']}, __v {kinds['__v']}, __cell int, __ring int")
+
+    def compared(self, k: int) -> float:
+        """The share of all ordered pairs of a period whose distance is computed."""
+        size = {(g, c, r): n for g, x in self.rings.items() for c, r, _, _, n in x.tolist()}
+        own = self._meet(self.rows.where("__of").select("__g", "__id", "__v", "__cell", "__ring"), k)
+        blocks = self.rows.where("__of").select("__g", "__cell", "__ring").union(self.visits(own, k).select("__g", "__cell", "__ring"))
+        met = sum(r["n"] * size[r["__g"], r["__cell"], r["__ring"]] for r in blocks.groupBy("__g", "__cell", "__ring").agg(F.count("*").alias("n")).collect())
+        every = {g: x[:, 4].sum() for g, x in self.rings.items()}
+        asked = {r["__g"]: r["n"] for r in self.rows.where("__of").groupBy("__g").agg(F.count("*").alias("n")).collect()}
+        return met / sum(n * every[g] for g, n in asked.items())
+
+
+def _to_pivots(batch: pa.RecordBatch, pivots: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one period of a batch (g, id, vector first), and their distances to its pivots."""
+    groups: dict = {}
+    for i, g in enumerate(batch.column(0).to_pylist()):
+        groups.setdefault(g, []).append(i)
+    for g, own in groups.items():
+        own = np.array(own)
+        v = np.asarray(batch.column(2).take(pa.array(own)).flatten()).reshape(len(own), -1).astype(float)
+        for a in range(0, len(own), 4096):
+            yield own[a : a + 4096], np.sqrt(((v[a : a + 4096, None] - pivots[g][None]) ** 2).sum(2))
