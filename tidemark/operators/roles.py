@@ -162,6 +162,9 @@ class Blocks:
     def of(cls, rows: DataFrame, block: int) -> Blocks:
         order = Window.partitionBy("__g").orderBy(F.xxhash64("__id"), "__id")
         wanted = F.least(F.ceil(F.col("__size") / block), F.lit(PIVOTS))
+        largest = rows.agg(F.max("__size")).first()[0] or 0
+        if largest <= block:  # every period is one block: there is nothing to leave out
+            return cls(rows.select("__g", "__id", "__v", "__of", F.lit(0).alias("__cell"), F.lit(0).alias("__ring")), {}, {})
         picked = rows.select("__g", "__id", "__v", "__size").withColumn("__n", F.row_number().over(order)).where((F.col("__n") <= PIVOTS) & (F.col("__n") <= wanted)).collect()
         pivots: dict = {}
         for r in picked:
@@ -200,6 +203,8 @@ class Blocks:
 
     def near(self, k: int) -> DataFrame:
         """__g, __id, neighbour, distance: k or more of each asked row, the nearest among them."""
+        if not self.rings:
+            return self._meet(self.rows.where("__of").select("__g", "__id", "__v", "__cell", "__ring"), k)
         own = kept(self._meet(self.rows.where("__of").select("__g", "__id", "__v", "__cell", "__ring"), k))
         return own.union(self._meet(self.visits(own, k), k))
 
