@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.scratch import map_arrow, settle, ship_code
+from tidemark.llm.scratch import discard, map_arrow, settle, ship_code
 
 GRAM = 5
 #: Documents that may share a minimizer before its windows are routed singly.
@@ -391,16 +391,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns are ignored.
     """
     raw = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    slim = settle(slim_rows(raw, id_col, text_col, size), "documents")
+    full = settle(slim_rows(raw, id_col, text_col, size), "minimizers")
+    slim = settle(full.drop("own"), "documents")
     lead = settle(slim.where(F.col("n_words") >= size).groupBy("k1", "k2").agg(F.min("id").alias("lead")), "leads")
 
     copies = slim.select("id", "k1", "k2").join(lead, ["k1", "k2"]).where("id > lead").select("id", "k1")
-    searched = slim.select("id", "k1", "own").join(copies, ["id", "k1"], "left_anti")
+    searched = full.select("id", "k1", "own").join(copies, ["id", "k1"], "left_anti")
     uses = searched.select("id", F.inline("own"))
     shared = uses.groupBy("m").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1")
     wanted = uses.select("id", "m").join(shared.select("m", (F.col("n") > hot).alias("hot")), "m")
     wanted = wanted.groupBy("id").agg(F.collect_set("m").alias("wanted"), F.collect_set(F.when(F.col("hot"), F.col("m"))).alias("hot"))
     texts = settle(raw.where("text is not null").join(wanted, "id"), "searched")
+    discard(full)  # minimizers have done their work
 
     found = settle(segments(texts, size), "segments")
     n_words = found.where("payload is not null").agg(F.sum(F.col("n") + (size - 1))).first()[0] or 0
@@ -434,7 +436,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     met = texts.join(ranges, "id").select("id", "k1", "text", "ranges")
     done = map_arrow(met, cut, "c1 long, c_id long, gone long, cut_sha string, spans array<struct<begin:long,end:long>>").dropDuplicates(["c1", "c_id"])
-    out = slim.drop("own").join(lead, ["k1", "k2"], "left").join(done, (F.col("k1") == F.col("c1")) & (F.col("id") == F.col("c_id")), "left")
+    out = slim.join(lead, ["k1", "k2"], "left").join(done, (F.col("k1") == F.col("c1")) & (F.col("id") == F.col("c_id")), "left")
     copy = F.col("id") > F.col("lead")
     return out.select(
         F.when(F.col("id") < LAST, F.col("id")).alias(id_col), "n_words",

@@ -70,7 +70,14 @@ def settle(df: DataFrame, name: str = "table", replaces: DataFrame | None = None
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
-    if replaces is not None and (old := getattr(replaces, "_settled_at", None)):
+    if replaces is not None:
+        discard(replaces)
+    return out
+
+
+def discard(settled: DataFrame) -> None:
+    """Remove a settled table that nothing reads any more."""
+    if old := getattr(settled, "_settled_at", None):
+        spark = settled.sparkSession
         folder = spark._jvm.org.apache.hadoop.fs.Path(old)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return out
