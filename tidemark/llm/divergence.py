@@ -32,7 +32,7 @@ from tidemark.llm.scratch import map_arrow, settle, ship_code
 
 SCALE, ADD = 10**9, 5
 #: Sources along one side of a tile, and terms along the other.
-TILE, TERMS = 256, 4096
+TILE, TERMS = 256, 512
 BLOCK = 1 << 22
 
 _letter = np.zeros(256, bool)
