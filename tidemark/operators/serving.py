@@ -85,8 +85,9 @@ def predictions_of(predictions: DataFrame, person: str) -> DataFrame:
     return predictions.where(F.col("person_id") == person).orderBy("target_period", "metric")
 
 
-def newest_first(models: DataFrame) -> DataFrame:
-    return models.orderBy(F.col("trained_at").desc(), "model_version")
+def newest_first(models: DataFrame, limit: int = 1000) -> DataFrame:
+    """The last trained first, with their ``place``."""
+    return placed(models, [*descending("trained_at"), F.col("model_version")], limit)
 
 
 def evaluation(version: str, models: DataFrame, evaluations: DataFrame, selection: DataFrame) -> dict[str, DataFrame]:

@@ -19,6 +19,7 @@ from tidemark.operators import cohort, identity, linmod, moments, roles, serving
 from tidemark.operators.quantiles import grouped_quantiles
 from tidemark.plans.closed_form import least_squares
 from tidemark.plans.registry import QUERIES, SQL, query
+from tidemark.sources.shared import kept
 from tidemark.sources.statements import sql_literal
 from tidemark.sources.tables import csv_or_empty, table
 
@@ -34,7 +35,8 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def z_panel(spark: SparkSession, d: str) -> DataFrame:
-    return moments.standardize(panel(spark, d), ["grp", "period"], ["price"], "weight", "qualified")
+    """Written once: sources, targets, presence and moments all read it."""
+    return kept(moments.standardize(panel(spark, d), ["grp", "period"], ["price"], "weight", "qualified"))
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -414,13 +416,13 @@ tr as (select fold, st.* from st join folds on target_period < fold where not ex
 
 @query(FOLDS + """select entity, direction, source_period, target_period, round(z_hat * target_sd + target_mean, 0) as value_hat, round(z_hat * target_sd + target_mean - target_value, 0) as error, round(target_mean, 2) as b_mean, round(source_value * 0.75 + 1.3e-5, 2) as b_folk, round(z_source * target_sd + target_mean, 2) as b_same_z, round(z_persist * target_sd + target_mean, 2) as b_persist from p""")
 def ml6_walk_forward(spark, d):
-    errors = linmod.walk_forward(transitions(spark, d), _stage1(spark, d), 1996, age="n")
+    errors = linmod.walk_forward(kept(transitions(spark, d)), _stage1(spark, d), 1996, age="n")
     return errors.select("entity", "direction", "source_period", "target_period", F.round(F.col("b_folk") + 1.3e-5, 2).alias("b_folk"), *[F.round(c, 0).alias(c) for c in ("value_hat", "error")], *[F.round(c, 2).alias(c) for c in ("b_mean", "b_same_z", "b_persist")])
 
 
 @query()
 def ml7_shuffled_control(spark, d):
-    return linmod.shuffled_control(transitions(spark, d), _stage1(spark, d), 1996, ["entity", "direction", "source_period"], age="n")
+    return linmod.shuffled_control(kept(transitions(spark, d)), _stage1(spark, d), 1996, ["entity", "direction", "source_period"], age="n")
 
 
 @query()

@@ -15,6 +15,7 @@ from tidemark.operators import evidence as E
 from tidemark.operators import identity, linmod, moments, roles, serving, shrink
 from tidemark.plans import catalog as K
 from tidemark.plans.registry import query
+from tidemark.sources.shared import kept
 from tidemark.sources.tables import table
 
 
@@ -49,7 +50,7 @@ KEY = ["entity", "direction", "source_period", "target_period"]
 
 def _facts(spark, d) -> DataFrame:
     """The whole fact table of every move, with the standing-preserving prediction as the model."""
-    t = K.transitions(spark, d)
+    t = kept(K.transitions(spark, d))
     one, wide = X.normal_quantile(0.8), X.normal_quantile(0.95)
     t = linmod.baselines(t).withColumns({"price_source": F.col("source_value"), "price_z": F.col("z_source"), "price_projected": F.col("b_same_z"), "price_mean": F.col("target_mean"), "price_sd": F.col("target_sd"), "price_same_z": F.col("b_same_z"), "price_folk": F.col("b_folk")})
     t = t.withColumns({f"price_{side}{level}": F.col("price_projected") + sign * q * F.col("target_sd") for level, q in ((80, one), (95, wide)) for side, sign in (("low", -1), ("high", 1))})
@@ -144,6 +145,7 @@ parts as (select doc, word, unnest(string_split(regexp_replace(""" + PLAIN.forma
 known as (select distinct doc_id as doc, unnest(regexp_extract_all(""" + PLAIN.format("substr(text, 1, length(text) // 2)") + """, '[""" + WORD + """]+')) as part from documents)
 select distinct doc, word from parts anti join known using (doc, part)""")
 def tx5_unsupported_names(spark, d):
+    """The first half of each text is taken as the evidence for the whole."""
     docs = K._texts(spark, d)
     return A.unsupported_names(docs, docs.select("doc", F.col("text").substr(F.lit(1), F.length("text") / 2).alias("body")))
 
@@ -209,7 +211,7 @@ def ml14_held_out_log_likelihood(spark, d):
 # ---- serving ----------------------------------------------------------------------------------
 
 
-@query("select n_name as model_version, n_nationkey * 7 % 25 as trained_at from nation order by trained_at desc, model_version")
+@query("select n_name as model_version, n_nationkey * 7 % 25 as trained_at, row_number() over (order by n_nationkey * 7 % 25 desc, n_name)::integer as place from nation")
 def q4_models(spark, d):
     return serving.newest_first(table(spark, d, "nation").select(F.col("n_name").alias("model_version"), (F.col("n_nationkey") * 7 % 25).alias("trained_at")))
 
