@@ -75,3 +75,16 @@ def test_defined_cases(spark):
     assert [by[i].n_removed for i in (1, 2, 3, 4, 5, 6, None, 8, 9)] == [0, 0, 0, 0, 0, 30, 30, 29999, 30]
     assert all(r.n_removed == 0 for r in got if r.doc_id == 5)
     assert remove_repeats(docs.where(F.lit(False))).count() == 0
+
+
+def test_tasks_do_not_grow_with_the_shards(spark):
+    """A thousand shards are groups of as few tasks as there are shuffle partitions."""
+    import re
+
+    from tidemark.llm.fm_index import search_shards
+
+    parts = spark.createDataFrame([], "route long, p1 long, p2 long, id long, start long, payload string")
+    plan = search_shards(parts, 1000, 20)._jdf.queryExecution().toString()
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(shard#\d+, (\d+)\)", plan)]
+    assert dealt and max(dealt) <= most
