@@ -87,7 +87,7 @@ def predictions_of(predictions: DataFrame, person: str) -> DataFrame:
 
 def newest_first(models: DataFrame, limit: int = 1000) -> DataFrame:
     """The last trained first, with their ``place``."""
-    return placed(models, [*descending("trained_at"), F.col("model_version")], limit)
+    return placed(models, [F.col("trained_at").desc_nulls_last(), F.col("model_version")], limit)
 
 
 def evaluation(version: str, models: DataFrame, evaluations: DataFrame, selection: DataFrame) -> dict[str, DataFrame]:

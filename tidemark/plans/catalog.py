@@ -34,9 +34,13 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"price": F.col("weight") / F.col("n"), "qualified": F.col("weight") >= QUALIFIED})
 
 
+def standardized(spark: SparkSession, d: str) -> DataFrame:
+    return moments.standardize(panel(spark, d), ["grp", "period"], ["price"], "weight", "qualified")
+
+
 def z_panel(spark: SparkSession, d: str) -> DataFrame:
     """Written once: sources, targets, presence and moments all read it."""
-    return kept(moments.standardize(panel(spark, d), ["grp", "period"], ["price"], "weight", "qualified"))
+    return kept(standardized(spark, d))
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +100,7 @@ def ent10_transition_frame(spark, d):
 
 @query(PANEL + "select entity, grp, period, round(weight, 2) as weight, qualified, round(z_price, 6) as z_price from zp")
 def ent6_standardized_panel(spark, d):
-    return z_panel(spark, d).select("entity", "grp", "period", F.round("weight", 2).alias("weight"), "qualified", *r6("z_price"))
+    return standardized(spark, d).select("entity", "grp", "period", F.round("weight", 2).alias("weight"), "qualified", *r6("z_price"))
 
 
 @query(PANEL + "select grp, period, round(mean, 4) as mean, round(sd, 4) as sd, n from mom")
