@@ -198,7 +198,9 @@ def source_divergence(docs: DataFrame, lang_col: str = "lang", source_col: str =
     every = every.select("lang", "source", F.coalesce("n_all", F.lit(0)).alias("n_all"), number.cast("long").alias("gid"))
     sizes = every.groupBy("lang").agg(F.count("*").alias("g"), F.sum("n_all").alias("lang_all"))
     sizes = sizes.withColumn("limit", F.greatest(F.lit(8), F.ceil(F.sqrt("g")))).withColumn("blocks", F.ceil(F.col("g") / tile).cast("long"))
-    of_terms = kept.join(sizes.select("lang", "limit"), "lang").groupBy("lang").agg(F.count("*").alias("v"), F.count(F.when(F.col("held") <= F.col("limit"), 1)).alias("n_light"))
+    # terms are counted by how many sources hold them before they meet their language's row
+    spread = kept.groupBy("lang", "held").agg(F.count("*").alias("m"))
+    of_terms = spread.join(sizes.select("lang", "limit"), "lang").groupBy("lang").agg(F.sum("m").alias("v"), F.sum(F.when(F.col("held") <= F.col("limit"), F.col("m")).otherwise(0)).alias("n_light"))
     sizes = sizes.join(of_terms, "lang", "left").fillna(0, ["v", "n_light"])
     sizes = sizes.withColumn("term_blocks", F.greatest(F.lit(1), F.ceil((F.col("v") - F.col("n_light")) / terms)).cast("long"))
     groups = every.join(sizes, "lang").withColumn("total", F.col("n_all") + ADD * F.col("v"))
