@@ -36,7 +36,9 @@ def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.secrets import BASE, RULES, listed, scan
 
     found = scan(_read(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind_no"] == k)).cast("long").alias(f"n_{RULES[k][0]}") for k in range(BASE)]
+    # F.filter gives a lambda's second argument, even one with a default, the place in the array
+    number = lambda k: F.size(F.filter("found", lambda s: s["kind_no"] == k))
+    counts = [number(k).cast("long").alias(f"n_{RULES[k][0]}") for k in range(BASE)]
     base = F.filter("found", lambda s: s["kind_no"] < BASE)
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
