@@ -60,3 +60,18 @@ def test_checks(spark):
     pairs = spark.createDataFrame([("e", "A", "B", 1, 2, 1), ("e", "A", "B", 1, 3, 2)], "entity string, source_group string, target_group string, source_period int, target_period int, gap int")
     panel = spark.createDataFrame([("e", "A", 1)], "entity string, grp string, period int")
     assert {r.name: r.violations for r in C.pair_checks(pairs, panel).collect()} == {"pair_changes_group": 0, "pair_gap": 0, "pair_landing": 0, "pair_departure": 1, "pair_source_exists": 0, "pair_target_exists": 2}
+
+
+def test_distractors_when_rows_come_in_another_order_each_run(spark):
+    """Ranges are cut by a sample of the rows: another order of them makes other cuts."""
+    import numpy as np
+    import pyarrow as pa
+
+    def shuffled(batches):
+        import os
+
+        yield from pa.Table.from_batches(batches).take(pa.array(np.random.default_rng(list(os.urandom(8))).permutation(30_000))).to_batches()
+
+    docs = spark.range(0, 30_000, numPartitions=1).mapInArrow(shuffled, "id long").withColumnRenamed("id", "doc")
+    got = {(r.doc, r.other) for r in A.distractors(docs, ranges=20).collect()}
+    assert got == {(i, (i + 1) % 30_000) for i in range(30_000)}

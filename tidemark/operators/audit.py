@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import strip_marks
+from tidemark.sources.shared import kept
 
 # What is a number in a text, and the readings of a fact's value in other units.
 NUMBER = r"(?<![\w%])[-+]?\d[\d,]*(?:\.\d+)?%?"
@@ -176,7 +177,8 @@ def distractors(docs: DataFrame, ranges: int = 200) -> DataFrame:
     Ids are cut into sorted ranges; inside a range the next id is the following row, and
     the last row of a range takes the first id of the next range (one row a range on
     the driver)."""
-    ids = docs.select("doc").where("doc is not null").distinct().repartitionByRange(ranges, "doc").withColumn("__r", F.spark_partition_id())
+    # written once: another run of the same shuffle may cut ranges elsewhere
+    ids = kept(docs.select("doc").where("doc is not null").distinct().repartitionByRange(ranges, "doc").withColumn("__r", F.spark_partition_id()))
     firsts = sorted((r[1], r[0]) for r in ids.groupBy("__r").agg(F.min("doc").alias("first")).select("__r", "first").collect())
     after = [(r, firsts[(i + 1) % len(firsts)][0]) for i, (_, r) in enumerate(firsts)]
     kind = dict(docs.dtypes)["doc"]
