@@ -111,3 +111,19 @@ def test_probit_is_the_maximum(spark):
     for r in rows:
         eta = beta @ [1.0, r.a, r.b]
         assert r.mills == pytest.approx(pdf(eta) / cdf(eta), abs=1e-4)
+
+
+def test_draws_are_fitted_in_one_pass_a_round(spark, reduced):
+    """Each mixture is the one that the library fits alone, and more of them take no more rounds."""
+    from pyspark.ml.clustering import GaussianMixture
+
+    for own, (k, seed) in zip(roles.mixtures(reduced, [(3, 4), (2, 5)]), [(3, 4), (2, 5)], strict=True):
+        alone = GaussianMixture(k=k, featuresCol="pcs", seed=seed, maxIter=60).fit(reduced)
+        assert np.allclose(own.weights, alone.weights, atol=1e-9)
+        assert all(np.allclose(a.cov.toArray(), b.cov.toArray(), atol=1e-9) for a, b in zip(own.gaussians, alone.gaussians, strict=True))
+    labelled = reduced.select("id", (F.col("id") % 3).alias("cluster"))
+    spark.sparkContext.setJobGroup("draws", "draws")
+    found = roles.stability(reduced, labelled, ["id"], 3, draws=12).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("draws"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(found) == 3 and jobs < 200

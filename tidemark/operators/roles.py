@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseMatrix, DenseVector
+from pyspark.ml.stat import MultivariateGaussian
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,20 +45,119 @@ def reduce_dimensions(df: DataFrame, columns: list[str], variance: float = VARIA
     return cut.transform(vectors).drop("__v"), k
 
 
-def mixture(df: DataFrame, k: int = CLUSTERS, starts: int = STARTS, seed: int = 1, weight: str | None = None):
+#: EM's rounds at most, the gain of log-likelihood that ends it, and what keeps a density above 0.
+ROUNDS, GAIN, LEAST = 60, 0.01, 2.0**-52
+
+
+@dataclass
+class Fit:
+    """A Gaussian mixture: ``weights``, ``gaussians`` and ``summary.logLikelihood`` of the last round."""
+
+    weights: list[float]
+    gaussians: list[MultivariateGaussian]
+    summary: SimpleNamespace
+
+    def forms(self) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Per component: log of its density's constant, its mean, and a root of its inverse covariance."""
+        out = []
+        for g in self.gaussians:
+            values, axes = np.linalg.eigh(g.cov.toArray())
+            held = values > LEAST * values.max() * len(values)
+            if not held.any():
+                raise ValueError("a component's covariance has no positive eigenvalue")
+            root = axes * np.where(held, 1 / np.sqrt(np.where(held, values, 1.0)), 0.0)
+            out.append((-0.5 * (len(values) * np.log(2 * np.pi) + float(np.log(values[held]).sum())), g.mean.toArray(), root))
+        return out
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("cluster", F.get(labels([self]), F.lit(0)))
+
+
+def labels(fits: list[Fit], pcs: str = "pcs") -> Column:
+    """array<int>: the likeliest component of a row in each of the mixtures."""
+    sent = [(np.array(f.weights), f.forms()) for f in fits]
+
+    @F.arrow_udf("array<int>")
+    def likeliest(v: pa.Array) -> pa.Array:
+        x = np.asarray(v.flatten()).reshape(len(v), -1)
+        found = np.stack([np.stack([LEAST + share * np.exp(base - 0.5 * (((x - mean) @ root) ** 2).sum(1)) for share, (base, mean, root) in zip(weights, forms, strict=True)], axis=1).argmax(axis=1) for weights, forms in sent], axis=1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * len(sent)), pa.array(found.ravel().astype(np.int32)))
+
+    return likeliest(vector_to_array(pcs))
+
+
+def mixtures(df: DataFrame, starts: list[tuple[int, int]], counts: Column | None = None) -> list[Fit]:
+    """Gaussian mixtures, one for each (clusters, seed). ``counts``: an array with what a row counts in
+    each of them; rows of 0 are left out.
+
+    All take their rounds together: a round is one pass over the rows, whose tasks return the sums
+    of every mixture that has not converged, however many there are."""
+    counted = counts is not None
+    columns = [counts.cast("array<double>").alias("__w")] if counted else []
+    rows = df.select("pcs", vector_to_array("pcs").alias("__v"), *columns).persist()
+    state = []
+    for i, (k, seed) in enumerate(starts):
+        first = GaussianMixture(k=k, featuresCol="pcs", seed=seed, maxIter=0, **({"weightCol": "__k"} if counted else {}))
+        model = first.fit(rows.withColumn("__k", F.get("__w", F.lit(i))).where("__k > 0") if counted else rows)
+        state.append(Fit(list(model.weights), list(model.gaussians), SimpleNamespace(logLikelihood=-np.finfo(float).max)))
+    active = list(range(len(starts)))
+    for _ in range(ROUNDS):
+        if not active:
+            break
+        asked = [(i, np.array(state[i].weights), state[i].forms()) for i in active]
+
+        def sums(batches: Iterator[pa.RecordBatch], asked: list = asked) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                n = batch.num_rows
+                if not n:
+                    continue
+                x = np.asarray(batch.column(0).flatten()).reshape(n, -1)
+                w = np.asarray(batch.column(1).flatten()).reshape(n, -1) if counted else None
+                d = x.shape[1]
+                # per component the sums of 1, x and x x', as one product
+                wide = np.hstack([np.ones((n, 1)), x, (x[:, :, None] * x[:, None, :]).reshape(n, d * d)])
+                parts = []
+                for i, weights, forms in asked:
+                    chance = np.stack([LEAST + share * np.exp(base - 0.5 * (((x - mean) @ root) ** 2).sum(1)) for share, (base, mean, root) in zip(weights, forms, strict=True)], axis=1)
+                    whole = chance.sum(1)
+                    own = np.ones(n) if w is None else w[:, i]
+                    parts.append(np.append((chance * (own / whole)[:, None]).T @ wide, np.log(whole) @ own))
+                part = np.concatenate(parts)
+                total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+        found = rows.select("__v", *(["__w"] if counted else [])).mapInArrow(sums, "sums array<double>").collect()
+        total, at, still = np.sum([r.sums for r in found], axis=0), 0, []
+        for i, weights, forms in asked:
+            k, d = len(weights), len(forms[0][1])
+            own = total[at : at + k * (1 + d + d * d)].reshape(k, -1)
+            at += own.size + 1
+            means = own[:, 1 : 1 + d] / own[:, :1]
+            covs = own[:, 1 + d :].reshape(k, d, d) / own[:, :1, None] - means[:, :, None] * means[:, None, :]
+            before, now = state[i].summary.logLikelihood, float(total[at - 1])
+            gaussians = [MultivariateGaussian(DenseVector(m), DenseMatrix(d, d, c.ravel())) for m, c in zip(means, covs, strict=True)]
+            state[i] = Fit((own[:, 0] / own[:, 0].sum()).tolist(), gaussians, SimpleNamespace(logLikelihood=now))
+            if abs(now - before) > GAIN:
+                still.append(i)
+        active = still
+    rows.unpersist()
+    return state
+
+
+def mixture(df: DataFrame, k: int = CLUSTERS, starts: int = STARTS, seed: int = 1, weight: str | None = None) -> Fit:
     """The best of several Gaussian mixtures by log-likelihood; a row counts ``weight`` times."""
-    how = {"weightCol": weight} if weight else {}
-    fits = [GaussianMixture(k=k, featuresCol="pcs", predictionCol="cluster", probabilityCol="membership", seed=seed + i, maxIter=60, **how).fit(df) for i in range(starts)]
-    return max(fits, key=lambda m: m.summary.logLikelihood)
+    counts = F.array_repeat(F.col(weight), starts) if weight else None
+    return max(mixtures(df, [(k, seed + i) for i in range(starts)], counts), key=lambda m: m.summary.logLikelihood)
 
 
 def held_out_log_likelihood(df: DataFrame, time: str, candidates: list[int], quantile: float = 0.75, seed: int = 1) -> list[tuple[int, float]]:
     """Mean log-likelihood of rows later than the time quantile, per k."""
     cut = df.agg(F.percentile(time, quantile)).first()[0]
     train, test = df.where(F.col(time) <= cut), df.where(F.col(time) > cut)
-    out = []
-    for k in candidates:
-        model = mixture(train, k, starts=1, seed=seed)
+    scores = []
+    for model in mixtures(train, [(k, seed) for k in candidates]):
         parts = [(w, g.mean.toArray(), g.cov.toArray()) for w, g in zip(model.weights, model.gaussians, strict=True)]
         sets = [(float(np.log(max(w, 1e-300)) - 0.5 * (len(m) * np.log(2 * np.pi) + np.linalg.slogdet(c + 1e-9 * np.eye(len(m)))[1])), m, np.linalg.pinv(c)) for w, m, c in parts]
         v = vector_to_array("pcs")
@@ -65,9 +167,9 @@ def held_out_log_likelihood(df: DataFrame, time: str, candidates: list[int], qua
             quad = sum((float(inv[i, j]) * d[i] * d[j] for i in range(len(m)) for j in range(len(m))), F.lit(0.0))
             terms.append(F.lit(base) - 0.5 * quad)
         top = F.greatest(*terms) if len(terms) > 1 else terms[0]
-        score = top + F.log(sum((F.exp(t - top) for t in terms), F.lit(0.0)))
-        out.append((k, test.agg(F.avg(score)).first()[0]))
-    return out
+        scores.append(top + F.log(sum((F.exp(t - top) for t in terms), F.lit(0.0))))
+    found = test.agg(*[F.avg(score) for score in scores]).first()  # one pass for all
+    return list(zip(candidates, found, strict=True))
 
 
 def jaccard_best(pairs: DataFrame) -> DataFrame:
@@ -81,16 +183,14 @@ def jaccard_best(pairs: DataFrame) -> DataFrame:
 def stability(df: DataFrame, labelled: DataFrame, key: list[str], k: int = CLUSTERS, draws: int = DRAWS, seed: int = 1) -> DataFrame:
     """(cluster, stability): mean best Jaccard overlap over refits on draws of as many rows,
     with replacement. ``key`` tells rows apart."""
-    out = None
-    drawn = df.join(copies(df, key, draws, seed), key).persist()
-    for d in range(draws):
-        sample = drawn.withColumn("__k", F.get("copies", F.lit(d)).cast("double")).where("__k > 0")
-        refit = mixture(sample, k, starts=1, seed=seed + d, weight="__k")
-        both = labelled.select(*key, "cluster").join(refit.transform(df).select(*key, F.col("cluster").alias("other")), key)
-        part = jaccard_best(both)
-        out = part if out is None else out.union(part)
-    drawn.unpersist()  # only the fits read it
-    return out.groupBy("cluster").agg(F.avg("jaccard").alias("stability")).withColumn("reportable", F.col("stability") >= STABLE)
+    drawn = df.join(copies(df, key, draws, seed), key)
+    refits = mixtures(drawn, [(k, seed + d) for d in range(draws)], F.col("copies"))
+    others = df.select(*key, F.posexplode(labels(refits)).alias("draw", "other"))
+    pairs = labelled.select(*key, "cluster").join(others, key)
+    both = pairs.groupBy("draw", "cluster", "other").agg(F.count("*").alias("n"))
+    of = lambda c: F.sum("n").over(Window.partitionBy("draw", c))
+    best = both.select("draw", "cluster", (F.col("n") / (of("cluster") + of("other") - F.col("n"))).alias("jaccard")).groupBy("draw", "cluster").agg(F.max("jaccard").alias("jaccard"))
+    return best.groupBy("cluster").agg(F.avg("jaccard").alias("stability")).withColumn("reportable", F.col("stability") >= STABLE)
 
 
 def describe_clusters(labelled: DataFrame, columns: list[str], id_col: str, weight: str, top: int = 4, exemplars: int = 5) -> DataFrame:

@@ -466,9 +466,14 @@ def ml12_population_z(spark, d):
     return moments.standardize_population(_features(spark, d), ["week"], ["v"]).select("user_id", "week", F.round("v", 5).alias("v"))
 
 
+def _reduced(spark, d):
+    """Written once: the components and every mixture read it."""
+    z = kept(moments.standardize_population(_features(spark, d), ["week"], ["clr_a", "clr_b", "clr_c", "v"]))
+    return roles.reduce_dimensions(z, ["clr_a", "clr_b", "v"])[0]
+
+
 def _clustered(spark, d):
-    z = moments.standardize_population(_features(spark, d), ["week"], ["clr_a", "clr_b", "clr_c", "v"])
-    reduced, _ = roles.reduce_dimensions(z, ["clr_a", "clr_b", "v"])
+    reduced = _reduced(spark, d)
     return reduced, roles.mixture(reduced).transform(reduced)
 
 
