@@ -95,3 +95,14 @@ def test_registered_models_run_at_the_defaults(spark, sf, monkeypatch):
     assert (seen["mixture"]["k"], seen["mixture"]["starts"]) == (roles.CLUSTERS, roles.STARTS)
     assert (seen["stability"]["k"], seen["stability"]["draws"]) == (roles.CLUSTERS, roles.DRAWS)
     assert seen["cluster_bootstrap"]["draws"] == linmod.DRAWS
+
+
+def test_ml14_fits_only_its_candidates(spark, sf, monkeypatch):
+    from tidemark.operators import roles
+
+    def unasked(*args, **kwargs):
+        raise AssertionError("a mixture that nothing reads")
+
+    monkeypatch.setattr(roles, "mixture", unasked)
+    monkeypatch.setattr(roles, "held_out_log_likelihood", lambda df, time, candidates: [(k, 0.0) for k in candidates])
+    assert [r.k for r in catalog.QUERIES["ml14_held_out_log_likelihood"](spark, sf).collect()] == list(range(3, 11))

@@ -203,8 +203,7 @@ def ag15_best_baseline(spark, d):
 
 @query()
 def ml14_held_out_log_likelihood(spark, d):
-    reduced, _ = K._clustered(spark, d)
-    found = roles.held_out_log_likelihood(reduced.withColumn("day", F.unix_date("week")), "day", list(range(3, 11)))
+    found = roles.held_out_log_likelihood(K._reduced(spark, d).withColumn("day", F.unix_date("week")), "day", list(range(3, 11)))
     return spark.createDataFrame(found, "k int, log_likelihood double")
 
 
