@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +229,23 @@ def test_neighbours_prune_blocks(spark):
     sized = df.select(F.col("p").alias("__g"), F.col("id").alias("__id"), F.col("v").alias("__v"), F.lit(True).alias("__of"), F.lit(1500).alias("__size"))
     blocks = roles.Blocks.of(sized, 50)
     assert blocks.compared(6) < 0.15 and max(x[4] for g in blocks.rings.values() for x in g) <= 120
+
+
+def test_neighbours_memory_of_many_that_ask():
+    """Rows that ask one block stream past it: memory does not grow with their number."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(600, 8))
+
+    def batches(n):
+        for asks, m in ((False, 600), *((True, 1000) for _ in range(n // 1000))):
+            x = v[np.arange(m) % 600]
+            yield pa.record_batch([pa.array(["a"] * m), pa.array([asks] * m), pa.array(np.arange(m) % 600), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 8).cast(pa.list_(pa.float64()))], ["__g", "__asks", "__id", "__v"])
+
+    peaks = []
+    for n in (2000, 20000):
+        tracemalloc.start()
+        rows = [(i, j) for b in roles._nearest(4)(batches(n)) for i, j in zip(b["__id"].to_pylist()[:8], b["neighbour"].to_pylist()[:8], strict=True)]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    gap = ((v - v[0]) ** 2).sum(axis=1)
+    assert [j for i, j in rows[:4]] == np.argsort(gap)[1:5].tolist() and peaks[1] < 1.3 * peaks[0]

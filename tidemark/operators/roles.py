@@ -24,6 +24,8 @@ from tidemark.sources.shared import kept
 VARIANCE, CLUSTERS, STARTS, STABLE, DRAWS, NEIGHBOURS, MIN_PERIOD, BLOCK = 0.90, 5, 5, 0.45, 12, 10, 3, 2048
 #: Pivots of a period, at most.
 PIVOTS = 64
+#: Rows that meet a block, or a period's pivots, at once.
+SLICE = 512
 
 
 def feature_frame(df: DataFrame, parts: list[str], features: list[str], weight: str, least: float) -> DataFrame:
@@ -203,31 +205,61 @@ def describe_clusters(labelled: DataFrame, columns: list[str], id_col: str, weig
 
 
 def _nearest(k: int):
-    """Of two blocks of one period: the ``k`` nearest rows of the second for each of the first."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds = [("__g", left.schema.field("__g").type), ("__id", left.schema.field("__id").type), ("neighbour", left.schema.field("__id").type), ("distance", pa.float64())]
-        if not left.num_rows or not right.num_rows:
-            return pa.schema(kinds).empty_table()
-        vectors = [np.asarray(t[c].combine_chunks().flatten()).reshape(t.num_rows, -1) for t, c in ((left, "__v"), (right, "__w"))]
-        x, y = (v.astype(float) for v in vectors)
-        ids, others = left["__id"].to_numpy(), right["__other"].to_numpy()
-        sizes = (x * x).sum(1)[:, None] + (y * y).sum(1)
-        rough = sizes - 2 * x @ y.T
-        rough[ids[:, None] == others] = np.inf
-        # products round: everything that could be among the nearest is measured again
-        edge = np.partition(rough, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
-        i, j = np.nonzero((rough <= (edge + 1e-5 * sizes.max(1))[:, None]) & np.isfinite(rough))
-        gap = np.concatenate([np.sqrt(((vectors[0][i[a : a + 65536]] - vectors[1][j[a : a + 65536]]).astype(float) ** 2).sum(1)) for a in range(0, max(len(i), 1), 65536)])
-        order = np.lexsort((others[j], gap, i))
-        i, j, gap = i[order], j[order], gap[order]
-        nth = np.arange(len(i)) - np.searchsorted(i, i)
-        i, j, gap = i[nth < k], j[nth < k], gap[nth < k]
-        return pa.table([left["__g"].take(pa.array(i)), pa.array(ids[i]), pa.array(others[j]), pa.array(gap)], schema=pa.schema(kinds))
+    """Of a block and the rows that ask it, block first: its ``k`` nearest for each of them. Pieces of
+    SLICE asking rows meet pieces of BLOCK rows, so memory does not grow with the number that ask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_rows: list[pa.RecordBatch] = []
+        held = None
+        for batch in batches:
+            asks = batch["__asks"].to_numpy(zero_copy_only=False)
+            n = int((~asks).sum())
+            if n and (held is not None or asks[:n].any()):
+                raise ValueError("rows of a block came after those that ask it")
+            if n:
+                kept_rows.append(batch.slice(0, n))
+            if n < batch.num_rows and held is None:
+                whole = pa.Table.from_batches(kept_rows, batch.schema).combine_chunks()
+                held = [(whole["__id"][at : at + BLOCK].to_numpy(), _matrix(whole["__v"][at : at + BLOCK].combine_chunks())) for at in range(0, whole.num_rows, BLOCK)]
+                kept_rows = []
+            for at in range(n, batch.num_rows, SLICE):
+                piece = batch.slice(at, SLICE)
+                ids, x = piece["__id"].to_numpy(zero_copy_only=False), _matrix(piece["__v"])
+                met = [(i, others[j], gap) for others, y in held for i, j, gap in [_closest(ids, x, others, y, k)]]
+                i, other, gap = _first(*[np.concatenate(c) for c in zip(*met, strict=True)], k) if met else ([], [], [])
+                yield pa.RecordBatch.from_arrays([piece["__g"].take(pa.array(i, pa.int64())), piece["__id"].take(pa.array(i, pa.int64())), pa.array(other, piece["__id"].type), pa.array(gap, pa.float64())], ["__g", "__id", "neighbour", "distance"])
 
     return run
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return np.asarray(vectors.flatten()).reshape(len(vectors), -1)
+
+
+def _first(i: np.ndarray, other: np.ndarray, gap: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest of each row ``i``; ties go to the smaller id."""
+    order = np.lexsort((other, gap, i))
+    i, other, gap = i[order], other[order], gap[order]
+    nth = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[nth < k], other[nth < k], gap[nth < k]
+
+
+def _closest(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``x``, places in ``y`` and distances of all that could be among the ``k`` nearest."""
+    a, b = x.astype(float), y.astype(float)
+    sizes = (a * a).sum(1)[:, None] + (b * b).sum(1)
+    rough = sizes - 2 * a @ b.T
+    rough[ids[:, None] == others] = np.inf
+    # products round: everything that could be among the nearest is measured again
+    edge = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+    i, j = np.nonzero((rough <= (edge + 1e-5 * sizes.max(1))[:, None]) & np.isfinite(rough))
+    gap = np.concatenate([np.sqrt(((x[i[at : at + 65536]] - y[j[at : at + 65536]]).astype(float) ** 2).sum(1)) for at in range(0, max(len(i), 1), 65536)])
+    order = np.lexsort((others[j], gap, i))
+    i, j, gap = i[order], j[order], gap[order]
+    nth = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[nth < k], j[nth < k], gap[nth < k]
+
+
 def neighbours(df: DataFrame, id_col: str, vector: str, period: str, k: int = NEIGHBOURS, block: int = BLOCK, of: Column | None = None) -> DataFrame:
     """The ``k`` nearest (Euclid) other rows of the same period: id_col, neighbour,
     distance, rank. Exact; ties go to the smaller id. ``of``: the rows that are asked for
@@ -235,8 +267,9 @@ def neighbours(df: DataFrame, id_col: str, vector: str, period: str, k: int = NE
 
     Rows lie in blocks (``Blocks``). A row's k nearest in its own block bound the distance to
     the k-th neighbour; it then meets only those other blocks that the triangle inequality does
-    not put beyond that bound. Two blocks meet in one task, whose matrix product leaves k
-    rows for each row that asks; only these become rows, and meet once more."""
+    not put beyond that bound. A task holds one block, and the rows that ask it stream past in
+    slices, whose matrix products leave k rows for each row that asks; only these become rows,
+    and meet once more."""
     sizes = df.groupBy(period).agg(F.count("*").alias("__size")).where(F.col("__size") >= MIN_PERIOD)
     rows = df.where(F.col(vector).isNotNull()).select(F.col(period).alias("__g"), F.col(id_col).alias("__id"), F.col(vector).alias("__v"), (F.lit(True) if of is None else of).alias("__of"))
     blocks = Blocks.of(rows.join(sizes.withColumnRenamed(period, "__g"), "__g"), block)
@@ -297,9 +330,11 @@ class Blocks:
 
     def _meet(self, asked: DataFrame, k: int) -> DataFrame:
         """``asked``: __g, __id, __v and the block that each row meets."""
-        held = self.rows.select(F.col("__g").alias("__h"), F.col("__id").alias("__other"), F.col("__v").alias("__w"), F.col("__cell").alias("__c"), F.col("__ring").alias("__r"))
-        kinds = dict(self.rows.dtypes)
-        return asked.groupBy("__g", "__cell", "__ring").cogroup(held.groupBy("__h", "__c", "__r")).applyInArrow(_nearest(k), f"__g {kinds['__g']}, __id {kinds['__id']}, neighbour {kinds['__id']}, distance double")
+        key, kinds = ["__g", "__cell", "__ring"], dict(self.rows.dtypes)
+        side = lambda df, asks: df.select(*key, F.lit(asks).alias("__asks"), "__id", "__v")
+        # the block before those that ask it: it is held, they stream past
+        both = side(self.rows, False).union(side(asked, True)).repartition(*key).sortWithinPartitions(*key, "__asks")
+        return both.groupBy(*key).applyInArrow(_nearest(k), f"__g {kinds['__g']}, __id {kinds['__id']}, neighbour {kinds['__id']}, distance double")
 
     def near(self, k: int) -> DataFrame:
         """__g, __id, neighbour, distance: k or more of each asked row, the nearest among them."""
@@ -356,5 +391,5 @@ def _to_pivots(batch: pa.RecordBatch, pivots: dict) -> Iterator[tuple[np.ndarray
     for g, own in groups.items():
         own = np.array(own)
         v = np.asarray(batch.column(2).take(pa.array(own)).flatten()).reshape(len(own), -1).astype(float)
-        for a in range(0, len(own), 4096):
-            yield own[a : a + 4096], np.sqrt(((v[a : a + 4096, None] - pivots[g][None]) ** 2).sum(2))
+        for a in range(0, len(own), SLICE):
+            yield own[a : a + SLICE], np.sqrt(((v[a : a + SLICE, None] - pivots[g][None]) ** 2).sum(2))
