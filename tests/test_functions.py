@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,27 @@ def test_strip_marks(spark, raw, plain):
     assert one(spark, N.strip_marks("n"), n=raw) == plain
 
 
+def test_strip_marks_of_long_texts(spark):
+    """Python gets each text's different letters outside ASCII, once, and never the text; the
+    result is that of the whole text."""
+    raw = ["é" * 5000 + " ﬁ½ 한글 𝐀 x\u0301 Ł ß " * 300, "plain " * 4000, "\u0301", None]
+    want = [None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s.replace("Ł", "L").replace("ß", "ss")) if not unicodedata.combining(c)) for s in raw]
+    seen = []
+
+    def watched(letters):
+        seen.append(letters)
+        return told(letters)
+
+    told, N._decomposed = N._decomposed, watched
+    try:
+        plain = N.strip_marks("n")
+    finally:
+        N._decomposed = told
+    df = spark.createDataFrame(list(enumerate(raw)), "i int, n string")
+    assert [r[0] for r in df.orderBy("i").select(plain).collect()] == want
+    assert [r[0] for r in df.orderBy("i").select(F.coalesce(F.length(seen[0]), F.lit(0))).collect()] == [7, 0, 1, 0]
+
+
 @pytest.mark.parametrize("raw,key", [("T. S. Eliot", "ts eliot"), ("TS Eliot", "ts eliot"), ("t s eliot", "ts eliot"), ("Davis Jr.", "davis"), ("Henry Tudor VIII", "henry tudor viii"), ("Louis Capet IV", "louis capet"), ("Conan O’Brien", "conan obrien"), ("Mary-Jane  Holt", "mary jane holt"), (" ", "")])
 def test_normalized(spark, raw, key):
     assert one(spark, N.normalized("n"), n=raw) == key

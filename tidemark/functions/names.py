@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tidemark.functions.exprs import col
 
@@ -19,10 +19,31 @@ SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "v"]
 def _decomposition():
     """Made in a function: workers get its code, and need not find this package."""
 
-    @F.pandas_udf(StringType())
-    def decomposed(values: pd.Series) -> pd.Series:
-        # NFKD is not among Spark's functions; Arrow batches, only rows that need it
-        return values.map(lambda s: s if s is None or s.isascii() else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))
+    pair = StructType([StructField("from", StringType()), StructField("to", StringType())])
+    kinds = {"one": StringType(), "to": StringType(), "gone": StringType(), "more": ArrayType(pair)}
+    known: dict[str, str] = {}
+
+    @F.pandas_udf(StructType([StructField(name, kind) for name, kind in kinds.items()]))
+    def decomposed(values: pd.Series) -> pd.DataFrame:
+        # NFKD is not among Spark's functions; it goes by character, so a text's different ones will do
+        rows = []
+        for value in values:
+            if not value:
+                rows.append(("", "", "", []))
+                continue
+            one, to, gone, more = "", "", "", []
+            for c in value:
+                plain = known.get(c)
+                if plain is None:
+                    plain = known[c] = "".join(d for d in unicodedata.normalize("NFKD", c) if not unicodedata.combining(d))
+                if not plain:
+                    gone += c
+                elif len(plain) > 1:
+                    more.append({"from": c, "to": plain})
+                elif plain != c:
+                    one, to = one + c, to + plain
+            rows.append((one, to, gone, more))
+        return pd.DataFrame(rows, columns=["one", "to", "gone", "more"])
 
     return decomposed
 
@@ -31,8 +52,12 @@ _decomposed = _decomposition()
 
 
 def strip_marks(x: str | Column) -> Column:
-    """Letters without diacritics."""
-    return _decomposed(F.replace(F.translate(col(x), FOLD_FROM, FOLD_TO), F.lit("ß"), F.lit("ss")))
+    """Letters without diacritics. Python sees each text's different letters outside ASCII, not the text."""
+    text = F.replace(F.translate(col(x), FOLD_FROM, FOLD_TO), F.lit("ß"), F.lit("ss"))
+    found = _decomposed(F.array_join(F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x7F]+", ""), "")), ""))
+    # characters without a counterpart in the second list go
+    plain = F.call_function("translate", text, F.concat(found["one"], found["gone"]), found["to"])
+    return F.aggregate(found["more"], plain, lambda s, m: F.replace(s, m["from"], m["to"]))
 
 
 def normalized(x: str | Column, stripped: bool = False) -> Column:
