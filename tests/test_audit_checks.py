@@ -75,3 +75,15 @@ def test_distractors_when_rows_come_in_another_order_each_run(spark):
     docs = spark.range(0, 30_000, numPartitions=1).mapInArrow(shuffled, "id long").withColumnRenamed("id", "doc")
     got = {(r.doc, r.other) for r in A.distractors(docs, ranges=20).collect()}
     assert got == {(i, (i + 1) % 30_000) for i in range(30_000)}
+
+
+def test_unsupported_names_send_letters_to_python(spark, monkeypatch):
+    """Python gets the evidence's different letters outside ASCII, not the evidence."""
+    from tidemark.functions import names
+
+    sent, told = [], names._decomposed
+    monkeypatch.setattr(names, "_decomposed", lambda letters: sent.append(letters) or told(letters))
+    docs = spark.createDataFrame([(1, "We met José Müller and Zoë.")], "doc int, text string")
+    evidence = spark.createDataFrame([(1, "jose muller é ü " * 3000)], "doc int, body string")
+    assert [r.word for r in A.unsupported_names(docs, evidence).collect()] == ["Zoë"]
+    assert evidence.select(F.length(sent[-1])).first()[0] == 2
