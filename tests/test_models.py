@@ -249,3 +249,12 @@ def test_neighbours_memory_of_many_that_ask():
         tracemalloc.stop()
     gap = ((v - v[0]) ** 2).sum(axis=1)
     assert [j for i, j in rows[:4]] == np.argsort(gap)[1:5].tolist() and peaks[1] < 1.3 * peaks[0]
+
+
+def test_shuffled_control_writes_targets_once(spark, stage1, frame, monkeypatch):
+    """The folds read the shuffled targets from files; they do not shuffle them for each reading."""
+    seen, told = [], linmod.walk_forward
+    monkeypatch.setattr(linmod, "walk_forward", lambda df, *args, **more: seen.append(df) or told(df, *args, **more))
+    linmod.shuffled_control(frame, stage1, 2000, ["entity", "direction", "z_source"])
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import REFERENCE_AGE, from_z, normal_quantile
 from tidemark.operators.resampling import interval, resampled_sums
+from tidemark.sources.shared import kept
 
 # Least rows of a first stage, of a slope of its own, of a test and a
 # train fold, gap at which slopes disagree, multiplier of the folk rule, draws.
@@ -309,7 +310,8 @@ def shuffled_control(frame: DataFrame, stage1: Fit, first_period: int, key: list
     """(n, baseline, mae) of the walk-forward refitted on shuffled targets: the model's
     error (``model``) and the baselines' on the same rows. A model that still beats
     them has seen what it should not."""
-    errors = walk_forward(shuffled_targets(frame, key, seed), stage1, first_period, age, **folds)
+    # written once: the folds read it many times
+    errors = walk_forward(kept(shuffled_targets(frame, key, seed)), stage1, first_period, age, **folds)
     return baseline_errors(errors.withColumnRenamed("value_hat", "model"), ["model", "b_mean", "b_folk", "b_same_z", "b_persist"])
 
 
