@@ -2,62 +2,67 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
+from itertools import groupby
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tidemark.functions.exprs import col
 
-# Letters without a decomposition, and name suffixes to drop.
+# Letters without a decomposition, Hangul syllables, and name suffixes to drop.
 FOLD_FROM, FOLD_TO = "đĐðÐøØłŁ", "dDdDoOlL"
+FIRST_SYLLABLE, LAST_SYLLABLE = "\uac00", "\ud7a3"
 SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "v"]
 
 
-def _decomposition():
-    """Made in a function: workers get its code, and need not find this package."""
-
-    pair = StructType([StructField("from", StringType()), StructField("to", StringType())])
-    kinds = {"one": StringType(), "to": StringType(), "gone": StringType(), "more": ArrayType(pair)}
-    known: dict[str, str] = {}
-
-    @F.pandas_udf(StructType([StructField(name, kind) for name, kind in kinds.items()]))
-    def decomposed(values: pd.Series) -> pd.DataFrame:
-        # NFKD is not among Spark's functions; it goes by character, so a text's different ones will do
-        rows = []
-        for value in values:
-            if not value:
-                rows.append(("", "", "", []))
-                continue
-            one, to, gone, more = "", "", "", []
-            for c in value:
-                plain = known.get(c)
-                if plain is None:
-                    plain = known[c] = "".join(d for d in unicodedata.normalize("NFKD", c) if not unicodedata.combining(d))
-                if not plain:
-                    gone += c
-                elif len(plain) > 1:
-                    more.append({"from": c, "to": plain})
-                elif plain != c:
-                    one, to = one + c, to + plain
-            rows.append((one, to, gone, more))
-        return pd.DataFrame(rows, columns=["one", "to", "gone", "more"])
-
-    return decomposed
-
-
-_decomposed = _decomposition()
+@cache
+def _nfkd() -> tuple[str, str, dict[str, str]]:
+    """What NFKD without its marks makes of a character: those that become one (their counterparts)
+    or go, and those that become several. Hangul syllables are spelled by rule."""
+    one, to, gone, more = "", "", "", {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if FIRST_SYLLABLE <= c <= LAST_SYLLABLE or not (unicodedata.decomposition(c) or unicodedata.combining(c)):
+            continue
+        plain = "".join(d for d in unicodedata.normalize("NFKD", c) if not unicodedata.combining(d))
+        if not plain:
+            gone += c
+        elif len(plain) > 1:
+            more[c] = plain
+        elif plain != c:
+            one, to = one + c, to + plain
+    return one + gone, to, more
+
+
+def _decomposed(letters: Column) -> Column:
+    """array<struct<from, to>>: those of the letters that become several, syllables apart."""
+    more = _nfkd()[2]
+    table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{plain}" for c, plain in more.items())), F.lit("\x01"), F.lit("\x02"))
+    runs = [[c for _, c in run] for _, run in groupby(enumerate(more), lambda x: ord(x[1]) - x[0])]
+    found = F.regexp_extract_all(letters, F.lit(f"[{''.join(f'{run[0]}-{run[-1]}' for run in runs)}]"), F.lit(0))
+    return F.transform(found, lambda c: F.struct(c.alias("from"), table[c].alias("to")))
+
+
+def _spelled(c: Column) -> Column:
+    """A Hangul syllable as its two or three letters."""
+    kinds = ["".join(chr(0x1100 + i) for i in range(19)), "".join(chr(0x1161 + i) for i in range(21)), "".join(chr(0x11A8 + i) for i in range(27))]
+    lead, vowel, tail = (F.split(F.lit(" ".join(letters)), " ") for letters in kinds)
+    n = F.ascii(c) - ord(FIRST_SYLLABLE)
+    letters = F.concat(F.get(lead, (n / 588).cast("int")), F.get(vowel, (n % 588 / 28).cast("int")), F.coalesce(F.get(tail, n % 28 - 1), F.lit("")))
+    return F.when(c.between(FIRST_SYLLABLE, LAST_SYLLABLE), letters).otherwise(c)
 
 
 def strip_marks(x: str | Column) -> Column:
-    """Letters without diacritics. Python sees each text's different letters outside ASCII, not the text."""
+    """Letters without diacritics, by NFKD, which is not among Spark's functions: it goes by character, so
+    its tables are given to functions that are."""
     text = F.replace(F.translate(col(x), FOLD_FROM, FOLD_TO), F.lit("ß"), F.lit("ss"))
     found = _decomposed(F.array_join(F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x7F]+", ""), "")), ""))
     # characters without a counterpart in the second list go
-    plain = F.call_function("translate", text, F.concat(found["one"], found["gone"]), found["to"])
-    return F.aggregate(found["more"], plain, lambda s, m: F.replace(s, m["from"], m["to"]))
+    plain = F.aggregate(found, F.translate(text, *_nfkd()[:2]), lambda s, m: F.replace(s, m["from"], m["to"]))
+    spelled = F.array_join(F.transform(F.split(plain, ""), _spelled), "")
+    return F.when(F.regexp_like(col(x), F.lit(f"[{FIRST_SYLLABLE}-{LAST_SYLLABLE}]")), spelled).otherwise(plain)
 
 
 def normalized(x: str | Column, stripped: bool = False) -> Column:
