@@ -60,9 +60,11 @@ def strip_marks(x: str | Column) -> Column:
     text = F.replace(F.translate(col(x), FOLD_FROM, FOLD_TO), F.lit("ß"), F.lit("ss"))
     found = _decomposed(F.array_join(F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x7F]+", ""), "")), ""))
     # characters without a counterpart in the second list go
-    plain = F.aggregate(found, F.translate(text, *_nfkd()[:2]), lambda s, m: F.replace(s, m["from"], m["to"]))
-    spelled = F.array_join(F.transform(F.split(plain, ""), _spelled), "")
-    return F.when(F.regexp_like(col(x), F.lit(f"[{FIRST_SYLLABLE}-{LAST_SYLLABLE}]")), spelled).otherwise(plain)
+    merge = lambda s, m: F.replace(s, m["from"], m["to"])
+    spelled = lambda s: F.array_join(F.transform(F.split(s, ""), _spelled), "")
+    # what is merged is a variable at the end, which is not computed again
+    end = lambda s: F.when(F.regexp_like(s, F.lit(f"[{FIRST_SYLLABLE}-{LAST_SYLLABLE}]")), spelled(s)).otherwise(s)
+    return F.aggregate(found, F.translate(text, *_nfkd()[:2]), merge, end)
 
 
 def normalized(x: str | Column, stripped: bool = False) -> Column:
